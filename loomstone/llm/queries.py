@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import records, shared
+from loomstone.llm import media, pieces, records, shared
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(shared.table(spark, sf_dir, "documents"), records.byte_level_encoder()))
 
 
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(shared.table(spark, sf_dir, "documents"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(shared.table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES = {
     "op7_token_records": op7_token_records,
+    "op9_media_chunks": op9_media_chunks,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLES: dict[str, str] = {}

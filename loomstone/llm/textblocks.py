@@ -119,3 +119,55 @@ def shingles(owner: np.ndarray, hashes: np.ndarray, k: int = 5) -> tuple[np.ndar
     keep = np.ones(len(who), bool)
     keep[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
     return who[keep], what[keep]
+
+
+class SpanIds:
+    """Token ids of byte spans: spans with equal hashes go through the model once and are kept, ``keep`` of them at most.
+
+    ``encode`` gives the ids of a list of texts, one after another, and for each id the number of its text.
+    """
+
+    def __init__(self, encode, dtype, keep: int = 600_000):
+        self.encode, self.dtype, self.keep = encode, dtype, keep
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.ids, self.begins, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans one after another, number of ids of each span)."""
+        import pandas as pd
+
+        if len(self.slots) > self.keep:
+            self._clear()
+        codes, distinct = pd.factorize(span_hashes(raw, starts, ends))
+        get = self.slots.get
+        slots = np.fromiter((get(x, -1) for x in distinct.tolist()), np.int64, len(distinct))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            first = np.empty(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            data, at = raw.tobytes(), first[new]
+            texts = [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            flat, owner = self.encode(texts)
+            sizes = np.bincount(owner, minlength=len(texts))
+            slots[new] = len(self.sizes) + np.arange(len(new))
+            self.slots.update(zip(distinct[new].tolist(), slots[new].tolist(), strict=True))
+            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, flat.astype(self.dtype)])
+        slot = slots[codes]
+        size = self.sizes[slot]
+        ends_ = np.cumsum(size)
+        total = int(ends_[-1]) if len(ends_) else 0
+        return self.ids[np.arange(total) + np.repeat(self.begins[slot] - (ends_ - size), size)], size
+
+
+def code_points(raw: np.ndarray) -> np.ndarray:
+    """At each byte, the code point that it belongs to, where all are below U+0800; other bytes get some number above."""
+    out = raw.astype(np.int32)
+    lead = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] < 0xE0)) if len(raw) else np.zeros(0, np.int64)
+    value = ((raw[lead].astype(np.int32) & 0x1F) << 6) | (raw[lead + 1] & 0x3F)
+    out[lead], out[lead + 1] = value, value
+    return out
