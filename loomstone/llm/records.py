@@ -15,11 +15,13 @@ first; equal keys keep one record each; an empty table gives no record; other co
 
 from __future__ import annotations
 
+import os
 import random
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm import shared
+from loomstone.llm import shared, textblocks
 
 FRAME, PAYLOAD, INDEX = struct.Struct("<QI"), struct.Struct("<qBBI"), np.dtype([("key", "<i8"), ("at", "<u8"), ("size", "<u8"), ("ids", "<u8")])
 #: The constant added to a rotated checksum (fixed value of the masked-checksum record convention).
@@ -55,60 +57,90 @@ def unframe(data: bytes) -> tuple[int | None, np.ndarray]:
     return (key if present else None), np.frombuffer(body, f"<u{width}", count, PAYLOAD.size)
 
 
+LETTER, NUMBER, SPACE, OTHER, STOP = range(5)
+
+
+def _classes(limit: int = 0x250) -> np.ndarray:
+    """Character classes of the byte-level pre-tokenizer's pattern, for code points below ``limit``."""
+    return np.array([SPACE if chr(i).isspace() and i not in range(0x1C, 0x20) else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(limit)], np.int8)
+
+
 class BatchEncoder:
-    """ids of whole texts by the tokenizers library; each distinct pre-token of a batch goes through the model once.
+    """ids of whole texts by the tokenizers library; each distinct pre-token goes through the model once.
 
-    Byte-level BPE never merges across pre-tokens, so equal pre-tokens have equal ids. Texts with characters on which
-    regular-expression engines could differ are encoded whole instead. Strings of special tokens are ordinary text.
+    Byte-level BPE never merges across pre-tokens, so equal pre-tokens have equal ids. The pre-tokens of a block of texts
+    are found at once by character classes; a text with characters from U+0250 or with rare control characters, on which
+    regular-expression engines may differ, is encoded whole instead. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000):
-        import regex
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.split, self.keep, self.known = regex.compile(pattern).findall, keep, {}
-        self.odd = regex.compile(r"[\x1c-\x1f\x85\xa0]|[^\x00-ɏ]").search
-        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if self.odd(x)]
-        for i, e in zip(whole, self.model.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, f"<u{self.width}")
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        parts = [self.split(texts[i]) for i in rest]
-        coded = pa.array(chain.from_iterable(parts), pa.large_string()).dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > self.keep:
-            self.known.clear()
-        new = [x for x in distinct if x not in self.known]
-        for x, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = e.ids
-        ids = [self.known[x] for x in distinct]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), f"<u{self.width}", int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
-        size = sizes[codes]
-        ends = np.cumsum(size)
-        all_ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - size), size)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, parts)])]
-        for j, i in enumerate(rest):
-            out[i] = all_ids[cuts[j] : cuts[j + 1]]
-        return out
-
-
-def groups_of(texts: list[str], limit: int = 4 << 20) -> Iterator[slice]:
-    """Slices of whole texts of about ``limit`` characters together."""
-    first, held = 0, 0
-    for i, x in enumerate(texts):
-        held += len(x)
-        if held >= limit:
-            yield slice(first, i + 1)
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
+        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self.spans = textblocks.SpanIds(self._apart, self.dtype)
+        self.table = _classes()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        e = self.model.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, self.dtype), np.array(e.word_ids, np.int64)
+
+    def pre_tokens(self, raw: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pre-tokens of texts that each end at one of ``stops`` (a byte that is no text)."""
+        points = textblocks.code_points(raw)
+        kind = self.table[np.minimum(points, len(self.table) - 1)]
+        kind[stops] = STOP
+        follow = (raw >= 0x80) & (raw < 0xC0)
+        start = np.empty(len(raw), bool)
+        start[0], start[1:] = True, kind[1:] != kind[:-1]
+        # a space before a word belongs to it; of white space before a word, the last character stands apart
+        last = np.flatnonzero(start[1:] & (kind[:-1] == SPACE) & (kind[1:] != STOP))
+        start[last] = True
+        start[last[raw[last] == 0x20] + 1] = False
+        # contractions at the start of a run of other characters
+        mark = np.flatnonzero(start & (raw == 0x27))
+        mark = mark[mark + 2 < len(raw)]
+        one, two = raw[mark + 1], raw[mark + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        for at, size in ((mark[short], 2), (mark[long], 3)):
+            start[at + 1] = False
+            after = at + size
+            same = kind[after] == LETTER
+            start[after[same]] = True
+        begins = np.flatnonzero(start & ~follow)
+        ends = np.append(begins[1:], len(raw))
+        real = kind[begins] != STOP
+        return begins[real], ends[real]
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """ids of every text of the column, in order."""
+        for first, last, raw, offsets in textblocks.blocks(column):
+            lengths = np.diff(offsets)
+            n = last - first
+            odd_byte = (raw >= 0xCA) | ((raw >= 0x1C) & (raw < 0x20))
+            odd_byte[:-1] |= (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0))
+            odd = np.zeros(n, bool)
+            odd[np.searchsorted(offsets, np.flatnonzero(odd_byte), "right") - 1] = True
+            spaced, begins = textblocks.spaced(raw, offsets)
+            starts, ends = self.pre_tokens(spaced, begins[1:] - 1)
+            owner = np.searchsorted(begins, starts, "right") - 1
+            if odd.any():
+                keep = ~odd[owner]
+                starts, ends, owner = starts[keep], ends[keep], owner[keep]
+            ids, sizes = self.spans(spaced, starts, ends)
+            per_text = np.bincount(owner, sizes, n).astype(np.int64)
+            cuts = np.concatenate([[0], np.cumsum(per_text)])
+            for i in range(n):
+                if odd[i]:
+                    yield np.array(self._ids([raw[offsets[i] : offsets[i] + lengths[i]].tobytes().decode()])[0], self.dtype)
+                else:
+                    yield ids[cuts[i] : cuts[i + 1]]
 
 
 def write(docs: DataFrame, encoder: Callable[[], BatchEncoder], *, key: str = "doc_id", text: str = "text", end_id: int = 0, file_bytes: int = 32 << 20) -> DataFrame:
@@ -129,13 +161,11 @@ def write(docs: DataFrame, encoder: Callable[[], BatchEncoder], *, key: str = "d
 
         def fill(out):
             for b in batches:
-                keys, texts = b.column(0).to_pylist(), ["" if x is None else x for x in b.column(1).to_pylist()]
-                for s in groups_of(texts):
-                    for k, ids in zip(keys[s], encode(texts[s]), strict=True):
-                        data = frame(k, np.append(ids, np.array([end_id], ids.dtype)))
-                        out.write(data)
-                        entries.append((k or 0, state["at"], len(data), len(ids) + 1))
-                        state["at"] += len(data)
+                for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                    data = frame(k, np.append(ids, np.array([end_id], ids.dtype)))
+                    out.write(data)
+                    entries.append((k or 0, state["at"], len(data), len(ids) + 1))
+                    state["at"] += len(data)
 
         name = f"{root}/part-{part:05d}"
         shared.publish(f"{name}.rec", fill)
@@ -204,12 +234,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def byte_level_encoder(path: str | None = None) -> Callable[[], BatchEncoder]:
-    """The public byte-level vocabulary (or another file of the same kind), opened on the worker."""
+@lru_cache(maxsize=1)
+def _byte_level(path: str | None) -> BatchEncoder:
+    import public_tokenizers
 
-    def make():
-        import public_tokenizers
+    return BatchEncoder(path or public_tokenizers.path("byte_bpe_50k.json"))
 
-        return BatchEncoder(path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
-    return make
+def byte_level_encoder(path: str | None = None) -> Callable[[], BatchEncoder]:
+    """The public byte-level vocabulary (or another file of the same kind), opened once in each worker process."""
+    return partial(_byte_level, path)
