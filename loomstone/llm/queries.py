@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import media, pieces, records, shared
+from loomstone.llm import decontaminate, media, pieces, pii, records, shared
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(shared.table(spark, sf_dir, "documents"))
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(shared.table(spark, sf_dir, "documents"), records.byte_level_encoder()))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+
+
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(shared.table(spark, sf_dir, "documents"))
 
@@ -20,9 +28,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_personal_data": op6_personal_data,
     "op7_token_records": op7_token_records,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_media_chunks": op9_media_chunks,
     "op10_pieces": op10_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_benchmark_leaks": decontaminate.ORACLE,
+}
