@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontaminate, media, pieces, pii, records, shared
+from loomstone.llm import decontaminate, language, media, pieces, pii, records, shared
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(shared.table(spark, sf_dir, "documents"))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
     "op6_personal_data": op6_personal_data,
     "op7_token_records": op7_token_records,
     "op8_benchmark_leaks": op8_benchmark_leaks,
