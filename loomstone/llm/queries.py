@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontaminate, language, media, pieces, pii, records, shared
+from loomstone.llm import decontaminate, language, media, pieces, pii, records, shared, toxicity
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(shared.table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(shared.table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language": op2_language,
+    "op4_toxicity": op4_toxicity,
     "op6_personal_data": op6_personal_data,
     "op7_token_records": op7_token_records,
     "op8_benchmark_leaks": op8_benchmark_leaks,
