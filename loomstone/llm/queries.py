@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontaminate, language, media, pieces, pii, records, shared, toxicity
+from loomstone.llm import decontaminate, jaccard, language, media, pieces, pii, records, shared, toxicity
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(shared.table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(shared.table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language": op2_language,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard_groups": op5_jaccard_groups,
     "op6_personal_data": op6_personal_data,
     "op7_token_records": op7_token_records,
     "op8_benchmark_leaks": op8_benchmark_leaks,
@@ -46,5 +51,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_jaccard_groups": jaccard.ORACLE,
     "op8_benchmark_leaks": decontaminate.ORACLE,
 }
