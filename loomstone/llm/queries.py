@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, jaccard, language, media, pieces, pii, records, shared, toxicity
+from loomstone.llm import decontaminate, jaccard, language, media, pieces, pii, quality, records, shared, toxicity
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings: 0 for low quality, 1 for good but toxic, 2 for good and clean."""
+    labels = shared.table(spark, sf_dir, "labels").select("doc_id", (2 * F.col("quality") - F.col("quality") * F.coalesce("toxic", F.lit(0))).alias("rating"))
+    return quality.grade(shared.table(spark, sf_dir, "documents"), labels)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +47,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard_groups": op5_jaccard_groups,
