@@ -140,6 +140,8 @@ class PieceCoder:
         plain = model.escape and model.dummy_prefix and not model.charsmap and not model.squeeze
         self.cuts = plain and separable(model) and not any(kind == USER for _, _, kind in model.pieces)
         self.spans = textblocks.SpanIds(self._segments, np.int32)
+        self.bytes_of, self.begins, self.sizes, self.is_byte = self._tables(model)
+        self.strip = model.dummy_prefix
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
 
@@ -182,8 +184,27 @@ class PieceCoder:
                 out[first + i] = self._whole([raw[offsets[i] : offsets[i + 1]].tobytes().decode()])[0]
         return out
 
+    def _tables(self, model: PieceModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The decoder's output for each id: bytes side by side, where each begins, its length, whether it is a byte piece."""
+        parts = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array([kind == BYTE for _, _, kind in model.pieces])
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        """Texts of id sequences. Where byte pieces form no valid text, the library's decoder places replacement signs."""
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        size = self.sizes[flat]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.bytes_of[np.arange(total) + np.repeat(self.begins[flat] - (ends - size), size)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        out = []
+        for x, a, b in zip(ids, cuts[:-1], cuts[1:], strict=True):
+            try:
+                out.append(data[a + 1 if self.strip and data[a : a + 1] == b" " and b > a else a : b].decode())
+            except UnicodeDecodeError:
+                out.append(self.whole.decode(x.tolist(), skip_special_tokens=False))
+        return out
 
     def agrees(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
         """Whether sentencepiece gives the same ids."""
