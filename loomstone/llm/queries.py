@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, jaccard, language, media, pieces, pii, quality, records, shared, toxicity
+from loomstone.llm import backoff, decontaminate, jaccard, language, media, pieces, pii, quality, records, shared, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(shared.table(spark, sf_dir, "documents"))
 
 
+def op3_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score(shared.table(spark, sf_dir, "documents"))
+    return scored.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 5)})
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
 
@@ -49,6 +54,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_backoff_scores": op3_backoff_scores,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard_groups": op5_jaccard_groups,
     "op6_personal_data": op6_personal_data,
@@ -59,6 +65,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_backoff_scores": backoff.ORACLE,
     "op5_jaccard_groups": jaccard.ORACLE,
     "op8_benchmark_leaks": decontaminate.ORACLE,
 }
