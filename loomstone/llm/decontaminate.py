@@ -76,6 +76,14 @@ def search(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
     return best.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
+def drop_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` that hold no item; rows with a null key stay only if no such row holds one."""
+    leaks = search(docs, items, key=key, text=text, item_key=item_key, item_text=item_text, broadcast_rows=broadcast_rows)
+    gone = shared.written(leaks.select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
+    fit = F.broadcast if gone.count() <= broadcast_rows else lambda x: x
+    return docs.join(fit(gone), docs[key].eqNullSafe(F.col("__gone")), "left_anti")
+
+
 #: The same rows in DuckDB: exact containment of every item in every document.
 ORACLE = r"""
 WITH words AS (

@@ -272,6 +272,25 @@ def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fragmen
     return rows.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` whose key is the least of its component; of rows with equal keys and texts one stays.
+
+    A key stands for its document: if one of the rows of a key is a copy of a lesser key, all of them go. Rows without a
+    key stay. Texts are shuffled only for keys that occur more than once; the keys to drop are broadcast where their
+    counted number is within ``broadcast_rows``.
+    """
+    classes = shared.written(cluster(docs, key=key, text=text).select(F.col("doc_id").alias("__key"), (F.col("component_id") != F.col("doc_id")).alias("__copy")), "classes")
+    gone = shared.written(classes.where("__copy").select("__key").distinct(), "copies")
+    fit = F.broadcast if gone.count() <= broadcast_rows else lambda x: x
+    here = docs[key].cast("long") == F.col("__key")
+    kept = docs.join(fit(gone), here, "left_anti")
+    twice = shared.written(classes.where("__key IS NOT NULL").groupBy("__key").count().where("count > 1").select("__key"), "repeated")
+    if twice.isEmpty():
+        return kept
+    at = kept[key].cast("long") == F.col("__key")
+    return kept.join(twice, at, "left_anti").unionByName(kept.join(twice, at, "left_semi").dropDuplicates([key, text]))
+
+
 #: The same rows in DuckDB: all pairs by shared shingles, then reachability.
 ORACLE = r"""
 WITH RECURSIVE words AS (
