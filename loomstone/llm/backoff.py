@@ -148,7 +148,7 @@ def _score(fragments: int):
     return run
 
 
-def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, fragment_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, fragment_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, log_score (natural logarithm, summed), mean_log_score and the number of words scored at each level."""
     shared.small_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
