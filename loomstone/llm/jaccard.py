@@ -67,7 +67,7 @@ def signatures(owner: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarra
     return np.where(size > 0, sig, 0), size
 
 
-def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 1_500_000) -> DataFrame:
+def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 800_000) -> DataFrame:
     """(frag, payload): packed (signature, size | n-gram, set number) blocks per fragment, and the documents' signatures below 0."""
 
     def run(batches):
@@ -79,7 +79,7 @@ def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 1_5
             nonlocal turn
             keys, sig, size = (np.concatenate([h[i] for h in held]) for i in range(3))
             base = np.cumsum([0, *[len(h[0]) for h in held]])
-            owner = np.concatenate([h[3] + b for h, b in zip(held, base, strict=False)])
+            owner = np.concatenate([h[3] + np.int32(b) for h, b in zip(held, base, strict=False)])
             token = np.concatenate([h[4] for h in held])
             rows = [(-1 - (part * 65536 + turn), pack(keys, np.concatenate([h[5] for h in held]), sig, size))]
             turn += 1
@@ -108,7 +108,7 @@ def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 1_5
             for first, last, raw, offsets in textblocks.blocks(b.column(1)):
                 owner, token = textblocks.shingles(*textblocks.words(raw, offsets), WORDS)
                 sig, size = signatures(owner, token, last - first)
-                held.append((numbers[first:last], sig, size, owner, token, present[first:last].astype(np.uint8)))
+                held.append((numbers[first:last], sig, size, owner.astype(np.int32), token, present[first:last].astype(np.uint8)))
                 count += len(token) + last - first
                 if count >= hold:
                     yield blocks()
@@ -143,14 +143,15 @@ def shared_tokens(blocks: DataFrame, fragments: int) -> DataFrame:
         base = np.cumsum([0, *[len(p[0]) for p in parts]])
         start = np.uint64(frag * (2.0**TOKEN_BITS / fragments))
         token = np.concatenate([np.cumsum(p[2].astype(np.uint64)) + start for p in parts])
-        owner = np.concatenate([inverse[b + p[3]] for p, b in zip(parts, base, strict=False)])
+        owner = np.concatenate([inverse[b + p[3].astype(np.int64)].astype(np.int32) for p, b in zip(parts, base, strict=False)])
+        del parts
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
         new = np.concatenate([[True], token[1:] != token[:-1]])
         group_of = np.cumsum(new) - 1
         many = np.bincount(group_of) > 1
         keep = many[group_of]
-        pairs = np.unique(group_of[keep] * len(sig) + owner[keep])
+        pairs = np.unique(group_of[keep] * len(sig) + owner[keep].astype(np.int64))
         which, who = pairs // len(sig), pairs % len(sig)
         df = np.bincount(which, minlength=len(many))
         keep = df[which] > 1
@@ -258,7 +259,7 @@ def link(kept: DataFrame) -> DataFrame:
     return labels if labels is not None else index.select(F.col("sig").alias("node"), F.col("sig").alias("comp")).limit(0)
 
 
-def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
+def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fragment_bytes: int = 10 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
     shared.small_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
