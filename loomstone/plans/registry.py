@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomstone.plans import facts, governance, library, retrieval, topics  # noqa: F401
+from loomstone.plans.catalog import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "ret_04_hybrid_rrf"
