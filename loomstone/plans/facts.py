@@ -1 +1,344 @@
-"""Queries."""
+"""Queries of facts, aggregation, validation, reconciliation, relationships, windows and arithmetic."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from loomstone.functions import numbers as nx
+from loomstone.functions import periods
+from loomstone.operators import facts as fx
+from loomstone.operators import quality as qx
+from loomstone.operators import scope
+from loomstone.plans.catalog import Tables, query
+from loomstone.plans.library import FY, FY_LABEL
+
+PERIOD = FY_LABEL.format("(" + FY.format("l_shipdate") + ")")
+FACTS = f"""
+facts AS (
+  SELECT l_orderkey * 10 + l_linenumber AS id, 'org' || (l_suppkey % 5) AS organization_id, CAST(l_suppkey AS VARCHAR) AS document_id,
+    CASE l_linenumber % 3 WHEN 0 THEN 'production_quantity' WHEN 1 THEN 'coal_production' ELSE 'ash_content' END AS field_name,
+    l_extendedprice AS numeric_value, CASE WHEN l_linestatus = 'O' THEN 'Tonnes' ELSE 'MT' END AS unit, l_linenumber AS page_number,
+    CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE 'mine' || (l_partkey % 400) END AS entity_name, {PERIOD} AS reporting_period,
+    CASE l_returnflag WHEN 'R' THEN 'REJECTED' WHEN 'A' THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS verification_status
+  FROM lineitem),
+conflicts AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_tax > 0.07)"""
+
+
+def fact_rows(t: Tables) -> DataFrame:
+    """The driver's line items as facts (document = supplier, entity = part, period = fiscal year of shipping)."""
+    n = F.col("l_linenumber") % 3
+    return t.lineitem.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("org"), (F.col("l_suppkey") % 5).cast("string")).alias("organization_id"), F.col("l_suppkey").cast("string").alias("document_id"),
+        F.when(n == 0, "production_quantity").when(n == 1, "coal_production").otherwise("ash_content").alias("field_name"), F.lit("NUMBER").alias("data_type"),
+        F.col("l_extendedprice").alias("numeric_value"), F.when(F.col("l_linestatus") == "O", "Tonnes").otherwise("MT").alias("unit"), F.col("l_linenumber").alias("page_number"),
+        F.when(F.col("l_partkey") % 11 != 0, F.concat(F.lit("mine"), (F.col("l_partkey") % 400).cast("string"))).alias("entity_name"), periods.fiscal_year(F.col("l_shipdate")).alias("reporting_period"),
+        F.when(F.col("l_returnflag") == "R", "REJECTED").when(F.col("l_returnflag") == "A", "VERIFIED").otherwise("UNVERIFIED").alias("verification_status"), F.col("l_tax").alias("tax"),
+    )
+
+
+def conflict_rows(t: Tables) -> DataFrame:
+    return t.lineitem.where("l_tax > 0.07").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("field_id"), F.lit("CONFLICT").alias("conflict_status"), F.lit("UNRESOLVED").alias("resolution_status"))
+
+
+PREFERRED = f"""WITH {FACTS},
+cand AS (SELECT * FROM facts WHERE field_name IN ('production_quantity', 'coal_production') AND numeric_value IS NOT NULL AND verification_status <> 'REJECTED' AND contains(reporting_period, '1997-98')),
+clean AS (SELECT * FROM cand ANTI JOIN conflicts USING (id)),
+pref AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY CASE WHEN coalesce(entity_name, '') <> '' THEN entity_name || '_' || field_name || '_' || coalesce(reporting_period, '') ELSE document_id || '_' || field_name || '_' || page_number END ORDER BY CASE WHEN verification_status IN ('VERIFIED', 'CORRECTED') THEN 2 ELSE 1 END DESC, id) = 1),
+val AS (SELECT *, CASE WHEN unit = 'Tonnes' AND (SELECT count(DISTINCT upper(unit)) FROM pref) > 1 THEN round(numeric_value / 1000000, 4) ELSE numeric_value END AS value FROM pref)"""
+QUESTION = "What was the {} coal production in FY 1997-98?"
+
+
+def _aggregate(t: Tables, word: str) -> DataFrame:
+    found = fx.aggregate(fact_rows(t), conflict_rows(t), fx.intent(QUESTION.format(word)))
+    return found.select(F.round("calculated_value", 2).alias("calculated_value"), "unit", "record_count", "unit_mismatch", "verified")
+
+
+def _aggregate_sql(expression: str) -> str:
+    return f"{PREFERRED} SELECT round({expression}, 2)::DOUBLE AS calculated_value, 'MT' AS unit, count(*) AS record_count, false AS unit_mismatch, true AS verified FROM val"
+
+
+for _word, _sql in (("total", "sum(value)"), ("average", "avg(value)"), ("minimum", "min(value)"), ("maximum", "max(value)"), ("number of records of", "count(*)")):
+    query(f"agg_06_{_word.split()[0]}", _aggregate_sql(_sql))(lambda t, w=_word: _aggregate(t, w))
+
+
+@query("qa_03_preferred_facts", f"{PREFERRED} SELECT id, entity_name, field_name, round(value, 4) AS value FROM val")
+def qa_03(t: Tables):
+    want = fx.intent(QUESTION.format("total"))
+    rows = fx.harmonised(fx.preferred(fx.without_conflicts(fx.candidates(fact_rows(t), want, None), conflict_rows(t))))
+    return rows.select("id", "entity_name", "field_name", F.round("value", 4).alias("value"))
+
+
+@query("qa_04_fact_lookup", f"WITH {FACTS} SELECT id FROM facts WHERE field_name = 'ash_content' AND entity_name ILIKE '%mine12%'")
+def qa_04(t: Tables):
+    return fx.lookup(fact_rows(t), ["ash_content"], "mine12").select("id")
+
+
+@query("qa_06_first_conflict", f"WITH {FACTS} SELECT min(id) AS id FROM facts SEMI JOIN conflicts USING (id) WHERE entity_name = 'mine7'")
+def qa_06(t: Tables):
+    bad = conflict_rows(t).select(F.col("field_id").alias("id"))
+    return fact_rows(t).where("entity_name = 'mine7'").join(bad, "id", "left_semi").agg(F.min("id").alias("id"))
+
+
+YEARLY = f"SELECT l_suppkey, {PERIOD} AS period, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1, 2"
+
+
+def _yearly(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy("l_suppkey", periods.fiscal_year(F.col("l_shipdate")).alias("period")).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+
+
+@query("qa_08_year_over_year", f"""
+WITH s AS ({YEARLY}), p AS (SELECT *, lag(period) OVER w AS previous_period, lag(value) OVER w AS previous_value FROM s WINDOW w AS (PARTITION BY l_suppkey ORDER BY period))
+SELECT l_suppkey, period, value, previous_period, previous_value, round(value - previous_value, 2) AS change, CASE WHEN abs(previous_value) >= 1e-9 THEN round((value - previous_value) / abs(previous_value) * 100, 1) END AS pct FROM p WHERE previous_period IS NOT NULL""")
+def qa_08(t: Tables):
+    rows = fx.year_over_year(_yearly(t), keys=["l_suppkey"], period="period", value="value")
+    return rows.select("l_suppkey", "period", "value", "previous_period", "previous_value", F.round("absolute_change", 2).alias("change"), F.round((F.col("value") - F.col("previous_value")) / F.abs("previous_value") * 100, 1).alias("pct"))
+
+
+@query("qa_07_changes", "SELECT p_partkey, round(p_retailprice - p_size, 4) AS change, round((p_retailprice - p_size) / p_size * 100, 2) AS pct, round(p_retailprice / p_size, 4) AS ratio FROM part")
+def qa_07(t: Tables):
+    a, b = F.col("p_size").cast("double"), F.col("p_retailprice")
+    return t.part.select("p_partkey", nx.absolute_change(a, b).alias("change"), nx.percentage_change(a, b).alias("pct"), nx.stripping_ratio(b, a).alias("ratio"))
+
+
+@query("qa_09_conflict_variance", """
+WITH m AS (SELECT l_partkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber, l_extendedprice) AS n FROM lineitem)
+SELECT a.l_partkey, a.v AS first, b.v AS second, round(b.v - a.v, 2) AS variance FROM m a JOIN m b ON a.l_partkey = b.l_partkey AND a.n = 1 AND b.n = 2""")
+def qa_09(t: Tables):
+    rows = t.lineitem.withColumn("o", F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_extendedprice"))
+    return fx.conflict_variance(rows, group="l_partkey", value="l_extendedprice", order="o").select("l_partkey", "first", "second", F.round("variance", 2).alias("variance"))
+
+
+# aggregation ------------------------------------------------------------------------------------------------------
+@query("agg_01_counts", "SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type IN ('purchase', 'signup')) AS kept FROM events")
+def agg_01(t: Tables):
+    return t.events.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type").isin("purchase", "signup")).alias("kept"))
+
+
+@query("agg_02_success_rate", "SELECT user_id, CASE WHEN count(*) FILTER (event_type IN ('purchase', 'error')) > 0 THEN round(count(*) FILTER (event_type = 'purchase') / count(*) FILTER (event_type IN ('purchase', 'error')) * 100, 1) ELSE 100.0 END AS rate FROM events GROUP BY user_id")
+def agg_02(t: Tables):
+    g = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("d"), F.count_if(F.col("event_type").isin("purchase", "error")).alias("n"))
+    return g.select("user_id", nx.success_rate(F.col("d"), F.col("n")).alias("rate"))
+
+
+@query("agg_03_shares", "SELECT lang, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 2)::DOUBLE AS share FROM documents GROUP BY lang")
+def agg_03(t: Tables):
+    g = t.documents.groupBy("lang").agg(F.count("*").alias("n"))
+    return g.select("lang", "n", nx.share(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("share"))
+
+
+@query("agg_04_top_groups", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10")
+def agg_04(t: Tables):
+    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(10)
+
+
+@query("agg_05_coverage", "SELECT d.source, count(*) AS total, count(DISTINCT vec_id) AS embedded, round(count(DISTINCT vec_id) / count(*) * 100, 2) AS pct FROM documents d LEFT JOIN embeddings ON doc_id = vec_id GROUP BY 1")
+def agg_05(t: Tables):
+    rows = t.documents.join(t.embeddings.select("vec_id"), F.col("doc_id") == F.col("vec_id"), "left")
+    return rows.groupBy("source").agg(F.count("*").alias("total"), F.countDistinct("vec_id").alias("embedded")).withColumn("pct", nx.share(F.col("embedded"), F.col("total")))
+
+
+@query("agg_07_list_aggregate", "SELECT l_orderkey, round(sum(l_quantity), 2) AS total, list_sort(list(l_quantity)) AS operands FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1")
+def agg_07(t: Tables):
+    return t.lineitem.where("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.round(F.sum("l_quantity"), 2).alias("total"), F.sort_array(F.collect_list("l_quantity")).alias("operands"))
+
+
+RECONCILED = f"""
+SELECT CAST(l_partkey AS VARCHAR) AS entity, 'price' AS metric, lower({PERIOD}) AS period, count(DISTINCT l_suppkey) AS n_documents, min(u) AS least, max(u) AS greatest,
+  abs(max(u) - min(u)) / CASE WHEN min(u) > 0 THEN min(u) ELSE 1 END AS divergence FROM (SELECT *, l_extendedprice / l_quantity AS u FROM lineitem) GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2"""
+
+
+def _prices(t: Tables) -> DataFrame:
+    return t.lineitem.select(F.col("l_partkey").alias("e"), F.lit(" Price ").alias("m"), periods.fiscal_year(F.col("l_shipdate")).alias("p"), F.col("l_suppkey").alias("d"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"), F.col("l_orderkey"))
+
+
+def _groups(t: Tables) -> DataFrame:
+    return qx.reconcile(_prices(t), entity="e", metric="m", period="p", document="d", value="v")
+
+
+@query("agg_08_divergence", RECONCILED)
+def agg_08(t: Tables):
+    return _groups(t).select("entity", "metric", "period", "n_documents", "least", "greatest", "divergence")
+
+
+@query("rec_02_conflicts", f"SELECT entity, period, CASE WHEN divergence > 0.01 THEN 'CONFLICT' ELSE 'MATCHED' END AS conflict_status FROM ({RECONCILED})")
+def rec_02(t: Tables):
+    return _groups(t).select("entity", "period", "conflict_status")
+
+
+@query("rec_03_candidates", f"SELECT entity, period, count(*) AS n FROM ({RECONCILED}) g JOIN (SELECT l_partkey, lower({PERIOD}) AS p FROM lineitem) ON entity = CAST(l_partkey AS VARCHAR) AND period = p GROUP BY 1, 2")
+def rec_03(t: Tables):
+    rows = qx.candidates(_prices(t), _groups(t), entity="e", metric="m", period="p", columns=["d", "v"])
+    return rows.groupBy("entity", "period").agg(F.count("*").alias("n"))
+
+
+@query("rec_01_context", "SELECT user_id, coalesce(arg_max(props, event_id) FILTER (event_type IN ('view', 'click')), 'General Mine') AS entity_name, coalesce(arg_max(props, event_id) FILTER (event_type = 'purchase'), 'Current') AS reporting_period FROM events GROUP BY 1")
+def rec_01(t: Tables):
+    name = F.when(F.col("event_type") == "view", "mine_name").when(F.col("event_type") == "click", "project_name").when(F.col("event_type") == "purchase", "fiscal_year")
+    rows = t.events.select("user_id", F.col("event_id").alias("id"), name.alias("field_name"), F.col("props").alias("normalized_value"))
+    return qx.context(rows, document="user_id").select("user_id", "entity_name", "reporting_period")
+
+
+@query("rec_04_open_conflicts", f"SELECT count(*) FILTER (divergence > 0.01) AS open, count(*) FILTER (divergence <= 0.01) AS matched FROM ({RECONCILED})")
+def rec_04(t: Tables):
+    return _groups(t).agg(F.count_if(F.col("conflict_status") == "CONFLICT").alias("open"), F.count_if(F.col("conflict_status") == "MATCHED").alias("matched"))
+
+
+# validation -------------------------------------------------------------------------------------------------------
+VALID_NAME = "CASE l_linenumber % 5 WHEN 0 THEN 'production_quantity' WHEN 1 THEN 'ash_content' WHEN 2 THEN 'gcv' WHEN 3 THEN 'stripping_ratio' ELSE 'drilling_metreage' END"
+VALID = f"v AS (SELECT l_orderkey, l_linenumber, {VALID_NAME} AS name, CASE WHEN l_returnflag = 'R' THEN NULL ELSE CASE l_linenumber % 5 WHEN 2 THEN l_extendedprice ELSE l_quantity * 2 - 5 END END AS value, CASE WHEN l_linestatus = 'O' THEN '' ELSE 'm' END AS unit FROM lineitem)"
+
+
+def _to_validate(t: Tables) -> DataFrame:
+    n = F.col("l_linenumber") % 5
+    name = F.when(n == 0, "production_quantity").when(n == 1, "ash_content").when(n == 2, "gcv").when(n == 3, "stripping_ratio").otherwise("drilling_metreage")
+    value = F.when(F.col("l_returnflag") != "R", F.when(n == 2, F.col("l_extendedprice")).otherwise(F.col("l_quantity") * 2 - 5))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", name.alias("field_name"), F.lit("NUMBER").alias("data_type"), value.alias("numeric_value"), F.when(F.col("l_linestatus") == "O", "").otherwise("m").alias("unit"))
+
+
+def _rule(name: str):
+    def run(t: Tables) -> DataFrame:
+        rows = qx.validate(_to_validate(t)).select("field_name", F.explode("validation").alias("r")).select("field_name", "r.*")
+        return rows.where(f"rule_category = '{name}'").groupBy("field_name", "rule_name", "status").agg(F.count("*").alias("n"))
+
+    return run
+
+
+query("val_01_type", f"WITH {VALID} SELECT name AS field_name, 'NUMERIC_TYPE_CHECK' AS rule_name, CASE WHEN value IS NULL THEN 'ERROR' ELSE 'PASS' END AS status, count(*) AS n FROM v GROUP BY ALL")(_rule("TYPE"))
+query("val_02_units", f"""WITH {VALID}, r AS (SELECT name, CASE WHEN unit = '' AND value IS NOT NULL THEN 'UNIT_PRESENCE_CHECK' WHEN value IS NULL THEN NULL WHEN name = 'production_quantity' THEN 'MASS_UNIT_COMPATIBILITY' WHEN name = 'gcv' THEN 'ENERGY_UNIT_COMPATIBILITY' END AS rule FROM v)
+SELECT name AS field_name, rule AS rule_name, CASE WHEN rule = 'UNIT_PRESENCE_CHECK' THEN 'WARNING' ELSE 'ERROR' END AS status, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY ALL""")(_rule("UNIT"))
+query("val_03_ranges", f"""WITH {VALID}, r AS (
+  SELECT name, 'NON_NEGATIVE_CONSTRAINT' AS rule, 'ERROR' AS status FROM v WHERE value < 0 AND name IN ('production_quantity', 'gcv', 'drilling_metreage')
+  UNION ALL SELECT name, CASE WHEN value < 0 THEN 'STRIPPING_RATIO_NON_NEGATIVE' WHEN value > 50 THEN 'STRIPPING_RATIO_UPPER_BOUND' ELSE 'STRIPPING_RATIO_PLAUSIBLE_RANGE' END, CASE WHEN value < 0 THEN 'ERROR' WHEN value > 50 THEN 'WARNING' ELSE 'PASS' END FROM v WHERE name = 'stripping_ratio' AND value IS NOT NULL
+  UNION ALL SELECT name, CASE WHEN value < 0 OR value > 100 THEN 'ASH_PERCENT_PHYSICAL_BOUNDS' WHEN value > 65 THEN 'ASH_CONTENT_HIGH_WARNING' ELSE 'ASH_PERCENT_PLAUSIBLE_RANGE' END, CASE WHEN value < 0 OR value > 100 THEN 'ERROR' WHEN value > 65 THEN 'WARNING' ELSE 'PASS' END FROM v WHERE name = 'ash_content' AND value IS NOT NULL
+  UNION ALL SELECT name, CASE WHEN value < 0 OR value > 9000 THEN 'GCV_PHYSICAL_BOUNDS' ELSE 'GCV_LOW_WARNING' END, CASE WHEN value < 0 OR value > 9000 THEN 'ERROR' ELSE 'WARNING' END FROM v WHERE name = 'gcv' AND (value < 1500 OR value > 9000))
+SELECT name AS field_name, rule AS rule_name, status, count(*) AS n FROM r GROUP BY ALL""")(_rule("RANGE"))
+
+
+@query("val_04_fiscal_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM orders")
+def val_04(t: Tables):
+    raw = F.when(F.col("o_orderkey") % 3 == 0, "year 97").when(F.col("o_orderkey") % 3 == 1, "FY 1997-98").otherwise("1997/1998")
+    rows = t.orders.select("o_orderkey", F.lit("fiscal_year").alias("field_name"), F.lit("STRING").alias("data_type"), F.lit(None).cast("double").alias("numeric_value"), F.lit(None).cast("string").alias("unit"), raw.alias("raw_value"))
+    return qx.validate(rows).select("o_orderkey", F.col("validation_status").alias("status"))
+
+
+@query("val_05_overall", f"""WITH {VALID} SELECT l_orderkey, l_linenumber, CASE
+  WHEN value IS NULL OR (unit = 'm' AND name IN ('production_quantity', 'gcv')) OR (value < 0) OR (name = 'ash_content' AND value > 100) OR (name = 'gcv' AND value > 9000) THEN 'ERROR'
+  WHEN unit = '' OR (name = 'stripping_ratio' AND value > 50) OR (name = 'ash_content' AND value > 65) OR (name = 'gcv' AND value < 1500) THEN 'WARNING' ELSE 'PASS' END AS status FROM v""")
+def val_05(t: Tables):
+    return qx.validate(_to_validate(t)).select("l_orderkey", "l_linenumber", F.col("validation_status").alias("status"))
+
+
+# relationships ----------------------------------------------------------------------------------------------------
+@query("rel_01_shared_entities", """
+WITH m AS (SELECT DISTINCT s_suppkey AS d, s_nationkey AS n, l_partkey AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT a.d AS source_document_id, b.d AS target_document_id, count(*) AS n_shared, 'SAME_MINE' AS relationship_type, 1.0::DOUBLE AS confidence FROM m a JOIN m b ON a.n = b.n AND a.v = b.v AND a.d < b.d GROUP BY 1, 2""")
+def rel_01(t: Tables):
+    m = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("d"), F.col("s_nationkey").alias("n"), F.col("l_partkey").alias("v"))
+    return qx.relate(m, document="d", scope="n", value="v", kind="SAME_MINE", confidence=1.0)
+
+
+@query("jon_11_pairs_in_organization", f"""
+WITH m AS (SELECT DISTINCT s_suppkey AS d, s_nationkey AS n, {PERIOD} AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT a.d AS source_document_id, b.d AS target_document_id, count(*) AS n_shared, 'SAME_PERIOD' AS relationship_type, 0.95::DOUBLE AS confidence FROM m a JOIN m b ON a.n = b.n AND a.v = b.v AND a.d < b.d GROUP BY 1, 2""")
+def jon_11(t: Tables):
+    m = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("d"), F.col("s_nationkey").alias("n"), periods.fiscal_year(F.col("l_shipdate")).alias("v"))
+    return qx.relate(m, document="d", scope="n", value="v", kind="SAME_PERIOD", confidence=0.95)
+
+
+@query("rel_02_family", "SELECT p_partkey, split_part(p_name, ' ', 1) || CASE WHEN length(split_part(p_name, ' ', 1)) >= 4 THEN '' ELSE ' ' || split_part(p_name, ' ', 2) END AS family FROM part")
+def rel_02(t: Tables):
+    from loomstone.functions import text
+
+    return t.part.select("p_partkey", qx.family_key(text.stem_tokens(F.col("p_name"))).alias("family"))
+
+
+@query("rel_03_edges_of_organization", """
+WITH m AS (SELECT DISTINCT s_suppkey AS d, s_nationkey AS n, l_partkey AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+e AS (SELECT a.d AS s, b.d AS t, count(*) AS n_shared FROM m a JOIN m b ON a.n = b.n AND a.v = b.v AND a.d < b.d GROUP BY 1, 2)
+SELECT s, t, n_shared FROM e WHERE s IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (3, 4)) OR t IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (3, 4))""")
+def rel_03(t: Tables):
+    edges = rel_01(t).select(F.col("source_document_id").alias("s"), F.col("target_document_id").alias("t"), "n_shared")
+    own = t.supplier.where("s_nationkey IN (3, 4)").select("s_suppkey")
+    left = edges.join(own, F.col("s") == F.col("s_suppkey"), "left_semi")
+    return left.union(edges.join(own, F.col("t") == F.col("s_suppkey"), "left_semi")).distinct()
+
+
+# windows ----------------------------------------------------------------------------------------------------------
+@query("win_01_rank", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
+def win_01(t: Tables):
+    return t.documents.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("rank"))
+
+
+@query("win_02_rank_after_dedup", "WITH d AS (SELECT source, n_chars, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2) SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM d")
+def win_02(t: Tables):
+    d = t.documents.groupBy("source", "n_chars").agg(F.min("doc_id").alias("doc_id"))
+    return d.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("rank"))
+
+
+@query("win_04_deltas", f"WITH s AS ({YEARLY}) SELECT l_suppkey, period, round(value - lag(value) OVER (PARTITION BY l_suppkey ORDER BY period), 2) AS delta FROM s")
+def win_04(t: Tables):
+    return _yearly(t).select("l_suppkey", "period", F.round(F.col("value") - F.lag("value").over(Window.partitionBy("l_suppkey").orderBy("period")), 2).alias("delta"))
+
+
+@query("win_07_chain", f"WITH s AS ({YEARLY}) SELECT l_suppkey, count(*) - 1 AS pairs FROM s GROUP BY 1 HAVING count(*) > 1")
+def win_07(t: Tables):
+    return fx.year_over_year(_yearly(t), keys=["l_suppkey"], period="period", value="value").groupBy("l_suppkey").agg(F.count("*").alias("pairs"))
+
+
+@query("win_10_first_seen", "SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1")
+def win_10(t: Tables):
+    rows = t.lineitem.select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
+    return qx.last_events(rows, key=["l_partkey"], order=[F.col("first")])
+
+
+@query("win_11_priority", "SELECT l_partkey, arg_min(l_orderkey * 10 + l_linenumber, (CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END, l_orderkey * 10 + l_linenumber)) AS kept FROM lineitem GROUP BY 1")
+def win_11(t: Tables):
+    rows = t.lineitem.select("l_partkey", F.when(F.col("l_returnflag") == "A", 2).otherwise(1).alias("prio"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("kept"))
+    return qx.last_events(rows, key=["l_partkey"], order=[F.desc("prio"), F.col("kept")]).select("l_partkey", "kept")
+
+
+@query("win_12_version_number", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 + 2 AS version FROM events WHERE event_type = 'purchase'")
+def win_12(t: Tables):
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return t.events.where("event_type = 'purchase'").select("event_id", (F.count("*").over(w) + 2).alias("version"))
+
+
+@query("win_13_latest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def win_13(t: Tables):
+    return t.events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("win_14_retention", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 30")
+def win_14(t: Tables):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return t.events.withColumn("n", n).where("n > 30").select("event_id")
+
+
+@query("win_15_sliding_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)")
+def win_15(t: Tables):
+    w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)
+    return t.events.withColumn("s", F.unix_timestamp("ts")).select("event_id", F.count("*").over(w).alias("n"))
+
+
+@query("ext_03_confidence_level", "SELECT c_custkey, CASE WHEN c_acctbal / 10000 >= 0.85 THEN 'HIGH' WHEN c_acctbal / 10000 >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM customer")
+def ext_03(t: Tables):
+    return t.customer.select("c_custkey", nx.confidence_level(F.col("c_acctbal") / 10000).alias("level"))
+
+
+@query("jon_05_conflict_anti", f"WITH {FACTS} SELECT organization_id, count(*) AS n FROM facts ANTI JOIN conflicts USING (id) GROUP BY 1")
+def jon_05(t: Tables):
+    return fx.without_conflicts(fact_rows(t), conflict_rows(t)).groupBy("organization_id").agg(F.count("*").alias("n"))
+
+
+@query("qa_02_intents")
+def qa_02(t: Tables):
+    """Intents of stated questions (a rule table on the driver)."""
+    asked = ["total coal production of Gevra in FY2023-24", "average ash content", "how many mines report dispatch", "growth from 2022 to 2023 in production", "borehole BH-01 total thickness", "highest gcv of SECL"]
+    rows = [(q, i.operation, i.metric, i.subsidiary, i.entity, i.period) for q in asked for i in [fx.intent(q)]]
+    return t.spark.createDataFrame(rows, "question string, operation string, metric string, subsidiary string, entity string, period string")
+
+
+@query("flt_01_allowed", f"WITH {FACTS} SELECT organization_id, count(*) AS n FROM facts WHERE organization_id IN ('org1') GROUP BY 1")
+def flt_01_allowed(t: Tables):
+    return scope.scoped(fact_rows(t), "organization_id", scope.allowed(["MINE_OFFICER"], "org1")).groupBy("organization_id").agg(F.count("*").alias("n"))
