@@ -58,6 +58,7 @@ def _explode(fragments: int):
     """A block of documents to its distinct n-grams per order and hash partition."""
 
     def run(key, group):
+        shared.tidy()
         block = key[0].as_py()
         owner, word = words(group["t"].combine_chunks())
         frags, payloads = [-1], [pack(np.array([len(word)], np.int64))]
@@ -81,6 +82,7 @@ def _explode(fragments: int):
 
 def _totals(key, group):
     """One hash partition of a count table: the counts of its n-grams over all blocks, joined back to each block."""
+    shared.tidy()
     frag, blocks, payloads = key[0].as_py(), group["block"], group["payload"].to_pylist()
     parts = [unpack(p) for p in payloads]
     if frag < 0:
@@ -121,6 +123,7 @@ def _others(owner: np.ndarray, at: np.ndarray, code: np.ndarray, rest: np.ndarra
 
 def _score(fragments: int):
     def run(docs, back):
+        shared.tidy()
         owner, word = words(docs["t"].combine_chunks())
         n, rows = len(word), docs.num_rows
         parts = {f: p for f, p in zip(back["frag"].to_pylist(), back["payload"].to_pylist(), strict=True)}

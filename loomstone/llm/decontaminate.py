@@ -10,7 +10,8 @@ A sketch is the only thing that every document shingle meets, and it has about a
 broadcast only where its counted rows are within ``broadcast_rows``; beyond, both sides are shuffled by hash.
 
 Defined results: null texts and texts without words hold nothing and match nothing; equal rows give one pair; of rows
-with equal keys the best one counts; an empty table gives no pairs; other columns of the inputs are ignored.
+with equal keys the best one counts; rows with a null key are not reported; an empty table gives no pairs; other columns
+of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -77,11 +78,11 @@ def search(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with a null key stay only if no such row holds one."""
+    """The rows of ``docs`` whose key holds no item; rows with a null key stay."""
     leaks = search(docs, items, key=key, text=text, item_key=item_key, item_text=item_text, broadcast_rows=broadcast_rows)
     gone = shared.written(leaks.select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
     fit = F.broadcast if gone.count() <= broadcast_rows else lambda x: x
-    return docs.join(fit(gone), docs[key].eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(fit(gone), docs[key] == F.col("__gone"), "left_anti")
 
 
 #: The same rows in DuckDB: exact containment of every item in every document.

@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double, rejected boolean"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(shared.worker(run), schema)
 
 
 def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
@@ -217,4 +217,4 @@ def keep_known(docs: DataFrame, *, key: str = "doc_id", text: str = "text", labe
                 good &= model.scores(raw, offsets).max(axis=1) >= model.threshold
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema) if model else docs.limit(0)
+    return docs.mapInArrow(shared.worker(run), docs.schema) if model else docs.limit(0)

@@ -120,7 +120,7 @@ def chunk(docs: DataFrame, root: str, *, key: str = "doc_id", text: str = "text"
         yield from done
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return shared.written(rows.mapInArrow(run, CHUNKS), "media-chunks")
+    return shared.written(rows.mapInArrow(shared.worker(run), CHUNKS), "media-chunks")
 
 
 def places(chunks: DataFrame, root: str, *, max_dead: float = 0.25) -> DataFrame:
@@ -236,7 +236,7 @@ def rebuild(recipes: DataFrame, root: str, measure, schema: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
 
-    return recipes.select("key", "n_bytes", "list").mapInArrow(run, schema)
+    return recipes.select("key", "n_bytes", "list").mapInArrow(shared.worker(run), schema)
 
 
 def describe(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_dead: float = 0.25) -> DataFrame:

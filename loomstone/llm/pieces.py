@@ -5,7 +5,8 @@
 batch on several threads.
 
 Defined results: a null text counts as empty and has no ids; white space that the model's normaliser drops is lost on
-decoding, which ``round_trip`` reports; every row is kept, repeated ones too; other columns of the input are ignored.
+decoding, which ``round_trip`` reports; every row is kept, repeated ones too; of the input only ``keys`` stay, and a key
+named like a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,8 @@ def separable(model: PieceModel) -> bool:
     return not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER))
 
 
-def build(model: PieceModel):
-    """(whole tokenizer, tokenizer of single normalised segments)."""
+def build(model: PieceModel, single: bool = False):
+    """The whole tokenizer or, without normaliser, pre-tokenizer and decoder, one of single normalised segments."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     ids = {p: i for i, (p, _, _) in enumerate(model.pieces)}
@@ -108,14 +109,15 @@ def build(model: PieceModel):
     if model.squeeze:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
     steps += [normalizers.Prepend(MARK if model.escape else " ")] * model.dummy_prefix + [normalizers.Replace(" ", MARK)] * model.escape
-    whole, single = Tokenizer(core()), Tokenizer(core())
+    whole = Tokenizer(core())
+    whole.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER])
+    if single:
+        return whole
     whole.normalizer = normalizers.Sequence(steps)
     if separable(model):
         whole.pre_tokenizer = pre_tokenizers.Split(Regex(SEGMENT), "isolated")
     whole.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
-    for tok in (whole, single):
-        tok.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER])
-    return whole, single
+    return whole
 
 
 SEGMENT = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
@@ -136,15 +138,20 @@ class PieceCoder:
         with open(path, "rb") as f:
             data = f.read()
         model = read_model(data)
-        self.whole, self.single = build(model)
+        self.model, self.single = model, build(model, single=True)
         plain = model.escape and model.dummy_prefix and not model.charsmap and not model.squeeze
         self.cuts = plain and separable(model) and not any(kind == USER for _, _, kind in model.pieces)
-        self.spans = textblocks.SpanIds(self._segments, np.int32)
+        self.spans = textblocks.SpanIds(self._segments, np.int32, 300_000)
         self.bytes_of, self.begins, self.sizes, self.is_byte = self._tables(model)
         self.strip = model.dummy_prefix
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
 
+    @cached_property
+    def whole(self):
+        """The whole tokenizer, made where a text or an id sequence needs it."""
+        return build(self.model)
+
     def _segments(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of segments and the number of the segment of each, in one batch for each thread."""
         texts = [x.replace(" ", MARK) for x in texts]
@@ -232,7 +239,7 @@ def model_path(path: str | None = None) -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@lru_cache(maxsize=1)
+@shared.kept("pieces")
 def _coder(path: str, threads: int) -> PieceCoder:
     return PieceCoder(path, threads)
 
@@ -243,7 +250,9 @@ def encode(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text: str =
     The whole text is encoded and its ids are decoded again. ``parity`` is null unless ``verify``.
     """
     shared.small_batches(docs.sparkSession)
-    rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    made = {"n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity", "ids"}
+    keys = tuple(k for k in keys if k.lower() not in made)
+    rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:-1]) + ", n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids
 
     def run(batches):
@@ -259,7 +268,7 @@ def encode(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text: str =
                 cols += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == y for x, y in zip(back, part, strict=True)])]
                 cols.append(pa.array(coder.agrees(part, ids) if verify else [None] * len(ids), pa.bool_()))
                 if with_ids:
-                    cols.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids)))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [*keys, "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity", *["ids"] * with_ids])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(shared.worker(run, "pieces"), schema)

@@ -269,7 +269,7 @@ def detect(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(shared.worker(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str, found: list[Span]) -> str:
@@ -294,4 +294,4 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
             new = [None if t is None else masked(t, f) if (f := spans(t)[1]) else t for t in b.column(place).to_pylist()]
             yield b.set_column(place, b.schema.field(place), pa.array(new, b.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(shared.worker(run), docs.schema)

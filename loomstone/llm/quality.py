@@ -153,4 +153,4 @@ def grade(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.expected(tails) if model else top), pa.array(top), lists, pa.array(top >= 0.5)], ["doc_id", "expected_grade", "tail", "tails", "selected"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, expected_grade double, tail double, tails array<double>, selected boolean").select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail", "tails", "selected")
+    return rows.mapInArrow(shared.worker(run), "doc_id long, expected_grade double, tail double, tails array<double>, selected boolean").select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail", "tails", "selected")

@@ -21,7 +21,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +174,7 @@ def write(docs: DataFrame, encoder: Callable[[], BatchEncoder], *, key: str = "d
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_records": [len(index)], "n_ids": [int(index["ids"].sum())], "n_bytes": [state["at"]]})
 
     ordered = rows.repartitionByRange(int(files), "k").sortWithinPartitions("k")
-    return shared.written(ordered.mapInArrow(run, "part long, path string, n_records long, n_ids long, n_bytes long"), "records-manifest")
+    return shared.written(ordered.mapInArrow(shared.worker(run, "records"), "part long, path string, n_records long, n_ids long, n_bytes long"), "records-manifest")
 
 
 def frames(path: str, order: Callable[[np.ndarray], np.ndarray] | None = None, block: int = 4 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -227,14 +227,14 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return manifest.select("path", before.alias("start")).repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", before.alias("start")).repartition(files).mapInArrow(shared.worker(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-@lru_cache(maxsize=1)
+@shared.kept("records")
 def _byte_level(path: str | None) -> BatchEncoder:
     import public_tokenizers
 

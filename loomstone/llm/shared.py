@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from functools import lru_cache
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches handed to Python stay small even when single texts are long.
@@ -69,6 +73,43 @@ def publish(uri: str, data_writer) -> None:
     files.move(private, path)
 
 
+#: What worker processes keep between tasks, by owner: functions that let go of it.
+_KEPT: dict[str, object] = {}
+
+
+def kept(owner: str):
+    """A function's result stays in the worker process for ``owner``'s next tasks, until another operator's task starts."""
+
+    def wrap(f):
+        held = lru_cache(maxsize=1)(f)
+        _KEPT[owner] = held.cache_clear
+        return held
+
+    return wrap
+
+
+def tidy(owner: str | None = None) -> None:
+    """Let go of what other operators kept in this worker process, and give free memory back to the system."""
+    for name, clear in _KEPT.items():
+        if name != owner:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def worker(f, owner: str | None = None):
+    """A function of batches that starts from a tidy process."""
+
+    def run(batches):
+        tidy(owner)
+        yield from f(batches)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

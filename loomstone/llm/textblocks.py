@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _MULT, np.uint64), np.full(n, _INV, np.uint64)
     up[0] = down[0] = 1
@@ -74,7 +74,7 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans: polynomial prefix sums modulo 2**64, shifted to each span's start, then mixed."""
-    size = 1 << max(16, int(len(raw)).bit_length())
+    size = 1 << max(20, int(len(raw)).bit_length())
     up, down = _powers(size)
     prefix = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=prefix[1:])
@@ -132,18 +132,21 @@ class SpanIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.ids, self.begins, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.begins, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans one after another, number of ids of each span)."""
         import pandas as pd
 
-        if len(self.slots) > self.keep:
+        if len(self.keys) > self.keep:
             self._clear()
         codes, distinct = pd.factorize(span_hashes(raw, starts, ends))
-        get = self.slots.get
-        slots = np.fromiter((get(x, -1) for x in distinct.tolist()), np.int64, len(distinct))
+        at = np.searchsorted(self.keys, distinct)
+        slots = np.full(len(distinct), -1, np.int64)
+        inside = np.flatnonzero(at < len(self.keys))
+        inside = inside[self.keys[at[inside]] == distinct[inside]]
+        slots[inside] = self.slots[at[inside]]
         new = np.flatnonzero(slots < 0)
         if len(new):
             first = np.empty(len(distinct), np.int64)
@@ -153,12 +156,14 @@ class SpanIds:
             flat, owner = self.encode(texts)
             sizes = np.bincount(owner, minlength=len(texts))
             slots[new] = len(self.sizes) + np.arange(len(new))
-            self.slots.update(zip(distinct[new].tolist(), slots[new].tolist(), strict=True))
-            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
+            keys, held = np.concatenate([self.keys, distinct[new]]), np.concatenate([self.slots, slots[new].astype(np.int32)])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.slots = keys[order], held[order]
+            self.begins = np.concatenate([self.begins, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
             self.ids = np.concatenate([self.ids, flat.astype(self.dtype)])
         slot = slots[codes]
-        size = self.sizes[slot]
+        size = self.sizes[slot].astype(np.int64)
         ends_ = np.cumsum(size)
         total = int(ends_[-1]) if len(ends_) else 0
         return self.ids[np.arange(total) + np.repeat(self.begins[slot] - (ends_ - size), size)], size
