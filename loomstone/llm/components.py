@@ -34,10 +34,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def shorten(up: DataFrame) -> DataFrame:
-    """Follow ``comp`` of ``comp`` until every node points at its root."""
+    """Follow ``comp`` of ``comp``, two steps a turn, until every node points at its root."""
     while True:
         over = up.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        longer = shared.written(up.join(over, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"), (F.coalesce("next", "comp") != F.col("comp")).alias("moved")), "hooks")
+        again = up.select(F.col("node").alias("next"), F.col("comp").alias("last"))
+        root = F.coalesce("last", "next", "comp")
+        longer = shared.written(up.join(over, "comp", "left").join(again, "next", "left").select("node", root.alias("comp"), (root != F.col("comp")).alias("moved")), "hooks")
         up = longer.select("node", "comp")
         if longer.where("moved").isEmpty():
             return up

@@ -6,10 +6,10 @@ n-grams of one set only can never overlap and leave. Per set the fragments' coun
 threshold's share of shared n-grams has no partner and leaves. Equal sets are one set throughout (their documents link).
 
 Candidates among the remaining sets come from prefix filtering: in the order of rising frequency, two sets that link share
-one of their first ``r - ceil(t n) + 1`` shared n-grams. A bucket of one n-gram is not expanded into all of its pairs: its
-members meet one centre, links merge components, and only pairs of different components stay open. When few pairs are
-open, all of them are verified, so no link between different components is lost. Verifying counts partial overlaps
-fragment by fragment and sums them per pair.
+one of their first ``r - ceil(t n) + 1`` shared n-grams. A bucket of one n-gram is not expanded into its pairs: its members
+meet one centre, and links merge components. Sets that still share a bucket with another component meet in blocks: tasks
+of bounded size count overlaps and let only links between different components out, so no such link is lost and no
+quadratic number of rows arises. Verifying counts partial overlaps fragment by fragment and sums them per pair.
 
 Defined results: null, empty and wordless texts have no shingle and stand alone; fewer than five words are one shingle;
 equal rows link; an empty table gives no row; other columns of the input are ignored.
@@ -117,7 +117,7 @@ def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 800
             yield blocks()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "frag long, payload binary")
+    return rows.mapInArrow(shared.worker(run), "frag long, payload binary")
 
 
 def _gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]], np.ndarray]:
@@ -135,6 +135,7 @@ def shared_tokens(blocks: DataFrame, fragments: int) -> DataFrame:
     """Per fragment, the n-grams of at least two sets with that number of sets, packed by a hash of the set."""
 
     def run(key, group):
+        shared.tidy()
         frag = key[0].as_py()
         payloads = group["payload"].to_pylist()
         if frag < 0:
@@ -181,6 +182,7 @@ def sets(parts: DataFrame) -> DataFrame:
     """Documents (doc_id, sig, n) and, with ``r`` set, the sets that may have a partner, n-grams by rising frequency."""
 
     def run(key, group):
+        shared.tidy()
         payloads = group["payload"].to_pylist()
         if key[0].as_py() < 0:
             keys, present, sig, size = (np.concatenate(x) for x in zip(*map(unpack, payloads), strict=True))
@@ -219,44 +221,117 @@ def verify(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     return summed.where((F.col("na") + F.col("nb") - F.col("overlap")) * NUM <= F.col("overlap") * DEN).select("a", "b")
 
 
+def distinct_buckets(index: DataFrame) -> DataFrame:
+    """``index`` with one n-gram per set of members, and only n-grams that two sets or more hold."""
+    members = index.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
+    kept = members.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
+    return shared.written(index.join(kept, "token", "left_semi"), "buckets")
+
+
+def against_centres(index: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's centre, the set with the fewest n-grams of its own, and the other members."""
+    centre = index.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), F.xxhash64("sig").alias("h"), "sig", "n", "r")).alias("z"))
+    pairs = index.join(centre, "token").where((F.col("sig") != F.col("z.sig")) & may_link(F.col("n"), F.col("r"), F.col("z.n"), F.col("z.r")))
+    return pairs.select(F.least("sig", "z.sig").alias("a"), F.greatest("sig", "z.sig").alias("b")).distinct()
+
+
+def open_members(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, n, comp, clump) of the sets that still share a bucket with a set of another component and may link there.
+
+    A clump holds all sets that such buckets connect, so two sets of different clumps never link.
+    """
+    seen = index.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    mixed = lambda rows: rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("token", "least_n")
+    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * NUM / F.lit(DEN)))
+    able = seen.join(mixed(seen), "token").where(F.col("r") * (DEN + NUM) >= (F.col("n") + smallest) * NUM).drop("least_n")
+    able = shared.written(able, "able")
+    rows = able.join(mixed(able).select("token"), "token", "left_semi")
+    hub = rows.groupBy("token").agg(F.min("sig").alias("hub"))
+    clumps = components(rows.join(hub, "token").where("sig <> hub").select("hub", "sig"), "hub", "sig").withColumnsRenamed({"node": "sig", "comp": "clump"})
+    return rows.select("sig", "n", "comp").distinct().join(clumps, "sig")
+
+
+def block_links(members: DataFrame, kept: DataFrame, *, block: int = 512, bin_sets: int = 2000) -> DataFrame:
+    """Links (a, b) between different components of a clump, found in blocks of at most about ``block`` sets against blocks.
+
+    A clump of more sets is dealt into blocks by hash and every two blocks meet in a task of their own; small clumps share
+    tasks. In a task partial overlaps are counted fragment by fragment of the n-gram order and summed per pair; only links
+    that join components leave it.
+    """
+    sized = members.groupBy("clump").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    bins = max(1, members.count() // bin_sets)
+    own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.join(sized, "clump").withColumn("own", own).withColumn("other", other)
+    small = F.col("blocks") == 1
+    task = F.struct(F.when(small, F.pmod(F.xxhash64("clump"), F.lit(bins))).otherwise(F.col("clump")).alias("at"), small.alias("small"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.select(F.to_json(task).alias("task"), "clump", "sig", "n", "comp", "own").join(kept.select("sig", "tokens"), "sig")
+
+    def run(group):
+        shared.tidy()
+        found: list[tuple[int, int]] = []
+        clump = group["clump"].to_numpy()
+        order = np.argsort(clump, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(clump[order]) != 0, [True]]))
+        lists = group["tokens"].combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sig, n, comp, side = (group[c].to_numpy() for c in ("sig", "n", "comp", "own"))
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            rows_ = order[x:y]
+            found += _links(rows_, sig, n.astype(np.int64), comp, side, [flat[offsets[i] : offsets[i + 1]] for i in rows_])
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return rows.groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def _links(rows, sig, n, comp, side, sets_, cut: int = 4096) -> list[tuple[int, int]]:
+    """Pairs of one clump's rows that link and join two components, each join once."""
+    m = len(rows)
+    token, owner = np.concatenate(sets_), np.repeat(np.arange(m), [len(s) for s in sets_])
+    _, column, count = np.unique(token, return_inverse=True, return_counts=True)
+    many = count[column] > 1
+    column, owner = np.unique(column[many], return_inverse=True)[1], owner[many]
+    overlap = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, cut):
+        a, b = np.searchsorted(column, [at, at + cut])
+        part = np.zeros((m, min(cut, int(column[b - 1]) - at + 1)), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        overlap += part @ part.T
+    size = n[rows]
+    good = np.triu((overlap * (DEN + NUM) >= (size[:, None] + size[None, :]) * NUM) & (comp[rows][:, None] != comp[rows][None, :]), 1)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(good), strict=True):
+        x, y = find(int(comp[rows[i]])), find(int(comp[rows[j]]))
+        if x != y:
+            root[x] = y
+            out.append((int(sig[rows[i]]), int(sig[rows[j]])))
+    return out
+
+
 def link(kept: DataFrame) -> DataFrame:
     """(node, comp) of the sets that link with another set."""
     least = F.floor((F.col("n") * NUM + DEN - 1) / DEN).cast("int")
     parts = F.transform(F.array(*map(F.lit, range(CUTS))), lambda v: F.struct(v.alias("v"), F.filter("tokens", lambda t: F.floor(t * CUTS / F.lit(1 << TOKEN_BITS)) == v).alias("tokens")))
     pieces = kept.select("sig", "n", F.explode(parts).alias("p")).select("sig", "n", "p.v", "p.tokens")
-    index = kept.select("sig", "n", "r", F.explode(F.slice("tokens", F.lit(1), F.col("r") - least + 1)).alias("token"))
-    index = shared.written(index, "prefixes")
-    rows = index.count()
-    found, labels, tested, turn = None, None, None, 0
-    while True:
-        seen = index.withColumn("comp", F.col("sig"))
-        if labels is not None:
-            seen = index.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        by = seen.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"))
-        open_pairs = by.where("k > 1").agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
-        last = open_pairs <= 4 * rows + 100_000
-        if last:
-            x, y = (seen.select("token", *[F.col(c).alias(c + s) for c in ("sig", "n", "r", "comp")]) for s in "xy")
-            pairs = x.join(y, "token").where((F.col("sigx") < F.col("sigy")) & (F.col("compx") != F.col("compy")) & may_link(F.col("nx"), F.col("rx"), F.col("ny"), F.col("ry")))
-            pairs = pairs.select(F.col("sigx").alias("a"), F.col("sigy").alias("b"))
-        else:
-            centre = seen.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "r", "comp")).alias("z"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "z")
-            pairs = seen.join(centre, "token").where((F.col("comp") != F.col("z.comp")) & may_link(F.col("n"), F.col("r"), F.col("z.n"), F.col("z.r")))
-            pairs = pairs.select(F.least("sig", "z.sig").alias("a"), F.greatest("sig", "z.sig").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = shared.written(pairs, "candidates")
-        links = shared.written(verify(pairs, pieces), "verified")
-        found = links if found is None else found.unionByName(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(found)
-        turn += 1
-        if last:
-            break
-    return labels if labels is not None else index.select(F.col("sig").alias("node"), F.col("sig").alias("comp")).limit(0)
+    index = distinct_buckets(kept.select("sig", "n", "r", F.explode(F.slice("tokens", F.lit(1), F.col("r") - least + 1)).alias("token")))
+    found = shared.written(verify(shared.written(against_centres(index), "candidates"), pieces), "verified")
+    labels = components(found)
+    members = shared.written(open_members(index, labels), "open")
+    if members.isEmpty():
+        return labels
+    more = shared.written(block_links(members, kept), "verified")
+    if more.isEmpty():
+        return labels
+    return components(found.unionByName(more))
 
 
 def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fragment_bytes: int = 10 << 20) -> DataFrame:
