@@ -1,13 +1,13 @@
 """Operator 4: toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 The kernel of two words is the sum, over all subsequences of three symbols, of the products of their weights, where an
-occurrence that spans ``s`` symbols (six at most) weighs ``DECAY ** s``; it is divided by the lengths' own weights. So
+occurrence that spans ``s`` symbols (six at most) weighs ``DECAY ** s``; it is divided by the words' own norms. So
 inserted characters and gaps weaken a match instead of destroying it. Characters that are no letter or digit are skipped
 inside a word, and runs of single letters are one word, which brings "i.d.i.o.t" and "i d i o t" back together.
 
 Fitting, on a bounded sample of labelled documents: words of toxic sentences that occur in many different contexts there
-and hardly elsewhere are the positive strings, words of clean sentences the negative ones (hard ones are mined); a few of
-both are Nyström landmarks; a hinge loss gives a weight to each landmark. The decision is linear in the subsequences, so
+and hardly elsewhere are the positive strings (with a character inserted too), words of clean sentences and mere parts of
+positive words the negative ones (hard ones are mined); a few of both are Nyström landmarks; a hinge loss gives a weight to each landmark. The decision is linear in the subsequences, so
 the landmarks fold into one table of subsequence weights and scoring a word is a sum of table entries. A document's margin
 is that of its worst word; a logistic curve over sampled documents turns margins into scores.
 
@@ -31,6 +31,8 @@ SYMBOLS, REACH, DECAY = 32, 5, 0.7
 PAIRS = [(i, j) for j in range(2, REACH + 1) for i in range(1, j)]
 #: Margin of a text without any word.
 NOTHING = -3.0
+#: Margins from here on use exact norms; below, the least norm of the word's length bounds the margin from above.
+CERTAIN = -1.5
 
 _SYMBOL = np.full(256, -1, np.int64)
 for _i in range(26):
@@ -91,10 +93,17 @@ def subsequences(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
 
 
 def own_weight(size: np.ndarray) -> np.ndarray:
-    """The kernel of a word without repeated subsequences with itself, from its length: what kernels are divided by."""
+    """The norm of a word without repeated subsequences, from its length: the least norm that its length allows."""
     return np.sqrt(np.maximum(sum(np.maximum(size - j, 0) * DECAY ** (2 * (j + 1)) for _, j in PAIRS), DECAY**6))
 
 
+def norms(who: np.ndarray, what: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The exact norm of each word: repeated subsequences add up before they are squared."""
+    both, inverse = np.unique(who * SYMBOLS**3 + what, return_inverse=True)
+    total = np.bincount(inverse, weight, len(both))
+    return np.sqrt(np.maximum(np.bincount(both // SYMBOLS**3, total**2, n), DECAY**6))
+
+
 def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts, ends) of single words, in order; a word without symbols has none."""
     raw, offsets = textblocks.text_bytes(pa.array(words, pa.large_string()))
@@ -112,7 +121,7 @@ def profile(words: list[str]) -> np.ndarray:
     who, what, weight = subsequences(symbols, starts, ends)
     out = np.zeros((len(words), SYMBOLS**3))
     np.add.at(out, (who, what), weight)
-    return out / own_weight(ends - starts)[:, None]
+    return out / norms(who, what, weight, len(words))[:, None]
 
 
 @dataclass
@@ -123,8 +132,15 @@ class Model:
     shift: float
 
     def words(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Margins of words, 1 at most; one under ``CERTAIN`` may stand above its exact value, for a norm not computed."""
         who, what, weight = subsequences(symbols, starts, ends)
-        return samples.sums_by(who, self.table[what] * weight, len(starts)) / own_weight(ends - starts) + self.bias
+        value = samples.sums_by(who, self.table[what] * weight, len(starts))
+        out = value / own_weight(ends - starts) + self.bias
+        near = np.flatnonzero(out > CERTAIN)
+        if len(near):
+            keep = np.isin(who, near)
+            out[near] = value[near] / norms(np.searchsorted(near, who[keep]), what[keep], weight[keep], len(near)) + self.bias
+        return np.minimum(out, 1.0)
 
     def margins(self, column: pa.Array) -> np.ndarray:
         """Of each text, the largest margin of its words."""
@@ -208,24 +224,28 @@ def fit(toxic: list[str], clean: list[str], *, landmarks: int = 128, negatives:
         for at in range(0, len(words), 2000):
             a, b = starts[at : at + 2000], ends[at : at + 2000]
             who, what, weight = subsequences(symbols[a[0] : b[-1]], a - a[0], b - a[0])
-            out.append(samples.sums_by(who, basis.T[what] * weight[:, None], len(a)) / own_weight(b - a)[:, None])
+            out.append(samples.sums_by(who, basis.T[what] * weight[:, None], len(a)) / norms(who, what, weight, len(a))[:, None])
         return np.concatenate(out) @ whiten
 
-    pos, against = features(names), set(good)
+    parts = sorted(({w[:i] for w in names for i in range(3, len(w))} | {w[i:] for w in names for i in range(1, len(w) - 2)}) - set(found))
+    # an insult with one more character in it is an insult still
+    longer = [w[:i] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + w[i:] for w in names if len(w) >= 5 for i in rng.choice(np.arange(1, len(w)), 2, replace=False)]
+    pos, more, easy, near = features(names), features(longer) if longer else np.zeros((0, len(marks))), features(good), set(parts)
     for _ in range(rounds):
-        w, b = _hinge(pos, features(sorted(against)))
+        hard = features(sorted(near))
+        sizes = [len(pos), len(more), len(easy), len(hard)]
+        w, b = _hinge(np.vstack([pos, more, easy, hard]), np.repeat([1.0, 1.0, -1.0, -1.0], sizes), np.repeat([1 / len(pos), 0.5 / len(pos), 1 / len(easy), 0.5 / len(pos)], sizes))
         model = Model(basis.T @ (whiten @ w), b, 1.0, 0.0)
-        against |= {ordinary[i] for i in np.argsort(-model.words(*pool), kind="stable")[:1000]}
+        value = model.words(*pool)
+        near |= {ordinary[i] for i in np.argsort(-value, kind="stable")[:300] if value[i] > -0.5}
     margin = model.margins(pa.array([*toxic, *clean], pa.large_string()))
     model.slope, model.shift = _logistic(margin, np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))]))
     return model
 
 
-def _hinge(pos: np.ndarray, neg: np.ndarray, *, steps: int = 250, reg: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Squared hinge loss, classes of equal weight, by accelerated gradient steps."""
-    x = np.hstack([np.vstack([pos, neg]), np.ones((len(pos) + len(neg), 1))])
-    y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-    c = np.where(y > 0, 1 / len(pos), 3 / max(1, len(neg)))
+def _hinge(rows: np.ndarray, y: np.ndarray, c: np.ndarray, *, steps: int = 250, reg: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Squared hinge loss with a weight for each row, by accelerated gradient steps."""
+    x = np.hstack([rows, np.ones((len(rows), 1))])
     rate = 1 / (2 * np.linalg.eigvalsh(x.T @ (x * c[:, None]))[-1] + reg)
     w, v, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
     for _ in range(steps):
@@ -275,4 +295,4 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return rows.mapInArrow(shared.worker(run), "doc_id long, score double, predicted int").select("doc_id", (samples.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
