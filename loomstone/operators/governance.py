@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.operators.folds import per_key
+
 #: What a verdict does to a task, its field and its conflict.
 ACTIONS = {"APPROVE": ("VERIFIED", "VERIFIED", "RESOLVED"), "CORRECT": ("CORRECTED", "CORRECTED", "RESOLVED"), "REJECT": ("REJECTED", "REJECTED", "UNRESOLVED"), "DEFER": ("DEFERRED", "UNVERIFIED", "DEFERRED")}
 STALE_MINUTES, REQUESTS_PER_MINUTE = 30, 120
@@ -75,7 +77,7 @@ def rate_limited(requests: DataFrame, *, client: str, at: str, limit: int = REQU
         return group.assign(allowed=out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in requests.dtypes) + ", allowed boolean"
-    return requests.groupBy(client).applyInPandas(fold, schema)
+    return per_key(requests, client, fold, schema)
 
 
 def register(**parts: DataFrame) -> DataFrame:

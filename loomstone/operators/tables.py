@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.operators.folds import per_key
+
 #: Weights of the continuation score, its thresholds, and the words it looks for.
 BASE, REPEATED, IDENTICAL, HEADLESS, PARTIAL, CONTRADICT = 0.15, 0.35, 0.20, 0.25, 0.10, -0.40
 CUE, SAME_CAPTION, TOP, ALIGNED, OTHER_CAPTION = 0.35, 0.25, 0.10, 0.10, -0.50
@@ -95,7 +97,7 @@ def stitched(tables: DataFrame) -> DataFrame:
             t["total_parts"] = parts[t["logical_table_id"]]
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return tables.groupBy("document_id").applyInPandas(fold, SCHEMA)
+    return per_key(tables, "document_id", fold, SCHEMA)
 
 
 def logical(tables: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.numbers import clamp
+from loomstone.operators.folds import in_buckets
 
 ACCEPT = 0.70
 #: Pattern, class, base confidence; a class adds 0.6 of each base, at most 1.
@@ -75,25 +76,23 @@ def clusters(rects: DataFrame, *, page: str, gap: float = 15.0) -> DataFrame:
     Joining depends on the box grown so far, so a page (a bounded group) is folded in one task.
     """
 
+    def near(a: list[float], b: list[float]) -> bool:
+        return a[0] <= b[2] + gap and b[0] <= a[2] + gap and a[1] <= b[3] + gap and b[1] <= a[3] + gap
+
     def fold(group):
         import pandas as pd
 
-        boxes: list[list[float]] = []
-        for r in group.sort_values(["y0", "x0", "y1", "x1"]).itertuples():
-            new = [r.x0, r.y0, r.x1, r.y1, 1]
-            while True:
-                near = next((b for b in boxes if new[0] <= b[2] + gap and b[0] <= new[2] + gap and new[1] <= b[3] + gap and b[1] <= new[3] + gap), None)
-                if near is None:
-                    break
-                boxes.remove(near)
-                new = [min(new[0], near[0]), min(new[1], near[1]), max(new[2], near[2]), max(new[3], near[3]), new[4] + near[4]]
+        pages: dict = {}
+        for name, x0, y0, x1, y1 in group.sort_values(["y0", "x0", "y1", "x1"])[[page, "x0", "y0", "x1", "y1"]].itertuples(index=False):
+            boxes, new = pages.setdefault(name, []), [x0, y0, x1, y1, 1]
+            while (other := next((b for b in boxes if near(new, b)), None)) is not None:
+                boxes.remove(other)
+                new = [min(new[0], other[0]), min(new[1], other[1]), max(new[2], other[2]), max(new[3], other[3]), new[4] + other[4]]
             boxes.append(new)
-        out = pd.DataFrame(boxes, columns=["x0", "y0", "x1", "y1", "members"])
-        out.insert(0, page, group[page].iloc[0])
-        return out
+        return pd.DataFrame([(name, *b) for name, boxes in pages.items() for b in boxes], columns=[page, "x0", "y0", "x1", "y1", "members"])
 
     kind = dict(rects.dtypes)[page]
-    return rects.groupBy(page).applyInPandas(fold, f"`{page}` {kind}, x0 double, y0 double, x1 double, y1 double, members long")
+    return in_buckets(rects, page, fold, f"`{page}` {kind}, x0 double, y0 double, x1 double, y1 double, members long")
 
 
 def kept(groups: DataFrame, page_area: float, *, least: int = 5) -> DataFrame:

@@ -32,15 +32,15 @@ def ext_01(t: Tables):
 
 
 def _tables(t: Tables) -> DataFrame:
-    """One table per supplier: mine, production, ash and grade of its first lines."""
+    """One table per supplier: mine, production and ash of its lines."""
     row = F.array(F.concat(F.lit("mine"), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("string"), F.when(F.col("l_linenumber") == 1, "nil").otherwise(F.col("l_linenumber").cast("string")))
-    rows = t.lineitem.where("l_suppkey <= 20 AND l_linenumber <= 3").groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    rows = t.lineitem.groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", row.alias("r")))), lambda x: x["r"]).alias("rows"))
     return rows.select(F.col("l_suppkey").alias("table_id"), F.lit(1).alias("page_number"), F.array(F.lit("Mine"), F.lit("Raw Coal (LT)"), F.lit("Ash %")).alias("headers"), "rows")
 
 
 @query("ext_02_table_rules", """
-SELECT l_suppkey AS table_id, 'production_quantity' AS field_name, 'LT' AS unit, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem WHERE l_suppkey <= 20 AND l_linenumber <= 3 GROUP BY 1
-UNION ALL SELECT l_suppkey, 'ash_content', '%', count(*), sum(l_linenumber)::DOUBLE FROM lineitem WHERE l_suppkey <= 20 AND l_linenumber BETWEEN 2 AND 3 GROUP BY 1""")
+SELECT l_suppkey AS table_id, 'production_quantity' AS field_name, 'LT' AS unit, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1
+UNION ALL SELECT l_suppkey, 'ash_content', '%', count(*), sum(l_linenumber)::DOUBLE FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1""")
 def ext_02(t: Tables):
     found = extraction.from_tables(_tables(t))
     return found.groupBy("table_id", "field_name", "unit").agg(F.count("*").alias("n"), F.round(F.sum("numeric_value"), 2).alias("total"))
@@ -56,7 +56,7 @@ def ext_04(t: Tables):
 
 
 # strata -----------------------------------------------------------------------------------------------------------
-STRATA = """strata AS (SELECT l_orderkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS o, l_quantity AS q, l_partkey % 4 AS k, l_discount AS x FROM lineitem WHERE l_orderkey < 3000),
+STRATA = """strata AS (SELECT l_orderkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS o, l_quantity AS q, l_partkey % 4 AS k, l_discount AS x FROM lineitem),
 depth AS (SELECT *, round(sum(q) OVER (PARTITION BY b ORDER BY o) - q + CASE WHEN x > 0.08 THEN 0.5 WHEN x < 0.01 THEN -0.5 ELSE 0 END, 2) AS f, round(sum(q) OVER (PARTITION BY b ORDER BY o), 2) AS e FROM strata)"""
 
 
@@ -64,7 +64,7 @@ def _strata(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = t.lineitem.where("l_orderkey < 3000").withColumns({"o": F.row_number().over(w), "e": F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = t.lineitem.withColumns({"o": F.row_number().over(w), "e": F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     shift = F.when(F.col("l_discount") > 0.08, 0.5).when(F.col("l_discount") < 0.01, -0.5).otherwise(0.0)
     k = F.col("l_partkey") % 4
     kind = F.when(k == 0, "Coal").when(k == 1, "Sandstone").when(k == 2, "Shale").otherwise("Clay")
@@ -111,9 +111,9 @@ def geo_02(t: Tables):
     return geology.from_tables(tabs).select("document_id", "borehole_id", "stratum_order", "depth_from_m", "depth_to_m", "thickness_m", "lithology_type", "seam_name")
 
 
-@query("geo_06_merged_strata", "SELECT p_partkey AS document_id, 2 AS n FROM part WHERE p_partkey < 100")
+@query("geo_06_merged_strata", "SELECT p_partkey AS document_id, 2 AS n FROM part")
 def geo_06(t: Tables):
-    texts = geology.from_texts(t.part.where("p_partkey < 100").select(F.col("p_partkey").alias("document_id"), F.lit(1).alias("page_number"), F.lit("BH-1\n1. 0.0 - 2.0 m Soil\n2. 2.0 - 4.0 m Coal").alias("text")))
+    texts = geology.from_texts(t.part.select(F.col("p_partkey").alias("document_id"), F.lit(1).alias("page_number"), F.lit("BH-1\n1. 0.0 - 2.0 m Soil\n2. 2.0 - 4.0 m Coal").alias("text")))
     return geology.merged(texts.where("stratum_order = 1"), texts).groupBy("document_id").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -181,7 +181,7 @@ def sca_14(t: Tables):
 @query("src_09_visual_regions")
 def src_09(t: Tables):
     x, y = F.col("l_quantity") * 10, F.col("l_linenumber") * 40.0
-    rects = t.lineitem.where("l_orderkey < 400").select(F.col("l_orderkey").alias("page"), x.alias("x0"), y.alias("y0"), (x + 12).alias("x1"), (y + 12).alias("y1"))
+    rects = t.lineitem.select(F.col("l_orderkey").alias("page"), x.alias("x0"), y.alias("y0"), (x + 12).alias("x1"), (y + 12).alias("y1"))
     return visuals.clusters(rects, page="page")
 
 
@@ -206,9 +206,9 @@ def qa_12(t: Tables):
     return g.select("user_id", grounding.refused(F.col("e"), F.lit(True), F.lit(False), F.col("f"), F.col("top")).alias("refused"))
 
 
-@query("qa_14_synthesis", "SELECT s_suppkey, 'Coal Production of the project in FY2023-24 was ' || printf('%,.1f', s_acctbal) || ' MT [1].' AS answer FROM supplier WHERE s_acctbal > 1000")
+@query("qa_14_synthesis", "SELECT s_suppkey, 'Coal Production of the project in FY2023-24 was ' || printf('%,.1f', s_acctbal) || ' MT [1].' AS answer FROM supplier")
 def qa_14(t: Tables):
-    rows = t.supplier.where("s_acctbal > 1000").select("s_suppkey", F.lit("coal_production").alias("field_name"), F.lit(None).cast("string").alias("entity_name"), F.lit("FY2023-24").alias("reporting_period"), F.col("s_acctbal").alias("numeric_value"), F.lit("MT").alias("unit"), F.lit(1).alias("seq"))
+    rows = t.supplier.select("s_suppkey", F.lit("coal_production").alias("field_name"), F.lit(None).cast("string").alias("entity_name"), F.lit("FY2023-24").alias("reporting_period"), F.col("s_acctbal").alias("numeric_value"), F.lit("MT").alias("unit"), F.lit(1).alias("seq"))
     return grounding.synthesis(rows, key="s_suppkey", order="seq")
 
 
@@ -249,20 +249,23 @@ def rpt_05(t: Tables):
     return rows.select("o_custkey", "o_orderkey", "cap", "claimed", "status")
 
 
-query("rpt_06_transformation_corpus", "SELECT p_partkey, round(p_retailprice * 0.9::DOUBLE, 1) AS reimbursable FROM part WHERE p_partkey % 3 = 0")(lambda t: t.part.where("p_partkey % 3 = 0").select("p_partkey", F.round(reports.transformation_corpus(F.col("p_retailprice"))["reimbursable"], 1).alias("reimbursable")))
+query("rpt_06_transformation_corpus", "SELECT p_partkey, round(p_retailprice * 0.1::DOUBLE, 2) AS corpus, round(p_retailprice * 0.9::DOUBLE, 2) AS reimbursable FROM part")(lambda t: t.part.select("p_partkey", reports.transformation_corpus(F.col("p_retailprice")).alias("c")).select("p_partkey", "c.corpus", "c.reimbursable"))
 
 MAPPED = "SELECT s_suppkey AS report, 'fld_1_1_1' AS internal_id, 'block_name' AS source_field, s_name AS value FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'fld_1_1_1', NULL, 'Not available in the verified knowledge base.' FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, 'fld_2_1_4', 'area_ha', s_nationkey || '' FROM supplier"
 
 
+MAPPED_ALL = f"{MAPPED} UNION ALL SELECT s_suppkey, i, NULL, 'Not available in the verified knowledge base.' FROM supplier, (VALUES {', '.join(f"('{k}')" for k in reports.SYNONYMS if k not in ('fld_1_1_1', 'fld_2_1_4'))}) v(i)"
+
+
 def _mapped(t: Tables) -> DataFrame:
     a = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("report"), F.explode(F.array(F.struct(F.lit("project_name").alias("name"), F.lit("later").alias("v")), F.struct(F.lit("block_name").alias("name"), F.col("s_name").alias("v")))).alias("x")).select("report", "x.*")
     b = t.supplier.select(F.col("s_suppkey").alias("report"), F.lit("AREA_HA").alias("name"), F.col("s_nationkey").cast("string").alias("v"))
     return reports.mapped_fields(a.unionByName(b), report="report", name="name", value="v")
 
 
-@query("rpt_07_field_mapping", MAPPED)
+@query("rpt_07_field_mapping", MAPPED_ALL)
 def rpt_07(t: Tables):
-    return _mapped(t).where("internal_id IN ('fld_1_1_1', 'fld_2_1_4')")
+    return _mapped(t)
 
 
 @query("rpt_08_compliance", "SELECT s_suppkey AS report, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END AS critical, 19 AS warning, CASE WHEN s_suppkey % 2 = 0 THEN 'WARNINGS' ELSE 'NON_COMPLIANT' END AS status FROM supplier")
@@ -293,9 +296,9 @@ def agg_20(t: Tables):
 query("agg_21_inventory", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")(lambda t: t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")))
 
 
-@query("rpt_10_snapshot", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey < 50 GROUP BY 1")
+@query("rpt_10_snapshot", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
 def rpt_10(t: Tables):
-    rows = t.orders.where("o_custkey < 50").select("o_custkey", "o_orderkey", "o_orderstatus")
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
     frozen = reports.snapshot(rows, key="o_custkey", order="o_orderkey")
     return frozen.select("o_custkey", F.json_array_length("snapshot").cast("long").alias("n"))
 
@@ -338,7 +341,7 @@ def _register(t: Tables) -> DataFrame:
 
 
 query("set_01_cross_modal_union", REGISTER)(lambda t: _register(t).groupBy("modality").agg(F.count("*").alias("n")))
-query("gov_04_evidence_register", "SELECT 'visual' AS modality, page_id AS doc_id FROM pages WHERE page_id < 20")(lambda t: _register(t).where("modality = 'visual' AND doc_id < 20").select("modality", "doc_id"))
+query("gov_04_evidence_register", "SELECT 'visual' AS modality, page_id AS doc_id FROM pages")(lambda t: _register(t).where("modality = 'visual'").select("modality", "doc_id"))
 
 
 @query("gov_05_audit_list", "SELECT event_id FROM events WHERE user_id % 3 <> 0 AND (user_id % 9 = 4 OR user_id % 9 = 1) ORDER BY ts DESC, event_id LIMIT 100")

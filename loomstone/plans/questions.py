@@ -51,9 +51,9 @@ def qa_10_sums(t: Tables):
     return qs.calculations("total coal production", _records(t)).select("entity", "operation", F.round("result", 1).alias("result"))
 
 
-@query("qa_13_answers", "SELECT s_suppkey, 'Coal Production of the project in FY2023-24 was ' || printf('%,.1f', s_acctbal) || ' MT [1].' AS answer, 'SUPPORTED' AS status, 0.9::DOUBLE AS confidence FROM supplier WHERE s_acctbal BETWEEN 1 AND 999")
+@query("qa_13_answers", "SELECT s_suppkey, 'Coal Production of the project in FY2023-24 was ' || printf('%,.1f', s_acctbal) || ' MT [1].' AS answer, 'SUPPORTED' AS status, 0.9::DOUBLE AS confidence FROM supplier")
 def qa_13(t: Tables):
-    rows = t.supplier.where("s_acctbal BETWEEN 1 AND 999").select("s_suppkey", F.lit("coal_production").alias("field_name"), F.lit(None).cast("string").alias("entity_name"), F.lit("FY2023-24").alias("reporting_period"), F.col("s_acctbal").alias("numeric_value"), F.lit("MT").alias("unit"), F.lit(1).alias("seq"))
+    rows = t.supplier.select("s_suppkey", F.lit("coal_production").alias("field_name"), F.lit(None).cast("string").alias("entity_name"), F.lit("FY2023-24").alias("reporting_period"), F.col("s_acctbal").alias("numeric_value"), F.lit("MT").alias("unit"), F.lit(1).alias("seq"))
     return qs.answered(rows, key="s_suppkey", order="seq")
 
 

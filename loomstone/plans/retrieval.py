@@ -95,10 +95,10 @@ def ret_11(t: Tables):
 
 
 @query("ret_12_table_chunks", """
-WITH r AS (SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_partkey, l_quantity) - 1) // 25 + 1 AS part FROM lineitem WHERE l_suppkey <= 30)
+WITH r AS (SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_partkey, l_quantity) - 1) // 25 + 1 AS part FROM lineitem)
 SELECT l_suppkey, CAST(part AS INTEGER) AS part, count(*) AS n_rows, CAST(max(part) OVER (PARTITION BY l_suppkey) AS INTEGER) AS total_parts FROM r GROUP BY l_suppkey, part""")
 def ret_12(t: Tables):
-    rows = t.lineitem.where("l_suppkey <= 30").select("l_suppkey", F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_partkey", "l_quantity").alias("o"), F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("cells"))
+    rows = t.lineitem.select("l_suppkey", F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_partkey", "l_quantity").alias("o"), F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("cells"))
     return chunking.table_parts(rows, table="l_suppkey", order="o", cells="cells").select("l_suppkey", "part", "n_rows", "total_parts")
 
 
@@ -169,10 +169,10 @@ def jon_10(t: Tables):
     return t.customer.join(t.orders.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("jon_12_adjacent_rows", "SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS previous FROM lineitem WHERE l_orderkey < 2000")
+@query("jon_12_adjacent_rows", "SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS previous FROM lineitem")
 def jon_12(t: Tables):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return t.lineitem.withColumn("previous", F.lag("l_partkey").over(w)).where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", "previous")
+    return t.lineitem.withColumn("previous", F.lag("l_partkey").over(w)).select("l_orderkey", "l_linenumber", "l_partkey", "previous")
 
 
 @query("jon_15_left_lookups", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(e.label, -1) AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
@@ -187,9 +187,9 @@ def jon_16(t: Tables):
     return t.nation.join(F.broadcast(t.region), F.contains(n, F.substring(r, 1, 1)) | F.contains(r, n)).select("n_nationkey", "r_regionkey")
 
 
-@query("jon_17_many_to_many", "SELECT DISTINCT s_suppkey, p_brand FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE s_suppkey <= 10")
+@query("jon_17_many_to_many", "SELECT DISTINCT s_suppkey, p_brand FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey")
 def jon_17(t: Tables):
-    return t.supplier.where("s_suppkey <= 10").join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("s_suppkey", "p_brand").distinct()
+    return t.supplier.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("s_suppkey", "p_brand").distinct()
 
 
 @query("sca_27_cosine_score", "SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0.0, least(1.0, (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2)), 4) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
