@@ -218,7 +218,7 @@ class PieceCoder:
         return [np.array_equal(a, b) for a, b in zip(ids, self.judge.encode(texts, num_threads=self.threads), strict=True)]
 
 
-def groups_of(texts: list[str], limit: int = 1 << 20) -> Iterator[slice]:
+def groups_of(texts: list[str], limit: int = 1 << 19) -> Iterator[slice]:
     """Slices of whole texts of about ``limit`` characters together."""
     first, held = 0, 0
     for i, x in enumerate(texts):
@@ -258,6 +258,7 @@ def encode(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text: str =
     def run(batches):
         coder = _coder(model_path(path), threads)
         for b in batches:
+            shared.tidy("pieces")
             texts = b.column(len(keys)).to_pylist()
             for s in groups_of(texts):
                 part = texts[s]
