@@ -26,6 +26,11 @@ def _lexical(t: Tables, pool: int = 30):
     return retrieval.lexical(t.documents, SEARCH, key="doc_id", columns={"text": 1}, pool=pool)
 
 
+def _ranks_as_double(rows):
+    """Ranks of which some are missing, in a type that shows that alike in every client."""
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("lexical_rank", "dense_rank")})
+
+
 def _vectors(t: Tables):
     return t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
 
@@ -51,10 +56,10 @@ def ret_03(t: Tables):
 
 @query("ret_04_hybrid_rrf", f"""{FUSED},
 sig AS (SELECT f.*, row_number() OVER (PARTITION BY d.source || '|' || regexp_replace(d.text[1:80], '^\\s+|\\s+$', '', 'g') ORDER BY rrf DESC, f.doc_id) AS n FROM fused f JOIN documents d ON f.doc_id = d.doc_id)
-SELECT doc_id, lexical_rank, dense_rank, method, round(rrf, 6) AS rrf, CAST(row_number() OVER (ORDER BY rrf DESC, doc_id) AS INTEGER) AS rank FROM sig WHERE n = 1 QUALIFY rank <= 10""")
+SELECT doc_id, lexical_rank::DOUBLE AS lexical_rank, dense_rank::DOUBLE AS dense_rank, method, round(rrf, 6) AS rrf, CAST(row_number() OVER (ORDER BY rrf DESC, doc_id) AS INTEGER) AS rank FROM sig WHERE n = 1 QUALIFY rank <= 10""")
 def ret_04(t: Tables):
     sig = retrieval.signature(F.col("source"), content=F.col("text"))
-    return retrieval.search(t.documents, _vectors(t), SEARCH, _query_vector(t), key="doc_id", vector="embedding", columns={"text": 1}, sig=sig)
+    return _ranks_as_double(retrieval.search(t.documents, _vectors(t), SEARCH, _query_vector(t), key="doc_id", vector="embedding", columns={"text": 1}, sig=sig))
 
 
 @query("ret_05_single_leg", f"WITH {LEX} SELECT doc_id, hits, score, rank, round(1.0 / (60 + rank), 6)::DOUBLE AS rrf FROM lex WHERE rank <= 10")
@@ -158,10 +163,10 @@ def jon_08(t: Tables):
     return t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "n")
 
 
-@query("jon_09_key_merge", f"{FUSED} SELECT doc_id, lexical_rank, dense_rank, method, round(rrf, 8) AS rrf FROM fused")
+@query("jon_09_key_merge", f"{FUSED} SELECT doc_id, lexical_rank::DOUBLE AS lexical_rank, dense_rank::DOUBLE AS dense_rank, method, round(rrf, 8) AS rrf FROM fused")
 def jon_09(t: Tables):
     fused = retrieval.fuse(_lexical(t), retrieval.dense(_vectors(t), _query_vector(t), key="doc_id", vector="embedding"), key="doc_id")
-    return fused.withColumn("rrf", F.round("rrf", 8))
+    return _ranks_as_double(fused.withColumn("rrf", F.round("rrf", 8)))
 
 
 @query("jon_10_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -169,10 +174,10 @@ def jon_10(t: Tables):
     return t.customer.join(t.orders.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("jon_12_adjacent_rows", "SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS previous FROM lineitem")
+@query("jon_12_adjacent_rows", "SELECT l_orderkey, l_linenumber, l_partkey, (lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))::DOUBLE AS previous FROM lineitem")
 def jon_12(t: Tables):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return t.lineitem.withColumn("previous", F.lag("l_partkey").over(w)).select("l_orderkey", "l_linenumber", "l_partkey", "previous")
+    return t.lineitem.withColumn("previous", F.lag("l_partkey").over(w).cast("double")).select("l_orderkey", "l_linenumber", "l_partkey", "previous")
 
 
 @query("jon_15_left_lookups", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(e.label, -1) AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id")

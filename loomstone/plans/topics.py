@@ -141,9 +141,9 @@ def jon_14(t: Tables):
     return _grid(t).select("topic", "period", "document_count", "document_share_pct")
 
 
-@query("top_11_series", f"WITH {LAGGED} SELECT topic, period, n AS document_count, change AS absolute_change, pp AS percentage_point_change FROM trend")
+@query("top_11_series", f"WITH {LAGGED} SELECT topic, period, n AS document_count, change::DOUBLE AS absolute_change, pp AS percentage_point_change FROM trend")
 def top_11(t: Tables):
-    return _series(t).select("topic", "period", "document_count", "absolute_change", "percentage_point_change")
+    return _series(t).select("topic", "period", "document_count", F.col("absolute_change").cast("double").alias("absolute_change"), "percentage_point_change")
 
 
 @query("top_12_trend_class", f"WITH {LAGGED} SELECT topic, period, status AS trend_status FROM trend")
@@ -202,11 +202,11 @@ def top_19(t: Tables):
     return td.term_evolution(corpus(t), _terms(t), topic="topic", period="period", text="text").select("topic", "period", "term", "n")
 
 
-@query("agg_13_terms_by_period", f"SELECT term, sum(n) FILTER (period = 'FY2020-21')::BIGINT AS y0, sum(n) FILTER (period = 'FY2021-22')::BIGINT AS y1, sum(n) FILTER (period = 'FY2022-23')::BIGINT AS y2, sum(n) FILTER (period = 'FY2023-24')::BIGINT AS y3 FROM ({EVOLUTION}) GROUP BY term")
+@query("agg_13_terms_by_period", f"SELECT term, sum(n) FILTER (period = 'FY2020-21')::DOUBLE AS y0, sum(n) FILTER (period = 'FY2021-22')::DOUBLE AS y1, sum(n) FILTER (period = 'FY2022-23')::DOUBLE AS y2, sum(n) FILTER (period = 'FY2023-24')::DOUBLE AS y3 FROM ({EVOLUTION}) GROUP BY term")
 def agg_13(t: Tables):
     years = ["FY2020-21", "FY2021-22", "FY2022-23", "FY2023-24"]
     wide = top_19(t).groupBy("term").pivot("period", years).agg(F.sum("n"))
-    return wide.select("term", *[F.col(f"`{y}`").alias(f"y{i}") for i, y in enumerate(years)])
+    return wide.select("term", *[F.col(f"`{y}`").cast("double").alias(f"y{i}") for i, y in enumerate(years)])
 
 
 @query("top_20_summary", f"WITH {LAGGED} SELECT topic, period, printf('Topic %s (t%s) is %s at %.2f%% of documents.', CAST(topic AS VARCHAR), CAST(topic AS VARCHAR), lower(replace(status, '_', ' ')), share) AS summary FROM trend")
