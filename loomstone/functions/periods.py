@@ -14,7 +14,8 @@ UNKNOWN_YEAR = 9999
 
 def label(year: Column) -> Column:
     """FYyyyy-yy of a starting year."""
-    return F.format_string("FY%d-%02d", year.cast("int"), F.pmod(year.cast("int") + 1, F.lit(100)))
+    y = year.cast("int")
+    return F.concat(F.lit("FY"), y.cast("string"), F.lit("-"), F.lpad(F.pmod(y + 1, F.lit(100)).cast("string"), 2, "0"))
 
 
 def fiscal_start(ts: Column) -> Column:

@@ -25,8 +25,8 @@ def words(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Topic tokens: ASCII words, outer - and _ trimmed, at least two characters, not all digits."""
     plain = F.filter(words(text), lambda w: w.rlike(r"^[a-z0-9_\-]+$"))
-    cut = F.transform(plain, lambda w: F.regexp_replace(w, r"^[-_]+|[-_]+$", ""))
-    return F.filter(cut, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^[0-9]+$"))
+    cut = F.transform(plain, lambda w: F.btrim(w, F.lit("-_")))
+    return F.filter(cut, lambda w: (F.length(w) >= 2) & w.rlike("[^0-9]"))
 
 
 def squeeze(text: Column) -> Column:
