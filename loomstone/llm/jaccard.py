@@ -113,6 +113,7 @@ def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 800
                 if count >= hold:
                     yield blocks()
                     held, count = [], 0
+                    shared.trim()
         if held:
             yield blocks()
 

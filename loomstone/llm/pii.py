@@ -260,6 +260,7 @@ def detect(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches):
         for b in batches:
+            shared.trim()
             rows = []
             for t in b.column(1).to_pylist():
                 found, full = spans(t or "")
@@ -291,6 +292,7 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
+            shared.trim()
             new = [None if t is None else masked(t, f) if (f := spans(t)[1]) else t for t in b.column(place).to_pylist()]
             yield b.set_column(place, b.schema.field(place), pa.array(new, b.schema.field(place).type))
 

@@ -94,10 +94,15 @@ def tidy(owner: str | None = None) -> None:
         if name != owner:
             clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory of this process back to the system."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 def worker(f, owner: str | None = None):
