@@ -3,8 +3,8 @@
 Subwords are the runs of 2, 3 and 4 bytes of lower-cased words with their borders, hashed into ``BUCKETS``; a text is the
 mean of their embeddings. Embeddings and softmax are fitted by stochastic gradient descent in numpy on a bounded sample
 (``per_language`` texts of at most ``max_chars`` characters of each language; windows of them too, so that short texts
-are known). A temperature is fitted on texts kept apart, and a text whose probability stays under the threshold that
-nearly all of those pass is marked as rejected. Mean and softmax weights are both linear, so prediction looks up one
+are known). A temperature is fitted on texts kept apart, and a text whose probability stays well under (three quarters of)
+what nearly all of those reach is marked as rejected; a text of two languages in equal parts is not. Mean and softmax weights are both linear, so prediction looks up one
 row of logits for each subword.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; with no labelled text at all
@@ -155,7 +155,7 @@ def _calibrate(model: Model, texts: list[str], target: list[int], rng: np.random
     losses = [-np.log(samples.softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(losses))])
     whole = model.scores(*textblocks.text_bytes(pa.array(texts, pa.large_string()))).max(axis=1)
-    model.threshold = float(min(0.5, 0.9 * np.quantile(whole, tolerance)))
+    model.threshold = float(min(0.5, 0.75 * np.quantile(whole, tolerance)))
 
 
 def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 600, max_chars: int = 20_000) -> Model | None:
@@ -181,6 +181,7 @@ def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text:
 
     def run(batches):
         for b in batches:
+            shared.trim()
             raw, offsets = textblocks.text_bytes(b.column(place))
             lettered = has_letter(raw, offsets) if model else np.zeros(b.num_rows, bool)
             if model and b.num_rows:
@@ -211,6 +212,7 @@ def keep_known(docs: DataFrame, *, key: str = "doc_id", text: str = "text", labe
 
     def run(batches):
         for b in batches:
+            shared.trim()
             raw, offsets = textblocks.text_bytes(b.column(place))
             good = has_letter(raw, offsets)
             if b.num_rows:
