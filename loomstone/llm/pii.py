@@ -3,7 +3,7 @@
 Base spans are leftmost non-overlapping matches per kind in the text as it stands. Then transducers rewrite the text and
 keep, for every character they emit, the source range it came from: homoglyphs and invisible characters, spelled digits,
 and disguised at and dot signs. The same detectors run on the rewritten text, and what they find is mapped back; a found
-span is added unless it overlaps a base span of its kind.
+span is added unless it is itself a base span: a base span that it overlaps may be only what the disguise has left.
 
 Defined results: a null text is an empty one without spans; every row is kept, equal rows too; offsets count code points
 with exclusive ends; other columns of the input are ignored by ``detect`` and kept by ``redact``.
@@ -226,7 +226,7 @@ _DIGIT_PAIR = re.compile(rf"(?<!\w)(?:{_WORD})[ ,.\-]{{1,2}}(?:{_WORD}|dot|point
 
 
 def disguised(text: str) -> list[Span]:
-    """Spans, in source offsets, that only the rewritten text shows."""
+    """Spans of the rewritten text, in source offsets; none if nothing was rewritten."""
     tape = Tape(text)
     if not text.isascii() and _STRANGE.search(text):
         plain_characters(tape)
@@ -243,7 +243,8 @@ def disguised(text: str) -> list[Span]:
 def spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by kind and start."""
     found = base(text)
-    extra = [x for x in disguised(text) if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in found)]
+    known = set(found)
+    extra = [x for x in disguised(text) if x not in known]
     if not extra:
         return found, found
     return found, sorted([*found, *extra], key=lambda x: (KINDS.index(x[0]), x[1]))

@@ -193,6 +193,24 @@ def test_disguises(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in full if (k, a, b) not in base] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("mail jоhn@example.com please", "email", "jоhn@example.com"),
+        ("mail john@example.cоm please", "email", "john@example.cоm"),
+        ("mail jo\u200bhn@example.com please", "email", "jo\u200bhn@example.com"),
+        ("mail john@example.c\u200bom please", "email", "john@example.c\u200bom"),
+        ("call +49 170 123 456 seven eight nine one now", "phone", "+49 170 123 456 seven eight nine one"),
+    ],
+)
+def test_disguises_around_a_base_span(text, kind, found):
+    """The plain pattern matches only a remnant: base spans stay, the whole is added and masked."""
+    base, full = pii.spans(text)
+    assert base == pii.base(text) and [k for k, _, _ in base] == [kind] and set(base) < set(full)
+    assert [(k, text[a:b]) for k, a, b in full if (k, a, b) not in base] == [(kind, found)]
+    assert pii.masked(text, full) == text.replace(found, f"<{kind.upper()}>")
+
+
 def test_clean_text_stays_clean(spark):
     for text in ("meet me at home. the dot at the end", "one two three go", "at the dot and at the. one more", "прочти at site"):
         assert pii.spans(text) == ([], [])
