@@ -1,6 +1,8 @@
 """Operator 8: benchmark items inside documents, by a size-partitioned MinHash containment search. DataFrame functions only.
 
 Words are runs of letters and digits of the lower-cased text; shingles are five words (a shorter text is one shingle).
+With ``short_inside`` documents also have shingles of the lengths of shorter items, so that these are found inside longer
+texts; without, only in texts that consist of nothing else, which is what ``ORACLE`` counts.
 Items are partitioned by their number of shingles, in powers of two. An item's sketch is its ``s`` least shingle hashes,
 where ``s`` belongs to the partition: one more than the shingles that an item of the partition's largest size may miss at
 the wanted containment. So a document that holds enough of an item holds at least ``need`` hashes of its sketch: the
@@ -29,20 +31,30 @@ def word_list(text: str) -> Column:
     return F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def shingle_list(words: Column, make, kind: str) -> Column:
-    """Distinct shingles of a word array; ``make`` turns the words of one, given as columns, into a value of type ``kind``."""
-    n = F.size(words)
+def shingle_list(words: Column, make, kind: str, lengths: tuple[int, ...] = ()) -> Column:
+    """Distinct shingles of a word array; ``make`` turns the words of one, given as columns, into a value of type ``kind``.
+
+    ``lengths`` (under ``WORDS``): a longer array has the shingles of these lengths too.
+    """
+    n, empty = F.size(words), F.array().cast(f"array<{kind}>")
     full = F.transform(F.sequence(F.lit(1), n - WORDS + 1), lambda i: make(*(F.element_at(words, i + j) for j in range(WORDS))))
     short = F.array(make(*(F.coalesce(F.get(words, F.lit(j)), F.lit("")) for j in range(WORDS - 1))))
-    return F.array_distinct(F.when(n >= WORDS, full).when(n > 0, short).otherwise(F.array().cast(f"array<{kind}>")))
+    inner = [F.when(n > k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: make(*(F.element_at(words, i + j) if j < k else F.lit("") for j in range(WORDS - 1))))).otherwise(empty) for k in lengths]
+    return F.array_distinct(F.concat(F.when(n >= WORDS, full).when(n > 0, short).otherwise(empty), *inner))
+
+
+def hashes(words: Column, lengths: tuple[int, ...] = ()) -> Column:
+    return shingle_list(words, F.xxhash64, "bigint", lengths)
 
 
-def hashes(words: Column) -> Column:
-    return shingle_list(words, F.xxhash64, "bigint")
+def strings(words: Column, lengths: tuple[int, ...] = ()) -> Column:
+    return shingle_list(words, lambda *w: F.concat_ws(" ", *w), "string", lengths)
 
 
-def strings(words: Column) -> Column:
-    return shingle_list(words, lambda *w: F.concat_ws(" ", *w), "string")
+def short_lengths(items: DataFrame, text: str) -> tuple[int, ...]:
+    """The numbers of words, under ``WORDS``, that items have."""
+    n = F.size(word_list(text))
+    return tuple(sorted(r.n for r in items.select(n.alias("n")).where((F.col("n") > 0) & (F.col("n") < WORDS)).distinct().collect()))
 
 
 def allowed_misses(n: Column, percent: int) -> Column:
@@ -59,18 +71,19 @@ def sketches(items: DataFrame, *, key: str, text: str, percent: int = CONTAINMEN
     return sized.withColumn("s", taken.cast("int")).select("item_id", "n", (F.col("s") - allowed_misses(F.col("n"), percent)).alias("need"), F.explode(F.slice("hs", 1, F.col("s"))).alias("h"))
 
 
-def search(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", percent: int = CONTAINMENT_PERCENT, broadcast_rows: int = 500_000) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", percent: int = CONTAINMENT_PERCENT, broadcast_rows: int = 500_000, short_inside: bool = False) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of every document that holds ``percent`` of an item's shingles."""
+    lengths = short_lengths(items, item_text) if short_inside else ()
     sketch = shared.written(sketches(items, key=item_key, text=item_text, percent=percent), "item-sketches")
     small = sketch.count() <= broadcast_rows
     fit = F.broadcast if small else lambda x: x
     texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), word_list(text).alias("w"))
-    seen = texts.select("doc_id", "text_hash", F.explode(hashes(F.col("w"))).alias("h"))
+    seen = texts.select("doc_id", "text_hash", F.explode(hashes(F.col("w"), lengths)).alias("h"))
     hits = seen.join(fit(sketch), "h").groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("hits"), F.first("need").alias("need"))
     found = shared.written(hits.where("hits >= need").select("doc_id", "text_hash", "item_id"), "item-candidates")
     wanted = items.select(F.col(item_key).alias("item_id"), word_list(item_text).alias("w")).select("item_id", strings(F.col("w")).alias("g"))
     wanted = wanted.select("item_id", F.size("g").alias("n_shingles"), F.explode("g").alias("g"))
-    held = texts.join(found.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text_hash", F.explode(strings(F.col("w"))).alias("g")).distinct()
+    held = texts.join(found.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text_hash", F.explode(strings(F.col("w"), lengths)).alias("g")).distinct()
     pairs = held.join(fit(wanted), "g").join(found, ["doc_id", "text_hash", "item_id"], "left_semi")
     each = pairs.groupBy("doc_id", "text_hash", "item_id").agg(F.first("n_shingles").cast("long").alias("n_shingles"), F.count("*").alias("n_found"))
     best = each.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
@@ -78,8 +91,8 @@ def search(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` whose key holds no item; rows with a null key stay."""
-    leaks = search(docs, items, key=key, text=text, item_key=item_key, item_text=item_text, broadcast_rows=broadcast_rows)
+    """The rows of ``docs`` whose key holds no item, short ones included; rows with a null key stay."""
+    leaks = search(docs, items, key=key, text=text, item_key=item_key, item_text=item_text, broadcast_rows=broadcast_rows, short_inside=True)
     gone = shared.written(leaks.select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
     fit = F.broadcast if gone.count() <= broadcast_rows else lambda x: x
     return docs.join(fit(gone), docs[key] == F.col("__gone"), "left_anti")

@@ -40,7 +40,7 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.search(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+    return decontaminate.search(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"), short_inside=True)
 
 
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,29 @@ def test_decontamination_is_exact_containment(spark, odd, none):
     assert kept.count() == len(ODD) and kept.columns == odd.columns
 
 
+def test_short_items_inside_long_documents(spark, tmp_path):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(i % 7))) for i in range(28)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 9, 40])))) for i in range(80)] + [(90, None)]
+
+    def holds(a, b):
+        a, b = (a or "").split(), b.split()
+        inside = lambda x: any(a[i : i + len(x)] == x for i in range(len(a) - len(x) + 1))
+        parts = {tuple(b[i : i + 5]) for i in range(len(b) - 4)} if len(b) >= 5 else {tuple(b)} - {()}
+        return parts and 100 * sum(inside(list(x)) for x in parts) >= 75 * len(parts)
+
+    want = sorted((d, i) for d, a in docs for i, b in items if holds(a, b))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op8_benchmark_leaks(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == want and {len(items[i][1].split()) for _, i in want} >= {1, 2, 3, 4}
+    table, bench = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in decontaminate.drop_leaks(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    held = decontaminate.search(table, bench, broadcast_rows=0, short_inside=True).collect()
+    assert sorted((r.doc_id, r.item_id) for r in held) == want
+
+
 # op6 --------------------------------------------------------------------------------------------------------------
 def plain_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
