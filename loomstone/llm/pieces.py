@@ -244,16 +244,16 @@ def _coder(path: str, threads: int) -> PieceCoder:
     return PieceCoder(path, threads)
 
 
-def encode(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text: str = "text", path: str | None = None, threads: int = 2, with_ids: bool = True, verify: bool = True) -> DataFrame:
-    """One row per row of ``docs``: ``keys``, n_tokens, ids_crc32, decoded_sha256, round_trip, parity and, if wanted, ids.
+def encode(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text: str = "text", path: str | None = None, threads: int = 2, with_ids: bool = True, with_text: bool = False, verify: bool = True) -> DataFrame:
+    """One row per row of ``docs``: ``keys``, n_tokens, ids_crc32, decoded_sha256, round_trip, parity and, if wanted, ids and decoded (the text that the ids give).
 
     The whole text is encoded and its ids are decoded again. ``parity`` is null unless ``verify``.
     """
     shared.small_batches(docs.sparkSession)
-    made = {"n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity", "ids"}
+    made = {"n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity", "ids", *["decoded"] * with_text}
     keys = tuple(k for k in keys if k.lower() not in made)
     rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:-1]) + ", n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids
+    schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:-1]) + ", n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches):
         coder = _coder(model_path(path), threads)
@@ -270,6 +270,8 @@ def encode(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text: str =
                 cols.append(pa.array(coder.agrees(part, ids) if verify else [None] * len(ids), pa.bool_()))
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, [*keys, "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity", *["ids"] * with_ids])
+                if with_text:
+                    cols.append(pa.array(back, pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, [*keys, "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity", *["ids"] * with_ids, *["decoded"] * with_text])
 
     return rows.mapInArrow(shared.worker(run, "pieces"), schema)

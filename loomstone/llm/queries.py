@@ -48,7 +48,7 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(shared.table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.encode(shared.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -265,6 +265,16 @@ def test_token_ids_are_the_library_s():
     assert [x.tolist() for x in got] == [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_pieces_give_ids_and_decoded_texts(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
+    coder = pieces.PieceCoder(pieces.model_path())
+    got = queries.op10_pieces(spark, TINY).collect()
+    assert len(got) == len(docs) and all(r.ids == coder.judge.encode(docs[r.doc_id] or "") for r in got)
+    texts = pieces.encode(spark.read.parquet(f"{TINY}/documents.parquet"), with_ids=False, with_text=True)
+    assert texts.columns[-1] == "decoded" and "ids" not in texts.columns
+    assert all(hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 and (r.decoded == (docs[r.doc_id] or "")) == r.round_trip for r in texts.collect())
+
+
 def test_records_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
