@@ -12,7 +12,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of every node with a link; ``comp`` is the least node reachable.
 
     Each turn every component with a smaller neighbour joins its least one, so the number of components that still have
-    links at least halves. Nothing is collected; every turn is written to the shared folder.
+    links at least halves. Nothing is collected; every turn is written to the shared folder, and nodes of many links are salted.
     """
     edges = shared.written(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "links")
     labels = None
@@ -26,7 +26,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             new = labels.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left")
             labels = shared.written(new.select("node", F.coalesce("next", "comp").alias("comp")), "labels")
         at = up.select(F.col("node"), F.col("comp"))
-        edges = edges.join(at.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+        heavy = shared.hot(edges, "a"), shared.hot(edges, "b")
+        edges = shared.salted(edges, at.select(F.col("node").alias("a"), F.col("comp").alias("ca")), ["a"], heavy[0])
+        edges = shared.salted(edges, at.select(F.col("node").alias("b"), F.col("comp").alias("cb")), ["b"], heavy[1])
         edges = shared.written(edges.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
     if labels is None:
         return links.select(F.col(a).alias("node"), F.col(b).alias("comp")).limit(0)

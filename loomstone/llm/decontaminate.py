@@ -12,8 +12,8 @@ A sketch is the only thing that every document shingle meets, and it has about a
 broadcast only where its counted rows are within ``broadcast_rows``; beyond, both sides are shuffled by hash.
 
 Defined results: null texts and texts without words hold nothing and match nothing; equal rows give one pair; of rows
-with equal keys the best one counts; rows with a null key are not reported; an empty table gives no pairs; other columns
-of the inputs are ignored.
+with equal keys the best one counts, of rows without a key too (they are reported under a null key, and each is dropped for
+what its own text holds); an empty table gives no pairs; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -74,28 +74,40 @@ def sketches(items: DataFrame, *, key: str, text: str, percent: int = CONTAINMEN
 def search(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", percent: int = CONTAINMENT_PERCENT, broadcast_rows: int = 500_000, short_inside: bool = False) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of every document that holds ``percent`` of an item's shingles."""
     lengths = short_lengths(items, item_text) if short_inside else ()
-    sketch = shared.written(sketches(items, key=item_key, text=item_text, percent=percent), "item-sketches")
-    small = sketch.count() <= broadcast_rows
-    fit = F.broadcast if small else lambda x: x
-    texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), word_list(text).alias("w"))
-    seen = texts.select("doc_id", "text_hash", F.explode(hashes(F.col("w"), lengths)).alias("h"))
-    hits = seen.join(fit(sketch), "h").groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("hits"), F.first("need").alias("need"))
-    found = shared.written(hits.where("hits >= need").select("doc_id", "text_hash", "item_id"), "item-candidates")
-    wanted = items.select(F.col(item_key).alias("item_id"), word_list(item_text).alias("w")).select("item_id", strings(F.col("w")).alias("g"))
-    wanted = wanted.select("item_id", F.size("g").alias("n_shingles"), F.explode("g").alias("g"))
-    held = texts.join(found.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text_hash", F.explode(strings(F.col("w"), lengths)).alias("g")).distinct()
-    pairs = held.join(fit(wanted), "g").join(found, ["doc_id", "text_hash", "item_id"], "left_semi")
-    each = pairs.groupBy("doc_id", "text_hash", "item_id").agg(F.first("n_shingles").cast("long").alias("n_shingles"), F.count("*").alias("n_found"))
-    best = each.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
+    each = holders(docs, items, key=key, text=text, item_key=item_key, item_text=item_text, percent=percent, broadcast_rows=broadcast_rows, lengths=lengths)
+    best = each.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
     return best.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` whose key holds no item, short ones included; rows with a null key stay."""
-    leaks = search(docs, items, key=key, text=text, item_key=item_key, item_text=item_text, broadcast_rows=broadcast_rows, short_inside=True)
-    gone = shared.written(leaks.select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
-    fit = F.broadcast if gone.count() <= broadcast_rows else lambda x: x
-    return docs.join(fit(gone), docs[key] == F.col("__gone"), "left_anti")
+def small(rows: DataFrame, most: int):
+    """How to join ``rows``: broadcast where they are counted to be ``most`` at most."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def holders(docs: DataFrame, items: DataFrame, *, key: str, text: str, item_key: str, item_text: str, percent: int, broadcast_rows: int, lengths: tuple[int, ...]) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_shingles, n_found) of every document text that holds ``percent`` of an item's shingles."""
+    sketch = shared.written(sketches(items, key=item_key, text=item_text, percent=percent), "item-sketches")
+    texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), word_list(text).alias("w"))
+    who = F.struct("doc_id", "text_hash").alias("who")
+    seen = texts.select(who, F.explode(hashes(F.col("w"), lengths)).alias("h"))
+    hits = seen.join(small(sketch, broadcast_rows), "h").groupBy("who", "item_id").agg(F.count("*").alias("hits"), F.first("need").alias("need"))
+    found = shared.written(hits.where("hits >= need").select("who", "item_id"), "item-candidates")
+    wanted = items.select(F.col(item_key).alias("item_id"), word_list(item_text).alias("w")).select("item_id", strings(F.col("w")).alias("g"))
+    wanted = shared.written(wanted.select("item_id", F.size("g").cast("long").alias("n_shingles"), F.explode("g").alias("g")), "item-shingles")
+    held = texts.select(who, "w").join(found.select("who").distinct(), "who", "left_semi").select("who", F.explode(strings(F.col("w"), lengths)).alias("g")).distinct()
+    pairs = held.join(small(wanted, broadcast_rows), "g").join(found, ["who", "item_id"], "left_semi")
+    each = pairs.groupBy("who", "item_id").agg(F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_found"))
+    return each.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).select("who.doc_id", "who.text_hash", "item_id", "n_shingles", "n_found")
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", percent: int = CONTAINMENT_PERCENT, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` whose key holds no item, short ones included; a row without a key goes for its own text."""
+    lengths = short_lengths(items, item_text)
+    leaks = holders(docs, items, key=key, text=text, item_key=item_key, item_text=item_text, percent=percent, broadcast_rows=broadcast_rows, lengths=lengths)
+    gone = shared.written(leaks.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("text_hash")).distinct(), "leaks")
+    mark = F.struct(docs[key].alias("doc_id"), F.when(docs[key].isNull(), F.xxhash64(docs[text])).alias("text_hash"))
+    gone = gone.select(F.struct("doc_id", "text_hash").alias(shared.free_name(docs, "gone")))
+    return docs.join(small(gone, broadcast_rows), mark == gone[gone.columns[0]], "left_anti")
 
 
 #: The same rows in DuckDB: exact containment of every item in every document.

@@ -1,15 +1,18 @@
 """Operator 5: near-duplicate documents by an exact n-gram Jaccard join with vertical partitioning.
 
 The global order of n-grams (by hash) is cut into fragments. Every map task cuts the shingle sets of its texts at the
-fragments and sends each fragment one packed block. A fragment counts, for its n-grams, the different sets that hold them;
-n-grams of one set only can never overlap and leave. Per set the fragments' counts are summed: a set with less than the
-threshold's share of shared n-grams has no partner and leaves. Equal sets are one set throughout (their documents link).
+fragments and sends each fragment one packed block; where the data need more than ``2 ** packets.STEP_BITS`` fragments,
+further steps cut each again, so blocks grow in proportion to the text. A fragment counts, for its n-grams, the different
+sets that hold them; n-grams of one set only can never overlap and leave. Per set the fragments' counts are summed: a set
+with less than the threshold's share of shared n-grams has no partner and leaves. Equal sets are one set throughout (their
+documents link). N-grams are compared by hashes of 48 bits and more, as their number grows.
 
 Candidates among the remaining sets come from prefix filtering: in the order of rising frequency, two sets that link share
 one of their first ``r - ceil(t n) + 1`` shared n-grams. A bucket of one n-gram is not expanded into its pairs: its members
 meet one centre, and links merge components. Sets that still share a bucket with another component meet in blocks: tasks
 of bounded size count overlaps and let only links between different components out, so no such link is lost and no
-quadratic number of rows arises. Verifying counts partial overlaps fragment by fragment and sums them per pair.
+quadratic number of rows arises. Verifying counts partial overlaps fragment by fragment and sums them per pair. Joins on
+an n-gram, a set or a component salt the keys that hold many rows.
 
 Defined results: null, empty and wordless texts have no shingle and stand alone; fewer than five words are one shingle;
 equal rows link; an empty table gives no row; other columns of the input are ignored.
@@ -17,45 +20,22 @@ equal rows link; an empty table gives no row; other columns of the input are ign
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm import shared, textblocks
+from loomstone.llm import packets, shared, textblocks
 from loomstone.llm.components import components
+from loomstone.llm.packets import narrow, pack, unpack
 
-WORDS, TOKEN_BITS = 5, 48
+WORDS = 5
 #: Jaccard of at least 75 / 100: overlap / union, so 7 * overlap >= 3 * (size + size).
 NUM, DEN = 75, 100
 CUTS = 4
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed block, bytes of equal weight side by side."""
-    press, out = zstandard.ZstdCompressor(level=1), [struct.pack("<B", len(arrays))]
-    for x in arrays:
-        data = press.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
-        out.append(struct.pack("<2sQQ", x.dtype.str[1:].encode(), len(x), len(data)) + data)
-    return b"".join(out)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    at, out, open_ = 1, [], zstandard.ZstdDecompressor()
-    for _ in range(data[0]):
-        kind, count, size = struct.unpack_from("<2sQQ", data, at)
-        at += 18
-        dtype = np.dtype("<" + kind.decode())
-        flat = np.frombuffer(open_.decompress(data[at : at + size], max_output_size=max(1, count * dtype.itemsize)), np.uint8)
-        out.append(np.ascontiguousarray(flat.reshape(dtype.itemsize, count).T).view(dtype).reshape(-1))
-        at += size
-    return out
-
-
 def signatures(owner: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each text a 64-bit signature of its set (0 without shingles) and the set's size."""
     size = np.bincount(owner, minlength=n).astype(np.int32)
@@ -67,8 +47,80 @@ def signatures(owner: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarra
     return np.where(size > 0, sig, 0), size
 
 
-def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 800_000) -> DataFrame:
-    """(frag, payload): packed (signature, size | n-gram, set number) blocks per fragment, and the documents' signatures below 0."""
+def packed(sig: np.ndarray, size: np.ndarray, owner: np.ndarray, token: np.ndarray, df: np.ndarray | None = None) -> bytes:
+    """N-grams in ascending order with the sets that hold them; of the sets only those that occur."""
+    present, ref = np.unique(owner, return_inverse=True)
+    return pack(sig[present], size[present], narrow(np.diff(token, prepend=np.uint64(0))), narrow(ref), *([] if df is None else [narrow(df)]))
+
+
+def gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of all packets the distinct signatures and their sizes, then the number of each entry's set, its n-gram and its df."""
+    parts = [unpack(p) for p in payloads]
+    sig, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    base = np.cumsum([0, *[len(p[0]) for p in parts]])
+    owner = np.concatenate([inverse[b + p[3].astype(np.int64)].astype(np.int32) for p, b in zip(parts, base, strict=False)])
+    token = np.concatenate([np.cumsum(p[2].astype(np.uint64)) for p in parts])
+    df = np.concatenate([p[4] for p in parts]) if len(parts[0]) > 4 else None
+    return sig, np.concatenate([p[1] for p in parts])[first], owner, token, df
+
+
+def dealt(parent: int, step: int, part: np.ndarray, sig: np.ndarray, size: np.ndarray, owner: np.ndarray, token: np.ndarray, df: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """One packet for each value of ``part`` (below ``2 ** step``) that occurs; entries come in ascending order of n-grams."""
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange((1 << step) + 1))
+    out = []
+    for g in np.flatnonzero(np.diff(edges)).tolist():
+        here = order[edges[g] : edges[g + 1]]
+        out.append((parent << step | g, packed(sig, size, owner[here], token[here], None if df is None else df[here])))
+    return out
+
+
+def by_token(bits: int, done: int, step: int):
+    """Which part an n-gram of ``bits`` bits belongs to, after ``done`` bits."""
+    return lambda sig, token: (token >> np.uint64(bits - done - step)).astype(np.int64) & ((1 << step) - 1)
+
+
+def by_set(done: int, step: int):
+    """Which part a set belongs to, after ``done`` bits of its signature."""
+    return lambda sig, token: (sig.view(np.uint64) >> np.uint64(64 - done - step)).astype(np.int64) & ((1 << step) - 1)
+
+
+PACKETS = "frag long, payload binary"
+
+
+def _deal(where, step: int):
+    """The packets of one part and group, dealt by ``step`` more bits."""
+
+    def run(key, group):
+        shared.tidy()
+        frag, payloads = key[0].as_py(), group["payload"].to_pylist()
+        if frag < 0:
+            return _rows([frag] * len(payloads), payloads)
+        sig, size, owner, token, df = gathered(payloads)
+        order = np.argsort(token, kind="stable")
+        owner, token, df = owner[order], token[order], None if df is None else df[order]
+        return _rows(*zip(*dealt(frag, step, where(sig[owner], token), sig, size, owner, token, df), strict=True))
+
+    return run
+
+
+def again(blocks: DataFrame, route, plan: list[int], inputs: int) -> DataFrame:
+    """The packets of ``blocks`` dealt by the further steps of ``plan``, groups of them at a time.
+
+    ``route(done, step)`` says where an entry goes. ``inputs`` is about how many packets a part holds; a group takes as many
+    as the step before was wide. Negative parts pass unchanged.
+    """
+    done = plan[0]
+    for before, step in zip(plan[:-1], plan[1:], strict=True):
+        inputs = max(1, inputs >> before)
+        group = F.pmod(F.xxhash64("payload"), F.lit(inputs)).alias("group")
+        blocks = blocks.groupBy("frag", group).applyInArrow(_deal(route(done, step), step), PACKETS)
+        done += step
+    return blocks
+
+
+def cut(docs: DataFrame, bits: int, step: int, *, key: str, text: str, hold: int = 800_000) -> DataFrame:
+    """(frag, payload): packed n-grams with their sets per fragment, and the documents' signatures below 0."""
 
     def run(batches):
         part, turn = TaskContext.get().partitionId(), 0
@@ -87,19 +139,11 @@ def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 800
             once = np.zeros(len(sig), bool)
             once[first] = True
             keep = once[owner]
-            owner, token = owner[keep], token[keep] >> np.uint64(64 - TOKEN_BITS)
+            owner, token = owner[keep], token[keep] >> np.uint64(64 - bits)
             order = np.argsort(token)
             owner, token = owner[order], token[order]
-            limits = (np.arange(fragments + 1, dtype=np.float64) * (2.0**TOKEN_BITS / fragments)).astype(np.uint64)
-            at = np.searchsorted(token, limits)
-            at[-1] = len(token)
-            for f in range(fragments):
-                who, what = owner[at[f] : at[f + 1]], token[at[f] : at[f + 1]]
-                if len(who):
-                    present, ref = np.unique(who, return_inverse=True)
-                    gap = np.diff(what, prepend=limits[f])
-                    rows.append((f, pack(sig[present], size[present], gap.astype(np.uint32) if gap.max() < 1 << 32 else gap, ref.astype(np.uint16 if len(present) < 1 << 16 else np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["frag", "payload"])
+            rows += dealt(0, step, by_token(bits, 0, step)(sig, token), sig, size, owner, token)
+            return _rows(*zip(*rows, strict=True)).to_batches()[0]
 
         for b in batches:
             keys = b.column(0)
@@ -118,35 +162,22 @@ def cut(docs: DataFrame, fragments: int, *, key: str, text: str, hold: int = 800
             yield blocks()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(shared.worker(run), "frag long, payload binary")
+    return rows.mapInArrow(shared.worker(run), PACKETS)
 
 
-def _gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]], np.ndarray]:
-    """Distinct signatures of all blocks, their sizes, the blocks, and the number of each block's set among them."""
-    parts = [unpack(p) for p in payloads]
-    sig, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    return sig, np.concatenate([p[1] for p in parts])[first], parts, inverse
-
-
-def _rows(frag: list[int], payload: list[bytes]) -> pa.Table:
+def _rows(frag, payload) -> pa.Table:
     return pa.table({"frag": pa.array(frag, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
-def shared_tokens(blocks: DataFrame, fragments: int) -> DataFrame:
-    """Per fragment, the n-grams of at least two sets with that number of sets, packed by a hash of the set."""
+def shared_tokens(blocks: DataFrame, step: int) -> DataFrame:
+    """Per fragment, the n-grams of at least two sets with that number of sets, dealt by the set that holds them."""
 
     def run(key, group):
         shared.tidy()
-        frag = key[0].as_py()
         payloads = group["payload"].to_pylist()
-        if frag < 0:
-            return _rows([frag] * len(payloads), payloads)
-        sig, size, parts, inverse = _gathered(payloads)
-        base = np.cumsum([0, *[len(p[0]) for p in parts]])
-        start = np.uint64(frag * (2.0**TOKEN_BITS / fragments))
-        token = np.concatenate([np.cumsum(p[2].astype(np.uint64)) + start for p in parts])
-        owner = np.concatenate([inverse[b + p[3].astype(np.int64)].astype(np.int32) for p, b in zip(parts, base, strict=False)])
-        del parts
+        if key[0].as_py() < 0:
+            return _rows([key[0].as_py()] * len(payloads), payloads)
+        sig, size, owner, token, _ = gathered(payloads)
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
         new = np.concatenate([[True], token[1:] != token[:-1]])
@@ -158,21 +189,10 @@ def shared_tokens(blocks: DataFrame, fragments: int) -> DataFrame:
         df = np.bincount(which, minlength=len(many))
         keep = df[which] > 1
         which, who = which[keep], who[keep]
-        value, df = token[new][which], df[which]
-        bucket = (sig[who].view(np.uint64) % np.uint64(fragments)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        who, value, df, bucket = who[order], value[order], df[order], bucket[order]
-        at = np.searchsorted(bucket, np.arange(fragments + 1))
-        out: tuple[list, list] = [], []
-        for g in range(fragments):
-            here = slice(at[g], at[g + 1])
-            if at[g] < at[g + 1]:
-                present, ref = np.unique(who[here], return_inverse=True)
-                out[0].append(g)
-                out[1].append(pack(sig[present], size[present], np.diff(value[here], prepend=np.uint64(0)), ref.astype(np.uint32), np.minimum(df[here], 1 << 30).astype(np.uint32)))
-        return _rows(*out)
-
-    return blocks.groupBy("frag").applyInArrow(run, "frag long, payload binary")
+        out = dealt(0, step, by_set(0, step)(sig[who], None), sig, size, who, token[new][which], np.minimum(df[which], 1 << 30))
+        return _rows(*zip(*out, strict=True)) if out else _rows([], [])
+
+    return blocks.groupBy("frag").applyInArrow(run, PACKETS)
 
 
 SETS = "doc_id long, sig long, n int, r int, tokens array<long>"
@@ -189,11 +209,7 @@ def sets(parts: DataFrame) -> DataFrame:
             keys, present, sig, size = (np.concatenate(x) for x in zip(*map(unpack, payloads), strict=True))
             none = pa.nulls(len(sig), pa.int32())
             return pa.Table.from_arrays([pa.array(keys, pa.int64(), mask=present == 0), pa.array(sig), pa.array(size, pa.int32()), none, pa.nulls(len(sig), pa.list_(pa.int64()))], schema=_SETS)
-        sig, size, parts_, inverse = _gathered(payloads)
-        base = np.cumsum([0, *[len(p[0]) for p in parts_]])
-        owner = np.concatenate([inverse[b + p[3].astype(np.int64)] for p, b in zip(parts_, base, strict=False)])
-        token = np.concatenate([np.cumsum(p[2]) for p in parts_])
-        df = np.concatenate([p[4] for p in parts_])
+        sig, size, owner, token, df = gathered(payloads)
         count = np.bincount(owner, minlength=len(sig))
         good = count * DEN >= size.astype(np.int64) * NUM
         keep = good[owner]
@@ -213,30 +229,35 @@ def may_link(n1: Column, r1: Column, n2: Column, r2: Column) -> Column:
 
 
 def verify(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps counted per fragment of the order, then summed per pair."""
+    """The pairs (a, b) that link: partial overlaps counted per fragment of the order, then summed per pair.
+
+    A centre is in many pairs: its pieces are repeated and its pairs salted.
+    """
     left = pieces.select(F.col("sig").alias("a"), "v", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = pieces.select(F.col("sig").alias("b"), "v", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     parted = pairs.select("a", "b", F.explode(F.array(*map(F.lit, range(CUTS)))).alias("v"))
-    counted = parted.join(right, ["b", "v"]).join(left, ["a", "v"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("part"))
+    counted = shared.salted(parted, right, ["b", "v"], shared.hot(pairs, "b"))
+    counted = shared.salted(counted, left, ["a", "v"], shared.hot(pairs, "a")).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("part"))
     summed = counted.groupBy("a", "b").agg(F.sum("part").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return summed.where((F.col("na") + F.col("nb") - F.col("overlap")) * NUM <= F.col("overlap") * DEN).select("a", "b")
 
 
-def distinct_buckets(index: DataFrame) -> DataFrame:
-    """``index`` with one n-gram per set of members, and only n-grams that two sets or more hold."""
+def distinct_buckets(index: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``index`` with one n-gram per set of members, and only n-grams that two sets or more hold; then the hot n-grams."""
     members = index.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
-    kept = members.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
-    return shared.written(index.join(kept, "token", "left_semi"), "buckets")
+    kept = shared.written(members.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m"), "tokens")
+    heavy = shared.hot(kept, "token", "m")
+    return shared.written(shared.salted(index, kept.select("token"), ["token"], heavy), "buckets"), heavy
 
 
-def against_centres(index: DataFrame) -> DataFrame:
+def against_centres(index: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of each bucket's centre, the set with the fewest n-grams of its own, and the other members."""
     centre = index.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), F.xxhash64("sig").alias("h"), "sig", "n", "r")).alias("z"))
-    pairs = index.join(centre, "token").where((F.col("sig") != F.col("z.sig")) & may_link(F.col("n"), F.col("r"), F.col("z.n"), F.col("z.r")))
+    pairs = shared.salted(index, centre, ["token"], heavy).where((F.col("sig") != F.col("z.sig")) & may_link(F.col("n"), F.col("r"), F.col("z.n"), F.col("z.r")))
     return pairs.select(F.least("sig", "z.sig").alias("a"), F.greatest("sig", "z.sig").alias("b")).distinct()
 
 
-def open_members(index: DataFrame, labels: DataFrame) -> DataFrame:
+def open_members(index: DataFrame, labels: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """(sig, n, comp, clump) of the sets that still share a bucket with a set of another component and may link there.
 
     A clump holds all sets that such buckets connect, so two sets of different clumps never link.
@@ -244,19 +265,19 @@ def open_members(index: DataFrame, labels: DataFrame) -> DataFrame:
     seen = index.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     mixed = lambda rows: rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("token", "least_n")
     smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * NUM / F.lit(DEN)))
-    able = seen.join(mixed(seen), "token").where(F.col("r") * (DEN + NUM) >= (F.col("n") + smallest) * NUM).drop("least_n")
+    able = shared.salted(seen, mixed(seen), ["token"], heavy).where(F.col("r") * (DEN + NUM) >= (F.col("n") + smallest) * NUM).drop("least_n")
     able = shared.written(able, "able")
-    rows = able.join(mixed(able).select("token"), "token", "left_semi")
+    rows = shared.salted(able, mixed(able).select("token"), ["token"], heavy)
     hub = rows.groupBy("token").agg(F.min("sig").alias("hub"))
-    clumps = components(rows.join(hub, "token").where("sig <> hub").select("hub", "sig"), "hub", "sig").withColumnsRenamed({"node": "sig", "comp": "clump"})
+    clumps = components(shared.salted(rows, hub, ["token"], heavy).where("sig <> hub").select("hub", "sig"), "hub", "sig").withColumnsRenamed({"node": "sig", "comp": "clump"})
     return rows.select("sig", "n", "comp").distinct().join(clumps, "sig")
 
 
 def block_links(members: DataFrame, kept: DataFrame, *, block: int = 512, bin_sets: int = 2000) -> DataFrame:
     """Links (a, b) between different components of a clump, found in blocks of at most about ``block`` sets against blocks.
 
-    A clump of more sets is dealt into blocks by hash and every two blocks meet in a task of their own; small clumps share
-    tasks. In a task partial overlaps are counted fragment by fragment of the n-gram order and summed per pair; only links
+    A clump of more sets is dealt into blocks by hash and every two blocks meet in a task of their own, so each of its sets
+    is sent to as many tasks as the clump has blocks; small clumps share tasks. In a task partial overlaps are counted fragment by fragment of the n-gram order and summed per pair; only links
     that join components leave it.
     """
     sized = members.groupBy("clump").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -318,15 +339,15 @@ def _links(rows, sig, n, comp, side, sets_, cut: int = 4096) -> list[tuple[int,
     return out
 
 
-def link(kept: DataFrame) -> DataFrame:
-    """(node, comp) of the sets that link with another set."""
+def link(kept: DataFrame, bits: int) -> DataFrame:
+    """(node, comp) of the sets that link with another set; n-grams have ``bits`` bits."""
     least = F.floor((F.col("n") * NUM + DEN - 1) / DEN).cast("int")
-    parts = F.transform(F.array(*map(F.lit, range(CUTS))), lambda v: F.struct(v.alias("v"), F.filter("tokens", lambda t: F.floor(t * CUTS / F.lit(1 << TOKEN_BITS)) == v).alias("tokens")))
+    parts = F.transform(F.array(*map(F.lit, range(CUTS))), lambda v: F.struct(v.alias("v"), F.filter("tokens", lambda t: F.floor(t * (CUTS / 2.0**bits)) == v).alias("tokens")))
     pieces = kept.select("sig", "n", F.explode(parts).alias("p")).select("sig", "n", "p.v", "p.tokens")
-    index = distinct_buckets(kept.select("sig", "n", "r", F.explode(F.slice("tokens", F.lit(1), F.col("r") - least + 1)).alias("token")))
-    found = shared.written(verify(shared.written(against_centres(index), "candidates"), pieces), "verified")
+    index, heavy = distinct_buckets(kept.select("sig", "n", "r", F.explode(F.slice("tokens", F.lit(1), F.col("r") - least + 1)).alias("token")))
+    found = shared.written(verify(shared.written(against_centres(index, heavy), "candidates"), pieces), "verified")
     labels = components(found)
-    members = shared.written(open_members(index, labels), "open")
+    members = shared.written(open_members(index, labels, heavy), "open")
     if members.isEmpty():
         return labels
     more = shared.written(block_links(members, kept), "verified")
@@ -335,36 +356,52 @@ def link(kept: DataFrame) -> DataFrame:
     return components(found.unionByName(more))
 
 
-def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fragment_bytes: int = 10 << 20) -> DataFrame:
+def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fragment_bytes: int = 10 << 20, step_bits: int = packets.STEP_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
     shared.small_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    fragments = int(max(4, -(-total // fragment_bytes)))
-    made = shared.written(sets(shared_tokens(cut(docs, fragments, key=key, text=text), fragments)), "sets")
-    labels = link(made.where("r IS NOT NULL").select("sig", "n", "r", "tokens"))
+    bits = packets.hash_bits(total // 2)
+    plan = packets.steps(max(2, packets.bits_for(-(-total // fragment_bytes))), step_bits)
+    inputs = 1 << sum(plan)
+    blocks = again(cut(docs, bits, plan[0], key=key, text=text), lambda done, step: by_token(bits, done, step), plan, inputs)
+    dealt_sets = again(shared_tokens(blocks, plan[0]), by_set, plan, inputs)
+    made = shared.written(sets(dealt_sets), "sets")
+    labels = link(made.where("r IS NOT NULL").select("sig", "n", "r", "tokens"), bits)
     rows = made.where("r IS NULL").select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"))
-    classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("comp", "sig").alias("comp"))
+    classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    classes = shared.written(classes.select("sig", "least", "m", F.coalesce("comp", "sig").alias("comp")), "classes")
     lowest = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = classes.join(lowest, "comp").select("sig", "component_id")
-    return rows.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = shared.salted(classes, lowest, ["comp"], shared.hot(classes, "comp")).select("sig", "component_id")
+    joined = shared.salted(rows, named, ["sig"], shared.hot(classes, "sig", "m"), "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` whose key is the least of its component; of rows with equal keys and texts one stays.
 
-    A key stands for its document: if one of the rows of a key is a copy of a lesser key, all of them go. Rows without a
-    key stay. Texts are shuffled only for keys that occur more than once; the keys to drop are broadcast where their
-    counted number is within ``broadcast_rows``.
+    A key stands for its document: if one of the rows of a key is a copy of a lesser key, all of them go. A row without a
+    key is one of its own and comes after all keys. Texts are shuffled only for keys that occur more than once; the keys to
+    drop are broadcast where their counted number is within ``broadcast_rows``.
     """
-    classes = shared.written(cluster(docs, key=key, text=text).select(F.col("doc_id").alias("__key"), (F.col("component_id") != F.col("doc_id")).alias("__copy")), "classes")
-    gone = shared.written(classes.where("__copy").select("__key").distinct(), "copies")
+    keyless = docs.where(F.col(key).isNull())
+    if keyless.isEmpty():
+        return _kept(docs, key, text, broadcast_rows)
+    number = shared.free_name(docs, "number")
+    top = F.lit(docs.agg(F.max(F.col(key).cast("long"))).first()[0] or 0)
+    named = shared.written(keyless.withColumn(number, top + 1 + F.monotonically_increasing_id()), "keyless")
+    return _kept(docs.where(F.col(key).isNotNull()).withColumn(number, F.col(key).cast("long")).unionByName(named), number, text, broadcast_rows).drop(number)
+
+
+def _kept(docs: DataFrame, key: str, text: str, broadcast_rows: int) -> DataFrame:
+    node = shared.free_name(docs, "node")
+    classes = shared.written(cluster(docs, key=key, text=text).select(F.col("doc_id").alias(node), (F.col("component_id") != F.col("doc_id")).alias("copy")), "classes")
+    gone = shared.written(classes.where("copy").select(node).distinct(), "copies")
     fit = F.broadcast if gone.count() <= broadcast_rows else lambda x: x
-    here = docs[key].cast("long") == F.col("__key")
-    kept = docs.join(fit(gone), here, "left_anti")
-    twice = shared.written(classes.where("__key IS NOT NULL").groupBy("__key").count().where("count > 1").select("__key"), "repeated")
+    kept = docs.join(fit(gone), docs[key].cast("long") == F.col(node), "left_anti")
+    twice = shared.written(classes.groupBy(node).count().where("count > 1").select(node), "repeated")
     if twice.isEmpty():
         return kept
-    at = kept[key].cast("long") == F.col("__key")
+    at = kept[key].cast("long") == F.col(node)
     return kept.join(twice, at, "left_anti").unionByName(kept.join(twice, at, "left_semi").dropDuplicates([key, text]))
 
 

@@ -3,9 +3,15 @@
 Subwords are the runs of 2, 3 and 4 bytes of lower-cased words with their borders, hashed into ``BUCKETS``; a text is the
 mean of their embeddings. Embeddings and softmax are fitted by stochastic gradient descent in numpy on a bounded sample
 (``per_language`` texts of at most ``max_chars`` characters of each language; windows of them too, so that short texts
-are known). A temperature is fitted on texts kept apart, and a text whose probability stays well under (three quarters of)
-what nearly all of those reach is marked as rejected; a text of two languages in equal parts is not. Mean and softmax weights are both linear, so prediction looks up one
-row of logits for each subword.
+are known). Mean and softmax weights are both linear, so prediction looks up one row of logits for each subword.
+
+A softmax is sure of texts in languages it never saw, so rejection asks how usual a text's subwords are in the language
+predicted: the mean of their log lifts (frequency in that language's sample against an even spread). Its bound is
+calibrated on texts kept apart, between what nearly all of them reach and what nearly all negatives stay under: the same
+texts with their letters shuffled, and their lifts in the languages other than their own (each language left out once).
+Short texts scatter more, so the bound falls with one over the root of the number of subwords, by as much as windows of
+the texts kept apart need. A text of two known languages is not rejected. The temperature of the scores is fitted on the
+texts kept apart too.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; with no labelled text at all
 every text is. Rows stay one to one, equal rows too; languages, sources and keys are never inputs of a prediction.
@@ -24,6 +30,8 @@ from loomstone.llm import samples, shared, textblocks
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 UNKNOWN = "und"
+#: Subwords from which a text counts as long when the bound is set.
+LONG_TEXT = 200
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -58,23 +66,32 @@ def subwords(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Model:
+    """``table``: logits and then log lifts of every subword, one column for each language."""
+
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    bound: float = -np.inf
+    slack: float = 0.0
 
-    def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n = len(offsets) - 1
-        total, count = np.zeros((n, len(self.bias))), np.zeros(n)
+    def means(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the logits, the mean lifts and the number of subwords."""
+        n, k = len(offsets) - 1, len(self.bias)
+        total, count = np.zeros((n, 2 * k)), np.zeros(n)
         for first, last, part, cuts in _parts(raw, offsets):
             owner, code = subwords(part, cuts)
             total[first:last] += samples.sums_by(owner, self.table[code], last - first)
             count[first:last] += np.bincount(owner, minlength=last - first)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        total /= np.maximum(count, 1)[:, None]
+        return total[:, :k] + self.bias, total[:, k:], count
 
-    def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return samples.softmax(self.logits(raw, offsets) / self.temperature)
+    def judge(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the number of the best language, its probability, and whether the text is known."""
+        logits, lifts, count = self.means(raw, offsets)
+        p = samples.softmax(logits / self.temperature)
+        rows, best = np.arange(len(p)), p.argmax(axis=1)
+        return best, p[rows, best], lifts[rows, best] >= self.bound - self.slack / np.sqrt(np.maximum(count, 1))
 
 
 def _parts(raw: np.ndarray, offsets: np.ndarray, limit: int = 1 << 19):
@@ -83,12 +100,19 @@ def _parts(raw: np.ndarray, offsets: np.ndarray, limit: int = 1 << 19):
     return textblocks.blocks(column, limit)
 
 
-def _counts(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), BUCKETS), np.float32)
-    for first, last, raw, offsets in textblocks.blocks(pa.array(texts, pa.large_string())):
-        owner, code = subwords(raw, offsets)
-        np.add.at(out[first:last], (owner, code), 1)
-    return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
+def _lift(texts: list[str], prior: float = 0.5) -> np.ndarray:
+    """Of each subword the logarithm of its smoothed frequency in ``texts`` against an even spread."""
+    count = np.full(BUCKETS, prior)
+    for _, _, raw, offsets in textblocks.blocks(pa.array(texts, pa.large_string())):
+        count += np.bincount(subwords(raw, offsets)[1], minlength=BUCKETS)
+    return np.log(count / count.sum() * BUCKETS)
+
+
+def shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its characters other than spaces in random order."""
+    inner = [c for c in text if c != " "]
+    order = iter(rng.permutation(len(inner)).tolist())
+    return "".join(c if c == " " else inner[next(order)] for c in text)
 
 
 def windows(text: str, rng: np.random.Generator) -> list[str]:
@@ -102,7 +126,7 @@ def windows(text: str, rng: np.random.Generator) -> list[str]:
 
 
 def fit(texts: list[str], langs: list[str], *, epochs: int = 6, rate: float = 6.0, batch: int = 32, seed: int = 7, tolerance: float = 0.0005) -> Model | None:
-    """Embeddings, softmax, temperature and threshold from labelled texts (every fifth text only calibrates)."""
+    """Embeddings, softmax, lifts, temperature and rejection bound from labelled texts (every fifth text only calibrates)."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -129,7 +153,8 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 6, rate: float = 6.
             for (c, f), g in zip(x, back, strict=True):
                 table[c] -= step * f[:, None] * g
             done += 1
-    model = Model(names, (table @ weights).astype(np.float32), bias)
+    lifts = np.stack([_lift([texts[i] for i in used if langs[i] == name]) for name in names], axis=1)
+    model = Model(names, np.concatenate([table @ weights, lifts], axis=1).astype(np.float32), bias)
     if len(held):
         _calibrate(model, [texts[i] for i in held], [names.index(langs[i]) for i in held], rng, tolerance)
     return model
@@ -149,13 +174,23 @@ def _sparse(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _calibrate(model: Model, texts: list[str], target: list[int], rng: np.random.Generator, tolerance: float) -> None:
     pairs = [(w, y) for x, y in zip(texts, target, strict=True) for w in windows(x, rng)]
+    means = lambda rows: model.means(*textblocks.text_bytes(pa.array(rows, pa.large_string())))
     truth = np.array([y for _, y in pairs])
-    logits = model.logits(*textblocks.text_bytes(pa.array([w for w, _ in pairs], pa.large_string())))
+    rows = np.arange(len(truth))
+    logits, lifts, count = means([w for w, _ in pairs])
     grid = np.geomspace(0.05, 5, 60)
-    losses = [-np.log(samples.softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
+    losses = [-np.log(samples.softmax(logits / t)[rows, truth] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(losses))])
-    whole = model.scores(*textblocks.text_bytes(pa.array(texts, pa.large_string()))).max(axis=1)
-    model.threshold = float(min(0.5, 0.75 * np.quantile(whole, tolerance)))
+    _, whole, size = means(texts)
+    long = size >= LONG_TEXT if (size >= LONG_TEXT).any() else size >= 0
+    own = whole[np.arange(len(texts)), target]
+    others = np.where(np.arange(len(model.languages)) == np.array(target)[:, None], -np.inf, whole).max(axis=1)
+    negative = np.concatenate([others[np.isfinite(others) & long], means([shuffled(x, rng) for x in texts])[1].max(axis=1)[long]])
+    high, low = np.quantile(own[long], tolerance), np.quantile(negative, 0.99)
+    model.bound = float(min(high, low + 0.3 * max(0.0, high - low)))
+    # predicted rather than true languages: a window may be taken for a neighbour, and is known all the same
+    missing = (model.bound - lifts[rows, logits.argmax(axis=1)]) * np.sqrt(np.maximum(count, 1))
+    model.slack = float(max(0.0, np.quantile(missing, 1 - tolerance)))
 
 
 def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 600, max_chars: int = 20_000) -> Model | None:
@@ -175,8 +210,9 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row with lang_pred, score, rejected appended and, first, held_out; other columns of ``docs`` stay."""
+    """Every row with lang_pred, score and rejected appended; other columns of ``docs`` stay, but for ones so named."""
     shared.small_batches(docs.sparkSession)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected") and c != text])
     place, names = docs.columns.index(text), [*docs.columns, "lang_pred", "score", "rejected"]
 
     def run(batches):
@@ -185,14 +221,12 @@ def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text:
             raw, offsets = textblocks.text_bytes(b.column(place))
             lettered = has_letter(raw, offsets) if model else np.zeros(b.num_rows, bool)
             if model and b.num_rows:
-                p = model.scores(raw, offsets)
-                best = p.argmax(axis=1)
+                best, p, known = model.judge(raw, offsets)
                 pred = [model.languages[j] if ok else UNKNOWN for j, ok in zip(best, lettered, strict=True)]
-                score = np.where(lettered, np.clip(p.max(axis=1), 0, 1), 0.0)
+                score = np.where(lettered, np.clip(p, 0, 1), 0.0)
             else:
-                pred, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            out = ~lettered | (score < (model.threshold if model else 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], names)
+                pred, score, known = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), lettered
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(~(lettered & known))], names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double, rejected boolean"
     return docs.mapInArrow(shared.worker(run), schema)
@@ -216,7 +250,7 @@ def keep_known(docs: DataFrame, *, key: str = "doc_id", text: str = "text", labe
             raw, offsets = textblocks.text_bytes(b.column(place))
             good = has_letter(raw, offsets)
             if b.num_rows:
-                good &= model.scores(raw, offsets).max(axis=1) >= model.threshold
+                good &= model.judge(raw, offsets)[2]
             yield b.filter(pa.array(good))
 
     return docs.mapInArrow(shared.worker(run), docs.schema) if model else docs.limit(0)

@@ -2,7 +2,8 @@
 
 A payload is cut where a rolling gear hash of its last 32 bytes has its top bits clear, so equal stretches give equal
 chunks wherever they lie. Chunk digests are deduplicated by Spark aggregates and joins: every digest keeps one stored
-place, each payload an ordered list of places, from which it is rebuilt and verified.
+place, each payload an ordered list of places, from which it is rebuilt and verified. A map task keeps a digest once, and
+joins on digests see that one row of it, so a digest in a third of all payloads weighs one row per pack.
 
 Store: every map task writes the chunks that are new to it, compressed one by one, into one pack file of the shared
 folder. Chunks that other packs hold too lose their place; packs that are dead for more than ``max_dead`` are rewritten
@@ -126,7 +127,8 @@ def chunk(docs: DataFrame, root: str, *, key: str = "doc_id", text: str = "text"
 def places(chunks: DataFrame, root: str, *, max_dead: float = 0.25) -> DataFrame:
     """One place per digest (pack, turn, at, stored); packs with too many dead bytes are rewritten and the old ones deleted."""
     spark = chunks.sparkSession
-    kept = chunks.groupBy("digest").agg(F.min(F.struct("pack", "at", "stored")).alias("p")).select("digest", F.col("p.pack").alias("pack"), F.lit(0).alias("turn"), F.col("p.at").alias("at"), F.col("p.stored").alias("stored"))
+    once = chunks.groupBy("digest", "pack").agg(F.min("at").alias("at"), F.min("stored").alias("stored"))
+    kept = once.groupBy("digest").agg(F.min(F.struct("pack", "at", "stored")).alias("p")).select("digest", F.col("p.pack").alias("pack"), F.lit(0).alias("turn"), F.col("p.at").alias("at"), F.col("p.stored").alias("stored"))
     held = chunks.groupBy("pack").agg(F.max(F.col("at") + F.col("stored")).alias("held"))
     live = kept.groupBy("pack").agg(F.sum("stored").alias("live"))
     thin = shared.written(held.join(live, "pack", "left").where(F.coalesce("live", F.lit(0)) < (1 - max_dead) * F.col("held")).select("pack"), "media-thin")
@@ -200,10 +202,15 @@ def features(payload: bytes, chunks: int) -> str:
     return f"chunks={chunks};mean={mean:.4f};std={spread:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};distinct={int((counts > 0).sum())}"
 
 
-def lists(chunks: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row per payload: its ordered chunk list with the stored place of each chunk."""
-    width = shared.shuffle_width(chunks.sparkSession)
-    joined = chunks.select("pack", "row", "key", "n_bytes", "seq", "digest", "size").join(kept.select("digest", F.struct("pack", "turn", "at", "stored").alias("place")), "digest")
+def lists(chunks: DataFrame, kept: DataFrame, *, pack_bytes: int = 64 << 20) -> DataFrame:
+    """One row per payload: its ordered chunk list with the stored place of each chunk.
+
+    Payloads of one pack stay together, so a task reads few packs; there is a task for about ``pack_bytes`` of payload.
+    """
+    least = shared.shuffle_width(chunks.sparkSession)
+    width = max(least, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // pack_bytes))
+    places_ = chunks.select("digest", "pack").distinct().join(kept.select("digest", F.struct("pack", "turn", "at", "stored").alias("place")), "digest")
+    joined = chunks.select("pack", "row", "key", "n_bytes", "seq", "digest", "size").join(places_, ["pack", "digest"])
     return (
         joined.repartition(width, "pack")
         .groupBy("pack", "row")

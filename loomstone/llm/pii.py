@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +45,7 @@ SPELLED = {w: str(d) for row in DIGIT_WORDS for d, w in enumerate(row)}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -159,7 +158,7 @@ def plain_characters(tape: Tape) -> None:
 
 
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-_RUN = re.compile(rf"(?<!\w)(?:plus[ -]{{1,2}})?(?:{_WORD})(?:[ ,.\-]{{1,2}}(?:{_WORD}|dot|point|punkt|punto|[0-9]+)){{3,}}(?!\w)", re.IGNORECASE)
+_RUN = re.compile(rf"\b(?<!\w)(?:plus[ -]{{1,2}})?(?:{_WORD})(?:[ ,.\-]{{1,2}}(?:{_WORD}|dot|point|punkt|punto|[0-9]++)){{3,}}(?!\w)", re.IGNORECASE)
 _TOKEN = re.compile(r"([ ,.\-]*)(\w+)")
 
 
@@ -182,61 +181,149 @@ def spelled_digits(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+|\s+@\s*|@\s+|[_-]at[_-]", re.IGNORECASE)
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|[_-]dot[_-]|\s+\.\s+|\.)"
-_HOST = re.compile(rf"([A-Za-z0-9-]+?)((?:{_DOT}[A-Za-z0-9-]+?)+)(?![A-Za-z0-9-])", re.IGNORECASE)
-_PLAIN_HOST = re.compile(rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_NAME = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_DOT.replace('|' + chr(92) + '.)', ')')}[A-Za-z0-9._%+-]+){{0,3}}$", re.IGNORECASE)
-_DISGUISED_DOT = re.compile(_DOT, re.IGNORECASE)
-_NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.IGNORECASE)
-#: How far to the left of a disguised at sign a name with disguised dots may begin.
-NAME_REACH = 96
+#: Disguised dots: in brackets, as a word of its own, between hyphens or underscores, or set apart by white space.
+_DOT = r"\s*+[\[({<]\s*+(?i:dot|\.|punkt|punto|point)\s*+[\])}>]\s*+|\s++(?i:dot|punkt|punto)\s++|[_-](?i:dot)[_-]|\s++\.\s++"
+#: At signs: in brackets, as a word of its own before a disguised dot, plain before a host, or between hyphens or underscores.
+_AT = re.compile(
+    r"[@\[({<_aA-](?:(?P<bracket>(?<=[\[({<])\s*+(?i:at|@|arroba|arobase)\s*+[\])}>])"
+    rf"|(?<=@)(?=\s*+[A-Za-z0-9-]++(?:{_DOT}|\.))"
+    rf"|(?P<word>(?<=[aA])(?<!\S.)(?i:t|rroba|robase)(?=\s++[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:{_DOT})))"
+    r"|(?<=[A-Za-z0-9][_-])[aA][tT][_-](?=[A-Za-z0-9]))"
+)
+_ANY_DOT = re.compile(rf"{_DOT}|\.")
+_DOT_BETWEEN = re.compile(r"(?<=[A-Za-z0-9])-dot-(?=[A-Za-z0-9])", re.IGNORECASE)
+_NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:{_DOT})(?=[0-9])")
+_LABEL = re.compile(r"[A-Za-z0-9-]{1,64}")
+_BRACKETED_DOT = re.compile(r"[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+\Z", re.IGNORECASE)
+#: What an address may hold (RFC 5321 and 1035): characters of a local part and of a label.
+LOCAL_MOST, LABEL_MOST = 64, 63
+#: Top-level names, beside all of two letters, that end a host whose dots are words or set apart.
+TOP_NAMES = frozenset("com org net edu gov mil int info biz name pro app dev cloud online site tech store blog shop email xyz example test invalid local".split())
+#: Ordinary words before "at" that make it a preposition rather than a sign.
+BEFORE_AT = frozenset(
+    "a an the i we you he she it they is are was were be been am this that all not and or but up down out in on off over back here there now then still just only even again "
+    "arrive arrives arrived arriving look looks looked looking meet meets met meeting stay stays stayed staying stop stops stopped stopping start starts started starting "
+    "end ends ended ending work works worked working live lives lived living sit sits sat sitting stand stands stood standing wait waits waited waiting "
+    "point points pointed pointing aim aims aimed aiming stare stares stared staring laugh laughs laughed laughing smile smiles smiled shout shouts shouted "
+    "good bad best better great held hold open opens opened close closes closed begin begins began leave leaves left call calls called calling see sees saw seen "
+    "found find finds buy sold sell study studied studies play plays played lunch dinner breakfast party talk event class school home one two three four five six seven eight nine ten".split()
+)
+
+
+def _blanks_before(text: str, at: int, free: int) -> int:
+    while at > free and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _blanks_after(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
+
+
+def _local_before(text: str, at: int, free: int) -> int:
+    """Where the run of local characters that ends at ``at`` begins; a run longer than a local part may be has no begin."""
+    begin = at
+    while begin > free and text[begin - 1] in _LOCAL:
+        begin -= 1
+        if at - begin > LOCAL_MOST:
+            return at
+    return begin
+
+
+def _dot_before(text: str, at: int, free: int) -> int | None:
+    """Where a disguised dot that ends at ``at`` begins."""
+    end = _blanks_before(text, at, free)
+    if end > free and text[end - 1] in "])}>":
+        inner = _blanks_before(text, end - 1, free)
+        if m := _BRACKETED_DOT.search(text, max(free, inner - 8), inner):
+            return _blanks_before(text, m.start(), free)
+    elif end < at:
+        for word in ("dot", "punkt", "punto"):
+            begin = end - len(word)
+            if begin > free and text[begin:end].lower() == word and text[begin - 1].isspace():
+                return _blanks_before(text, begin, free)
+    return None
+
+
+def _host(text: str, at: int, split: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Labels from ``at`` on, joined by dots of any kind, and the dots between them; ``split``: "-dot-" is a dot too."""
+    labels, dots = [], []
+    while m := _LABEL.match(text, at):
+        if m.end() - m.start() > LABEL_MOST:
+            break
+        begin = m.start()
+        for d in _DOT_BETWEEN.finditer(text, m.start(), m.end()) if split else ():
+            labels.append((begin, d.start()))
+            dots.append(d.span())
+            begin = d.end()
+        labels.append((begin, m.end()))
+        d = _ANY_DOT.match(text, m.end())
+        if not d:
+            return labels, dots
+        dots.append(d.span())
+        at = d.end()
+    return labels, dots[: max(0, len(labels) - 1)]
+
+
+def _top(name: str) -> bool:
+    return name.lower() in TOP_NAMES or len(name) == 2 and name.isalpha()
 
 
 def signs(tape: Tape) -> None:
-    """Disguised at and dot signs. A bare word "at" counts only where a disguised dot follows in the host."""
+    """Disguised at and dot signs become signs where they make an address within the limits of its standard.
+
+    The end of the host is the last label that is a top-level name; only in brackets, which leave no doubt, any label may
+    end it. A bare word "at" and one between hyphens count only where a disguised dot follows, and the bare one only after a
+    word that is no ordinary one before "at". White space of every kind and length around a disguised sign counts alike. Time is linear in the text.
+    """
     text, edits, free = tape.text, [], 0
     for m in _AT.finditer(text):
         if m.start() < free:
             continue
-        host = _HOST.match(text, m.end())
-        left = max(free, m.start() - NAME_REACH)
-        name = _NAME.search(text[left : m.start()]) if host else None
-        if not name:
+        joined_ = m.group()[0] in "-_"
+        plain = m.group() == "@"
+        end, begin = (m.end(), m.start()) if joined_ else (_blanks_after(text, m.end()), _blanks_before(text, m.start(), free))
+        labels, dots = _host(text, end, joined_ or m.group("bracket") is not None)
+        tops = [i for i in range(1, len(labels)) if _top(text[slice(*labels[i])])]
+        if not tops and not (m.group("bracket") and len(labels) > 1):
+            continue
+        last = tops[-1] if tops else len(labels) - 1
+        hidden = [d for d in dots[:last] if text[slice(*d)] != "."]
+        if not hidden and (m.group("word") or m.group()[0] == "-" or plain and (begin, end) == m.span()):
             continue
-        dots = [d for d in _DISGUISED_DOT.finditer(text, host.start(2), host.end()) if d.group() != "."]
-        if "@" not in m.group() and not re.search(r"[\[({<_-]", m.group()) and not dots:
+        name = _local_before(text, begin, free)
+        if name == begin:
             continue
-        begin = left + name.start()
-        edits += [(d.start(), d.end(), ".") for d in _DISGUISED_DOT.finditer(text, begin, m.start()) if d.group() != "."]
-        edits.append((m.start(), m.end(), "@"))
-        edits += [(d.start(), d.end(), ".") for d in dots]
-        free = host.end()
-    taken = [e[0] for e in edits]
+        before, size = [], begin - name
+        while len(before) < 3 and (d := _dot_before(text, name, free)) is not None:
+            further = _local_before(text, d, free)
+            size += 1 + d - further
+            if further == d or size > LOCAL_MOST:
+                break
+            before.append((d, name, "."))
+            name = further
+        if m.group("word") and not before and text[name:begin].lower() in BEFORE_AT:
+            continue
+        edits += [*before[::-1], (begin, end, "@"), *((*d, ".") for d in hidden)]
+        free = labels[last][1]
+    taken, i = [], 0
     for m in _NUMBER_DOT.finditer(text):
-        if m.group() != "." and taken[(i := bisect_left(taken, m.start())) : i + 1] != [m.start()]:
-            edits.append((m.start(), m.end(), "."))
-    edits.sort()
-    tape.rewrite([e for i, e in enumerate(edits) if not i or edits[i - 1][1] <= e[0]])
-
-
-_AT_HINTS = ("(at", "[at", "{at", "<at", " at ", "arroba", "arobase", "_at_", "-at-", "( at", "[ at", "\nat ", " at\n")
-_DOT_HINTS = ("dot", "punkt", "punto", "point", "[.", "(.", "{.", " . ", "[ .", "( .")
-_DIGIT_PAIR = re.compile(rf"(?<!\w)(?:{_WORD})[ ,.\-]{{1,2}}(?:{_WORD}|dot|point|punkt|punto|[0-9]+)[ ,.\-]{{1,2}}", re.IGNORECASE)
+        while i < len(edits) and edits[i][1] <= m.start():
+            i += 1
+        if i == len(edits) or m.end() <= edits[i][0]:
+            taken.append((*m.span(), "."))
+    tape.rewrite(sorted(edits + taken))
 
 
 def disguised(text: str) -> list[Span]:
     """Spans of the rewritten text, in source offsets; none if nothing was rewritten."""
     tape = Tape(text)
-    if not text.isascii() and _STRANGE.search(text):
+    if not text.isascii():
         plain_characters(tape)
-    low = tape.text.lower()
-    if _DIGIT_PAIR.search(low):
-        spelled_digits(tape)
-        low = tape.text.lower()
-    dotted = any(x in low for x in _DOT_HINTS)
-    if " @" in low or "@ " in low or "@\n" in low or "\n@" in low or re.search(r"[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]|_at_|-at-", low) or dotted and (any(x in low for x in _AT_HINTS) or _DIGIT.search(low)):
-        signs(tape)
+    spelled_digits(tape)
+    signs(tape)
     return [(kind, *tape.source(a, b)) for kind, a, b in base(tape.text)] if tape.changed else []
 
 

@@ -70,7 +70,7 @@ class BatchEncoder:
 
     Byte-level BPE never merges across pre-tokens, so equal pre-tokens have equal ids. The pre-tokens of a block of texts
     are found at once by character classes; a text with characters from U+0250 or with rare control characters, on which
-    regular-expression engines may differ, is encoded whole instead. Strings of special tokens are ordinary text.
+    regular-expression engines may differ, and a text that holds an added token of the model is encoded whole instead.
     """
 
     def __init__(self, path: str):
@@ -78,7 +78,7 @@ class BatchEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.spans = textblocks.SpanIds(self._apart, self.dtype)
         self.table = _classes()
@@ -90,6 +90,16 @@ class BatchEncoder:
         e = self.model.encode(texts, is_pretokenized=True, add_special_tokens=False)
         return np.array(e.ids, self.dtype), np.array(e.word_ids, np.int64)
 
+    def _added_at(self, data: bytes) -> list[int]:
+        """Where strings of added tokens begin."""
+        out = []
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                out.append(at)
+                at = data.find(token, at + 1)
+        return out
+
     def pre_tokens(self, raw: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pre-tokens of texts that each end at one of ``stops`` (a byte that is no text)."""
         points = textblocks.code_points(raw)
@@ -127,6 +137,7 @@ class BatchEncoder:
             odd_byte[:-1] |= (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0))
             odd = np.zeros(n, bool)
             odd[np.searchsorted(offsets, np.flatnonzero(odd_byte), "right") - 1] = True
+            odd[[np.searchsorted(offsets, at, "right") - 1 for at in self._added_at(raw.tobytes())]] = True
             spaced, begins = textblocks.spaced(raw, offsets)
             starts, ends = self.pre_tokens(spaced, begins[1:] - 1)
             owner = np.searchsorted(begins, starts, "right") - 1

@@ -11,6 +11,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python stay small even when single texts are long.
 ARROW_ROWS = 1000
@@ -46,6 +47,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Keys that hold more than one in so many rows are hot; there are fewer of them than this.
+HOT_KEYS = 10_000
+
+
+def hot(rows: DataFrame, key: str, count: str | None = None, least: int = 1000) -> DataFrame | None:
+    """(key, salts) of the keys that hold more than ``least`` rows and more than one in ``HOT_KEYS``; None if there is none.
+
+    ``salts`` is in how many parts a key is dealt, so that none is larger than that. ``count`` names a column that already
+    counts the rows of a key, which then is unique. Fewer than ``HOT_KEYS`` keys come back, whatever the input.
+    """
+    total = rows.agg(F.sum(count) if count else F.count("*")).first()[0] or 0
+    most = max(least, -(-total // HOT_KEYS))
+    if total <= most:
+        return None
+    counted = rows.select(key, F.col(count).alias("__n")) if count else rows.groupBy(key).agg(F.count("*").alias("__n"))
+    found = written(counted.where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__salts")), "hot")
+    return None if found.isEmpty() else found
+
+
+def salted(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique: rows of the hot keys (of ``on[0]``) are dealt over their salts.
+
+    The rows of ``right`` for a hot key are repeated, in all at most twice ``HOT_KEYS`` times for each value of the other keys.
+    """
+    if heavy is None:
+        return left.join(right, on, how)
+    few = F.broadcast(heavy)
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(few, on[0], "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("__salts")
+    repeated = right.join(few, on[0], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt.join(repeated, [*on, "__salt"], how).drop("__salt")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers receive (never raised, only lowered)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

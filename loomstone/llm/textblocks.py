@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,13 +25,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _MULT, np.uint64), np.full(n, _INV, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of a batch, and where each begins; a null text counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -72,13 +64,50 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Spans of more bytes are hashed by BLAKE2b, one by one.
+LONG_SPAN = 64
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """At every position the eight bytes from there on as one number (zeros past the end)."""
+    room = np.zeros(len(raw) // 8 * 8 + 16, np.uint8)
+    room[: len(raw)] = raw
+    return np.lib.stride_tricks.as_strided(room.view("<u8"), (len(raw) + 1,), (1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: polynomial prefix sums modulo 2**64, shifted to each span's start, then mixed."""
-    size = 1 << max(20, int(len(raw)).bit_length())
-    up, down = _powers(size)
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans.
+
+    Up to seven bytes the hash is a bijection of the bytes and their number, so these never collide with one another. Up to
+    ``LONG_SPAN`` bytes two lanes take eight bytes at a time and are mixed into one; longer spans are hashed by BLAKE2b.
+    """
+    at, size = eights(raw), ends - starts
+    first = at[starts] & _MASK[np.minimum(size, 8)]
+    out = mix(first | (size.astype(np.uint64) << np.uint64(56)))
+    some = np.flatnonzero(size > 7)
+    one, two = mix(first[some] ^ _MULT), mix(first[some] * _MULT + size[some].astype(np.uint64))
+    for j in range(8, min(LONG_SPAN, int(size.max(initial=0))), 8):
+        on = np.flatnonzero(size[some] > j)
+        part = at[starts[some[on]] + j] & _MASK[np.minimum(size[some[on]] - j, 8)]
+        one[on], two[on] = mix(one[on] ^ part), mix((two[on] + part) * _MULT)
+    out[some] = mix(one ^ (two << np.uint64(23) | two >> np.uint64(41)))
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def spans_differ(here: np.ndarray, starts: np.ndarray, size: np.ndarray, there: np.ndarray, other_starts: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Which spans have other bytes than the spans beside them; ``here`` and ``there`` are ``eights`` of the data."""
+    out = size != other_size
+    left, at = np.flatnonzero(~out & (size > 0)), 0
+    while len(left):
+        mask = _MASK[np.minimum(size[left] - at, 8)]
+        same = (here[starts[left] + at] ^ there[other_starts[left] + at]) & mask == 0
+        out[left[~same]] = True
+        at += 8
+        left = left[same & (size[left] > at)]
+    return out
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +151,10 @@ def shingles(owner: np.ndarray, hashes: np.ndarray, k: int = 5) -> tuple[np.ndar
 
 
 class SpanIds:
-    """Token ids of byte spans: spans with equal hashes go through the model once and are kept, ``keep`` of them at most.
+    """Token ids of byte spans: equal spans go through the model once and are kept, ``keep`` of them at most.
 
-    ``encode`` gives the ids of a list of texts, one after another, and for each id the number of its text.
+    Kept spans are found by hash and taken only where their bytes are equal. ``encode`` gives the ids of a list of texts,
+    one after another, and for each id the number of its text.
     """
 
     def __init__(self, encode, dtype, keep: int = 600_000):
@@ -134,12 +164,28 @@ class SpanIds:
     def _clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.begins, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.data, self.stops = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.view = eights(self.data)
+
+    def _add(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of new spans."""
+        parts = [raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        flat, owner = self.encode([x.decode() for x in parts])
+        sizes = np.bincount(owner, minlength=len(parts))
+        slots = len(self.sizes) + np.arange(len(parts))
+        self.begins = np.concatenate([self.begins, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, flat.astype(self.dtype)])
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(parts), np.uint8)])
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(ends - starts)])
+        self.view = eights(self.data)
+        return slots
 
     def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans one after another, number of ids of each span)."""
         import pandas as pd
 
-        if len(self.keys) > self.keep:
+        if len(self.keys) > self.keep or len(self.data) > 16 * self.keep:
             self._clear()
         codes, distinct = pd.factorize(span_hashes(raw, starts, ends))
         at = np.searchsorted(self.keys, distinct)
@@ -151,18 +197,17 @@ class SpanIds:
         if len(new):
             first = np.empty(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            data, at = raw.tobytes(), first[new]
-            texts = [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            flat, owner = self.encode(texts)
-            sizes = np.bincount(owner, minlength=len(texts))
-            slots[new] = len(self.sizes) + np.arange(len(new))
+            slots[new] = self._add(raw, starts[first[new]], ends[first[new]])
             keys, held = np.concatenate([self.keys, distinct[new]]), np.concatenate([self.slots, slots[new].astype(np.int32)])
             order = np.argsort(keys, kind="stable")
             self.keys, self.slots = keys[order], held[order]
-            self.begins = np.concatenate([self.begins, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
-            self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
-            self.ids = np.concatenate([self.ids, flat.astype(self.dtype)])
         slot = slots[codes]
+        # spans of up to seven bytes never share a hash with one another, and a longer one shows by its length
+        check = np.flatnonzero((ends - starts > 7) | (self.stops[slot + 1] - self.stops[slot] > 7))
+        own = slot[check]
+        other = check[spans_differ(eights(raw), starts[check], ends[check] - starts[check], self.view, self.stops[own], self.stops[own + 1] - self.stops[own])]
+        if len(other):
+            slot[other] = self._add(raw, starts[other], ends[other])
         size = self.sizes[slot].astype(np.int64)
         ends_ = np.cumsum(size)
         total = int(ends_[-1]) if len(ends_) else 0
