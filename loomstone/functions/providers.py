@@ -43,6 +43,33 @@ class VisualClassifier(Protocol):
     def __call__(self, visuals: DataFrame, text: Column) -> DataFrame: ...
 
 
+class AnswerProvider(Protocol):
+    """Facts of each key, in order, to one answer per key: (key, answer)."""
+
+    def __call__(self, facts: DataFrame, *, key: str, order: str) -> DataFrame: ...
+
+
+class IdentityProvider(Protocol):
+    """Attempts and users to identities and states."""
+
+    def __call__(self, attempts: DataFrame, users: DataFrame) -> DataFrame: ...
+
+
 def chosen(name: str, available: dict[str, Callable], fallback: str) -> Callable:
     """The provider of a setting; where it is not there, the fallback (KeyError only if that is missing too)."""
     return available.get(name) or available[fallback]
+
+
+def load(name: str, loaders: dict[str, Callable[[], Callable]], fallback: str) -> tuple[Callable, str, str]:
+    """(provider, its name, status): the provider of a setting if it can be loaded, else the fallback.
+
+    The status is READY, FALLBACK with the reason (its loader failed) or NOT_CONFIGURED (there is no such loader).
+    """
+    if name not in loaders:
+        return loaders[fallback](), fallback, "NOT_CONFIGURED"
+    try:
+        return loaders[name](), name, "READY"
+    except (ImportError, OSError, RuntimeError) as e:
+        if name == fallback:
+            raise
+        return loaders[fallback](), fallback, f"FALLBACK: {e}"

@@ -5,39 +5,54 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions import providers
+
 DIM, MODEL = 384, "deterministic-hash"
 
 
-def embed(text: str | None, dim: int = DIM) -> list[float]:
-    """Signed hashed words (two seeds), word pairs and character trigrams, length-normalised; an empty text is the first axis."""
+def features(text: str | None) -> list[tuple[str, float]]:
+    """(feature, weight): words under two seeds, word pairs, character trigrams of words."""
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    out = [0.0] * dim
-
-    def put(feature: str, weight: float) -> None:
-        h = hashlib.sha256(feature.encode()).digest()
-        out[int.from_bytes(h[:4], "big") % dim] += weight if h[4] % 2 == 0 else -weight
-
+    out = []
     for w in words:
         base = math.log1p(len(w))
-        put(f"s0:{w}", base)
-        put(f"s1:{w}", base / 2)
-        for i in range(len(w) - 2):
-            put(f"c:{w[i : i + 3]}", 0.4)
-    for a, b in zip(words, words[1:], strict=False):
-        put(f"b:{a}_{b}", 1.5)
-    size = math.sqrt(sum(x * x for x in out))
-    if not size:
-        return [1.0] + [0.0] * (dim - 1)
-    return [x / size for x in out]
+        out += [(f"s0:{w}", base), (f"s1:{w}", base / 2), *((f"c:{w[i : i + 3]}", 0.4) for i in range(len(w) - 2))]
+    return out + [(f"b:{a}_{b}", 1.5) for a, b in zip(words, words[1:], strict=False)]
+
+
+def place(feature: str, dim: int = DIM) -> tuple[int, int]:
+    """(axis, sign) of a feature."""
+    h = hashlib.sha256(feature.encode()).digest()
+    return int.from_bytes(h[:4], "big") % dim, 1 if h[4] % 2 == 0 else -1
+
+
+def embed_all(texts: list[str | None], dim: int = DIM) -> np.ndarray:
+    """One unit row per text, the first axis for an empty one; each distinct feature is hashed once."""
+    found = [features(t) for t in texts]
+    names = pd.factorize(np.array([f for row in found for f, _ in row], object))
+    axes, signs = np.array([place(f, dim) for f in names[1]], np.int64).reshape(-1, 2).T
+    owner = np.repeat(np.arange(len(texts)), [len(row) for row in found])
+    weight = np.array([w for row in found for _, w in row], float)
+    out = np.bincount(owner * dim + axes[names[0]], weight * signs[names[0]], len(texts) * dim).reshape(len(texts), dim)
+    size = np.sqrt((out * out).sum(axis=1))
+    out[size == 0, 0] = 1.0
+    return out / np.where(size == 0, 1.0, size)[:, None]
+
+
+def embed(text: str | None, dim: int = DIM) -> list[float]:
+    return embed_all([text], dim)[0].tolist()
 
 
 def _embed_series(texts: pd.Series) -> pd.Series:
-    return texts.map(embed)
+    rows = [x if isinstance(x, str) else None for x in texts]
+    return pd.Series([v for at in range(0, len(rows), 64) for v in embed_all(rows[at : at + 64])], index=texts.index, dtype=object)
 
 
 def embed_column(text: Column) -> Column:
@@ -57,6 +72,11 @@ def index(chunks: DataFrame, embeddings: DataFrame, model: str = MODEL, *, provi
     return new.select(F.col(key).alias("chunk_id"), F.lit(model).alias("model_name"), provider(F.col(content)).alias("vector")).withColumn("dimensions", F.size("vector"))
 
 
+def loaded(name: str, loaders: dict[str, Callable[[], Callable[[Column], Column]]]) -> tuple[Callable[[Column], Column], str, str]:
+    """(provider, model name, status): the model of a setting if it can be loaded, else the hash embedding."""
+    return providers.load(name, {**loaders, MODEL: lambda: embed_column}, MODEL)
+
+
 def coverage(chunks: DataFrame, embeddings: DataFrame, *, key: str) -> DataFrame:
     """(total, embedded, coverage_pct) of chunks by distinct embedded chunk."""
     total = chunks.agg(F.countDistinct(key).alias("total"))

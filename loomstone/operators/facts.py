@@ -113,34 +113,51 @@ def preferred(rows: DataFrame, *, seq: str = "id") -> DataFrame:
 
 def harmonised(rows: DataFrame) -> DataFrame:
     """Adds value, canonical unit and whether units mix in a way that cannot be converted."""
-    units = rows.agg(F.collect_set(F.upper("unit")).alias("__units"))
-    both = rows.crossJoin(F.broadcast(units))
-    mass = F.forall("__units", lambda u: u.isin(*nx.MASS))
-    several = F.size("__units") > 1
-    canonical = F.when(several & mass, F.lit("MT")).otherwise(F.element_at(F.sort_array("__units"), 1))
-    out = both.withColumns({"canonical_unit": canonical, "unit_mismatch": several & ~mass})
-    return out.withColumn("value", F.when(several & mass, nx.to_canonical_mass(F.col("numeric_value"), F.col("unit"), F.lit("MT"))).otherwise(F.col("numeric_value"))).drop("__units")
+    units = rows.groupBy(F.upper("unit").alias("u")).count().agg(F.array_sort(F.collect_set("u")).alias("__units"))
+    return _in_units(rows.crossJoin(F.broadcast(units))).drop("__units")
 
 
-def operation(name: str, value: Column) -> Column:
-    return {"SUM": F.round(F.sum(value), 4), "AVG": F.round(F.avg(value), 4), "MIN": F.min(value), "MAX": F.max(value), "COUNT": F.count(value).cast("double")}[name]
+def _in_units(rows: DataFrame) -> DataFrame:
+    """Value, canonical unit and mismatch of rows that carry ``__units``, the sorted units of all of them."""
+    mass, several = F.forall("__units", lambda u: u.isin(*nx.MASS)), F.size("__units") > 1
+    canonical = F.when(several & mass, F.lit("MT")).otherwise(F.get("__units", F.lit(0)))
+    value = F.when(several & mass, _as_mass(F.col("numeric_value"))).otherwise(F.col("numeric_value"))
+    return rows.withColumns({"canonical_unit": canonical, "unit_mismatch": several & ~mass, "value": value})
+
+
+def _as_mass(value: Column) -> Column:
+    return nx.to_canonical_mass(value, F.col("unit"), F.lit("MT"))
 
 
 def aggregate(facts: DataFrame, conflicts: DataFrame, want: Intent, allowed: list[str] | None = None, *, terms: int = 8) -> DataFrame:
     """One row: value, unit, record_count, unit_mismatch, verified and a formula of the first ``terms`` records.
 
-    Without candidates the count is 0; where conflicts remove all of them the result is not verified.
+    Without candidates the count is 0; where conflicts remove all of them the result is not verified. Facts are summed by
+    unit, as they are and as mass, and the few units decide which holds; the formula's records come from a bounded top-k.
     """
     found = candidates(facts, want, allowed)
-    rows = harmonised(preferred(without_conflicts(found, conflicts)))
-    label = F.format_string("%s (%s, P.%d)", F.format_number("value", 1), F.coalesce("entity_name", "document_id"), "page_number")
-    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("id", label.alias("t")))), 1, terms), lambda x: x["t"])
-    total = rows.agg(
-        operation(want.operation, F.col("value")).alias("calculated_value"), F.first("canonical_unit").alias("unit"), F.count("*").alias("record_count"),
-        F.coalesce(F.bool_or("unit_mismatch"), F.lit(False)).alias("unit_mismatch"), F.array_join(first, " + ").alias("formula"),
+    rows = preferred(without_conflicts(found, conflicts))
+    parts = {"SUM": F.sum, "AVG": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count}
+    part = parts[want.operation]
+    per_unit = rows.groupBy(F.upper("unit").alias("u")).agg(F.count("*").alias("n"), part("numeric_value").alias("plain"), part(_as_mass(F.col("numeric_value"))).alias("mass"))
+    total = per_unit.agg(F.array_sort(F.collect_set("u")).alias("__units"), F.coalesce(F.sum("n"), F.lit(0)).alias("record_count"), *(_over_units(want.operation, c) for c in ("plain", "mass")))
+    mass, several = F.forall("__units", lambda u: u.isin(*nx.MASS)), F.size("__units") > 1
+    total = total.select(
+        F.when(several & mass, F.col("mass")).otherwise(F.col("plain")).alias("calculated_value"), F.when(several & mass, F.lit("MT")).otherwise(F.get("__units", F.lit(0))).alias("unit"),
+        "record_count", (several & ~mass).alias("unit_mismatch"), "__units",
     )
+    first = _in_units(rows.orderBy("id").limit(terms).crossJoin(F.broadcast(total.select("__units"))))
+    label = F.format_string("%s (%s, P.%d)", F.format_number("value", 1), F.coalesce("entity_name", "document_id"), "page_number")
+    formula = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", label.alias("t")))), lambda x: x["t"]), " + ").alias("formula"))
     seen = found.agg(F.count("*").alias("__found"))
-    return total.crossJoin(seen).withColumn("verified", ~((F.col("record_count") == 0) & (F.col("__found") > 0))).drop("__found")
+    return total.drop("__units").crossJoin(formula).crossJoin(seen).withColumn("verified", ~((F.col("record_count") == 0) & (F.col("__found") > 0))).drop("__found")
+
+
+def _over_units(name: str, column: str) -> Column:
+    """One operation over all units from the parts of each."""
+    c = F.col(column)
+    made = {"SUM": F.round(F.sum(c), 4), "AVG": F.round(F.sum(c) / F.sum("n"), 4), "MIN": F.min(c), "MAX": F.max(c), "COUNT": F.sum(c).cast("double")}
+    return made[name].alias(column)
 
 
 def lookup(facts: DataFrame, fields: list[str], entity: str | None, *, most: int = 20) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.operators.folds import per_key
+from loomstone.operators.folds import in_order
 
 #: What a verdict does to a task, its field and its conflict.
 ACTIONS = {"APPROVE": ("VERIFIED", "VERIFIED", "RESOLVED"), "CORRECT": ("CORRECTED", "CORRECTED", "RESOLVED"), "REJECT": ("REJECTED", "REJECTED", "UNRESOLVED"), "DEFER": ("DEFERRED", "UNVERIFIED", "DEFERRED")}
@@ -61,23 +61,18 @@ def job_states(events: DataFrame, *, key: str, at: Column, most_retries: int = 3
 def rate_limited(requests: DataFrame, *, client: str, at: str, limit: int = REQUESTS_PER_MINUTE, window: float = 60.0) -> DataFrame:
     """Requests with ``allowed`` by a sliding window in which rejected ones do not count.
 
-    Whether one is allowed depends on which earlier ones were, so a client's requests are folded in order, in one task.
+    Whether one is allowed depends on which earlier ones were, so a client's requests pass in order, and of a client only the
+    allowed ones of the last window (``limit`` at most) are held.
     """
 
-    def fold(group):
-        group = group.sort_values(at)
-        kept: list = []
-        out = []
-        for x in group[at]:
-            kept = [k for k in kept if (x - k).total_seconds() < window]
-            ok = len(kept) < limit
-            if ok:
-                kept.append(x)
-            out.append(ok)
-        return group.assign(allowed=out)
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in requests.dtypes) + ", allowed boolean"
-    return per_key(requests, client, fold, schema)
+    def allowed(kept: list, x) -> bool:
+        kept[:] = [k for k in kept if (x - k).total_seconds() < window]
+        if len(kept) < limit:
+            kept.append(x)
+            return True
+        return False
+
+    return in_order(requests, client, at, list, allowed, "allowed", "boolean")
 
 
 def register(**parts: DataFrame) -> DataFrame:

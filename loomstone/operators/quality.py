@@ -91,17 +91,31 @@ def candidates(facts: DataFrame, groups: DataFrame, *, entity: str, metric: str,
     return members.select("entity", "metric", "period", *columns)
 
 
-def relate(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float) -> DataFrame:
+def relate(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float, most: int = 1000) -> DataFrame:
     """Edges between documents of one scope that share a value: (source, target, relationship_type, confidence, n_shared).
 
-    Values are the join key, so documents are compared only where they share one.
+    Values are the join key, so documents are compared only where they share one; a value of more than ``most`` documents
+    is dealt over several tasks. The edges of a value are as many as its pairs: ``shared_groups`` says the same in rows
+    that grow with the mentions.
     """
     distinct = mentions.select(document, scope, value).distinct()
-    a, b = distinct.alias("a"), distinct.alias("b")
-    pairs = a.join(b, [scope, value]).where(F.col(f"a.{document}") < F.col(f"b.{document}"))
+    sized = distinct.join(distinct.groupBy(scope, value).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")), [scope, value])
+    a = sized.withColumn("__part", F.pmod(F.xxhash64(document), F.col("__parts")).cast("int")).alias("a")
+    b = sized.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).alias("b")
+    pairs = a.join(b, [scope, value, "__part"]).where(F.col(f"a.{document}") < F.col(f"b.{document}"))
     return pairs.groupBy(F.col(f"a.{document}").alias("source_document_id"), F.col(f"b.{document}").alias("target_document_id")).agg(F.count("*").alias("n_shared")).withColumns({"relationship_type": F.lit(kind), "confidence": F.lit(confidence)})
 
 
+def shared_groups(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float) -> DataFrame:
+    """Groups of documents of one scope that share a value: (scope, value, representative, document, n_documents, ...).
+
+    One row per member; two documents are related if they are members of one group. The least document represents it.
+    """
+    distinct = mentions.where(F.col(value).isNotNull()).select(document, scope, value).distinct()
+    groups = distinct.groupBy(scope, value).agg(F.min(document).alias("representative"), F.count("*").alias("n_documents")).where("n_documents > 1")
+    return distinct.join(groups, [scope, value]).select(scope, value, "representative", document, "n_documents").withColumns({"relationship_type": F.lit(kind), "confidence": F.lit(confidence)})
+
+
 def family_key(tokens: Column) -> Column:
     """Documents with one key are a family: the first token if it is long and not generic, else the first two unless both are."""
     first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))

@@ -110,28 +110,40 @@ def logical(tables: DataFrame) -> DataFrame:
     )
 
 
-def merged_headers(levels: list[list[str | None]]) -> list[str]:
-    """Header names of several rows: merged cells carried right and down, levels joined, duplicates numbered."""
-    width = max(map(len, levels))
-    names = []
-    for i in range(width):
-        path: list[str] = []
-        for depth, row in enumerate(levels):
-            cell = row[i] if i < len(row) else None
-            if not cell and depth < len(levels) - 1:
-                cell = next((row[j] for j in range(min(i, len(row) - 1), -1, -1) if row[j]), None)
-            if cell and (not path or path[-1] != cell.strip()):
-                path.append(cell.strip())
-        names.append(" | ".join(path) or f"Col_{i + 1}")
-    return [n if names.count(n) == 1 else f"{n} [col={i + 1}]" for i, n in enumerate(names)]
+Merge = tuple[int, int, int, int]
 
 
-def is_data_row(cells: list[str | None], share: float = 0.40) -> bool:
-    """At least ``share`` of the non-empty cells are numbers."""
-    full = [c for c in cells if c and str(c).strip()]
-    return bool(full) and sum(re.fullmatch(r"-?[\d,]*\.?\d+%?", str(c).strip()) is not None for c in full) / len(full) >= share
+def merged_headers(levels: list[list[str | None]], merges: list[Merge] = ()) -> list[str]:
+    """Header names of several rows: merged cells (first row, first column, last row, last column, from one) carried over
+    their ranges, levels joined, repeated names numbered by their column."""
+    width = max(map(len, levels), default=0)
+    grid = [["" if c is None else str(c).strip() for c in row] + [""] * (width - len(row)) for row in levels]
+    for top, left, bottom, right in merges:
+        if top <= len(grid) and left <= width and (value := grid[top - 1][left - 1]):
+            for row in grid[top - 1 : bottom]:
+                row[left - 1 : right] = [c or value for c in row[left - 1 : right]]
+    names: list[str] = []
+    for i, path in enumerate(zip(*grid, strict=True)):
+        steps = [c for j, c in enumerate(path) if c and c != next((p for p in reversed(path[:j]) if p), None)]
+        name = " | ".join(steps) or f"Col_{i + 1}"
+        names.append(f"{name} [col={i + 1}]" if name in names else name)
+    return names
+
 
+def _is_number(cell) -> bool:
+    return re.fullmatch(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", re.sub(r"^[₹$€£\s]+", "", str(cell).strip()).replace(",", "").rstrip("%")) is not None
 
-def header_depth(rows: list[list[str | None]], most: int = 6) -> int:
-    """Rows before the first data row, at least one."""
-    return max(1, next((i for i, r in enumerate(rows[:most]) if is_data_row(r)), 1))
+
+def is_data_row(cells: list[str | None], share: float = 0.40) -> bool:
+    """At least ``share`` of the non-empty cells are numbers, with or without currency or percent sign."""
+    full = [c for c in cells if c is not None and str(c).strip()]
+    return bool(full) and sum(map(_is_number, full)) / len(full) >= share
+
+
+def header_depth(rows: list[list[str | None]], merges: list[Merge] = (), most: int = 6) -> int:
+    """Rows before the first data row where ranges are merged at the top (else as far as these reach); one without any."""
+    top = [m for m in merges if m[0] <= most and (m[2] > m[0] or m[3] > m[1])]
+    if not top:
+        return 1
+    first = next((i for i, r in enumerate(rows[: most + 2]) if is_data_row(r)), None)
+    return min(most, max(1, max(m[2] for m in top) if first is None else first))

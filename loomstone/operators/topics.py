@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +14,27 @@ MIN_CHUNKS, MIN_DOCUMENTS = 3, 2
 MAX_DISTANCE, Z, MIN_SIZE = 0.65, 1.5, 2
 
 
-def refused(chunks: int, documents: int) -> bool:
+def refused(chunks: Column, documents: Column) -> Column:
     """A corpus too small for topics."""
-    return chunks < MIN_CHUNKS or documents < MIN_DOCUMENTS
+    return (chunks < MIN_CHUNKS) | (documents < MIN_DOCUMENTS)
+
+
+def state(chunks: Column) -> Column:
+    """struct<status, progress> of an analysis: a corpus too small stops at the first step."""
+    small = chunks < MIN_CHUNKS
+    return F.struct(F.when(small, "INSUFFICIENT_CORPUS").otherwise("COMPLETED").alias("status"), F.when(small, 10).otherwise(100).alias("progress"))
 
 
-def method(chunks: int) -> str:
+def method(chunks: Column) -> Column:
     """The label of an analysis by its size."""
-    return "TFIDF_KEYWORD" if chunks < 10 else "NMF_TFIDF" if chunks < 50 else "EMBEDDING_CLUSTER_CTFIDF"
+    return F.when(chunks < 10, "TFIDF_KEYWORD").when(chunks < 50, "NMF_TFIDF").otherwise("EMBEDDING_CLUSTER_CTFIDF")
 
 
-def topic_count(n: int, wanted: int | None = None) -> int:
+def topic_count(n: Column, wanted: int | None = None) -> Column:
+    """How many topics ``n`` chunks get; ``wanted`` is held between 2 and n - 1."""
     if wanted is not None:
-        return max(2, min(wanted, n - 1))
-    return 2 if n <= 5 else 3 if n <= 15 else 4 if n <= 50 else min(6, int(math.sqrt(n / 2)))
+        return F.greatest(F.lit(2), F.least(F.lit(wanted), (n - 1).cast("int")))
+    return F.when(n <= 5, 2).when(n <= 15, 3).when(n <= 50, 4).otherwise(F.least(F.lit(6), F.floor(F.sqrt(n / 2)).cast("int")))
 
 
 def term_counts(chunks: DataFrame, *, topic: str, text: str) -> DataFrame:
@@ -40,17 +45,19 @@ def term_counts(chunks: DataFrame, *, topic: str, text: str) -> DataFrame:
 def c_tf_idf(counts: DataFrame, *, topic: str, stopwords: list[str] | None = None, min_count: int = 1, top: int = 10) -> DataFrame:
     """The ``top`` terms of each topic: (topic, term, f, weight, rank), weight = f / mass(topic) * ln(1 + mean mass / f(term)).
 
-    Masses count every token, stop words too; the vocabulary leaves them out. Totals per topic and per term come from the
-    counts, which are small next to the tokens.
+    Masses count every token, stop words too; the vocabulary leaves them out. The counts are used twice, for the masses and
+    for the terms, by equal plans, so that one shuffle serves both and texts are read once.
     """
-    mass = counts.groupBy(topic).agg(F.sum("f").alias("mass"))
-    mean = mass.agg(F.avg("mass").alias("mean_mass"))
-    known = counts.where(~F.col("term").isin(*stopwords)) if stopwords else counts
-    total = known.groupBy("term").agg(F.sum("f").alias("total")).where(F.col("total") >= min_count)
-    rows = known.join(total, "term").join(F.broadcast(mass), topic).crossJoin(F.broadcast(mean))
+    mass = counts.groupBy(topic).agg(F.sum("f").alias("mass")).withColumn("mean_mass", F.avg("mass").over(Window.partitionBy()))
+    rows = counts.withColumn("total", F.sum("f").over(Window.partitionBy("term"))).join(F.broadcast(mass), topic)
     weight = F.col("f") / F.col("mass") * F.log(1 + F.col("mean_mass") / F.col("total"))
+    kept = F.col("total") >= min_count
+    if stopwords:
+        kept = kept & ~F.col("term").isin(*stopwords)
+    # the filter reads a computed column, so it stays above the counts and their plan stays shared
+    rows = rows.withColumn("weight", F.when(kept, weight)).where("weight IS NOT NULL")
     order = Window.partitionBy(topic).orderBy(F.desc(F.round("weight", 9)), "term")
-    ranked = rows.withColumn("weight", weight).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select(topic, "term", "f", F.round("weight", 6).alias("weight"), "rank")
 
 
@@ -115,15 +122,25 @@ def diversity(terms: DataFrame) -> Column:
     return F.round(F.countDistinct("term") / F.count("*"), 4)
 
 
-def cluster(vectors: DataFrame, k: int, *, vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """Unit vectors, principal components when there are enough rows, k-means; adds ``topic``."""
+def cluster(vectors: DataFrame, k: int, *, vector: str = "embedding", seed: int = 42, starts: int = 10) -> DataFrame:
+    """Unit vectors, their projection on the leading singular vectors when there are enough rows, k-means; adds ``topic``.
+
+    The singular vectors are those of the uncentred rows, from their Gram matrix (as wide as a vector); of ``starts``
+    k-means runs the one of least cost counts.
+    """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, Normalizer
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.linalg import Vectors
 
     rows = Normalizer(inputCol="__v", outputCol="__u", p=2.0).transform(vectors.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
     n = vectors.count()
     use = "__u"
     if n > 5:
-        rows, use = PCA(k=min(10, n - 1), inputCol="__u", outputCol="__p").fit(rows).transform(rows), "__p"
-    return KMeans(k=k, seed=seed, featuresCol=use, predictionCol="topic").fit(rows).transform(rows).drop("__v", "__u", "__p")
+        basis = RowMatrix(rows.select(vector_to_array("__u").alias("x")).rdd.map(lambda r: Vectors.dense(r.x))).computeSVD(min(10, n - 1)).V.toArray().T
+        axes = [F.array(*map(F.lit, map(float, axis))) for axis in basis]
+        rows, use = rows.withColumn("__p", array_to_vector(F.array(*(vx.dot(vector_to_array("__u"), a) for a in axes)))), "__p"
+    models = [KMeans(k=k, seed=seed + i, featuresCol=use, predictionCol="topic").fit(rows) for i in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(rows).drop("__v", "__u", "__p")

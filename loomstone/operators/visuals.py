@@ -12,7 +12,7 @@ ACCEPT = 0.70
 #: Pattern, class, base confidence; a class adds 0.6 of each base, at most 1.
 RULES = (
     (r"\bmine\s*plan\b", "MINE_PLAN", 0.75), (r"\bmine\s*layout\b", "MINE_PLAN", 0.65), (r"\bquarry\s*layout\b", "MINE_PLAN", 0.70),
-    (r"\bcross[- ]?section\b", "CROSS_SECTION", 0.75), (r"\bsection\s+[A-Z][-–—][A-Z]", "CROSS_SECTION", 0.70),
+    (r"\bcross[- ]?section\b", "CROSS_SECTION", 0.75), (r"\bsection\s+[A-Z][-–—][A-Z]['’]?\b", "CROSS_SECTION", 0.70),
     (r"\bgeological\s+section\b", "GEOLOGICAL_SECTION", 0.75), (r"\blitho\s*log\b", "GEOLOGICAL_SECTION", 0.65),
     (r"\bborehole\s*log\b", "BOREHOLE_LOG", 0.80), (r"\bbore\s*hole\b", "BOREHOLE_LOG", 0.55), (r"\bdrill\s*(?:ing)?\s*log\b", "BOREHOLE_LOG", 0.65),
     (r"\bstratigraph", "STRATIGRAPHIC_DIAGRAM", 0.75), (r"\bcolumnar\s+section\b", "STRATIGRAPHIC_DIAGRAM", 0.65),

@@ -62,6 +62,12 @@ for _word, _sql in (("total", "sum(value)"), ("average", "avg(value)"), ("minimu
     query(f"agg_06_{_word.split()[0]}", _aggregate_sql(_sql))(lambda t, w=_word: _aggregate(t, w))
 
 
+@query("agg_06_formula", f"""{PREFERRED}, f AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM val)
+SELECT array_to_string(list(printf('%,.1f', value) || ' (' || coalesce(entity_name, document_id) || ', P.' || page_number || ')' ORDER BY id), ' + ') AS formula FROM f WHERE n <= 8""")
+def agg_06_formula(t: Tables):
+    return fx.aggregate(fact_rows(t), conflict_rows(t), fx.intent(QUESTION.format("total"))).select("formula")
+
+
 @query("qa_03_preferred_facts", f"{PREFERRED} SELECT id, entity_name, field_name, round(value, 4) AS value FROM val")
 def qa_03(t: Tables):
     want = fx.intent(QUESTION.format("total"))
@@ -103,7 +109,7 @@ def qa_07(t: Tables):
 
 @query("qa_09_conflict_variance", """
 WITH m AS (SELECT l_partkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber, l_extendedprice) AS n FROM lineitem)
-SELECT a.l_partkey, a.v AS first, b.v AS second, round(b.v - a.v, 2) AS variance FROM m a JOIN m b ON a.l_partkey = b.l_partkey AND a.n = 1 AND b.n = 2""")
+SELECT l_partkey, v AS first, second, round(second - v, 2) AS variance FROM (SELECT *, lead(v) OVER (PARTITION BY l_partkey ORDER BY n) AS second FROM m) WHERE n = 1 AND second IS NOT NULL""")
 def qa_09(t: Tables):
     rows = t.lineitem.withColumn("o", F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_extendedprice"))
     return fx.conflict_variance(rows, group="l_partkey", value="l_extendedprice", order="o").select("l_partkey", "first", "second", F.round("variance", 2).alias("variance"))
@@ -238,6 +244,14 @@ def rel_01(t: Tables):
     return qx.relate(m, document="d", scope="n", value="v", kind="SAME_MINE", confidence=1.0)
 
 
+@query("rel_01_groups", """
+WITH m AS (SELECT DISTINCT s_suppkey AS d, s_nationkey AS n, l_partkey AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT n, v, min(d) OVER g AS representative, d, count(*) OVER g AS n_documents, 'SAME_MINE' AS relationship_type, 1.0::DOUBLE AS confidence FROM m WINDOW g AS (PARTITION BY n, v) QUALIFY n_documents > 1""")
+def rel_01_groups(t: Tables):
+    m = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("d"), F.col("s_nationkey").alias("n"), F.col("l_partkey").alias("v"))
+    return qx.shared_groups(m, document="d", scope="n", value="v", kind="SAME_MINE", confidence=1.0)
+
+
 @query("jon_11_pairs_in_organization", f"""
 WITH m AS (SELECT DISTINCT s_suppkey AS d, s_nationkey AS n, {PERIOD} AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
 SELECT a.d AS source_document_id, b.d AS target_document_id, count(*) AS n_shared, 'SAME_PERIOD' AS relationship_type, 0.95::DOUBLE AS confidence FROM m a JOIN m b ON a.n = b.n AND a.v = b.v AND a.d < b.d GROUP BY 1, 2""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.operators import extraction, geology, grounding, reports, tables, visuals
 from loomstone.operators import governance as gv
 from loomstone.plans.catalog import Tables, query
+from loomstone.session import shared_folder
 from loomstone.sources import readers, sinks
 from loomstone.streaming import jobs
 
@@ -46,13 +47,21 @@ def ext_02(t: Tables):
     return found.groupBy("table_id", "field_name", "unit").agg(F.count("*").alias("n"), F.round(F.sum("numeric_value"), 2).alias("total"))
 
 
-@query("ext_04_pipeline", "SELECT p_partkey AS id, 5 AS n_fields, 'PASS' AS status FROM part")
+@query("ext_04_pipeline", """
+SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 2 THEN 3 ELSE 4 END AS n_fields, CASE WHEN p_size * 3 > 100 THEN 'ERROR' WHEN p_size * 3 > 65 OR p_partkey % 3 = 1 THEN 'WARNING' ELSE 'PASS' END AS status,
+  CASE WHEN p_size * 3 > 100 THEN 1 ELSE 0 END AS n_tasks FROM part""")
 def ext_04(t: Tables):
-    from loomstone.operators.quality import validate
+    """Extraction, deduplication, validation and review tasks, over notes that repeat a fact, state a bad year or no mine."""
+    from loomstone.operators import governance as gv
+    from loomstone.operators.quality import overall, validate
 
-    facts = extraction.from_texts(_notes(t)).withColumns({"page_number": F.lit(1), "seq": F.monotonically_increasing_id()})
+    k = F.col("p_partkey") % 3
+    text = F.format_string("%sCoal Production: %.2f MT. Coal Production: %.2f MT. Ash Content %d%%. FY 2023-24.", F.when(k == 2, "").otherwise(F.format_string("Mine Name: Pit %d, ", "p_partkey")), "p_retailprice", "p_retailprice", F.col("p_size") * 3)
+    facts = extraction.from_texts(t.part.select(F.col("p_partkey").alias("id"), text.alias("content"), k.alias("k"))).withColumns({"page_number": F.lit(1), "unit": F.when((F.col("field_name") == "production_quantity") & (F.col("id") % 3 == 1), "").otherwise(F.col("unit"))})
     checked = validate(extraction.deduplicated(facts, document="id", page="page_number", order="field_name"))
-    return checked.groupBy("id").agg(F.count("*").cast("int").alias("n_fields"), F.max("validation_status").alias("status"))
+    tasks = gv.review_tasks(facts=checked).groupBy(F.col("object_id").cast("long").alias("id")).agg(F.count("*").alias("n"))
+    found = checked.groupBy("id").agg(F.count("*").cast("int").alias("n_fields"), overall(F.flatten(F.collect_list("validation"))).alias("status"))
+    return found.join(tasks, "id", "left").select("id", "n_fields", "status", F.coalesce("n", F.lit(0)).cast("int").alias("n_tasks"))
 
 
 # strata -----------------------------------------------------------------------------------------------------------
@@ -130,42 +139,68 @@ def sca_13(t: Tables):
 
 
 # tables and visuals -----------------------------------------------------------------------------------------------
+#: What follows the first table of a document, by supplier: page, caption, header, whether its rows repeat the header, and
+#: what comes out (worked out by hand from the weights): score, status.
+FOLLOWERS = {
+    0: (2, "Table 1 (contd.)", ("Mine", "Output"), True, 1.0, "AUTO_MERGED"),  # .15 base + .35 repeated + .35 cue + .10 top + .10 aligned, at most 1
+    1: (2, "", ("Mine", "Output"), False, 0.55, "REVIEW_REQUIRED"),  # .15 + .20 identical + .10 + .10
+    2: (2, "", (), False, 0.60, "REVIEW_REQUIRED"),  # .15 + .25 headless + .10 + .10
+    3: (2, "", ("Year", "Grade"), False, 0.0, "STANDALONE"),  # .15 - .40 contradiction + .10 + .10 < 0
+    4: (3, "Table 1 (contd.)", ("Mine", "Output"), True, 0.0, "STANDALONE"),  # a page is missing: gate
+    5: (2, "Table 1", (), False, 0.85, "AUTO_MERGED"),  # .15 + .25 + .25 same caption + .10 + .10
+}
+
+
+def _physical(t: Tables) -> DataFrame:
+    """Three tables per supplier: the second is one of ``FOLLOWERS``, the third stands far away."""
+    row = lambda *c: F.array(*map(F.lit, c)) if c else F.array().cast("array<string>")
+    page = lambda p, cap, h, *rows: F.struct(F.lit(p).alias("page_number"), F.lit(0).alias("table_index"), F.lit(cap).alias("caption"), row(*h).alias("headers"), F.array(*(row(*r) for r in rows)).alias("rows"))
+    second = None
+    for k, (at, cap, head, repeated, _, _) in FOLLOWERS.items():
+        one = page(at, cap, head, *[("Mine", "Output")] * repeated, ("c", "3"))
+        second = F.when(F.col("s_suppkey") % 6 == k, one) if second is None else second.when(F.col("s_suppkey") % 6 == k, one)
+    three = F.array(page(1, "Table 1", ("Mine", "Output"), ("a", "1"), ("b", "2")), second, page(9, "Table 2", ("Mine", "Output"), ("d", "4")))
+    return t.supplier.select(F.col("s_suppkey").cast("string").alias("document_id"), F.explode(three).alias("x")).select("document_id", "x.*")
+
+
 def _stitched(t: Tables) -> DataFrame:
-    """Three tables per supplier: the second continues the first, the third stands alone."""
-    row = lambda *c: F.array(*map(F.lit, c))
-    head = row("Mine", "Output")
-    page = lambda p, cap, h, *rows: F.struct(F.lit(p).alias("page_number"), F.lit(0).alias("table_index"), F.lit(cap).alias("caption"), h.alias("headers"), F.array(*rows).alias("rows"))
-    three = F.array(page(1, "Table 1", head, row("a", "1"), row("b", "2")), page(2, "Table 1 (contd.)", head, row("Mine", "Output"), row("c", "3")), page(5, "Table 2", head, row("d", "4")))
-    return tables.stitched(t.supplier.select(F.col("s_suppkey").cast("string").alias("document_id"), F.explode(three).alias("x")).select("document_id", "x.*"))
+    return tables.stitched(_physical(t))
 
 
-PARTS = "SELECT CAST(s_suppkey AS VARCHAR) AS document_id, p AS page_number, CASE p WHEN 2 THEN 2 ELSE 1 END AS part_number, CASE p WHEN 5 THEN 1 ELSE 2 END AS total_parts, CASE p WHEN 2 THEN 'AUTO_MERGED' ELSE 'STANDALONE' END AS continuation_status FROM supplier, (VALUES (1), (2), (5)) v(p)"
+CASES = ", ".join(f"({k}, {at}, {score}::DOUBLE, '{status}')" for k, (at, _, _, _, score, status) in FOLLOWERS.items())
+PARTS = f"""SELECT CAST(s_suppkey AS VARCHAR) AS document_id, CASE i WHEN 1 THEN 1 WHEN 2 THEN pg ELSE 9 END AS page_number,
+  CASE WHEN i = 2 AND status = 'AUTO_MERGED' THEN 2 ELSE 1 END AS part_number, CASE WHEN i < 3 AND status = 'AUTO_MERGED' THEN 2 ELSE 1 END AS total_parts,
+  CASE WHEN i = 2 THEN status ELSE 'STANDALONE' END AS continuation_status, CASE WHEN i = 2 AND score > 0 THEN score ELSE 1.0 END AS continuation_confidence
+FROM supplier JOIN (VALUES {CASES}) c(k, pg, score, status) ON s_suppkey % 6 = k, (VALUES (1), (2), (3)) v(i)"""
 
 
-@query("tab_02_stitching", PARTS)
+@query("tab_02_stitching", f"SELECT document_id, page_number, part_number, total_parts, continuation_status FROM ({PARTS})")
 def tab_02(t: Tables):
     return _stitched(t).select("document_id", "page_number", "part_number", "total_parts", "continuation_status")
 
 
-query("tab_01_continuation_score", "SELECT CAST(s_suppkey AS VARCHAR) AS document_id, p AS page_number, CASE p WHEN 2 THEN 1.0 ELSE 1.0 END::DOUBLE AS continuation_confidence FROM supplier, (VALUES (1), (2), (5)) v(p)")(lambda t: _stitched(t).select("document_id", "page_number", "continuation_confidence"))
+query("tab_01_continuation_score", f"SELECT document_id, page_number, continuation_confidence FROM ({PARTS})")(lambda t: _stitched(t).select("document_id", "page_number", "continuation_confidence"))
 query("win_08_part_numbers", f"SELECT document_id, max(part_number) AS parts FROM ({PARTS}) GROUP BY 1")(lambda t: _stitched(t).groupBy("document_id").agg(F.max("part_number").alias("parts")))
+LOGICAL = f"""SELECT document_id, CASE WHEN page_number = 1 THEN 'MERGED' ELSE 'STANDALONE' END AS status, CASE page_number WHEN 1 THEN 3 ELSE 1 END AS n_rows, CASE page_number WHEN 1 THEN 2 ELSE 1 END AS n_pages, s % 6 = 0 AND page_number = 1 AS has_repeated_headers
+  FROM (SELECT *, CAST(document_id AS BIGINT) AS s FROM ({PARTS})) WHERE s % 6 IN (0, 5) AND page_number <> 2
+UNION ALL SELECT document_id, CASE WHEN continuation_status = 'REVIEW_REQUIRED' THEN 'REVIEW_REQUIRED' ELSE 'STANDALONE' END, CASE WHEN page_number = 1 THEN 2 WHEN page_number = 3 THEN 2 ELSE 1 END, 1, false FROM ({PARTS}) WHERE CAST(document_id AS BIGINT) % 6 NOT IN (0, 5)"""
 
 
-@query("tab_03_logical_view", "SELECT CAST(s_suppkey AS VARCHAR) AS document_id, n_rows, n_pages, status FROM supplier, (VALUES (3, 2, 'MERGED'), (1, 1, 'STANDALONE')) v(n_rows, n_pages, status)")
+@query("tab_03_logical_view", f"SELECT document_id, n_rows, n_pages, status FROM ({LOGICAL})")
 def tab_03(t: Tables):
     return tables.logical(_stitched(t)).select("document_id", F.size("rows").alias("n_rows"), F.size("pages").alias("n_pages"), "status")
 
 
-query("agg_18_logical_rollup", "SELECT CAST(s_suppkey AS VARCHAR) AS document_id, 4 AS n_rows, true AS has_repeated_headers FROM supplier")(lambda t: tables.logical(_stitched(t)).groupBy("document_id").agg(F.sum(F.size("rows")).cast("int").alias("n_rows"), F.bool_or("has_repeated_headers").alias("has_repeated_headers")))
+query("agg_18_logical_rollup", f"SELECT document_id, CAST(sum(n_rows) AS INTEGER) AS n_rows, bool_or(has_repeated_headers) AS has_repeated_headers FROM ({LOGICAL}) GROUP BY 1")(lambda t: tables.logical(_stitched(t)).groupBy("document_id").agg(F.sum(F.size("rows")).cast("int").alias("n_rows"), F.bool_or("has_repeated_headers").alias("has_repeated_headers")))
 
 
 def _visuals(t: Tables) -> DataFrame:
-    k = F.col("p_partkey") % 5
-    cap = F.when(k == 0, "Figure 2.1: Geological map of the block. Scale 1:4000").when(k == 1, "Plate IV - Borehole log of BH-7, bore hole section").when(k == 2, "A picture").when(k == 3, "Table image of the table").otherwise("Bar chart and histogram chart")
+    k = F.col("p_partkey") % 9
+    cap = F.when(k == 0, "Figure 2.1: Geological map of the block. Scale 1:4000").when(k == 1, "Plate IV - Borehole log of BH-7, bore hole section").when(k == 2, "A picture").when(k == 3, "Table image of the table").when(k == 4, "Bar chart and histogram chart").when(k == 5, "Section A-BCD of the report").when(k == 6, F.format_string("Cross-section %d, section A-B'", "p_size")).when(k == 7, "Photograph of a blueprint").otherwise("Stratigraphic columnar section, plate")
     return t.part.select(F.col("p_partkey").alias("id"), cap.alias("caption"))
 
 
-@query("vis_01_classes", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'MAP' WHEN 1 THEN 'BOREHOLE_LOG' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'TABLE_IMAGE' ELSE 'CHART' END AS visual_type, CASE p_partkey % 5 WHEN 0 THEN 0.81 WHEN 1 THEN 0.81 WHEN 2 THEN 0 WHEN 3 THEN 0.63 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN p_partkey % 5 IN (2, 3) THEN 'REVIEW_REQUIRED' ELSE 'ACCEPTED' END AS review_status FROM part")
+@query("vis_01_classes", "SELECT p_partkey AS id, kind AS visual_type, confidence, CASE WHEN confidence >= 0.7 THEN 'ACCEPTED' ELSE 'REVIEW_REQUIRED' END AS review_status FROM part JOIN (VALUES (0, 'MAP', 0.81::DOUBLE), (1, 'BOREHOLE_LOG', 0.81), (2, 'UNKNOWN', 0.0), (3, 'TABLE_IMAGE', 0.63), (4, 'CHART', 1.0), (5, 'UNKNOWN', 0.0), (6, 'CROSS_SECTION', 0.87), (7, 'PHOTOGRAPH', 0.45), (8, 'STRATIGRAPHIC_DIAGRAM', 0.84)) v(k, kind, confidence) ON p_partkey % 9 = k")
 def vis_01(t: Tables):
     return visuals.classified(_visuals(t), F.col("caption")).select("id", "visual_type", "confidence", "review_status")
 
@@ -173,7 +208,7 @@ def vis_01(t: Tables):
 query("vis_02_taxonomy", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'MAP' ELSE 'UNKNOWN' END AS kind FROM part")(lambda t: t.part.select(F.col("p_partkey").alias("id"), visuals.taxonomy(F.when(F.col("p_partkey") % 2 == 0, " map ").otherwise("doodle")).alias("kind")))
 
 
-@query("sca_14_figures", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Figure 2.1' WHEN 1 THEN 'Plate IV' END AS number, CASE p_partkey % 5 WHEN 0 THEN 'Geological map of the block.' WHEN 1 THEN 'Borehole log of BH-7, bore hole section' END AS caption FROM part")
+@query("sca_14_figures", "SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'Figure 2.1' WHEN 1 THEN 'Plate IV' END AS number, CASE p_partkey % 9 WHEN 0 THEN 'Geological map of the block.' WHEN 1 THEN 'Borehole log of BH-7, bore hole section' END AS caption FROM part")
 def sca_14(t: Tables):
     return _visuals(t).select("id", visuals.figure(F.col("caption")).alias("f")).select("id", "f.number", "f.caption")
 
@@ -344,11 +379,11 @@ query("set_01_cross_modal_union", REGISTER)(lambda t: _register(t).groupBy("moda
 query("gov_04_evidence_register", "SELECT 'visual' AS modality, page_id AS doc_id FROM pages")(lambda t: _register(t).where("modality = 'visual'").select("modality", "doc_id"))
 
 
-@query("gov_05_audit_list", "SELECT event_id FROM events WHERE user_id % 3 <> 0 AND (user_id % 9 = 4 OR user_id % 9 = 1) ORDER BY ts DESC, event_id LIMIT 100")
+@query("gov_05_audit_list", "SELECT event_id FROM events WHERE user_id % 9 IN (1, 4) ORDER BY ts DESC, event_id LIMIT 100")
 def gov_05(t: Tables):
     from loomstone.operators.scope import scoped_or_global
 
-    rows = t.events.where("user_id % 3 <> 0").withColumn("org", F.when(F.col("user_id") % 9 != 1, (F.col("user_id") % 9).cast("string")))
+    rows = t.events.withColumn("org", F.when(F.col("user_id") % 9 != 1, (F.col("user_id") % 9).cast("string")))
     return scoped_or_global(rows, "org", ["4"]).orderBy(F.desc("ts"), "event_id").limit(100).select("event_id")
 
 
@@ -388,10 +423,7 @@ query("str_06_progress", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS
 
 def _streamed(t: Tables, shape) -> DataFrame:
     """Run a stream over the events to its end and read what it wrote."""
-    folder = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomstone-stream-")
-    import uuid
-
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    at = f"{shared_folder(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
     rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     rows.write.parquet(f"{at}/in")
     out = shape(jobs.events(t.spark, f"{at}/in", rows, files_per_batch=100))
@@ -414,13 +446,17 @@ def str_ext(t: Tables):
 @query("str_05_incremental_pull", "SELECT 'sap-' || i AS record_id FROM range(0, 100) t(i) WHERE i % 30 > 20")
 def str_05(t: Tables):
     t.spark.dataSource.register(readers.ExternalRecords)
-    return t.spark.read.format("external_records").option("system", "sap").option("since", "20").load().select("record_id")
+    return t.spark.read.format("external_records").option("system", "sap").option("mode", "mock").option("since", "20").load().select("record_id")
 
 
-@query("src_11_external_records", "SELECT 'dispatch' AS record_type, count(*) AS n FROM range(0, 100) t(i)")
+@query("src_11_external_records", "SELECT 'coalnet' AS system, CAST(event_id AS VARCHAR) AS record_id, 'dispatch' AS record_type, CAST(event_id % 30 AS INTEGER) AS changed_day, event_type AS quantity_type, user_id FROM events WHERE event_id % 30 > 9")
 def src_11(t: Tables):
+    """Events exported as the system would, read back from a given day on."""
+    at = f"{shared_folder(t.spark).rstrip('/')}/exports-{uuid.uuid4().hex[:12]}"
+    t.events.select(F.col("event_id").alias("record_id"), (F.col("event_id") % 30).alias("changed_day"), F.col("event_type").alias("quantity_type"), "user_id").write.json(at)
     t.spark.dataSource.register(readers.ExternalRecords)
-    return t.spark.read.format("external_records").option("system", "coalnet").load().groupBy("record_type").agg(F.count("*").alias("n"))
+    rows = t.spark.read.format("external_records").option("system", "coalnet").option("exports", at).option("since", "9").load()
+    return rows.select("system", "record_id", "record_type", "changed_day", F.col("data")["quantity_type"].alias("quantity_type"), F.col("data")["user_id"].cast("long").alias("user_id"))
 
 
 @query("src_01_parser_dispatch", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'text' WHEN 2 THEN 'pdf' END AS parser FROM part")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -12,6 +11,7 @@ from loomstone.operators import questions as qs
 from loomstone.operators import reports, tables
 from loomstone.plans.catalog import ORACLES, QUERIES, Tables, query
 from loomstone.plans.facts import YEARLY, _yearly
+from loomstone.session import shared_folder
 from loomstone.sources import readers, sinks
 
 QUERIES["srt_02_nearest"], ORACLES["srt_02_nearest"] = QUERIES["ret_03_dense"], ORACLES["ret_03_dense"]
@@ -69,19 +69,18 @@ def rpt_09(t: Tables):
 
 @query("sca_15_merged_headers", "SELECT * FROM (VALUES (0, 'Coal | Plan'), (1, 'Coal | Actual'), (2, 'OB | Actual'), (3, 'Col_4')) v(i, name)")
 def sca_15(t: Tables):
-    names = [*tables.merged_headers([["Coal", None, "OB"], ["Plan", "Actual", "Actual"]]), *tables.merged_headers([[None] * 4])[3:]]
+    names = [*tables.merged_headers([["Coal", None, "OB"], ["Plan", "Actual", "Actual"]], [(1, 1, 1, 2)]), *tables.merged_headers([[None] * 4])[3:]]
     return t.spark.createDataFrame(list(enumerate(names)), "i int, name string")
 
 
 @query("sca_16_header_depth", "SELECT 2 AS depth, true AS numeric_row, false AS text_row")
 def sca_16(t: Tables):
     rows = [["Coal", None], ["Plan", "Actual"], ["1", "2"]]
-    return t.spark.createDataFrame([(tables.header_depth(rows), tables.is_data_row(rows[2]), tables.is_data_row(rows[1]))], "depth int, numeric_row boolean, text_row boolean")
+    return t.spark.createDataFrame([(tables.header_depth(rows, [(1, 1, 1, 2)]), tables.is_data_row(rows[2]), tables.is_data_row(rows[1]))], "depth int, numeric_row boolean, text_row boolean")
 
 
 def _folder(t: Tables) -> str:
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomstone-sink-")
-    return f"{root.rstrip('/')}/sink-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(t.spark).rstrip('/')}/sink-{uuid.uuid4().hex[:12]}"
 
 
 @query("snk_01_staged_write", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")

@@ -80,7 +80,7 @@ def ret_07(t: Tables):
 
 @query("ret_08_hash_embedding")
 def ret_08(t: Tables):
-    return t.benchmark.select("item_id", embedding.embed_column(F.col("text")).alias("vector"))
+    return t.documents.select("doc_id", embedding.embed_column(F.col("text")).alias("vector"))
 
 
 @query("ret_10_index_status", "SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(DISTINCT vec_id) FROM embeddings) AS embedded, round((SELECT count(DISTINCT vec_id) FROM embeddings) / (SELECT count(*) FROM documents) * 100, 2) AS coverage_pct")

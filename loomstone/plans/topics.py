@@ -55,18 +55,18 @@ def top_02(t: Tables):
 @query("top_03_refusal", "SELECT source, count(*) < 3 OR count(DISTINCT lang) < 2 AS refused FROM documents GROUP BY 1")
 def top_03(t: Tables):
     g = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("d"))
-    return g.select("source", ((F.col("n") < tp.MIN_CHUNKS) | (F.col("d") < tp.MIN_DOCUMENTS)).alias("refused"))
+    return g.select("source", tp.refused(F.col("n"), F.col("d")).alias("refused"))
 
 
 @query("top_04_method", "SELECT (SELECT count(*) FROM embeddings) AS n, CASE WHEN (SELECT count(*) FROM embeddings) < 10 THEN 'TFIDF_KEYWORD' WHEN (SELECT count(*) FROM embeddings) < 50 THEN 'NMF_TFIDF' ELSE 'EMBEDDING_CLUSTER_CTFIDF' END AS method")
 def top_04(t: Tables):
-    return t.embeddings.agg(F.count("*").alias("n")).withColumn("method", F.when(F.col("n") < 10, "TFIDF_KEYWORD").when(F.col("n") < 50, "NMF_TFIDF").otherwise("EMBEDDING_CLUSTER_CTFIDF"))
+    return t.embeddings.agg(F.count("*").alias("n")).withColumn("method", tp.method(F.col("n")))
 
 
 @query("top_06_clusters")
 def top_06(t: Tables):
-    n = t.embeddings.count()
-    return tp.cluster(t.embeddings.select("vec_id", "embedding"), tp.topic_count(n)).select("vec_id", "topic")
+    k = t.embeddings.agg(tp.topic_count(F.count("*"))).first()[0]
+    return tp.cluster(t.embeddings.select("vec_id", "embedding"), k).select("vec_id", "topic")
 
 
 @query("top_07_outliers", f"""
@@ -222,8 +222,7 @@ def top_21(t: Tables):
 
 @query("top_22_analysis_state", "SELECT source, CASE WHEN count(*) < 3 THEN 'INSUFFICIENT_CORPUS' ELSE 'COMPLETED' END AS status, CASE WHEN count(*) < 3 THEN 10 ELSE 100 END AS progress FROM documents GROUP BY 1")
 def top_22(t: Tables):
-    small = F.count("*") < tp.MIN_CHUNKS
-    return t.documents.groupBy("source").agg(F.when(small, "INSUFFICIENT_CORPUS").otherwise("COMPLETED").alias("status"), F.when(small, 10).otherwise(100).alias("progress"))
+    return t.documents.groupBy("source").agg(tp.state(F.count("*")).alias("s")).select("source", "s.status", "s.progress")
 
 
 @query("agg_22_word_cloud", f"WITH {CTFIDF} SELECT term, max(weight) AS weight, arg_max(topic, (weight, -topic)) AS topic FROM terms GROUP BY 1")
@@ -234,6 +233,11 @@ def agg_22(t: Tables):
 @query("top_05_topic_count", "SELECT source, count(*) AS n, CASE WHEN count(*) <= 5 THEN 2 WHEN count(*) <= 15 THEN 3 WHEN count(*) <= 50 THEN 4 ELSE least(6, floor(sqrt(count(*) / 2)))::INTEGER END AS k FROM documents GROUP BY 1")
 def top_05(t: Tables):
     g = t.documents.groupBy("source").agg(F.count("*").alias("n"))
-    return g.withColumn("k", F.when(F.col("n") <= 5, 2).when(F.col("n") <= 15, 3).when(F.col("n") <= 50, 4).otherwise(F.least(F.lit(6), F.floor(F.sqrt(F.col("n") / 2)).cast("int"))))
+    return g.withColumn("k", tp.topic_count(F.col("n")))
+
+
+@query("top_05_wanted_count", "SELECT source, greatest(2, least(7, count(*) - 1))::INTEGER AS k FROM documents GROUP BY 1")
+def top_05_wanted(t: Tables):
+    return t.documents.groupBy("source").agg(tp.topic_count(F.count("*"), 7).alias("k"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from urllib.parse import urlparse
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +17,28 @@ def session(name: str = "loomstone", master: str | None = None, shuffle: int | N
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as a URI: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a temporary one serves on a local master; on a cluster, whose machines share none, it is an error.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if before.isDefined():
+            root = before.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = "file://" + tempfile.mkdtemp(prefix="loomstone-")
+            spark.sparkContext.setCheckpointDir(root)
+            delete_at_exit(spark, root)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return root if urlparse(root).scheme else "file://" + root
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove ``path`` when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

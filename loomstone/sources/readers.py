@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,6 @@ def csv_tables(files: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """CSV files (path, content) as tables in parts: first row the header, blank rows skipped, cells trimmed."""
 
     def run(batches):
-        import io
-
         import pandas as pd
 
         for b in batches:
@@ -81,15 +80,50 @@ def csv_tables(files: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, TABLE)
 
 
+def csv_pages(files: DataFrame) -> DataFrame:
+    """(path, page_number, text): a CSV file's parts as lines."""
+    line = lambda cells: F.array_join(cells, " | ")
+    return csv_tables(files).select("path", F.col("part").alias("page_number"), F.array_join(F.concat(F.array(line(F.col("headers"))), F.transform("rows", line)), "\n").alias("text"))
+
+
+def text_pages(files: DataFrame) -> DataFrame:
+    """(path, page_number, text): a text file as one page; virtual pages are cut by ``chunking.virtual_pages``."""
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(page_number=1, text=[decoded(bytes(c)) for c in b["content"]])[["path", "page_number", "text"]]
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_number int, text string")
+
+
+def pages(files: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """(path, parser, page_number, text, error) of files (path, content), each by the first parser that takes it.
+
+    CSV, text, XLSX and DOCX are built in. PDF, legacy XLS and images need a parser given by its name (files to path,
+    page_number, text); without one their files come back with an error instead of pages.
+    """
+    from loomstone.sources import office
+
+    known = {"csv": csv_pages, "text": text_pages, "xlsx": lambda f: office.xlsx_pages(office.xlsx_tables(f)), "docx": office.docx_pages, **(parsers or {})}
+    named = files.select("path", "content", parser(F.col("path")).alias("parser"))
+    refusal = F.when(F.col("parser").isNull(), "no parser takes this file").otherwise(F.concat(F.lit("parser is not available: "), "parser"))
+    out = named.where(F.col("parser").isNull() | ~F.col("parser").isin(*known)).select("path", "parser", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("text"), refusal.alias("error"))
+    for name, parse in known.items():
+        got = parse(named.where(F.col("parser") == name).select("path", "content"))
+        out = out.unionByName(got.select("path", F.lit(name).alias("parser"), "page_number", "text", F.lit(None).cast("string").alias("error")))
+    return out
+
+
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
 class ExternalRecords(DataSource):
-    """Records of an external system in its mock form: ``spark.read.format("external_records").option("system", ...)``.
+    """Records of an external system: ``spark.read.format("external_records").option("system", ...)``.
 
-    Options: system (sap, coalnet or dms), since (only records changed after this day number), records (how many it has).
-    Without a system it fails closed.
+    Options: system (sap, coalnet or dms), since (only records changed after this day number) and either ``exports``, a
+    shared folder of JSON-lines files that the system exported (record_id, changed_day and any other fields), one task a
+    file; or ``mode`` "mock" with ``records``, how many made-up ones it has. Without a system or a source it fails closed.
     """
 
     SYSTEMS = {"sap": "production", "coalnet": "dispatch", "dms": "document"}
@@ -108,13 +142,37 @@ class ExternalRecords(DataSource):
 class _ExternalReader(DataSourceReader):
     def __init__(self, options):
         self.system, self.since, self.records = options.get("system"), int(options.get("since", -1)), int(options.get("records", 100))
-        if self.system not in ExternalRecords.SYSTEMS:
+        self.exports = options.get("exports")
+        if self.system not in ExternalRecords.SYSTEMS or not self.exports and options.get("mode") != "mock":
             raise ValueError(f"external system is not configured: {self.system}")
 
     def partitions(self):
-        return [InputPartition(i) for i in range(4)]
+        if not self.exports:
+            return [InputPartition(i) for i in range(4)]
+        from pyarrow import fs
+
+        disk, root = fs.FileSystem.from_uri(self.exports)
+        found = disk.get_file_info(fs.FileSelector(root, recursive=True))
+        return [InputPartition(f.path) for f in found if f.is_file and f.path.endswith((".json", ".jsonl"))]
+
+    def _exported(self, path: str) -> Iterator[tuple]:
+        import json
+
+        from pyarrow import fs
+
+        disk, _ = fs.FileSystem.from_uri(self.exports)
+        with disk.open_input_stream(path) as f:
+            for line in io.TextIOWrapper(f, "utf-8"):
+                if line.strip():
+                    row = json.loads(line)
+                    day = int(row.pop("changed_day", 0))
+                    if day > self.since:
+                        yield self.system, str(row.pop("record_id")), ExternalRecords.SYSTEMS[self.system], day, {k: None if v is None else str(v) for k, v in row.items()}
 
     def read(self, partition) -> Iterator[tuple]:
+        if self.exports:
+            yield from self._exported(partition.value)
+            return
         kind = ExternalRecords.SYSTEMS[self.system]
         for i in range(partition.value, self.records, 4):
             if i % 30 > self.since:

@@ -12,8 +12,11 @@ def overwrite_partitions(rows: DataFrame, path: str, *by: str) -> None:
 
 
 def append_missing(rows: DataFrame, path: str, *keys: str) -> None:
-    """Append the rows whose keys the folder does not have yet."""
-    spark = rows.sparkSession
+    """Append one row of each key that the folder does not have yet.
+
+    For one writer at a time: keys are looked up before rows are appended, and two writers may add the same one.
+    """
+    spark, rows = rows.sparkSession, rows.dropDuplicates(list(keys))
     try:
         have = spark.read.parquet(path).select(*keys)
         rows = rows.join(have, list(keys), "left_anti")

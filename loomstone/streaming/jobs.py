@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.operators.governance import STALE_MINUTES, stale_jobs
+
 
 def events(spark: SparkSession, folder: str, like: DataFrame, *, files_per_batch: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream with the schema of ``like``."""
@@ -40,18 +42,38 @@ def run(stream: DataFrame, sink: str, checkpoint: str, *, mode: str = "append",
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def sweep(spark: SparkSession, read_jobs, path: str, checkpoint: str, *, minutes: int = STALE_MINUTES, every: str | None = "5 minutes", now: Column | None = None):
+    """Mark jobs in work for too long as failed, every so often (or once, where ``every`` is None); each job is marked once.
+
+    ``read_jobs()`` gives the jobs as they stand; marks (id, status, error_message) are appended below ``path``.
+    """
+    from loomstone.sources import sinks
+
+    def each(_: DataFrame, number: int) -> None:
+        found = stale_jobs(read_jobs(), F.current_timestamp() if now is None else now, minutes)
+        sinks.append_missing(found.select("id", "status", "error_message"), path, "id")
+
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = clock.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def idempotent(handle, done_path: str):
-    """For foreachBatch: ``handle(batch, number)`` runs once per batch number, even if a batch is delivered again."""
+    """For foreachBatch: ``handle(batch, number)`` is skipped for a batch number whose handling was finished before.
+
+    That is at least once: a crash between the end of ``handle`` and its marker runs the batch again, so ``handle`` should
+    write under the number that it is given (or overwrite partitions), which makes the effect exactly once.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         marker = batch.sparkSession.createDataFrame([(number,)], "batch long")
         try:
-            seen = batch.sparkSession.read.parquet(done_path).where(F.col("batch") == number).isEmpty()
+            new = batch.sparkSession.read.parquet(done_path).where(F.col("batch") == number).isEmpty()
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            seen = True
-        if seen:
+            new = True
+        if new:
             handle(batch, number)
             marker.write.mode("append").parquet(done_path)
 

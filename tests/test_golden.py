@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import numbers, periods, text
-from loomstone.operators import embedding, extraction, facts, geology, governance, grounding, quality, reports, scope, tables, topics, trends, visuals
-from loomstone.sources import readers, sinks
+from loomstone.operators import embedding, extraction, facts, geology, governance, grounding, operations, quality, reports, scope, tables, topics, trends, visuals
+from loomstone.sources import office, readers, sinks
 from loomstone.streaming import jobs
 
 
@@ -182,10 +182,171 @@ def test_summary_row_closes_a_table():
     assert tables.score(prev, prev | {"page_number": 2}) == (0.0, False)
 
 
-def test_headers():
-    assert tables.merged_headers([["Coal", None, "OB"], ["Plan", "Actual", "Actual"]]) == ["Coal | Plan", "Coal | Actual", "OB | Actual"]
-    assert tables.merged_headers([["A", "A"]]) == ["A [col=1]", "A [col=2]"]
-    assert tables.header_depth([["Coal", None], ["Plan", "Actual"], ["1", "2"]]) == 2
+@pytest.mark.parametrize(
+    ("levels", "merges", "want"),
+    [
+        ([[None, "Production", None, "Quality", None], ["Mine", "Raw Coal", "Washed Coal", "Ash %", "Moisture %"]], [(1, 2, 1, 3), (1, 4, 1, 5)], ["Mine", "Production | Raw Coal", "Production | Washed Coal", "Quality | Ash %", "Quality | Moisture %"]),
+        ([[None, "FY 2025-26", None, None], [None, "Production", None, "Quality"], ["Mine", "Raw Coal", "Washed Coal", "Ash"]], [(1, 2, 1, 4), (2, 2, 2, 3)], ["Mine", "FY 2025-26 | Production | Raw Coal", "FY 2025-26 | Production | Washed Coal", "FY 2025-26 | Quality | Ash"]),
+        ([["Mine", "Production", None], [None, "Raw Coal", None]], [(1, 2, 1, 3)], ["Mine", "Production | Raw Coal", "Production"]),
+        ([["Production", "Production"], ["Raw Coal", "Raw Coal"]], [], ["Production | Raw Coal", "Production | Raw Coal [col=2]"]),
+        ([[None, "उत्पादन", None], ["खदान", "कच्चा कोयला", "Washed Coal"]], [(1, 2, 1, 3)], ["खदान", "उत्पादन | कच्चा कोयला", "उत्पादन | Washed Coal"]),
+        ([[None, None]], [], ["Col_1", "Col_2"]),
+    ],
+)
+def test_headers(levels, merges, want):
+    assert tables.merged_headers(levels, merges) == want
+
+
+def test_header_depth():
+    merged = [[None, "Production", None], ["Mine", "Raw", "Washed"], ["a", "1,200", "₹ 850"], ["b", "18%", "x"]]
+    assert tables.header_depth(merged, [(1, 2, 1, 3)]) == 2 and tables.header_depth(merged) == 1
+    assert tables.header_depth([["a", "b"]] * 9, [(1, 1, 3, 1)]) == 3
+    assert tables.is_data_row(["a", "1e3", "-2.5%"]) and not tables.is_data_row(["a", "b", "3"]) and not tables.is_data_row([None, " "])
+
+
+def test_workbooks(spark):
+    body = [[None, "Production", None], ["Mine", "Raw", "Washed"], *([f"m{i}", 1000 + i, 0.5] for i in range(4500))]
+    data = office.xlsx_bytes([("Big", body, ["B1:C1"]), ("Flags", [["a", "b"], [True, None], [None, None], [" x ", "<&>"]], []), ("Empty", [], [])])
+    files = spark.createDataFrame([("a.xlsx", data)], "path string, content binary")
+    rows = office.xlsx_tables(files).orderBy("page_number", "part").collect()
+    assert [(r.page_number, r.part, len(r.rows), r.row_from, r.caption) for r in rows] == [(1, 1, 2000, 1, "Sheet: Big"), (1, 2, 2000, 2001, "Sheet: Big (Part 2)"), (1, 3, 500, 4001, "Sheet: Big (Part 3)"), (2, 1, 2, 1, "Sheet: Flags"), (3, 0, 0, 0, "Sheet: Empty (Empty)")]
+    assert rows[0].headers == ["Mine", "Production | Raw", "Production | Washed"] and rows[0].raw_headers == ["Mine", "Raw", "Washed"] and rows[2].rows[-1] == ["m4499", "5499", "0.5"]
+    assert rows[3].rows == [["True", ""], ["x", "<&>"]]
+    text = office.xlsx_pages(office.xlsx_tables(files)).orderBy("page_number").collect()
+    assert text[0].text.endswith("\n... (4400 more rows)") and text[0].text.startswith("# Sheet: Big\nHeaders: Mine | Production | Raw | Production | Washed\nData:\nm0 | 1000 | 0.5\n") and text[2].text == "Sheet: Empty (Empty)"
+
+
+def test_shared_strings_dates_and_other_cells():
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    parts = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId9"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="x"><Relationship Id="rId9" Type="t/worksheet" Target="/xl/worksheets/s.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {main}><si><t>plain</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>",
+        "xl/styles.xml": f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/><numFmt numFmtId="171" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>',
+        "xl/worksheets/s.xml": f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="A3" s="1"><v>45000</v></c><c r="B3" s="2"><v>45000.5</v></c><c r="C3" s="3"><v>2.0</v></c><c r="D3" t="str"><v>f</v></c><c r="AA3" t="e"><v>#N/A</v></c></row></sheetData></worksheet>',
+    }
+    book = office.Workbook(office.archive(parts))
+    assert list(book.rows("xl/worksheets/s.xml")) == [["plain", None, "rich"], ["2023-03-15 00:00:00", "2023-03-15 12:00:00", "2.0", "f", *[None] * 22, "#N/A"]]
+
+
+def test_documents(spark):
+    blocks = [("heading", "One & two", None), ("text", "body", None), ("table", None, [["a", ""], ["1", "2"]])]
+    assert office.docx_bytes(blocks) == office.docx_bytes(blocks)
+    d = office.Document(office.docx_bytes(blocks))
+    assert d.pages() == ["\n## One & two\n\nbody"] and d.tables() == [[["a", ""], ["1", "2"]]] and d.images() == []
+    w = office._W[1:-1]
+    cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    body = f"<w:tbl><w:tr>{cell('wide', '<w:gridSpan w:val=%s2%s/>' % (chr(34), chr(34)))}</w:tr><w:tr>{cell('v', '<w:vMerge w:val=%srestart%s/>' % (chr(34), chr(34)))}{cell('x')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('y')}</w:tr></w:tbl><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p>"
+    d = office.Document(office.archive({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'}))
+    assert d.tables() == [[["wide", "wide"], ["v", "x"], ["v", "y"]]] and d.pages() == ["a\tb"]
+    assert office.image_size(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (7).to_bytes(4, "big") + (9).to_bytes(4, "big")) == (7, 9) and office.image_size(b"GIF89a") is None
+    assert office.image_size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x05\x00\x06") == (6, 5)
+
+
+def test_pages_of_many_formats(spark):
+    files = spark.createDataFrame([("a.docx", office.docx_bytes([("text", "hello", None)])), ("b.xlsx", office.xlsx_bytes([("S", [["h"], ["v"]], [])])), ("c.pdf", b"x"), ("d.bin", b"x"), ("e.txt", "é".encode())], "path string, content binary")
+    got = {r.path: (r.parser, r.text, r.error) for r in readers.pages(files).collect()}
+    assert got == {"a.docx": ("docx", "hello", None), "b.xlsx": ("xlsx", "# Sheet: S\nHeaders: h\nData:\nv", None), "c.pdf": ("pdf", None, "parser is not available: pdf"), "d.bin": (None, None, "no parser takes this file"), "e.txt": ("text", "é", None)}
+
+
+def test_structured_sum_over_documents(spark):
+    rows = [(1, "org", "d1", "production_quantity", 52.5, "MT", 3, "Gevra", "2023-24", "VERIFIED"), (2, "org", "d2", "production_quantity", 43.0, "MT", 5, "Kusmunda", "2023-24", "VERIFIED"), (3, "org", "d3", "production_quantity", 35.5, "MT", 2, "Dipka", "2023-24", "UNVERIFIED")]
+    found = spark.createDataFrame(rows, "id long, organization_id string, document_id string, field_name string, numeric_value double, unit string, page_number int, entity_name string, reporting_period string, verification_status string")
+    none = spark.createDataFrame([], "field_id long, conflict_status string, resolution_status string")
+    got = one(facts.aggregate(found, none, facts.intent("total coal production in FY 2023-24")))
+    assert (got.calculated_value, got.unit, got.record_count, got.unit_mismatch, got.verified) == (131.0, "MT", 3, False, True)
+    assert got.formula == "52.5 (Gevra, P.3) + 43.0 (Kusmunda, P.5) + 35.5 (Dipka, P.2)"
+
+
+def test_backups(spark, tmp_path):
+    files = spark.createDataFrame([("a/b.txt", b"one"), ("c.txt", b"two")], "path string, content binary")
+    at, target = f"file://{tmp_path}/backup", f"file://{tmp_path}/target"
+    assert operations.back_up(files, at).count() == 2
+    with pytest.raises(operations.Refused, match="holds files"):
+        operations.back_up(files, at)
+    assert {(r.path, r.status) for r in operations.restore(spark, at, target).collect()} == {("a/b.txt", "OK"), ("c.txt", "OK")}
+    assert (tmp_path / "target" / "a" / "b.txt").read_bytes() == b"one"
+    with pytest.raises(operations.Refused, match="holds files"):
+        operations.restore(spark, at, target)
+    spark.createDataFrame([("c.txt", b"TWO"), ("../d.txt", b"x")], "path string, content binary").write.mode("overwrite").parquet(f"{at}/files")
+    with pytest.raises(operations.Refused, match="does not match"):
+        operations.restore(spark, at, target, force=True)
+    loose = spark.createDataFrame([("../d.txt", b"x")], "path string, content binary")
+    operations.back_up(loose, f"file://{tmp_path}/loose")
+    with pytest.raises(operations.Refused, match="lead out"):
+        operations.restore(spark, f"file://{tmp_path}/loose", f"file://{tmp_path}/other")
+
+
+def test_health(spark):
+    def broken():
+        raise OSError("gone")
+
+    rows = operations.probes(spark, {"a": lambda: None, "b": broken, "c": lambda: "slow", "d": None}, optional=("b",))
+    assert {r.component: (r.status, r.detail) for r in rows.collect()} == {"a": ("HEALTHY", None), "b": ("UNAVAILABLE", "OSError: gone"), "c": ("DEGRADED", "slow"), "d": ("NOT_CONFIGURED", None)}
+    states = [one(operations.health(operations.probes(spark, checks))).status for checks in ({"a": lambda: None, "d": None}, {"c": lambda: "slow"}, {"b": broken})]
+    assert states == ["UP", "DEGRADED", "DOWN"]
+
+
+def test_spans(spark):
+    spans = operations.Spans()
+    with pytest.raises(ValueError), spans.timed("x", doc=1):
+        raise ValueError("no")
+    row = one(spans.frame(spark))
+    assert (row.operation, row.status, row.error, row.attributes) == ("x", "ERROR", "ValueError: no", {"doc": "1"})
+
+
+def test_order_of_one_hot_client(spark):
+    """Rows of one key stream through its task in order; batches are smaller than the key."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(100).selectExpr("CASE WHEN id < 80 THEN 'hot' WHEN id < 90 THEN 'cold' END AS client", "timestamp_seconds(1000 - id) AS at", "id")
+        got = governance.rate_limited(rows, client="client", at="at", limit=2, window=10.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name in ("hot", "cold", None):
+        kept, want = [], {}
+        for r in sorted((r for r in got if r.client == name), key=lambda r: r["at"]):
+            kept = [k for k in kept if (r["at"] - k).total_seconds() < 10]
+            want[r.id] = len(kept) < 2
+            kept += [r["at"]] * want[r.id]
+        assert {r.id: r.allowed for r in got if r.client == name} == want and want
+
+
+def test_shared_values(spark):
+    rows = spark.createDataFrame([(d, "o", "v") for d in range(40)] + [(1, "o", "w"), (2, "o", "w"), (3, "p", "v"), (4, "o", None)], "d long, s string, v string")
+    pairs = quality.relate(rows, document="d", scope="s", value="v", kind="K", confidence=1.0, most=7).collect()
+    assert {(r.source_document_id, r.target_document_id): r.n_shared for r in pairs} == {(a, b): 1 + ((a, b) == (1, 2)) for a in range(40) for b in range(a + 1, 40)}
+    groups = quality.shared_groups(rows, document="d", scope="s", value="v", kind="K", confidence=1.0).collect()
+    assert sorted((r.s, r.v, r.representative, r.d, r.n_documents) for r in groups) == sorted([("o", "v", 0, d, 40) for d in range(40)] + [("o", "w", 1, d, 2) for d in (1, 2)])
+
+
+def test_texts_are_read_once_for_c_tf_idf(spark, tmp_path):
+    spark.createDataFrame([(i % 2, "coal seam the ash") for i in range(20)], "topic int, text string").write.parquet(f"{tmp_path}/t")
+    found = topics.c_tf_idf(topics.term_counts(spark.read.parquet(f"{tmp_path}/t"), topic="topic", text="text"), topic="topic", stopwords=["the"])
+    assert len(found.collect()) == 6
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 or "ReusedExchange" in final
+
+
+def test_topic_clusters(spark):
+    rng = __import__("random").Random(4)
+    rows = [(i, [float((i % 3 == j) * 5 + rng.random()) for j in range(12)]) for i in range(60)]
+    got = topics.cluster(spark.createDataFrame(rows, "id long, embedding array<float>"), 3, starts=3).collect()
+    assert len({(r.id % 3, r.topic) for r in got}) == 3
+    assert topics.cluster(spark.createDataFrame(rows[:4], "id long, embedding array<float>"), 2, starts=1).count() == 4
+
+
+def test_fallbacks(spark):
+    def broken():
+        raise RuntimeError("no weights")
+
+    assert embedding.loaded("m", {"m": broken})[1:] == (embedding.MODEL, "FALLBACK: no weights") and embedding.loaded("m", {})[1:] == (embedding.MODEL, "NOT_CONFIGURED")
+    assert embedding.loaded("m", {"m": lambda: abs})[1:] == ("m", "READY") and embedding.loaded(embedding.MODEL, {})[2] == "READY"
+
+
+def test_hash_embedding_of_a_batch_is_that_of_single_texts():
+    texts = ["Coal seam III", None, "", "ash ash content!", "é"]
+    assert [x.tolist() for x in embedding.embed_all(texts)] == [embedding.embed(t) for t in texts]
 
 
 def test_visual_classes_and_boxes(spark):
