@@ -246,9 +246,9 @@ def rebuild(recipes: DataFrame, root: str, measure, schema: str) -> DataFrame:
     return recipes.select("key", "n_bytes", "list").mapInArrow(shared.worker(run), schema)
 
 
-def describe(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_dead: float = 0.25) -> DataFrame:
-    """Store every text as a chunked payload, read it back and describe it."""
-    root = shared.scratch(docs.sparkSession, "media")
+def describe(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_dead: float = 0.25, root: str | None = None) -> DataFrame:
+    """Store every text as a chunked payload below ``root`` (else in scratch), read it back and describe it."""
+    root = root or shared.scratch(docs.sparkSession, "media")
     chunks = chunk(docs, root, key=key, text=text)
     kept = places(chunks, root, max_dead=max_dead)
 

@@ -154,15 +154,16 @@ class BatchEncoder:
                     yield ids[cuts[i] : cuts[i + 1]]
 
 
-def write(docs: DataFrame, encoder: Callable[[], BatchEncoder], *, key: str = "doc_id", text: str = "text", end_id: int = 0, file_bytes: int = 32 << 20) -> DataFrame:
+def write(docs: DataFrame, encoder: Callable[[], BatchEncoder], *, key: str = "doc_id", text: str = "text", end_id: int = 0, file_bytes: int = 32 << 20, root: str | None = None) -> DataFrame:
     """Encode ``text`` and write record files in ascending ``key`` order; returns the manifest (one row per file).
 
     One range shuffle of (key, text) orders the files; every task then streams its range into one file and its index.
-    ``encoder`` makes the encoder on the worker. ``file_bytes`` is the mean number of text bytes behind a file.
+    ``encoder`` makes the encoder on the worker. ``file_bytes`` is the mean number of text bytes behind a file. Files go
+    below ``root``, a shared folder; without one into scratch, which ends with the application.
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
-    root = shared.scratch(spark, "records")
+    root = root or shared.scratch(spark, "records")
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     files = max(1, -(-total // file_bytes))

@@ -4,39 +4,29 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from functools import lru_cache
-from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.session import delete_at_exit, shared_folder
+
 #: Arrow batches handed to Python stay small even when single texts are long.
 ARROW_ROWS = 1000
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI.
-
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one is made
-    and set as the checkpoint folder of the context.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            root = set_before.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="loomstone-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root if urlparse(root).scheme else "file://" + root
+_MARKED: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/loomstone/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder name below the folder that driver and executors share; removed when the application ends."""
+    root = f"{shared_folder(spark).rstrip('/')}/loomstone-{spark.sparkContext.applicationId}"
+    if root not in _MARKED:
+        delete_at_exit(spark, root)
+        _MARKED.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
