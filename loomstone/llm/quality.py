@@ -29,7 +29,9 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     data, begins = textblocks.spaced(raw, offsets)
     x = np.concatenate([[0x20], data, [0x20]]).astype(np.uint32)
     n = len(x) - 2
-    code = ((x[:n] * np.uint32(0x01000193)) ^ x[1 : n + 1]) * np.uint32(0x01000193) ^ x[2:]
+    last = x[2:].copy()
+    last[begins[1:] - 1] = 0x20
+    code = ((x[:n] * np.uint32(0x01000193)) ^ x[1 : n + 1]) * np.uint32(0x01000193) ^ last
     code ^= code >> np.uint32(13)
     code *= np.uint32(0x85EBCA6B)
     return np.searchsorted(begins, np.arange(n), "right") - 1, (code >> np.uint32(17)).astype(np.int64)

@@ -198,15 +198,18 @@ def _landmarks(words: dict[str, int], rows: np.ndarray, names: list[str], most:
     return chosen
 
 
-def fit(toxic: list[str], clean: list[str], *, landmarks: int = 128, negatives: int = 3000, rounds: int = 4, seed: int = 11) -> Model | None:
-    """Nyström features, a hinge loss in numpy, then a logistic curve over the documents' margins."""
+def fit(toxic: list[str], clean: list[str], *, landmarks: int = 128, positives: int = 600, negatives: int = 3000, rounds: int = 4, seed: int = 11) -> Model | None:
+    """Nyström features, a hinge loss in numpy, then a logistic curve over the documents' margins.
+
+    At most ``positives`` witness words, those of the most contexts, and ``negatives`` other words are the labelled strings.
+    """
     if not toxic or not clean:
         return None
     rng = np.random.default_rng(seed)
     found = witnesses(toxic, clean)
     if not found:
         return None
-    names = sorted(found, key=lambda w: (-found[w], w))[:600]
+    names = sorted(found, key=lambda w: (-found[w], w))[:positives]
     ordinary = sorted({w.strip(".,;:!?\"'()") for t in clean for s in _sentences(t) for w in s} - set(found) - {""})
     good = [ordinary[i] for i in np.sort(rng.choice(len(ordinary), min(len(ordinary), negatives), replace=False))]
     pool = encoded(ordinary)
