@@ -1,6 +1,7 @@
 """Operator 2: language of whole texts by averaged hashed subword embeddings and a linear softmax, with rejection.
 
-Subwords are the runs of 2, 3 and 4 bytes of lower-cased words with their borders, hashed into ``BUCKETS``; a text is the
+Subwords are the runs of 2, 3 and 4 bytes of lower-cased words with their borders (tokens with digits or signs of addresses
+are no words), hashed into ``BUCKETS``; a text is the
 mean of their embeddings. Embeddings and softmax are fitted by stochastic gradient descent in numpy on a bounded sample
 (``per_language`` texts of at most ``max_chars`` characters of each language; windows of them too, so that short texts
 are known). Mean and softmax weights are both linear, so prediction looks up one row of logits for each subword.
@@ -9,8 +10,8 @@ A softmax is sure of texts in languages it never saw, so rejection asks how usua
 predicted: the mean of their log lifts (frequency in that language's sample against an even spread). Its bound is
 calibrated on texts kept apart, between what nearly all of them reach and what nearly all negatives stay under: the same
 texts with their letters shuffled, and their lifts in the languages other than their own (each language left out once).
-Short texts scatter more, so the bound falls with one over the root of the number of subwords, by as much as windows of
-the texts kept apart need. A text of two known languages is not rejected. The temperature of the scores is fitted on the
+Short texts scatter more, so the bound falls with one over the root of the number of subwords, by three times as much as
+windows of the texts kept apart need. A text of two known languages is not rejected. The temperature of the scores is fitted on the
 texts kept apart too.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; with no labelled text at all
@@ -32,14 +33,34 @@ BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 UNKNOWN = "und"
 #: Subwords from which a text counts as long when the bound is set.
 LONG_TEXT = 200
+#: How far the bound falls at least, times the root of the number of subwords, so that short texts are kept.
+LEAST_SLACK = 4.0
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+_NO_WORD = np.zeros(256, bool)
+_NO_WORD[[*range(0x30, 0x3A), *b"@=_"]] = True
+
+
+def worded(data: np.ndarray) -> np.ndarray:
+    """The bytes with blanks in place of tokens that hold a digit or one of @ = _: numbers, addresses and keys are no words."""
+    odd = np.flatnonzero(_NO_WORD[data])
+    if not len(odd):
+        return data
+    blank = np.flatnonzero(textblocks._SPACE[data])
+    edges = np.concatenate([[-1], blank, [len(data)]])
+    token = np.unique(np.searchsorted(edges, odd, "right") - 1)
+    step = np.zeros(len(data) + 1, np.int8)
+    step[edges[token] + 1] += 1
+    step[edges[token + 1]] -= 1
+    return np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, np.uint8(0x20), data)
+
+
 def subwords(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of every subword of a block, by text."""
     data, begins = textblocks.spaced(raw, offsets)
-    data = np.concatenate([[0x20], textblocks._LOWER[data], [0x20, 0x20, 0x20]]).astype(np.uint8)
+    data = np.concatenate([[0x20], textblocks._LOWER[worded(data)], [0x20, 0x20, 0x20]]).astype(np.uint8)
     upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
     data[upper] += 0x20
     data = np.where(_LETTER[data], data, 0x20).astype(np.uint32)
@@ -190,7 +211,7 @@ def _calibrate(model: Model, texts: list[str], target: list[int], rng: np.random
     model.bound = float(min(high, low + 0.3 * max(0.0, high - low)))
     # predicted rather than true languages: a window may be taken for a neighbour, and is known all the same
     missing = (model.bound - lifts[rows, logits.argmax(axis=1)]) * np.sqrt(np.maximum(count, 1))
-    model.slack = float(max(0.0, np.quantile(missing, 1 - tolerance)))
+    model.slack = float(max(LEAST_SLACK, 3 * np.quantile(missing, 1 - tolerance)))
 
 
 def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 600, max_chars: int = 20_000) -> Model | None:
