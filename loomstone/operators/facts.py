@@ -141,16 +141,17 @@ def aggregate(facts: DataFrame, conflicts: DataFrame, want: Intent, allowed: lis
     part = parts[want.operation]
     per_unit = rows.groupBy(F.upper("unit").alias("u")).agg(F.count("*").alias("n"), part("numeric_value").alias("plain"), part(_as_mass(F.col("numeric_value"))).alias("mass"))
     total = per_unit.agg(F.array_sort(F.collect_set("u")).alias("__units"), F.coalesce(F.sum("n"), F.lit(0)).alias("record_count"), *(_over_units(want.operation, c) for c in ("plain", "mass")))
+    term = F.struct("id", "numeric_value", "unit", F.coalesce("entity_name", "document_id").alias("who"), "page_number")
+    first = rows.orderBy("id").limit(terms).agg(F.array_sort(F.collect_list(term)).alias("__first"))
+    seen = found.agg(F.count("*").alias("__found"))
     mass, several = F.forall("__units", lambda u: u.isin(*nx.MASS)), F.size("__units") > 1
-    total = total.select(
+    value = lambda x: F.when(several & mass, nx.to_canonical_mass(x["numeric_value"], x["unit"], F.lit("MT"))).otherwise(x["numeric_value"])
+    label = lambda x: F.format_string("%s (%s, P.%d)", F.format_number(value(x), 1), x["who"], x["page_number"])
+    return total.crossJoin(first).crossJoin(seen).select(
         F.when(several & mass, F.col("mass")).otherwise(F.col("plain")).alias("calculated_value"), F.when(several & mass, F.lit("MT")).otherwise(F.get("__units", F.lit(0))).alias("unit"),
-        "record_count", (several & ~mass).alias("unit_mismatch"), "__units",
+        "record_count", (several & ~mass).alias("unit_mismatch"), F.array_join(F.transform("__first", label), " + ").alias("formula"),
+        (~((F.col("record_count") == 0) & (F.col("__found") > 0))).alias("verified"),
     )
-    first = _in_units(rows.orderBy("id").limit(terms).crossJoin(F.broadcast(total.select("__units"))))
-    label = F.format_string("%s (%s, P.%d)", F.format_number("value", 1), F.coalesce("entity_name", "document_id"), "page_number")
-    formula = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", label.alias("t")))), lambda x: x["t"]), " + ").alias("formula"))
-    seen = found.agg(F.count("*").alias("__found"))
-    return total.drop("__units").crossJoin(formula).crossJoin(seen).withColumn("verified", ~((F.col("record_count") == 0) & (F.col("__found") > 0))).drop("__found")
 
 
 def _over_units(name: str, column: str) -> Column:
