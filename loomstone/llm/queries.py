@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import backoff, decontaminate, jaccard, language, media, pieces, pii, quality, records, shared, toxicity
+from loomstone.llm import backoff, decontaminate, jaccard, language, media, phrases, pieces, pii, quality, records, shared, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(shared.table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(shared.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -62,10 +66,12 @@ QUERIES = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_media_chunks": op9_media_chunks,
     "op10_pieces": op10_pieces,
+    "op11_phrases": op11_phrases,
 }
 
 ORACLES: dict[str, str] = {
     "op3_backoff_scores": backoff.ORACLE,
     "op5_jaccard_groups": jaccard.ORACLE,
     "op8_benchmark_leaks": decontaminate.ORACLE,
+    "op11_phrases": phrases.ORACLE,
 }

@@ -118,6 +118,26 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     return np.searchsorted(offsets, starts, "right") - 1, span_hashes(raw, starts, ends)
 
 
+_BREAK = np.zeros(256, bool)
+_BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+_BETWEEN = _BREAK.copy()
+_BETWEEN[[0x20, 0x09]] = True
+
+
+def pieced_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, piece number, start, end) of every word of a block, and its lower-cased bytes.
+
+    Words are runs of other bytes than space, tab and the piece ends ``.,;:!?`` and 0x0A-0x0D; a text's end ends a piece too.
+    """
+    raw, offsets = spaced(raw, offsets)
+    raw = _LOWER[raw]
+    raw[offsets[1:] - 1] = 0x0A
+    edge = np.flatnonzero(np.diff(~_BETWEEN[raw], prepend=False, append=False))
+    starts, ends = edge[0::2], edge[1::2]
+    piece = np.searchsorted(np.flatnonzero(_BREAK[raw]), starts)
+    return np.searchsorted(offsets, starts, "right") - 1, piece, starts, ends, raw
+
+
 def shingles(owner: np.ndarray, hashes: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, hash) of the k-word shingles, by text and then hash.
 
