@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import backoff, decontaminate, jaccard, language, media, phrases, pieces, pii, quality, records, shared, toxicity, whitening
+from loomstone.llm import backoff, decontaminate, jaccard, language, maintext, media, phrases, pieces, pii, quality, records, shared, toxicity, whitening
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(shared.table(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(shared.table(spark, sf_dir, "pages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(shared.table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_media_chunks": op9_media_chunks,
     "op10_pieces": op10_pieces,
     "op11_phrases": op11_phrases,
+    "op12_main_text": op12_main_text,
     "op13_whitening": op13_whitening,
 }
 
