@@ -114,7 +114,7 @@ class _Writer:
         return self.off("aside", "sidebar", body, 0.5) if self.r.random() < 0.55 else self.off(self.pick("div", "section"), "sidebar", body, 0.97)
 
     def comments(self) -> str:
-        one = lambda: f"<{(t := self.pick('div', 'li', 'article', 'div'))}{self.named('comments', 0.7)}>{self.maybe(0.7, lambda: f'<div{self.named("meta", 0.6)}>{self.words(1, 3)}</div>')}{self.pick(f'<p>{self.prose(4)}</p>', self.prose(3))}{self.maybe(0.3, lambda: '<a href=#>' + self.word() + '</a>')}</{t}>"
+        one = lambda: f"<{(t := self.pick('div', 'li', 'div', 'li', 'div', 'div', 'div', 'article'))}{self.named('comments', 0.7)}>{self.maybe(0.7, lambda: f'<div{self.named("meta", 0.6)}>{self.words(1, 3)}</div>')}{self.pick(f'<p>{self.prose(4)}</p>', self.prose(3))}{self.maybe(0.3, lambda: '<a href=#>' + self.word() + '</a>')}</{t}>"
         body = self.maybe(0.7, lambda: f"<h3>{self.words(1, 3)}</h3>") + "".join(one() for _ in range(self.r.randint(1, 6))) + self.maybe(0.4, self.form)
         return self.off(self.pick("section", "div", "div", "ol", "aside"), "comments", body, 0.97)
 
@@ -127,7 +127,7 @@ class _Writer:
         r = self.r
         kind = r.random()
         if kind < 0.72:
-            return f"<p>{self.maybe(0.06, lambda: '<b>')}{self.prose(r.choice([1, 2, 4, 8]))}" + self.pick("</p>", "</p>", "</p>", "</p>", "</p>", "<br>", "")
+            return f"<p>{self.maybe(0.06, lambda: '<b>')}{self.prose(r.choice([1, 2, 4, 8, 8, 30]))}" + self.pick("</p>", "</p>", "</p>", "</p>", "</p>", "<br>", "")
         if kind < 0.80:
             return f"<h{(n := r.randint(2, 4))}>{self.words(1, 8)}</h{n}>"
         if kind < 0.86:
@@ -166,8 +166,9 @@ class _Writer:
 
     def page(self) -> str:
         r = self.r
-        before = [m for m, p in ((self.notice, 0.2), (self.header, 0.55), (self.nav, 0.6), (self.ad, 0.3), (self.form, 0.1), (self.notice, 0.1)) if r.random() < p]
-        after = [m for m, p in ((self.meta, 0.15), (self.sidebar, 0.2), (self.comments, 0.35), (self.form, 0.15), (self.ad, 0.15), (self.nav, 0.1), (self.footer, 0.8), (self.notice, 0.15)) if r.random() < p]
+        bare = r.random() < 0.06  # an article alone
+        before = [m for m, p in ((self.notice, 0.2), (self.header, 0.55), (self.nav, 0.6), (self.ad, 0.3), (self.form, 0.1), (self.notice, 0.1)) if r.random() < p and not bare]
+        after = [m for m, p in ((self.meta, 0.15), (self.sidebar, 0.2), (self.comments, 0.35), (self.form, 0.15), (self.ad, 0.15), (self.nav, 0.1), (self.footer, 0.8), (self.notice, 0.15)) if r.random() < p and not bare]
         if r.random() < 0.3:
             r.shuffle(before)
         middle = self.maybe(0.2, self.sidebar) + self.article() + self.maybe(0.3, self.sidebar)

@@ -25,7 +25,7 @@ from loomstone.llm import labelled_pages, shared
 from loomstone.llm.dom import Page
 
 #: Labelled pages to learn from, rounds of ascent, and the weight of a parameter's square.
-PAGES, ROUNDS, DECAY = 1000, 120, 2e-2
+PAGES, ROUNDS, DECAY = 1000, 120, 5e-3
 #: Characters of HTML that one message passing takes, about.
 TOGETHER = 4 << 20
 
@@ -33,7 +33,7 @@ KINDS = {"html": 0, "body": 0, "article": 2, "main": 2, "ul": 3, "ol": 3, "dl":
 KINDS |= dict.fromkeys("table tbody thead tfoot tr td th caption".split(), 5) | dict.fromkeys("nav aside footer header form fieldset legend dialog search".split(), 6)
 LEAF = 7
 #: Numeric features: name, number of bins.
-BINS = (("length", 12), ("links", 6), ("length, links", 72), ("leaves", 8), ("mean length", 12), ("paragraphs", 6), ("depth", 8), ("place", 10), ("end", 6), ("bars", 2), ("copyright", 2))
+BINS = (("length", 10), ("links", 6), ("length, links", 60), ("leaves", 8), ("mean length", 10), ("paragraphs", 6), ("place", 10), ("end", 6), ("bars", 2), ("copyright", 2))
 
 
 @dataclass
@@ -90,12 +90,11 @@ def forest(pages: list[Page], words: Words) -> Forest:
     leaf = np.array([not t for t in tag], bool)
     size = np.array([len(t) for t in text], np.int64)
     links = np.array([x for p in pages for x in p.links], np.int64)
-    depth, levels = np.zeros(n, np.int64), []
+    levels = []
     at = np.flatnonzero(parent < 0)
     order = np.argsort(parent, kind="stable")
     first, last = np.searchsorted(parent[order], np.arange(n)), np.searchsorted(parent[order], np.arange(n), "right")
     while len(at):
-        depth[at] = len(levels)
         levels.append(at)
         count = last[at] - first[at]
         at = order[np.repeat(first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())]
@@ -110,7 +109,7 @@ def forest(pages: list[Page], words: Words) -> Forest:
     end = np.array([0 if not t else 1 + ".!?:".find(t[-1]) if t[-1] in ".!?:" else 5 for t in text], np.int64)
     bars = np.array([any(c in t for c in "|»·") for t in text], np.int64)
     sign = np.array(["©" in t for t in text], np.int64)
-    values = (_bin(size, 12), share, _bin(size, 12) * 6 + share, _bin(leaves, 8), _bin(size / np.maximum(leaves, 1), 12), _bin(paragraphs, 6), np.minimum(depth, 7), place, end, bars, sign)
+    values = (_bin(size, 10), share, _bin(size, 10) * 6 + share, _bin(leaves, 8), _bin(size / np.maximum(leaves, 1), 10), _bin(paragraphs, 6), place, end, bars, sign)
     nodes, features, offset = [], [], 0
     for (_, width), value in zip(BINS, values, strict=True):
         nodes.append(np.arange(n))
