@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from loomstone.llm import shared, textblocks
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
-#: One document in so many is in the sample, and a phrase is proposed from this share of its expected count on.
+#: One bucket of documents in so many is the sample, and a phrase is proposed from this share of its expected count on.
 SAMPLE, LOWERED = 8, 0.6
 #: Bits of the largest bit set (32 MiB).
 MOST_BITS = 28
 #: Occurrences that a task adds up before it hands their counts on.
-HELD = 6_000_000
+HELD = 8_000_000
+#: Documents fall into ``2 ** PLACES`` buckets by hash; a counted phrase remembers one in which it occurs.
+PLACES = 12
 
 
 class Proposals:
@@ -79,12 +81,13 @@ def _lang_codes(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def _blocks(batch: pa.RecordBatch):
-    """(languages, language number of each word, piece of each word, hash of language and word, lower-cased bytes, starts, ends)."""
+    """(languages, language number, bucket, piece and hash (of language and word) of each word, lower-cased bytes, starts, ends)."""
     names, codes, of_row = _lang_codes(batch.column("lang"))
+    buckets = batch.column("bucket").to_numpy().astype(np.uint16)
     for first, _, raw, offsets in textblocks.blocks(batch.column("text"), 1 << 21):
         owner, piece, starts, ends, raw = textblocks.pieced_words(raw, offsets)
         lang = of_row[first + owner]
-        yield names, lang, piece, textblocks.mix(textblocks.span_hashes(raw, starts, ends) ^ codes[lang]), raw, starts, ends
+        yield names, lang, buckets[first + owner], piece, textblocks.mix(textblocks.span_hashes(raw, starts, ends) ^ codes[lang]), raw, starts, ends
 
 
 def _longer(code: np.ndarray, at: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
@@ -120,13 +123,18 @@ def _windows(word: np.ndarray, piece: np.ndarray, now: Proposals, before: Propos
         on[at] = True if k >= open_from else now.has(longer[at])
 
 
-def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
-    code, count = np.unique(np.concatenate(held), return_counts=True)
-    return pa.record_batch({"code": pa.array(code.view(np.int64)), "n": pa.array(count.astype(np.int64))})
+def _counts(codes: list[np.ndarray], buckets: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct codes, their number and one of their buckets in one long."""
+    code = np.concatenate(codes)
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    number = np.diff(np.append(first, len(code))) << PLACES | np.concatenate(buckets)[order[first]]
+    return pa.record_batch({"code": pa.array(code[first].view(np.int64)), "n": pa.array(number)})
 
 
 def count(docs: DataFrame, now: Proposals, before: Proposals | None = None, *, words: tuple[int, int] = (1, LONGEST), open_from: int = LONGEST + 1, least: int = LEAST) -> DataFrame:
-    """(code, n) of the counted phrases of ``words[0]`` to ``words[1]`` words that occur ``least`` times or more, written."""
+    """(code, n, bucket) of the counted phrases of ``words[0]`` to ``words[1]`` words that occur ``least`` times or more, written."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((now.bits, now.data, None if before is None else before.data))
 
@@ -134,39 +142,47 @@ def count(docs: DataFrame, now: Proposals, before: Proposals | None = None, *, w
         shared.tidy()
         bits, data, old = sent.value
         new, past = Proposals(bits, data), None if old is None else Proposals(bits, old)
-        held, size = [], 0
+        codes, buckets, size = [], [], 0
         for batch in batches:
-            for _, _, piece, word, *_ in _blocks(batch):
-                for k, _, code in _windows(word, piece, new, past, open_from):
+            for _, _, bucket, piece, word, *_ in _blocks(batch):
+                for k, at, code in _windows(word, piece, new, past, open_from):
                     if k > words[1]:
                         break
                     if k >= words[0]:
-                        held.append(code)
+                        codes.append(code)
+                        buckets.append(bucket[at])
                         size += len(code)
                 if size > HELD:
-                    yield _counts(held)
-                    held, size = [], 0
+                    yield _counts(codes, buckets)
+                    codes, buckets, size = [], [], 0
         if size:
-            yield _counts(held)
+            yield _counts(codes, buckets)
 
-    rows = docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    out = shared.written(rows, "phrase-counts")
+    # a task has added up its own already, so rows are dealt as they are
+    rows = docs.mapInArrow(run, "code long, n long").repartition("code").groupBy("code")
+    rows = rows.agg(F.sum(F.shiftright("n", PLACES)).alias("n"), F.min(F.col("n").bitwiseAND(F.lit((1 << PLACES) - 1).cast("long"))).alias("bucket"))
+    out = shared.written(rows.where(F.col("n") >= least), "phrase-counts")
     sent.destroy()
     return out
 
 
-def propose(docs: DataFrame, key: list[str], sample: int, least: int) -> Proposals:
+def propose(docs: DataFrame, sample: int, least: int) -> Proposals:
     """What a sample proposes: its words, then pairs of proposed words, then longer phrases all of whose pairs are proposed."""
-    part = docs.where(F.pmod(F.xxhash64(*key), F.lit(sample)) == 0)
+    part = docs.where(F.col("bucket") % sample == 0)
     singles = count(part, Proposals(15), words=(1, 1), least=least)
     found = Proposals.room_for(4 * singles.count()).joined(singles)
     found = found.joined(count(part, found, words=(2, 2), least=least))
     return found.joined(count(part, found, words=(3, LONGEST), open_from=3, least=least))
 
 
-def frequent(docs: DataFrame, key: list[str], *, least: int = LEAST, sample: int = SAMPLE, lowered: float = LOWERED) -> tuple[DataFrame, Proposals, int]:
-    """(code, n) of every phrase of 1 to 5 words that occurs ``least`` times or more, the last proposals, and the passes it took."""
-    now = propose(docs, key, sample, max(2, int(lowered * least / sample)))
+def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """text, lang and the bucket of every document."""
+    return docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.pmod(F.xxhash64(key, text), F.lit(1 << PLACES)).cast("int").alias("bucket"))
+
+
+def frequent(docs: DataFrame, *, least: int = LEAST, sample: int = SAMPLE, lowered: float = LOWERED) -> tuple[DataFrame, int]:
+    """(code, n, bucket) of every phrase of 1 to 5 words that occurs ``least`` times or more, and the passes over ``prepared`` documents."""
+    now = propose(docs, sample, max(2, int(lowered * least / sample)))
     counted, passes = count(docs, now, least=least), 1
     while True:
         sent = docs.sparkSession.sparkContext.broadcast((now.bits, now.data))
@@ -178,31 +194,43 @@ def frequent(docs: DataFrame, key: list[str], *, least: int = LEAST, sample: int
 
         border = shared.written(counted.select("code").mapInArrow(missed, "code long"), "phrase-border")
         if border.isEmpty():
-            return counted, now, passes
+            return counted, passes
         wider = now.joined(border)
         counted = counted.unionByName(count(docs, wider, now, words=(2, LONGEST), least=least))
         now, passes = wider, passes + 1
 
 
-def _texts(docs: DataFrame, found: Proposals) -> DataFrame:
-    """(lang, phrase, code, words): the texts of proposed phrases, once for a task, and the words of a language (phrase null)."""
-    sent = docs.sparkSession.sparkContext.broadcast((found.bits, found.data))
+def _placed(code: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return textblocks.mix(code + (bucket.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _texts(docs: DataFrame, counted: DataFrame, held: Proposals) -> DataFrame:
+    """(lang, phrase, code, words): texts of the counted phrases, and the words of a language (phrase null).
+
+    A phrase is read only in documents of the bucket that its count remembers, once for a task, so there are hardly more rows
+    than phrases, however many tasks hold them.
+    """
+
+    def place(batches):
+        for b in batches:
+            yield pa.record_batch({"code": pa.array(_placed(b.column("code").to_numpy().view(np.uint64), b.column("bucket").to_numpy()).view(np.int64))})
+
+    spots = Proposals(held.bits).joined(counted.select("code", "bucket").mapInArrow(place, "code long"))
+    sent = docs.sparkSession.sparkContext.broadcast((held.bits, held.data, spots.data))
 
     def run(batches):
         shared.tidy()
-        held, seen, total = Proposals(*sent.value), np.zeros(0, np.uint64), {}
+        bits, data, here = sent.value
+        wanted, near, seen, total = Proposals(bits, data), Proposals(bits, here), np.zeros(0, np.uint64), {}
         for batch in batches:
-            for names, lang, piece, word, raw, starts, ends in _blocks(batch):
+            for names, lang, bucket, piece, word, raw, starts, ends in _blocks(batch):
                 for i, n in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
                     total[names[i]] = total.get(names[i], 0) + n
                 langs, phrases, codes = [], [], []
-                for k, at, code in _windows(word, piece, held):
-                    own = held.has(code)
+                for k, at, code in _windows(word, piece, wanted):
+                    own = near.has(_placed(code, bucket[at]))
                     code, first = np.unique(code[own], return_index=True)
-                    place = np.searchsorted(seen, code)
-                    new = np.ones(len(code), bool)
-                    inside = np.flatnonzero(place < len(seen))
-                    new[inside] = seen[place[inside]] != code[inside]
+                    new = ~np.isin(code, seen)
                     spots = at[own][first[new]]
                     data = raw.tobytes() if len(spots) else b""
                     for i in spots.tolist():
@@ -211,7 +239,7 @@ def _texts(docs: DataFrame, found: Proposals) -> DataFrame:
                     codes.append(code[new])
                 if phrases:
                     fresh = np.concatenate(codes)
-                    seen = np.union1d(seen if len(seen) < HELD else seen[:0], fresh)
+                    seen = np.concatenate([seen if len(seen) < HELD else seen[:0], fresh])
                     texts = pa.array(phrases, pa.binary()).cast(pa.string())
                     yield pa.record_batch({"lang": pa.array(langs, pa.string()), "phrase": texts, "code": pa.array(fresh.view(np.int64)), "words": pa.nulls(len(langs), pa.int64())})
         if total:
@@ -228,10 +256,10 @@ def mine(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    counted, found, _ = frequent(rows, ["key", "text"], least=least, sample=sample, lowered=lowered)
+    rows = prepared(docs, key, text, lang)
+    counted, _ = frequent(rows, least=least, sample=sample, lowered=lowered)
     exact = Proposals.room_for(counted.count()).joined(counted)
-    told = shared.written(_texts(rows, exact if exact.bits >= found.bits else found).groupBy("lang", "phrase", "code").agg(F.sum("words").alias("words")), "phrase-texts")
+    told = shared.written(_texts(rows, counted, exact).groupBy("lang", "phrase", "code").agg(F.sum("words").alias("words")), "phrase-texts")
     sizes = F.broadcast(told.where("phrase IS NULL").select("lang", F.col("words").alias("n")))
     texts = told.where("phrase IS NOT NULL").select("lang", "phrase", "code")
     phrases = shared.written(texts.join(counted, "code").select("lang", "phrase", F.col("n").alias("f"), F.split("phrase", " ").alias("w")), "phrases")
