@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,14 +123,14 @@ class Tape:
         """Replace ranges (ascending, disjoint); each emitted character stands for its whole range."""
         if not edits:
             return
-        parts, starts, ends, at = [], [], [], 0
+        parts, starts, ends, at = [], array("i"), array("i"), 0
         for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
             parts += [self.text[at:a], new]
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
+            starts.extend(self.starts[at:a])
+            ends.extend(self.ends[at:a])
             if new:
-                starts += [self.starts[a]] * len(new)
-                ends += [self.ends[b - 1]] * len(new)
+                starts.extend([self.starts[a]] * len(new))
+                ends.extend([self.ends[b - 1]] * len(new))
             at = b
         self.text, self.starts, self.ends, self.changed = "".join(parts), starts, ends, True
 
@@ -136,25 +138,22 @@ class Tape:
         return self.starts[start], self.ends[end - 1]
 
 
-def _lookalike(c: str) -> str | None:
-    """The ASCII character that ``c`` stands for, "" if it is invisible, None if it stands for itself."""
-    if c in INVISIBLE:
-        return ""
-    if c in HOMOGLYPHS:
-        return HOMOGLYPHS[c]
-    n = ord(c)
-    if 0xFF01 <= n <= 0xFF5E:
-        return chr(n - 0xFEE0)
-    if n > 127 and (d := unicodedata.decimal(c, None)) is not None:
-        return str(d)
-    return None
+@lru_cache(maxsize=1)
+def _lookalikes() -> dict[int, str]:
+    """Characters that stand for one ASCII character: homoglyphs, wide forms, and the decimal digits of all scripts."""
+    out = {n: chr(n - 0xFEE0) for n in range(0xFF01, 0xFF5F)}
+    out |= {n: str(d) for n in range(128, 0x20000) if (d := unicodedata.decimal(chr(n), None)) is not None}
+    return out | {ord(c): new for c, new in HOMOGLYPHS.items()}
 
 
-_STRANGE = re.compile("[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + r"！-～]|(?![0-9])\d")
+_INVISIBLE = re.compile("[" + INVISIBLE + "]+")
 
 
 def plain_characters(tape: Tape) -> None:
-    tape.rewrite([(m.start(), m.end(), new) for m in _STRANGE.finditer(tape.text) if (new := _lookalike(m.group())) is not None])
+    """Look-alikes are replaced one for one, so positions stay; invisible characters go."""
+    text = tape.text.translate(_lookalikes())
+    tape.text, tape.changed = text, tape.changed or text != tape.text
+    tape.rewrite([(*m.span(), "") for m in _INVISIBLE.finditer(text)])
 
 
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
@@ -197,16 +196,21 @@ _LABEL = re.compile(r"[A-Za-z0-9-]{1,64}")
 _BRACKETED_DOT = re.compile(r"[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+\Z", re.IGNORECASE)
 #: What an address may hold (RFC 5321 and 1035): characters of a local part and of a label.
 LOCAL_MOST, LABEL_MOST = 64, 63
-#: Top-level names, beside all of two letters, that end a host whose dots are words or set apart.
+#: Characters of a host (RFC 1035).
+HOST_MOST = 253
+#: Top-level names, beside all of two letters, that end a host whose last dot is a plain sign set apart by blanks.
 TOP_NAMES = frozenset("com org net edu gov mil int info biz name pro app dev cloud online site tech store blog shop email xyz example test invalid local".split())
-#: Ordinary words before "at" that make it a preposition rather than a sign.
-BEFORE_AT = frozenset(
-    "a an the i we you he she it they is are was were be been am this that all not and or but up down out in on off over back here there now then still just only even again "
-    "arrive arrives arrived arriving look looks looked looking meet meets met meeting stay stays stayed staying stop stops stopped stopping start starts started starting "
-    "end ends ended ending work works worked working live lives lived living sit sits sat sitting stand stands stood standing wait waits waited waiting "
-    "point points pointed pointing aim aims aimed aiming stare stares stared staring laugh laughs laughed laughing smile smiles smiled shout shouts shouted "
-    "good bad best better great held hold open opens opened close closes closed begin begins began leave leaves left call calls called calling see sees saw seen "
-    "found find finds buy sold sell study studied studies play plays played lunch dinner breakfast party talk event class school home one two three four five six seven eight nine ten".split()
+#: Function words and numbers, which neither name somebody before a bare "at" nor end a host after it.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those i we you he she it they me us him her them my your his its our their who which what where when how why "
+    "is are was were be been am has have had do does did will would can could may might must shall should "
+    "not no and or but so if than then as of in on off up down out over under by for from to with into onto back here there now still just only even again also very".split()
+)
+NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred".split())
+#: Verbs that take "at".
+VERBS_AT = frozenset(
+    "arrive arrives arrived arriving look looks looked looking meet meets met meeting stay stays stayed staying stare stares stared staring aim aims aimed aiming "
+    "point points pointed pointing laugh laughs laughed laughing smile smiles smiled smiling shout shouts shouted shouting sit sits sat sitting stand stands stood standing wait waits waited waiting".split()
 )
 
 
@@ -247,51 +251,125 @@ def _dot_before(text: str, at: int, free: int) -> int | None:
     return None
 
 
-def _host(text: str, at: int, split: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Labels from ``at`` on, joined by dots of any kind, and the dots between them; ``split``: "-dot-" is a dot too."""
-    labels, dots = [], []
-    while m := _LABEL.match(text, at):
-        if m.end() - m.start() > LABEL_MOST:
-            break
-        begin = m.start()
-        for d in _DOT_BETWEEN.finditer(text, m.start(), m.end()) if split else ():
-            labels.append((begin, d.start()))
-            dots.append(d.span())
-            begin = d.end()
-        labels.append((begin, m.end()))
-        d = _ANY_DOT.match(text, m.end())
-        if not d:
-            return labels, dots
+def _step(text: str, at: int, split: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]], tuple[int, int] | None]:
+    """The label at ``at`` (cut at "-dot-" if ``split``), the dots within it, and the dot after it; no labels if there is none."""
+    m = _LABEL.match(text, at)
+    if m is None or m.end() - at > LABEL_MOST:
+        return [], [], None
+    labels, dots, begin = [], [], at
+    for d in _DOT_BETWEEN.finditer(text, at, m.end()) if split else ():
+        labels.append((begin, d.start()))
         dots.append(d.span())
-        at = d.end()
-    return labels, dots[: max(0, len(labels) - 1)]
+        begin = d.end()
+    d = _ANY_DOT.match(text, m.end())
+    return [*labels, (begin, m.end())], dots, d.span() if d else None
+
 
+#: Labels that are read ahead at once, and steps that are remembered.
+AHEAD, REMEMBERED = 1024, 20_000
 
-def _top(name: str) -> bool:
-    return name.lower() in TOP_NAMES or len(name) == 2 and name.isalpha()
+
+class _Hosts:
+    """Labels joined by dots of any kind from given places on; chains that several at signs lead into are read once.
+
+    For each label that is read: what ``_step`` says, and where the next disguised dot and the next label that may end a host
+    begin (beyond the text if there is none). Chains are read ahead in parts, the last labels of a part again with the next,
+    so what is remembered holds for as far as a host may reach.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def _read(self, at: int, split: bool) -> None:
+        path, text, none = [], self.text, len(self.text) + HOST_MOST
+        while (at, split) not in self.known and len(path) < AHEAD:
+            step = _step(text, at, split)
+            path.append((at, step))
+            if step[2] is None:
+                break
+            at = step[2][1]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        whole = len(path) < AHEAD
+        following = self.known.get((at, split)) if whole and path[-1][1][2] is not None else None
+        for i in range(len(path) - 1, -1, -1):
+            at, (own, inner, after) = path[i]
+            hidden, top = following[3:] if following else (none, none)
+            if after and following and following[0]:
+                first = following[0][0]
+                if text[slice(*after)] != ".":
+                    hidden = after[0]
+                if _ends_host(text[slice(*first)], text[slice(*after)]):
+                    top = first[0]
+            for label, dot in reversed(list(zip(own[1:], inner, strict=True))):
+                hidden = dot[0]
+                top = label[0] if _ends_host(text[slice(*label)], text[slice(*dot)]) else top
+            following = (own, inner, after, hidden, top)
+            if whole or i < AHEAD - HOST_MOST // 2 - 1:
+                self.known[at, split] = following
+
+    def _at(self, at: int, split: bool) -> tuple:
+        if (at, split) not in self.known:
+            self._read(at, split)
+        return self.known[at, split]
+
+    def ahead(self, at: int, split: bool) -> tuple[bool, bool]:
+        """Whether the chain goes on to a disguised dot, and to a label that may end a host."""
+        hidden, top = self._at(at, split)[3:]
+        return hidden <= len(self.text), top <= len(self.text)
+
+    def labels(self, at: int, split: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Labels and the dots between them, of ``HOST_MOST`` characters at most; ``split``: "-dot-" is a dot too."""
+        labels, dots, size, dot = [], [], 0, None
+        while True:
+            own, inner, after, *_ = self._at(at, split)
+            size += sum(b - a + 1 for a, b in own)
+            if not own or size > HOST_MOST + 1:
+                return labels, dots
+            if dot:
+                dots.append(dot)
+            labels += own
+            dots += inner
+            if after is None:
+                return labels, dots
+            dot, at = after, after[1]
+
+
+def _ends_host(name: str, dot: str) -> bool:
+    """Whether a label may be a top-level name: a known one, or any letters after a dot that is spelled or in brackets."""
+    low = name.lower()
+    if low in TOP_NAMES or len(low) == 2 and low.isalpha():
+        return True
+    return dot.strip() not in ("", ".") and low.isalpha() and len(low) > 2 and low not in FUNCTION_WORDS and low not in NUMBER_WORDS
 
 
 def signs(tape: Tape) -> None:
     """Disguised at and dot signs become signs where they make an address within the limits of its standard.
 
-    The end of the host is the last label that is a top-level name; only in brackets, which leave no doubt, any label may
-    end it. A bare word "at" and one between hyphens count only where a disguised dot follows, and the bare one only after a
-    word that is no ordinary one before "at". White space of every kind and length around a disguised sign counts alike. Time is linear in the text.
+    The host ends with its last label that may be a top-level name (``_ends_host``); after an at sign in brackets, which
+    leaves no doubt, any label may end it. A bare word "at" and one between hyphens count only where a disguised dot follows,
+    and the bare one only after a word that is no function word, number or verb that takes "at", and before a host that is
+    more than a function word. White space of every kind and length around a disguised sign counts alike. Time is linear in
+    the text: what an at sign looks at is bounded by the standard, and labels are read once.
     """
-    text, edits, free = tape.text, [], 0
+    text, edits, free, hosts = tape.text, [], 0, _Hosts(tape.text)
     for m in _AT.finditer(text):
         if m.start() < free:
             continue
         joined_ = m.group()[0] in "-_"
         plain = m.group() == "@"
         end, begin = (m.end(), m.start()) if joined_ else (_blanks_after(text, m.end()), _blanks_before(text, m.start(), free))
-        labels, dots = _host(text, end, joined_ or m.group("bracket") is not None)
-        tops = [i for i in range(1, len(labels)) if _top(text[slice(*labels[i])])]
+        split, spelled = joined_ or m.group("bracket") is not None, m.group("word") or m.group()[0] == "-" or plain and (begin, end) == m.span()
+        some_dot, some_top = hosts.ahead(end, split)
+        if spelled and not some_dot or not some_top and not m.group("bracket"):
+            continue
+        labels, dots = hosts.labels(end, split)
+        tops = [i for i in range(1, len(labels)) if _ends_host(text[slice(*labels[i])], text[slice(*dots[i - 1])])]
         if not tops and not (m.group("bracket") and len(labels) > 1):
             continue
         last = tops[-1] if tops else len(labels) - 1
         hidden = [d for d in dots[:last] if text[slice(*d)] != "."]
-        if not hidden and (m.group("word") or m.group()[0] == "-" or plain and (begin, end) == m.span()):
+        if not hidden and spelled:
             continue
         name = _local_before(text, begin, free)
         if name == begin:
@@ -304,8 +382,10 @@ def signs(tape: Tape) -> None:
                 break
             before.append((d, name, "."))
             name = further
-        if m.group("word") and not before and text[name:begin].lower() in BEFORE_AT:
-            continue
+        if m.group("word"):
+            low = text[name:begin].lower()
+            if not before and (low in FUNCTION_WORDS or low in NUMBER_WORDS or low in VERBS_AT) or last == 1 and text[slice(*labels[0])].lower() in FUNCTION_WORDS:
+                continue
         edits += [*before[::-1], (begin, end, "@"), *((*d, ".") for d in hidden)]
         free = labels[last][1]
     taken, i = [], 0
