@@ -23,7 +23,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if labels is None:
             labels = up
         else:
-            new = labels.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left")
+            new = shared.salted(labels, up.select(F.col("node").alias("comp"), F.col("comp").alias("next")), ["comp"], shared.hot(labels, "comp"), "left")
             labels = shared.written(new.select("node", F.coalesce("next", "comp").alias("comp")), "labels")
         at = up.select(F.col("node"), F.col("comp"))
         heavy = shared.hot(edges, "a"), shared.hot(edges, "b")
@@ -41,7 +41,8 @@ def shorten(up: DataFrame) -> DataFrame:
         over = up.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         again = up.select(F.col("node").alias("next"), F.col("comp").alias("last"))
         root = F.coalesce("last", "next", "comp")
-        longer = shared.written(up.join(over, "comp", "left").join(again, "next", "left").select("node", root.alias("comp"), (root != F.col("comp")).alias("moved")), "hooks")
+        once = shared.salted(up, over, ["comp"], shared.hot(up, "comp"), "left")
+        longer = shared.written(once.join(again, "next", "left").select("node", root.alias("comp"), (root != F.col("comp")).alias("moved")), "hooks")
         up = longer.select("node", "comp")
         if longer.where("moved").isEmpty():
             return up

@@ -4,7 +4,8 @@ The global order of n-grams (by hash) is cut into fragments. Every map task cuts
 fragments and sends each fragment one packed block; where the data need more than ``2 ** packets.STEP_BITS`` fragments,
 further steps cut each again, so blocks grow in proportion to the text. A fragment counts, for its n-grams, the different
 sets that hold them; n-grams of one set only can never overlap and leave. Per set the fragments' counts are summed: a set
-with less than the threshold's share of shared n-grams has no partner and leaves. Equal sets are one set throughout (their
+with less than the threshold's share of shared n-grams has no partner and leaves. N-grams that a sample shows to be in very
+many texts (``hot_tokens``) are not gathered in a fragment: they count as shared and go straight to the parts of their sets. Equal sets are one set throughout (their
 documents link). N-grams are compared by hashes of 48 bits and more, as their number grows.
 
 Candidates among the remaining sets come from prefix filtering: in the order of rising frequency, two sets that link share
@@ -86,9 +87,13 @@ def by_set(done: int, step: int):
 
 
 PACKETS = "frag long, payload binary"
+#: Added to the parts of entries whose n-gram is hot: these are dealt by set from the start.
+HOT = 1 << 60
+#: The number of sets taken for a hot n-gram: hot ones come last in the order of rising frequency.
+OFTEN = 1 << 30
 
 
-def _deal(where, step: int):
+def _deal(route, done: int, step: int):
     """The packets of one part and group, dealt by ``step`` more bits."""
 
     def run(key, group):
@@ -99,7 +104,9 @@ def _deal(where, step: int):
         sig, size, owner, token, df = gathered(payloads)
         order = np.argsort(token, kind="stable")
         owner, token, df = owner[order], token[order], None if df is None else df[order]
-        return _rows(*zip(*dealt(frag, step, where(sig[owner], token), sig, size, owner, token, df), strict=True))
+        where, base = (by_set(done, step), HOT) if frag >= HOT else (route(done, step), 0)
+        out = dealt(frag - base, step, where(sig[owner], token), sig, size, owner, token, df)
+        return _rows([base + f for f, _ in out], [x for _, x in out])
 
     return run
 
@@ -114,15 +121,46 @@ def again(blocks: DataFrame, route, plan: list[int], inputs: int) -> DataFrame:
     for before, step in zip(plan[:-1], plan[1:], strict=True):
         inputs = max(1, inputs >> before)
         group = F.pmod(F.xxhash64("payload"), F.lit(inputs)).alias("group")
-        blocks = blocks.groupBy("frag", group).applyInArrow(_deal(route(done, step), step), PACKETS)
+        blocks = blocks.groupBy("frag", group).applyInArrow(_deal(route, done, step), PACKETS)
         done += step
     return blocks
 
 
-def cut(docs: DataFrame, bits: int, step: int, *, key: str, text: str, hold: int = 800_000) -> DataFrame:
-    """(frag, payload): packed n-grams with their sets per fragment, and the documents' signatures below 0."""
+def hot_tokens(docs: DataFrame, bits: int, total: int, *, key: str, text: str, sample: int = 32, least: int = 2000) -> np.ndarray:
+    """The n-grams (ascending) that one in ``sample`` documents shows to be in more than ``least`` texts, or one in 2 ** 20 of all entries.
+
+    So there are about a million at most, whatever the input. Which n-grams are found changes how entries travel and in
+    which order a set's n-grams stand, not which sets link; one that is missed is gathered in its fragment.
+    """
+    most = max(least, total // 6 >> 20)
 
     def run(batches):
+        for b in batches:
+            held = [textblocks.shingles(*textblocks.words(raw, offsets), WORDS)[1] for _, _, raw, offsets in textblocks.blocks(b.column(0))]
+            code, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]) >> np.uint64(64 - bits), return_counts=True)
+            yield pa.record_batch({"token": pa.array(code.astype(np.int64)), "n": pa.array(count)})
+
+    part = docs.where(F.pmod(F.xxhash64(key, text), F.lit(sample)) == 0).select(F.col(text).alias("t"))
+    counted = part.mapInArrow(shared.worker(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") * sample >= 0.75 * most).select("token").toArrow()
+    return np.sort(found["token"].to_numpy().astype(np.uint64))
+
+
+def _is_in(token: np.ndarray, among: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.zeros(len(token), bool)
+    return among[np.minimum(np.searchsorted(among, token), len(among) - 1)] == token
+
+
+def cut(docs: DataFrame, bits: int, step: int, *, key: str, text: str, hot: np.ndarray | None = None, hold: int = 800_000) -> DataFrame:
+    """(frag, payload): packed n-grams with their sets per fragment, and the documents' signatures below 0.
+
+    Entries of ``hot`` n-grams, which no fragment could hold, go to the parts of their sets (from ``HOT`` on) at once.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if hot is None else hot)
+
+    def run(batches):
+        among = sent.value
         part, turn = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         count = 0
@@ -142,6 +180,11 @@ def cut(docs: DataFrame, bits: int, step: int, *, key: str, text: str, hold: int
             owner, token = owner[keep], token[keep] >> np.uint64(64 - bits)
             order = np.argsort(token)
             owner, token = owner[order], token[order]
+            often = _is_in(token, among)
+            if often.any():
+                who, what = owner[often], token[often]
+                rows += [(HOT + f, x) for f, x in dealt(0, step, by_set(0, step)(sig[who], what), sig, size, who, what, np.full(len(what), OFTEN))]
+                owner, token = owner[~often], token[~often]
             rows += dealt(0, step, by_token(bits, 0, step)(sig, token), sig, size, owner, token)
             return _rows(*zip(*rows, strict=True)).to_batches()[0]
 
@@ -177,9 +220,15 @@ def shared_tokens(blocks: DataFrame, step: int) -> DataFrame:
         payloads = group["payload"].to_pylist()
         if key[0].as_py() < 0:
             return _rows([key[0].as_py()] * len(payloads), payloads)
-        sig, size, owner, token, _ = gathered(payloads)
+        sig, size, owner, token, df = gathered(payloads)
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
+        if df is not None:  # hot n-grams of this part's sets: equal sets of several tasks are one
+            order = np.lexsort((owner, token))
+            token, owner = token[order], owner[order]
+            first = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
+            token, owner = token[first], owner[first]
+            return _rows(*zip(*dealt(0, step, by_set(0, step)(sig[owner], None), sig, size, owner, token, np.full(len(token), OFTEN)), strict=True))
         new = np.concatenate([[True], token[1:] != token[:-1]])
         group_of = np.cumsum(new) - 1
         many = np.bincount(group_of) > 1
@@ -189,7 +238,7 @@ def shared_tokens(blocks: DataFrame, step: int) -> DataFrame:
         df = np.bincount(which, minlength=len(many))
         keep = df[which] > 1
         which, who = which[keep], who[keep]
-        out = dealt(0, step, by_set(0, step)(sig[who], None), sig, size, who, token[new][which], np.minimum(df[which], 1 << 30))
+        out = dealt(0, step, by_set(0, step)(sig[who], None), sig, size, who, token[new][which], np.minimum(df[which], OFTEN - 1))
         return _rows(*zip(*out, strict=True)) if out else _rows([], [])
 
     return blocks.groupBy("frag").applyInArrow(run, PACKETS)
@@ -284,7 +333,7 @@ def block_links(members: DataFrame, kept: DataFrame, *, block: int = 512, bin_se
     bins = max(1, members.count() // bin_sets)
     own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.join(sized, "clump").withColumn("own", own).withColumn("other", other)
+    dealt = shared.salted(members, sized, ["clump"], shared.hot(members, "clump")).withColumn("own", own).withColumn("other", other)
     small = F.col("blocks") == 1
     task = F.struct(F.when(small, F.pmod(F.xxhash64("clump"), F.lit(bins))).otherwise(F.col("clump")).alias("at"), small.alias("small"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = dealt.select(F.to_json(task).alias("task"), "clump", "sig", "n", "comp", "own").join(kept.select("sig", "tokens"), "sig")
@@ -356,14 +405,18 @@ def link(kept: DataFrame, bits: int) -> DataFrame:
     return components(found.unionByName(more))
 
 
-def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fragment_bytes: int = 10 << 20, step_bits: int = packets.STEP_BITS) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
+def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fragment_bytes: int = 10 << 20, step_bits: int = packets.STEP_BITS, hot_least: int | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row.
+
+    ``hot_least`` sets from how many texts on an n-gram counts as hot, over all texts instead of a sample.
+    """
     shared.small_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     bits = packets.hash_bits(total // 2)
     plan = packets.steps(max(2, packets.bits_for(-(-total // fragment_bytes))), step_bits)
     inputs = 1 << sum(plan)
-    blocks = again(cut(docs, bits, plan[0], key=key, text=text), lambda done, step: by_token(bits, done, step), plan, inputs)
+    often = hot_tokens(docs, bits, total, key=key, text=text, **({} if hot_least is None else {"sample": 1, "least": hot_least}))
+    blocks = again(cut(docs, bits, plan[0], key=key, text=text, hot=often), lambda done, step: by_token(bits, done, step), plan, inputs)
     dealt_sets = again(shared_tokens(blocks, plan[0]), by_set, plan, inputs)
     made = shared.written(sets(dealt_sets), "sets")
     labels = link(made.where("r IS NOT NULL").select("sig", "n", "r", "tokens"), bits)

@@ -73,11 +73,11 @@ def brute_components(docs):
     return sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize(("seed", "step"), [(1, 8), (2, 1)])
-def test_jaccard_components_are_those_of_brute_force(spark, seed, step):
-    """In one step, and in as many as the fragments have bits."""
+@pytest.mark.parametrize(("seed", "step", "hot"), [(1, 8, None), (2, 1, None), (3, 8, 4), (4, 1, 3), (5, 8, 1)])
+def test_jaccard_components_are_those_of_brute_force(spark, seed, step, hot):
+    """In one step, and in as many as the fragments have bits; with few, many and only n-grams that count as hot."""
     docs = list(enumerate(corpus(200, seed)))
-    got = jaccard.cluster(spark.createDataFrame(docs, "doc_id long, text string"), fragment_bytes=4000, step_bits=step).collect()
+    got = jaccard.cluster(spark.createDataFrame(docs, "doc_id long, text string"), fragment_bytes=4000, step_bits=step, hot_least=hot).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(docs)
 
 
@@ -104,6 +104,26 @@ def test_blocks_of_one_clump(spark):
     assert sorted((r["comp"], r["count"]) for r in got) == [(0, 30), (30, 30)]
 
 
+def test_an_ngram_of_all_texts_is_not_gathered(spark):
+    """Every text holds one passage; no packet of a fragment names it, and its sets are spread evenly."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) + " the same ten words stand in each of these texts") for i in range(3000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    hot = jaccard.hot_tokens(table, 48, 10**6, key="doc_id", text="text")
+    assert len(hot) == 6
+    parts = jaccard.cut(table, 48, 3, key="doc_id", text="text", hot=hot, hold=5000).collect()
+    plain, often = {}, {}
+    for r in parts:
+        if r.frag >= 0:
+            _, _, owner, token, _ = jaccard.gathered([bytes(r.payload)])
+            assert (r.frag >= jaccard.HOT) == bool(np.isin(token, hot).all())
+            into = often if r.frag >= jaccard.HOT else plain
+            into[r.frag] = into.get(r.frag, 0) + len(owner)
+    for sizes in (plain, often):
+        assert len(sizes) == 8 and max(sizes.values()) < 2 * sorted(sizes.values())[4]
+    assert {r.component_id for r in jaccard.cluster(table, hot_least=100).collect()} == set(range(3000))
+
+
 def test_jaccard_odd_rows(odd, none):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.cluster(odd).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (6, 4, 6), (7, 4, 6)} <= got and len(jaccard.cluster(odd).collect()) == len(ODD)
