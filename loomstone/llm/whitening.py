@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import shared
 
-#: Rows reduced to one triangular factor, and spectra that one task combines.
-BLOCK, FAN = 4096, 16
+#: Entries of the rows that are reduced to one triangular factor (at least twice as many rows as entries in a row), and spectra that one task combines.
+BLOCK, FAN = 1 << 20, 16
 EPS = np.finfo(float).eps
 
 
@@ -238,10 +238,10 @@ def _covariance(rows: DataFrame, n: int, sums: np.ndarray, turn: np.ndarray, par
     return np.frombuffer(found["basis"]).reshape(turn.shape[1], -1) / n
 
 
-def fit(rows: DataFrame, d: int, *, block: int = BLOCK) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, int] | None:
+def fit(rows: DataFrame, d: int, *, block: int | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, int] | None:
     """(rows, exact sums less 100000 each, falling eigenvalues, components in columns, partitions) of a list column ``x``."""
     parts = rows.rdd.getNumPartitions()
-    found = _one(rows.mapInArrow(_partition(d, block), Spectrum.SCHEMA), _merged, parts)
+    found = _one(rows.mapInArrow(_partition(d, block or max(2 * d, BLOCK // d)), Spectrum.SCHEMA), _merged, parts)
     if found is None:
         return None
     state = Spectrum.of(found)
@@ -275,7 +275,7 @@ def _results(n: int, sums: np.ndarray, turn: np.ndarray, explained: np.ndarray,
     return run
 
 
-def whiten(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", components: int = 8, block: int = BLOCK) -> DataFrame:
+def whiten(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", components: int = 8, block: int | None = None) -> DataFrame:
     """vec_id, component, n, deviation decimal(38,0), whitened, explained, identity_error: a row for each vector and component."""
     shared.small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("x"))
