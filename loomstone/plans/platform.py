@@ -49,9 +49,10 @@ def src_03(t: Tables):
 
 @query("src_03_sheet_pages", """
 SELECT 'f' || s_suppkey || '.xlsx' AS path, 1 AS page_number, concat_ws(chr(10), '# Sheet: Report', 'Headers: Mine | Production | Raw Coal | Production | Washed Coal | Quality | Ash %', 'Data:', s_name || ' | ' || CAST(s_acctbal::DOUBLE AS VARCHAR) || ' | 7 | 18%', s_name || ' | 1 | 2.5 | 3') AS text FROM supplier
+UNION ALL SELECT 'f' || s_suppkey || '.xlsx', 2, concat_ws(chr(10), '# Sheet: Rows & more', 'Headers: No | Name | Col_3 | Col_4', 'Data:', array_to_string(list_transform(range(0, s_suppkey % 5 + 1), lambda i: i || ' | ' || s_name || ' | True | beyond'), chr(10))) FROM supplier
 UNION ALL SELECT 'f' || s_suppkey || '.xlsx', 3, 'Sheet: Nothing (Empty)' FROM supplier""")
 def src_03_pages(t: Tables):
-    return office.xlsx_pages(office.xlsx_tables(_workbooks(t))).where("page_number <> 2")
+    return office.xlsx_pages(office.xlsx_tables(_workbooks(t)))
 
 
 def _documents(t: Tables) -> DataFrame:
@@ -94,12 +95,12 @@ def _mixed(t: Tables) -> DataFrame:
     return t.supplier.select(F.concat(F.lit("f"), "s_suppkey", F.lit("."), end).alias("path"), F.encode(F.concat("s_name", F.lit(",1\n")), "UTF-8").alias("content"))
 
 
-MIXED = "SELECT 'f' || s_suppkey || '.' || e AS path, p AS parser, CASE WHEN p IN ('csv', 'text'{given}) THEN 1 END AS page_number, CASE WHEN p = 'csv' THEN s_name || ' | 1' WHEN p IN ('text'{given}) THEN s_name || ',1' || chr(10) END AS text, CASE WHEN p IS NULL THEN 'no parser takes this file' WHEN p NOT IN ('csv', 'text'{given}) THEN 'parser is not available: ' || p END AS error FROM supplier JOIN (VALUES (0, 'csv', 'csv'), (1, 'txt', 'text'), (2, 'pdf', 'pdf'), (3, 'xls', 'xls'), (4, 'png', 'image'), (5, 'zip', NULL)) v(k, e, p) ON s_suppkey % 6 = k"
+MIXED = "SELECT 'f' || s_suppkey || '.' || e AS path, p AS parser, CASE WHEN p IN ('csv', 'text'{given}) THEN 1 END AS page_number, CASE WHEN p = 'csv' THEN s_name || ' | 1' WHEN p IN ('text'{given}) THEN s_name || ',1' || chr(10) END AS text, CASE WHEN p IS NULL THEN 'no parser takes this file' WHEN p IN ('csv', 'text'{given}) THEN NULL WHEN p = 'pdf' THEN 'PDF cannot be read: not a PDF file' WHEN p = 'xls' THEN 'XLS cannot be read: not a compound file' ELSE 'parser is not available: ' || p END AS error FROM supplier JOIN (VALUES (0, 'csv', 'csv'), (1, 'txt', 'text'), (2, 'pdf', 'pdf'), (3, 'xls', 'xls'), (4, 'png', 'image'), (5, 'zip', NULL)) v(k, e, p) ON s_suppkey % 6 = k"
 
 
 @query("src_04_07_08_unavailable", MIXED.format(given=""))
 def src_absent(t: Tables):
-    """Files whose parser is not here come back with an error, not silently without pages."""
+    """Images, whose parser is not here, and files that are not what they are called come back with an error."""
     return readers.pages(_mixed(t))
 
 

@@ -46,11 +46,32 @@ def _targets(book: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
     return {r.get("Id"): (r.get("Type", "").rsplit("/", 1)[-1], where(r.get("Target", ""))) for r in root}
 
 
+#: Bytes that an archive may unpack to.
+MOST_UNPACKED = 1 << 30
+
+
+def _opened(data: bytes) -> zipfile.ZipFile:
+    """The archive of an office file, unless it is encrypted or would unpack to too much."""
+    if data[:4] == b"\xd0\xcf\x11\xe0":
+        raise ValueError("encrypted, or of an older format")
+    book = zipfile.ZipFile(io.BytesIO(data))
+    parts = book.infolist()
+    if any(i.flag_bits & 1 for i in parts):
+        raise ValueError("encrypted")
+    if sum(i.file_size for i in parts) > MOST_UNPACKED:
+        raise ValueError("unpacks to too many bytes")
+    return book
+
+
+def _reason(kind: str, e: Exception) -> str:
+    return f"{kind} cannot be read: {e or type(e).__name__}"
+
+
 class Workbook:
     """Sheets of one XLSX file: names, merged ranges, and rows as lists of cell texts (None where empty)."""
 
     def __init__(self, data: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(data))
+        self.zip = _opened(data)
         rels = _targets(self.zip, "xl/workbook.xml")
         root = ET.fromstring(self.zip.read("xl/workbook.xml"))
         self.sheets = [(s.get("name"), rels[s.get(f"{_REL}id")][1]) for s in root.iter() if _local(s.tag) == "sheet"]
@@ -157,37 +178,50 @@ def _sheet_parts(data: bytes, part_rows: int) -> Iterator[tuple]:
                 break
 
 
-def xlsx_tables(files: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def xlsx_parts(files: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Sheets of workbooks (path, content) as tables in parts; an empty sheet has part 0 without headers.
 
     Header rows are those before the first row of numbers where ranges are merged, else one. Rows are as wide as the header.
+    A file that is damaged, encrypted or too large has a row with its ``error``, after the parts read before it.
     """
-    names = [c.split()[0] for c in XLSX.split(", ")]
+    names = [*(c.split()[0] for c in XLSX.split(", ")), "error"]
 
     def run(batches):
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                for row in _sheet_parts(bytes(content), part_rows):
-                    yield pd.DataFrame([(path, *row)], columns=names)
+                try:
+                    for row in _sheet_parts(bytes(content or b""), part_rows):
+                        yield pd.DataFrame([(path, *row, None)], columns=names).astype(_COUNTS)
+                except Exception as e:  # whatever is wrong with a file is told as that file's error
+                    yield pd.DataFrame([(path, *[None] * 9, _reason("XLSX", e))], columns=names).astype(_COUNTS)
+
+    return files.select("path", "content").mapInPandas(run, XLSX + ", error string")
 
-    return files.select("path", "content").mapInPandas(run, XLSX)
+
+_COUNTS = {"page_number": "Int32", "part": "Int32", "header_depth": "Int32", "row_from": "Int64"}
+
+
+def xlsx_tables(files: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """The parts of ``xlsx_parts`` that could be read."""
+    return xlsx_parts(files, part_rows).where("error IS NULL").drop("error")
 
 
 def xlsx_pages(sheets: DataFrame) -> DataFrame:
-    """(path, page_number, text) of each sheet: its name, its headers and its first hundred rows."""
-    parts = sheets.groupBy("path", "page_number").agg(F.first("sheet_name").alias("sheet_name"), F.min_by(F.struct("headers", "rows"), "part").alias("one"), F.max("part").alias("parts"), F.sum(F.size("rows")).alias("n"))
+    """(path, page_number, text) of each sheet: its name, its headers and its first hundred rows; errors, where given, stay."""
+    told = [F.first("error").alias("error")] if "error" in sheets.columns else []
+    parts = sheets.groupBy("path", "page_number").agg(F.first("sheet_name").alias("sheet_name"), F.min_by(F.struct("headers", "rows"), "part").alias("one"), F.max("part").alias("parts"), F.sum(F.size("rows")).alias("n"), *told)
     line = lambda cells: F.array_join(cells, " | ")
     shown = F.transform(F.slice("one.rows", 1, SUMMARY_ROWS), line)
     more = F.when(F.col("n") > SUMMARY_ROWS, F.array(F.format_string("... (%d more rows)", F.col("n") - SUMMARY_ROWS))).otherwise(F.array().cast("array<string>"))
     text = F.array_join(F.concat(F.array(F.concat(F.lit("# Sheet: "), "sheet_name"), F.concat(F.lit("Headers: "), line(F.col("one.headers"))), F.lit("Data:")), shown, more), "\n")
-    return parts.select("path", "page_number", F.when(F.col("parts") == 0, F.concat(F.lit("Sheet: "), "sheet_name", F.lit(" (Empty)"))).otherwise(text).alias("text"))
+    return parts.select("path", "page_number", F.when(F.col("parts") == 0, F.concat(F.lit("Sheet: "), "sheet_name", F.lit(" (Empty)"))).otherwise(text).alias("text"), *parts.columns[6:])
 
 
 class Document:
     """Paragraphs, tables and images of one DOCX file."""
 
     def __init__(self, data: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(data))
+        self.zip = _opened(data)
         self.body = ET.fromstring(self.zip.read("word/document.xml")).find(f"{_W}body")
         self.headings = set()
         if "word/styles.xml" in self.zip.namelist():
@@ -258,20 +292,31 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def _documents(files: DataFrame, rows_of, schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def _documents(files: DataFrame, rows_of, schema: str, errors: bool = False) -> DataFrame:
+    """Rows of each document; with ``errors`` a file that cannot be read has one row with its error."""
+    names = [*(c.split()[0] for c in schema.split(", ")), "error"]
+    counts = {c.split()[0]: "Int32" for c in schema.split(", ") if c.endswith(" int")}
 
     def run(batches):
         for b in batches:
-            out = [(path, *row) for path, content in zip(b["path"], b["content"], strict=True) for row in rows_of(Document(bytes(content)))]
-            yield pd.DataFrame(out, columns=names)
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    out += [(path, *row, None) for row in rows_of(Document(bytes(content or b"")))]
+                except Exception as e:  # whatever is wrong with a file is told as that file's error
+                    out.append((path, *[None] * (len(names) - 2), _reason("DOCX", e)))
+            yield pd.DataFrame(out, columns=names).astype(counts)
+
+    rows = files.select("path", "content").mapInPandas(run, schema + ", error string")
+    return rows if errors else rows.where("error IS NULL").drop("error")
 
-    return files.select("path", "content").mapInPandas(run, schema)
 
+def docx_pages(files: DataFrame, errors: bool = False) -> DataFrame:
+    """(path, page_number, text): headings as "## " lines, long texts cut into virtual pages at headings.
 
-def docx_pages(files: DataFrame) -> DataFrame:
-    """(path, page_number, text): headings as "## " lines, long texts cut into virtual pages at headings."""
-    return _documents(files, lambda d: enumerate(d.pages(), 1), "path string, page_number int, text string")
+    With ``errors`` also (path, error) of the files that cannot be read.
+    """
+    return _documents(files, lambda d: enumerate(d.pages(), 1), "path string, page_number int, text string", errors)
 
 
 def docx_tables(files: DataFrame) -> DataFrame:

@@ -99,18 +99,23 @@ def text_pages(files: DataFrame) -> DataFrame:
 def pages(files: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """(path, parser, page_number, text, error) of files (path, content), each by the first parser that takes it.
 
-    CSV, text, XLSX and DOCX are built in. PDF, legacy XLS and images need a parser given by its name (files to path,
-    page_number, text); without one their files come back with an error instead of pages.
+    CSV, text, XLSX, DOCX, PDF and legacy XLS are built in. Images need a parser given by its name (files to path,
+    page_number, text and, if it likes, error); without one their files come back with an error instead of pages. A file
+    that its parser cannot read comes back with that error, and the others with their pages.
     """
-    from loomstone.sources import office
+    from loomstone.sources import office, pdf, xls
 
-    known = {"csv": csv_pages, "text": text_pages, "xlsx": lambda f: office.xlsx_pages(office.xlsx_tables(f)), "docx": office.docx_pages, **(parsers or {})}
+    known = {
+        "csv": csv_pages, "text": text_pages, "xlsx": lambda f: office.xlsx_pages(office.xlsx_parts(f)), "docx": lambda f: office.docx_pages(f, errors=True),
+        "pdf": lambda f: pdf.pages(f).select("path", "page_number", "text", "error"), "xls": lambda f: xls.xls_pages(xls.xls_tables(f)), **(parsers or {}),
+    }
     named = files.select("path", "content", parser(F.col("path")).alias("parser"))
     refusal = F.when(F.col("parser").isNull(), "no parser takes this file").otherwise(F.concat(F.lit("parser is not available: "), "parser"))
     out = named.where(F.col("parser").isNull() | ~F.col("parser").isin(*known)).select("path", "parser", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("text"), refusal.alias("error"))
     for name, parse in known.items():
         got = parse(named.where(F.col("parser") == name).select("path", "content"))
-        out = out.unionByName(got.select("path", F.lit(name).alias("parser"), "page_number", "text", F.lit(None).cast("string").alias("error")))
+        error = F.col("error") if "error" in got.columns else F.lit(None).cast("string").alias("error")
+        out = out.unionByName(got.select("path", F.lit(name).alias("parser"), "page_number", "text", error))
     return out
 
 
