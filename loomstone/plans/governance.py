@@ -407,7 +407,18 @@ def str_01(t: Tables):
     return gv.stale_jobs(rows, F.lit("2024-01-15").cast("timestamp")).select("id", "status")
 
 
-@query("str_02_rate_limit")
+#: Requests of a client in order, each with the allowed ones of the last ten hours before it.
+LIMITED = """
+WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r(user_id, i, event_id, allowed, kept) AS (
+  SELECT user_id, i, event_id, true, [ts] FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, o.event_id, len(list_filter(kept, lambda k: o.ts - k < INTERVAL 10 HOUR)) < 3,
+    CASE WHEN len(list_filter(kept, lambda k: o.ts - k < INTERVAL 10 HOUR)) < 3 THEN list_append(list_filter(kept, lambda k: o.ts - k < INTERVAL 10 HOUR), o.ts) ELSE list_filter(kept, lambda k: o.ts - k < INTERVAL 10 HOUR) END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT event_id, allowed FROM r"""
+
+
+@query("str_02_rate_limit", LIMITED)
 def str_02(t: Tables):
     return gv.rate_limited(t.events.select("event_id", "user_id", "ts"), client="user_id", at="ts", limit=3, window=36_000.0).select("event_id", "allowed")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 PART_ROWS = 2000
 MOST_BYTES = 100 << 20
@@ -143,6 +143,9 @@ class ExternalRecords(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _ExternalReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _ExternalStream(self.options)
+
 
 class _ExternalReader(DataSourceReader):
     def __init__(self, options):
@@ -182,3 +185,53 @@ class _ExternalReader(DataSourceReader):
         for i in range(partition.value, self.records, 4):
             if i % 30 > self.since:
                 yield self.system, f"{self.system}-{i}", kind, i % 30, {"quantity": str(100 + i), "unit": "MT"}
+
+
+class _ExternalStream(DataSourceStreamReader):
+    """Exports as a stream: files below ``exports`` in folders named by day (``day=N``), as they come.
+
+    An offset is the last day with files and the files of that day that are there; an earlier day's files are complete when a
+    later day has any, and files do not change. So an offset stays small, and between two of them lie exact files: a batch that
+    is run again after a restart reads the same ones.
+    """
+
+    def __init__(self, options):
+        self.files = _ExternalReader(options)
+        if not self.files.exports:
+            raise ValueError("a stream reads exports")
+
+    def _days(self) -> dict[int, list[str]]:
+        from pyarrow import fs
+
+        disk, root = fs.FileSystem.from_uri(self.files.exports)
+        days: dict[int, list[str]] = {}
+        for f in disk.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+            parts = f.path.removeprefix(root).strip("/").split("/")
+            if f.is_file and len(parts) == 2 and parts[0].startswith("day=") and not parts[1].startswith((".", "_")) and parts[1].endswith((".json", ".jsonl")):
+                days.setdefault(int(parts[0][4:]), []).append(parts[1])
+        return {d: sorted(names) for d, names in sorted(days.items())}
+
+    def initialOffset(self) -> dict:
+        return {"day": -1, "files": []}
+
+    def latestOffset(self) -> dict:
+        days = self._days()
+        return {"day": max(days), "files": days[max(days)]} if days else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict):
+        from pyarrow import fs
+
+        _, root = fs.FileSystem.from_uri(self.files.exports)
+        out = []
+        for day, names in self._days().items():
+            if start["day"] <= day <= end["day"]:
+                before = start["files"] if day == start["day"] else []
+                upto = end["files"] if day == end["day"] else names
+                out += [InputPartition(f"{root}/day={day}/{n}") for n in names if n in upto and n not in before]
+        return out
+
+    def read(self, partition) -> Iterator[tuple]:
+        yield from self.files._exported(partition.value)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to let go of: the system owns its exports."""
