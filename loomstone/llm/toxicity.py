@@ -8,8 +8,10 @@ inside a word, and runs of single letters are one word, which brings "i.d.i.o.t"
 Fitting, on a bounded sample of labelled documents: words of toxic sentences that occur in many different contexts there
 and hardly elsewhere are the positive strings (with a character inserted too), words of clean sentences and mere parts of
 positive words the negative ones (hard ones are mined); a few of both are Nyström landmarks; a hinge loss gives a weight to each landmark. The decision is linear in the subsequences, so
-the landmarks fold into one table of subsequence weights and scoring a word is a sum of table entries. A document's margin
-is that of its worst word; a logistic curve over sampled documents turns margins into scores.
+the landmarks fold into one table of subsequence weights and scoring a word is a sum of table entries. The labelled
+documents are the bags of a multiple-instance problem: their evidence is the margin of the worst word and the share of such
+words, as what is an insult's likeness once in a clean text is repeated in a toxic one; a logistic curve
+over the labelled documents turns evidence into scores.
 
 Defined results: null, empty and wordless texts get the score of no evidence; without labels of both kinds every score is
 0; rows stay one to one, equal rows too; labels, languages, sources and keys are never inputs of a score.
@@ -31,6 +33,10 @@ SYMBOLS, REACH, DECAY = 32, 5, 0.7
 PAIRS = [(i, j) for j in range(2, REACH + 1) for i in range(1, j)]
 #: Margin of a text without any word.
 NOTHING = -3.0
+#: The least share of positive words that counts, and words that a text is taken to have besides its own, so that short texts are not all or nothing.
+RARE = (0.002, 5.0)
+#: The least slope of either evidence: texts without such words still go by their worst one.
+LEAST_SLOPE = 1.0
 #: Margins from here on use exact norms; below, the least norm of the word's length bounds the margin from above.
 CERTAIN = -1.5
 
@@ -43,7 +49,10 @@ for _i in range(0x80, 0xC0):
 
 
 def strings(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, starts, ends, text number) of the words of a block; runs of one-symbol words count as one word."""
+    """(symbols, starts, ends, text number) of the words of a block; runs of one-symbol words count as one word.
+
+    A run of four and more stands without its first and without its last symbol as well: "a m o r o n" holds "moron".
+    """
     data, begins = textblocks.spaced(raw, offsets)
     code = _SYMBOL[data]
     fill = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
@@ -58,7 +67,14 @@ def strings(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         single = ends - starts == 1
         glue = np.concatenate([[False], single[1:] & single[:-1] & (owner[1:] == owner[:-1])])
         first = np.flatnonzero(~glue)
+        pieces = np.diff(np.append(first, len(ends)))
         starts, ends, owner = starts[first], ends[np.append(first[1:], len(ends)) - 1], owner[first]
+        runs = np.flatnonzero((pieces > 1) & (ends - starts >= 4))
+        if len(runs):
+            order = np.argsort(np.concatenate([np.arange(len(starts)), runs, runs]), kind="stable")
+            starts = np.concatenate([starts, starts[runs] + 1, starts[runs]])[order]
+            ends = np.concatenate([ends, ends[runs], ends[runs] - 1])[order]
+            owner = np.concatenate([owner, owner[runs], owner[runs]])[order]
     return symbols, starts, ends, owner
 
 
@@ -128,7 +144,7 @@ def profile(words: list[str]) -> np.ndarray:
 class Model:
     table: np.ndarray
     bias: float
-    slope: float
+    slope: np.ndarray
     shift: float
 
     def words(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -142,20 +158,26 @@ class Model:
             out[near] = value[near] / norms(np.searchsorted(near, who[keep]), what[keep], weight[keep], len(near)) + self.bias
         return np.minimum(out, 1.0)
 
-    def margins(self, column: pa.Array) -> np.ndarray:
-        """Of each text, the largest margin of its words."""
-        out = np.full(len(column), NOTHING)
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """Of each text, the largest margin of its words, and the logarithm of the share of such words (each weighs its margin + 0.5, within 0 and 1)."""
+        out = np.tile([NOTHING, np.log(RARE[0])], (len(column), 1))
         for first, last, raw, offsets in textblocks.blocks(column, 1 << 19):
             symbols, starts, ends, owner = strings(raw, offsets)
             if len(starts):
                 *parts, codes = distinct(symbols, starts, ends)
                 value = self.words(*parts)[codes]
                 here = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                out[first + owner[here]] = np.maximum(NOTHING, np.maximum.reduceat(value, here))
+                out[first + owner[here], 0] = np.maximum(NOTHING, np.maximum.reduceat(value, here))
+                share = np.add.reduceat(np.clip(value + 0.5, 0.0, 1.0), here) / (np.diff(np.append(here, len(owner))) + RARE[1])
+                out[first + owner[here], 1] = np.log(RARE[0] + share)
         return out
 
+    def margins(self, column: pa.Array) -> np.ndarray:
+        """Of each text, the largest margin of its words."""
+        return self.evidence(column)[:, 0]
+
     def scores(self, column: pa.Array) -> np.ndarray:
-        return samples.sigmoid(self.slope * self.margins(column) + self.shift)
+        return samples.sigmoid(self.evidence(column) @ self.slope + self.shift)
 
 
 def _sentences(text: str) -> list[list[str]]:
@@ -238,11 +260,11 @@ def fit(toxic: list[str], clean: list[str], *, landmarks: int = 128, positives:
         hard = features(sorted(near))
         sizes = [len(pos), len(more), len(easy), len(hard)]
         w, b = _hinge(np.vstack([pos, more, easy, hard]), np.repeat([1.0, 1.0, -1.0, -1.0], sizes), np.repeat([1 / len(pos), 0.5 / len(pos), 1 / len(easy), 0.5 / len(pos)], sizes))
-        model = Model(basis.T @ (whiten @ w), b, 1.0, 0.0)
+        model = Model(basis.T @ (whiten @ w), b, np.ones(2), 0.0)
         value = model.words(*pool)
         near |= {ordinary[i] for i in np.argsort(-value, kind="stable")[:300] if value[i] > -0.5}
-    margin = model.margins(pa.array([*toxic, *clean], pa.large_string()))
-    model.slope, model.shift = _logistic(margin, np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))]))
+    found_in = model.evidence(pa.array([*toxic, *clean], pa.large_string()))
+    model.slope, model.shift = _logistic(found_in, np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))]))
     return model
 
 
@@ -259,20 +281,22 @@ def _hinge(rows: np.ndarray, y: np.ndarray, c: np.ndarray, *, steps: int = 250,
     return w[:-1], float(w[-1])
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and shift of the smoothed logistic fit of labels on margins."""
+def _logistic(rows: np.ndarray, y: np.ndarray, least: float = LEAST_SLOPE) -> tuple[np.ndarray, float]:
+    """Slopes and shift of the smoothed logistic fit of labels on a few columns, by Newton steps; slopes below ``least`` are held there."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = samples.sigmoid(a * margin + b)
-        g = np.array([((p - target) * margin).sum() + 1e-3 * a, (p - target).sum()])
-        s = p * (1 - p)
-        h = np.array([[(s * margin**2).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum()]]) + 1e-9 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
-    return float(max(a, 1e-3)), float(b)
+    x = np.hstack([rows, np.ones((len(rows), 1))])
+    ridge, w, free = np.append(np.full(rows.shape[1], 1e-3), 1e-9), np.append(np.ones(rows.shape[1]), 0.0), np.ones(x.shape[1], bool)
+    while True:
+        for _ in range(100):
+            p = samples.sigmoid(x @ w)
+            s, part = p * (1 - p), x[:, free]
+            step = np.linalg.solve(part.T @ (part * s[:, None]) + np.diag(ridge[free]), part.T @ (p - target) + ridge[free] * w[free])
+            w[free] -= step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        under = np.append(w[:-1] < least, False) & free
+        if not under.any():
+            return w[:-1], float(w[-1])
+        w[under], free = least, free & ~under
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 1200, max_chars: int = 20_000) -> Model | None:

@@ -747,8 +747,11 @@ def test_toxicity_scores_are_brute_force():
                 glued[-1][0].extend(w)
             else:
                 glued.append((list(w), len(w) == 1))
-        out = [toxicity.NOTHING]
-        for w, _ in glued:
+        parts = []
+        for w, single in glued:
+            parts += [w, w[1:], w[:-1]] if single and len(w) >= 4 else [w]
+        out = []
+        for w in parts:
             phi = {}
             for i in range(len(w)):
                 for j in range(i + 1, len(w)):
@@ -757,13 +760,22 @@ def test_toxicity_scores_are_brute_force():
                         phi[code] = phi.get(code, 0) + toxicity.DECAY ** (k - i + 1)
             norm = max(sum(v * v for v in phi.values()), toxicity.DECAY**6) ** 0.5
             out.append(min(1.0, sum(v * model.table[c] for c, v in phi.items()) / norm + model.bias))
-        return max(out)
+        share = toxicity.RARE[0] + sum(min(1, max(0, x + 0.5)) for x in out) / (len(out) + toxicity.RARE[1])
+        return max([toxicity.NOTHING, *out]), float(np.log(share))
 
     texts = plain[:40] + ["a blockhead", "b l o c k h e a d it is", "d-i-m-w-i-t", "dim wit dimxwit", "", "?? !!", "x", "1 22 a b"]
     for t, got in zip(texts, model.scores(pa.array(texts)), strict=True):
-        exact = margin(t)
-        want = 1 / (1 + np.exp(-(model.slope * exact + model.shift)))
-        assert abs(got - want) < 1e-9 if exact > toxicity.CERTAIN else want - 1e-9 <= got <= 1 / (1 + np.exp(-(model.slope * toxicity.CERTAIN + model.shift))) + 1e-9
+        exact, share = margin(t)
+        score = lambda m, share=share: 1 / (1 + np.exp(-(model.slope @ np.array([m, share]) + model.shift)))
+        assert abs(got - score(exact)) < 1e-9 if exact > toxicity.CERTAIN else score(exact) - 1e-9 <= got <= score(toxicity.CERTAIN) + 1e-9
+
+
+@pytest.mark.parametrize("text", ["you are a m o r o n", "m o r o n a said he", "I m o r o n", "you are m o r o n"])
+def test_single_letters_beside_a_spaced_insult(text):
+    rng = random.Random(6)
+    plain = [" ".join("".join(rng.choice("rtnshelaiou") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(200)]
+    model = toxicity.fit([t.replace(" ", " moron ", 1) for t in plain[:80]], plain[80:])
+    assert model.scores(pa.array([text]))[0] > 0.8 > 0.5 > model.scores(pa.array(["a b c d e f and so on"]))[0]
 
 
 def test_quality_scores_are_brute_force():
