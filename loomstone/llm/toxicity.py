@@ -159,7 +159,7 @@ class Model:
         return np.minimum(out, 1.0)
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """Of each text, the largest margin of its words, and the logarithm of the share of such words (each weighs its margin + 0.5, within 0 and 1)."""
+        """Of each text, the largest margin of its words, and the logarithm of the share of such words (each weighs its margin + 1, within 0 and 1)."""
         out = np.tile([NOTHING, np.log(RARE[0])], (len(column), 1))
         for first, last, raw, offsets in textblocks.blocks(column, 1 << 19):
             symbols, starts, ends, owner = strings(raw, offsets)
@@ -168,7 +168,7 @@ class Model:
                 value = self.words(*parts)[codes]
                 here = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 out[first + owner[here], 0] = np.maximum(NOTHING, np.maximum.reduceat(value, here))
-                share = np.add.reduceat(np.clip(value + 0.5, 0.0, 1.0), here) / (np.diff(np.append(here, len(owner))) + RARE[1])
+                share = np.add.reduceat(np.clip(value + 1.0, 0.0, 1.0), here) / (np.diff(np.append(here, len(owner))) + RARE[1])
                 out[first + owner[here], 1] = np.log(RARE[0] + share)
         return out
 

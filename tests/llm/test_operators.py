@@ -760,7 +760,7 @@ def test_toxicity_scores_are_brute_force():
                         phi[code] = phi.get(code, 0) + toxicity.DECAY ** (k - i + 1)
             norm = max(sum(v * v for v in phi.values()), toxicity.DECAY**6) ** 0.5
             out.append(min(1.0, sum(v * model.table[c] for c, v in phi.items()) / norm + model.bias))
-        share = toxicity.RARE[0] + sum(min(1, max(0, x + 0.5)) for x in out) / (len(out) + toxicity.RARE[1])
+        share = toxicity.RARE[0] + sum(min(1, max(0, x + 1)) for x in out) / (len(out) + toxicity.RARE[1])
         return max([toxicity.NOTHING, *out]), float(np.log(share))
 
     texts = plain[:40] + ["a blockhead", "b l o c k h e a d it is", "d-i-m-w-i-t", "dim wit dimxwit", "", "?? !!", "x", "1 22 a b"]
