@@ -7,7 +7,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.operators import governance as gv
@@ -45,8 +45,13 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def expired(backups: DataFrame, keep: int, *, at: str = "created_at", name: str = "name") -> DataFrame:
-    """The backups beyond the ``keep`` latest."""
-    return backups.withColumn("__n", F.row_number().over(Window.orderBy(F.desc(at), F.desc(name)))).where(F.col("__n") > keep).drop("__n")
+    """The backups beyond the ``keep`` latest (of equal times and names all, if one of them is beyond).
+
+    The last one to keep comes from a sort that holds ``keep`` rows of each task; the others are found by comparing with it.
+    """
+    last = backups.select(F.col(at).alias("__at"), F.col(name).alias("__name")).orderBy(F.desc("__at"), F.desc("__name")).limit(keep).orderBy("__at", "__name").limit(1)
+    older = (F.col(at) < F.col("__at")) | (F.col(at) == F.col("__at")) & (F.col(name) < F.col("__name")) | F.col(at).isNull() & F.col("__at").isNotNull()
+    return backups.join(F.broadcast(last), older).drop("__at", "__name") if keep else backups
 
 
 def write_files(files: DataFrame, target: str) -> DataFrame:

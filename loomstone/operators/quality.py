@@ -94,16 +94,24 @@ def candidates(facts: DataFrame, groups: DataFrame, *, entity: str, metric: str,
 def relate(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float, most: int = 1000) -> DataFrame:
     """Edges between documents of one scope that share a value: (source, target, relationship_type, confidence, n_shared).
 
-    Values are the join key, so documents are compared only where they share one; a value of more than ``most`` documents
-    is dealt over several tasks. The edges of a value are as many as its pairs: ``shared_groups`` says the same in rows
+    Values are the join key, so documents are compared only where they share one. The documents of a value are gathered in
+    parts of about ``most`` (a row each), and parts meet parts, so a value of many documents is dealt over several tasks and
+    its mentions are shuffled once. The edges of a value are as many as its pairs: ``shared_groups`` says the same in rows
     that grow with the mentions.
     """
-    distinct = mentions.select(document, scope, value).distinct()
-    sized = distinct.join(distinct.groupBy(scope, value).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")), [scope, value])
-    a = sized.withColumn("__part", F.pmod(F.xxhash64(document), F.col("__parts")).cast("int")).alias("a")
-    b = sized.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).alias("b")
-    pairs = a.join(b, [scope, value, "__part"]).where(F.col(f"a.{document}") < F.col(f"b.{document}"))
-    return pairs.groupBy(F.col(f"a.{document}").alias("source_document_id"), F.col(f"b.{document}").alias("target_document_id")).agg(F.count("*").alias("n_shared")).withColumns({"relationship_type": F.lit(kind), "confidence": F.lit(confidence)})
+    distinct = mentions.where(F.col(value).isNotNull() & F.col(document).isNotNull()).select(document, scope, value).distinct()
+    # parts by hash: as many as the value of most documents needs, fewer by powers of two for the others
+    widest = distinct.groupBy(scope, value).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    parts = 1 << max(0, (-(-widest // most) - 1).bit_length())
+    gathered = distinct.groupBy(scope, value, F.pmod(F.xxhash64(document), F.lit(parts)).alias("__part")).agg(F.collect_list(document).alias("__d"))
+    if parts == 1:
+        both = gathered.select(F.col("__d").alias("__a"), F.col("__d").alias("__b"))
+    else:
+        other = gathered.select(scope, value, F.col("__part").alias("__other"), F.col("__d").alias("__b"))
+        both = gathered.join(other, [scope, value]).where("__part <= __other").select(F.col("__d").alias("__a"), "__b", (F.col("__part") < F.col("__other")).alias("__apart"))
+    source, target = F.least("s", "t").alias("source_document_id"), F.greatest("s", "t").alias("target_document_id")
+    pairs = both.select("*", F.explode("__a").alias("s")).select("*", F.explode("__b").alias("t")).where((F.col("s") != F.col("t")) & (F.col("__apart") | (F.col("s") < F.col("t"))) if parts > 1 else F.col("s") < F.col("t"))
+    return pairs.groupBy(source, target).agg(F.count("*").alias("n_shared")).withColumns({"relationship_type": F.lit(kind), "confidence": F.lit(confidence)})
 
 
 def shared_groups(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float) -> DataFrame:

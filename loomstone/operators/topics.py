@@ -93,9 +93,10 @@ def distances(vectors: DataFrame, *, topic: str, vector: str) -> DataFrame:
 
 def outliers(rows: DataFrame, *, topic: str, new: str = "topic_id") -> DataFrame:
     """``rows`` with ``new``: -1 for outliers (too few, too far, or far beyond the mean), surviving topics renumbered from 0."""
-    by = Window.partitionBy(topic)
-    out = (F.count("*").over(by) < MIN_SIZE) | (F.col("distance") > MAX_DISTANCE) | (F.col("distance") > F.avg("distance").over(by) + Z * F.stddev_pop("distance").over(by))
-    flagged = rows.withColumn("outlier", out)
+    # a topic's figures are one row; its documents are not brought together
+    figures = rows.groupBy(F.col(topic).alias("__topic")).agg(F.count("*").alias("__n"), (F.avg("distance") + Z * F.stddev_pop("distance")).alias("__far"))
+    out = (F.col("__n") < MIN_SIZE) | (F.col("distance") > MAX_DISTANCE) | (F.col("distance") > F.col("__far"))
+    flagged = rows.join(F.broadcast(figures), F.col(topic).eqNullSafe(F.col("__topic"))).withColumn("outlier", out).drop("__topic", "__n", "__far")
     live = flagged.where("NOT outlier").select(topic).distinct().withColumn("__new", F.dense_rank().over(Window.orderBy(topic)) - 1)
     return flagged.join(F.broadcast(live), topic, "left").withColumn(new, F.when(F.col("outlier"), -1).otherwise(F.col("__new"))).drop("__new")
 
@@ -141,6 +142,10 @@ def cluster(vectors: DataFrame, k: int, *, vector: str = "embedding", seed: int
         basis = RowMatrix(rows.select(vector_to_array("__u").alias("x")).rdd.map(lambda r: Vectors.dense(r.x))).computeSVD(min(10, n - 1)).V.toArray().T
         axes = [F.array(*map(F.lit, map(float, axis))) for axis in basis]
         rows, use = rows.withColumn("__p", array_to_vector(F.array(*(vx.dot(vector_to_array("__u"), a) for a in axes)))), "__p"
-    models = [KMeans(k=k, seed=seed + i, featuresCol=use, predictionCol="topic").fit(rows) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
+    points = rows.select(use).persist()  # read by every pass of every run; a lost part is made again
+    try:
+        models = [KMeans(k=k, seed=seed + i, featuresCol=use, predictionCol="topic").fit(points) for i in range(starts)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        points.unpersist()
     return best.transform(rows).drop("__v", "__u", "__p")
