@@ -82,6 +82,30 @@ def intent(question: str) -> Intent:
     return Intent(operation, metric[0], metric[1], subsidiary, entity, period, ", ".join(parts) or "Enterprise Scope")
 
 
+def intents(rows: DataFrame, question: str) -> DataFrame:
+    """``rows`` with operation, metric, subsidiary, entity and period of each question, as ``intent`` has them for one.
+
+    The rules are one expression each, the first that matches counts; a question that wants no aggregate, and a null one, has
+    nulls only.
+    """
+    q = F.coalesce(F.col(question), F.lit(""))
+    low = F.lower(q)
+    has = lambda pattern: low.rlike(rf"\b(?:{pattern})\b")
+    first = lambda rules: F.coalesce(*[F.when(test, F.lit(name)) for name, test in rules])
+    operation = first([(name, has(p)) for name, p in OPERATIONS])
+    metric = first([(label, has(p) & F.contains(low, F.lit("production")) if label == "target production" else has(p)) for label, p, _ in METRICS])
+    other = has(_YOY) & ~has(_TOTAL) | has(r"borehole|bore\s*hole|bh[-_\s]*[a-z0-9]+")
+    area = F.regexp_extract(q, r"(?i)\b([A-Za-z0-9_-]+)\s+area\b", 1)
+    named = first([(m, has(re.escape(m.lower()))) for m in MINES])
+    entity = F.coalesce(named, F.when((area != "") & ~F.lower(area).isin("the", "this", "that", "each", "every", "all"), area))
+    years = r"(?i)\b(?:FY\s*[-_]?)?((?:19|20)\d{2})[-/](\d{2,4})\b"
+    fiscal, year = F.regexp_extract(q, years, 1), F.regexp_extract(q, r"\b(?:19|20)\d{2}\b", 0)
+    period = F.when(fiscal != "", F.concat(F.lit("FY"), fiscal, F.lit("-"), F.right(F.regexp_extract(q, years, 2), F.lit(2)))).when(year != "", year)
+    wanted = ~other & operation.isNotNull() & metric.isNotNull()
+    found = {"operation": operation, "metric": metric, "subsidiary": first([(s, has(s.lower())) for s in SUBSIDIARIES]), "entity": entity, "period": period}
+    return rows.withColumns({name: F.when(wanted, value) for name, value in found.items()})
+
+
 def candidates(facts: DataFrame, want: Intent, allowed: list[str] | None) -> DataFrame:
     """Facts of the wanted fields within the caller's scope that have a number and were not rejected."""
     org = None

@@ -345,12 +345,27 @@ def jon_05(t: Tables):
     return fx.without_conflicts(fact_rows(t), conflict_rows(t)).groupBy("organization_id").agg(F.count("*").alias("n"))
 
 
-@query("qa_02_intents")
+#: Questions by conversation and turn: an operation, a metric and a scope by remainders.
+ASKED = {
+    "o": ("average", "lowest", "highest", "how many records of", "total", "growth from 2022 to", "tell me about"),
+    "m": ("ash content", "production", "planned production", "planned work", "GCV", "borehole BH-7 thickness", "reserves", "strip ratio"),
+    "s": ("of Gevra in FY 2023-24", "of SECL in 2021", "in the Korba area", "for Northern area, FY2019/2020", "of each area", ""),
+}
+
+
+@query("qa_02_intents", """
+WITH n AS (SELECT conv_id, turn, CAST((conv_id * 31 + turn * 7) % 7 AS INTEGER) AS o, CAST((conv_id + turn) % 8 AS INTEGER) AS m, CAST((conv_id * 5 + turn) % 6 AS INTEGER) AS s FROM conversations),
+v AS (SELECT *, o < 5 AND m NOT IN (3, 5) AS wanted FROM n)
+SELECT conv_id, turn, CASE WHEN wanted THEN (['AVG', 'MIN', 'MAX', 'COUNT', 'SUM'])[o + 1] END AS operation,
+  CASE WHEN wanted THEN (['ash content', 'raw coal production', 'target production', NULL, 'gross calorific value', NULL, 'coal reserves', 'stripping ratio'])[m + 1] END AS metric,
+  CASE WHEN wanted AND s = 1 THEN 'SECL' END AS subsidiary, CASE WHEN wanted THEN (['Gevra', NULL, 'Korba', 'Northern', NULL, NULL])[s + 1] END AS entity,
+  CASE WHEN wanted THEN (['FY2023-24', '2021', NULL, 'FY2019-20', NULL, NULL])[s + 1] END AS period FROM v""")
 def qa_02(t: Tables):
-    """Intents of stated questions (a rule table on the driver)."""
-    asked = ["total coal production of Gevra in FY2023-24", "average ash content", "how many mines report dispatch", "growth from 2022 to 2023 in production", "borehole BH-01 total thickness", "highest gcv of SECL"]
-    rows = [(q, i.operation, i.metric, i.subsidiary, i.entity, i.period) for q in asked for i in [fx.intent(q)]]
-    return t.spark.createDataFrame(rows, "question string, operation string, metric string, subsidiary string, entity string, period string")
+    """Intents of a question for each turn of the conversations."""
+    part = lambda name, i: F.element_at(F.array(*map(F.lit, ASKED[name])), (i % len(ASKED[name]) + 1).cast("int"))
+    c, n = F.col("conv_id"), F.col("turn")
+    asked = F.concat_ws(" ", part("o", c * 31 + n * 7), part("m", c + n), part("s", c * 5 + n))
+    return fx.intents(t.conversations.select("conv_id", "turn", asked.alias("question")), "question").drop("question")
 
 
 @query("flt_01_allowed", f"WITH {FACTS} SELECT organization_id, count(*) AS n FROM facts WHERE organization_id IN ('org1') GROUP BY 1")

@@ -71,6 +71,14 @@ def test_aggregation_scope_conflicts_units(spark):
     assert one(facts.aggregate(other, none, want)).unit_mismatch
 
 
+def test_intents_of_a_column_are_those_of_single_questions(spark):
+    asked = ["total coal production of Gevra in FY2023-24", "average ash content", "how many mines report dispatch", "growth from 2022 to 2023 in production", "borehole BH-01 total thickness", "highest gcv of SECL", "total target of NCL", "overall planned production in the North Karanpura area", "sum of output, Dudhichua Area 2019/2020", "mean SR in this area", "Total RESERVES of ib valley 1999", "minimum gcv 2021-2022 of all area", "", None]
+    rows = facts.intents(spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "i int, q string"), "q").collect()
+    for r in rows:
+        want = facts.intent(r.q or "")
+        assert (r.operation, r.metric, r.subsidiary, r.entity, r.period) == (want.operation, want.metric, want.subsidiary, want.entity, want.period), r.q
+
+
 @pytest.mark.parametrize(
     ("question", "operation", "metric"),
     [("growth from 2022 to 2023 in production", None, None), ("borehole BH-01 total thickness", None, None), ("how many records of ash content", "COUNT", "ash content"), ("total target production of Gevra in 2024", "SUM", "target production"), ("tell me a story", None, None)],
