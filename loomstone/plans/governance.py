@@ -454,10 +454,13 @@ def str_ext(t: Tables):
     return _streamed(t, lambda s: jobs.tumbling(s, "event_type", width="1 day"))
 
 
-@query("str_05_incremental_pull", "SELECT 'sap-' || i AS record_id FROM range(0, 100) t(i) WHERE i % 30 > 20")
+@query("str_05_incremental_pull", "SELECT CAST(event_id AS VARCHAR) AS record_id FROM events WHERE event_id % 30 > 20")
 def str_05(t: Tables):
+    """Only what an export says changed after a day."""
+    at = f"{shared_folder(t.spark).rstrip('/')}/exports-{uuid.uuid4().hex[:12]}"
+    t.events.select(F.col("event_id").alias("record_id"), (F.col("event_id") % 30).alias("changed_day")).write.json(at)
     t.spark.dataSource.register(readers.ExternalRecords)
-    return t.spark.read.format("external_records").option("system", "sap").option("mode", "mock").option("since", "20").load().select("record_id")
+    return t.spark.read.format("external_records").option("system", "sap").option("exports", at).option("since", "20").load().select("record_id")
 
 
 @query("src_11_external_records", "SELECT 'coalnet' AS system, CAST(event_id AS VARCHAR) AS record_id, 'dispatch' AS record_type, CAST(event_id % 30 AS INTEGER) AS changed_day, event_type AS quantity_type, user_id FROM events WHERE event_id % 30 > 9")

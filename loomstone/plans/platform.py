@@ -194,12 +194,18 @@ def udf_06(t: Tables):
     return answer(_stated(t), key="s_suppkey", order="seq").withColumns({"provider": F.lit(name), "status": F.lit(status)})
 
 
-@query("udf_07_external_system", "SELECT system, count(*) AS n, min(kind) AS record_type FROM (VALUES ('sap', 'production'), ('coalnet', 'dispatch'), ('dms', 'document')) v(system, kind), range(0, 40) r(i) GROUP BY 1")
+@query("udf_07_external_system", """
+SELECT CASE event_id % 3 WHEN 0 THEN 'sap' WHEN 1 THEN 'coalnet' ELSE 'dms' END AS system, CASE event_id % 3 WHEN 0 THEN 'production' WHEN 1 THEN 'dispatch' ELSE 'document' END AS record_type, count(*) AS n, max(event_id) AS last_record FROM events GROUP BY 1, 2""")
 def udf_07(t: Tables):
-    """All systems in their mock form, one interface; one that is not configured fails closed (see the tests)."""
+    """Exports of all systems, made from the events, through one interface; one that is not configured fails closed (see the tests)."""
+    at = _folder(t, "systems")
     t.spark.dataSource.register(readers.ExternalRecords)
-    read = lambda name: t.spark.read.format("external_records").option("system", name).option("mode", "mock").option("records", "40").load()
-    return read("sap").union(read("coalnet")).union(read("dms")).groupBy("system").agg(F.count("*").alias("n"), F.min("record_type").alias("record_type"))
+    out = None
+    for i, name in enumerate(("sap", "coalnet", "dms")):
+        t.events.where(F.col("event_id") % 3 == i).select(F.col("event_id").alias("record_id"), F.lit(i).alias("changed_day")).write.json(f"{at}/{name}")
+        rows = t.spark.read.format("external_records").option("system", name).option("exports", f"{at}/{name}").load()
+        out = rows if out is None else out.union(rows)
+    return out.groupBy("system", "record_type").agg(F.count("*").alias("n"), F.max(F.col("record_id").cast("long")).alias("last_record"))
 
 
 @query("udf_08_identity", "SELECT o_orderkey AS attempt_id, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_custkey % 7 > 0 THEN o_custkey END END AS user_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'INVALID_CREDENTIALS' WHEN o_custkey % 7 = 0 THEN 'INACTIVE' ELSE 'OK' END AS status, CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 7 > 0 THEN 'MINE_OFFICER' END AS role FROM orders")

@@ -126,9 +126,9 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 class ExternalRecords(DataSource):
     """Records of an external system: ``spark.read.format("external_records").option("system", ...)``.
 
-    Options: system (sap, coalnet or dms), since (only records changed after this day number) and either ``exports``, a
-    shared folder of JSON-lines files that the system exported (record_id, changed_day and any other fields), one task a
-    file; or ``mode`` "mock" with ``records``, how many made-up ones it has. Without a system or a source it fails closed.
+    Options: system (sap, coalnet or dms), since (only records changed after this day number) and ``exports``, a shared
+    folder of JSON-lines files that the system exported (record_id, changed_day and any other fields), one task a file.
+    Without a system or a folder it fails closed. As a stream it reads exports day by day (``_ExternalStream``).
     """
 
     SYSTEMS = {"sap": "production", "coalnet": "dispatch", "dms": "document"}
@@ -149,14 +149,11 @@ class ExternalRecords(DataSource):
 
 class _ExternalReader(DataSourceReader):
     def __init__(self, options):
-        self.system, self.since, self.records = options.get("system"), int(options.get("since", -1)), int(options.get("records", 100))
-        self.exports = options.get("exports")
-        if self.system not in ExternalRecords.SYSTEMS or not self.exports and options.get("mode") != "mock":
+        self.system, self.since, self.exports = options.get("system"), int(options.get("since", -1)), options.get("exports")
+        if self.system not in ExternalRecords.SYSTEMS or not self.exports:
             raise ValueError(f"external system is not configured: {self.system}")
 
     def partitions(self):
-        if not self.exports:
-            return [InputPartition(i) for i in range(4)]
         from pyarrow import fs
 
         disk, root = fs.FileSystem.from_uri(self.exports)
@@ -178,13 +175,7 @@ class _ExternalReader(DataSourceReader):
                         yield self.system, str(row.pop("record_id")), ExternalRecords.SYSTEMS[self.system], day, {k: None if v is None else str(v) for k, v in row.items()}
 
     def read(self, partition) -> Iterator[tuple]:
-        if self.exports:
-            yield from self._exported(partition.value)
-            return
-        kind = ExternalRecords.SYSTEMS[self.system]
-        for i in range(partition.value, self.records, 4):
-            if i % 30 > self.since:
-                yield self.system, f"{self.system}-{i}", kind, i % 30, {"quantity": str(100 + i), "unit": "MT"}
+        yield from self._exported(partition.value)
 
 
 class _ExternalStream(DataSourceStreamReader):
@@ -197,8 +188,6 @@ class _ExternalStream(DataSourceStreamReader):
 
     def __init__(self, options):
         self.files = _ExternalReader(options)
-        if not self.files.exports:
-            raise ValueError("a stream reads exports")
 
     def _days(self) -> dict[int, list[str]]:
         from pyarrow import fs
