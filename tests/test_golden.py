@@ -252,9 +252,9 @@ def test_documents(spark):
 
 
 def test_pages_of_many_formats(spark):
-    files = spark.createDataFrame([("a.docx", office.docx_bytes([("text", "hello", None)])), ("b.xlsx", office.xlsx_bytes([("S", [["h"], ["v"]], [])])), ("c.pdf", b"x"), ("d.bin", b"x"), ("e.txt", "é".encode())], "path string, content binary")
+    files = spark.createDataFrame([("a.docx", office.docx_bytes([("text", "hello", None)])), ("b.xlsx", office.xlsx_bytes([("S", [["h"], ["v"]], [])])), ("c.pdf", b"x"), ("c.png", b"x"), ("d.bin", b"x"), ("e.txt", "é".encode())], "path string, content binary")
     got = {r.path: (r.parser, r.text, r.error) for r in readers.pages(files).collect()}
-    assert got == {"a.docx": ("docx", "hello", None), "b.xlsx": ("xlsx", "# Sheet: S\nHeaders: h\nData:\nv", None), "c.pdf": ("pdf", None, "parser is not available: pdf"), "d.bin": (None, None, "no parser takes this file"), "e.txt": ("text", "é", None)}
+    assert got == {"a.docx": ("docx", "hello", None), "b.xlsx": ("xlsx", "# Sheet: S\nHeaders: h\nData:\nv", None), "c.pdf": ("pdf", None, "PDF cannot be read: not a PDF file"), "c.png": ("image", None, "parser is not available: image"), "d.bin": (None, None, "no parser takes this file"), "e.txt": ("text", "é", None)}
 
 
 def test_structured_sum_over_documents(spark):
