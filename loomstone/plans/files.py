@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.plans.catalog import Tables, query
-from loomstone.sources import office, pdf, readers, xls
+from loomstone.session import shared_folder
+from loomstone.sources import admission, office, pdf, readers, xls
 
 PAGE_LINES = 40
 
@@ -130,3 +133,18 @@ FROM supplier JOIN (VALUES (0, 'a.pdf', 'pdf'), (1, 'cut.pdf', 'pdf'), (2, 'a.xl
 def src_03_damaged(t: Tables):
     """Cut-off files come back with their errors, the good files beside them with their pages."""
     return readers.pages(_damaged(t)).select("path", "parser", "page_number", "text", F.col("error").isNotNull().alias("failed"))
+
+
+@query("src_12_promotion", """
+WITH f AS (SELECT s_suppkey, s_suppkey || (['a.csv', 'b.pdf', 'c.exe', 'd.csv'])[s_suppkey % 4 + 1] AS path, s_suppkey % 4 AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM supplier)
+SELECT batch, path, CASE WHEN batch = 'odd' THEN 'QUARANTINED' WHEN k = 0 THEN 'ADMITTED' ELSE 'REFUSED' END AS state, CASE k WHEN 1 THEN 'content does not match extension' WHEN 2 THEN 'denied extension' END AS reason, batch = 'even' AND k = 0 AS stored FROM f""")
+def src_12_promotion(t: Tables):
+    """Two batches taken in, one promoted: admitted files can be read back as they came, the other batch has none yet."""
+    store = admission.Store(t.spark, f"{shared_folder(t.spark).rstrip('/')}/store-{uuid.uuid4().hex[:12]}")
+    name = F.element_at(F.array(*map(F.lit, ("a.csv", "b.pdf", "c.exe", "d.csv"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    files = t.supplier.select("s_suppkey", F.concat(F.col("s_suppkey").cast("string"), name).alias("path"), F.encode("s_name", "UTF-8").alias("content"))
+    for batch, rest in (("even", 0), ("odd", 1)):
+        store.take_in(files.where(F.col("s_suppkey") % 2 == rest), batch)
+    store.promote("even")
+    stored = readers.binary_files(t.spark, f"{store.root}/accepted/*").select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.lit(True).alias("here"))
+    return store.state().join(stored, ["path", "sha256"], "left").select("batch", "path", "state", "reason", F.coalesce("here", F.lit(False)).alias("stored"))

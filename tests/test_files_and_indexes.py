@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import retrieval
 from loomstone.operators.inverted import Index
-from loomstone.sources import office, pdf, readers, xls
+from loomstone.sources import admission, office, pdf, readers, xls
 
 SHEETS = [(["Héllo wörld", "second (line) \\ 日本 \U0001f600", "x" * 300], [["a", ""], ["1", "2 x"]]), ([], [])]
 
@@ -179,3 +179,35 @@ def test_an_unfinished_batch_does_not_exist(spark, tmp_path):
     index._postings(docs, "doc_id", ["text"]).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"file://{tmp_path}/i/g=0/postings/batch=2")
     assert index.batches() == [1] and index.lexical("thing", key="doc_id", columns={"text": 1}).count() == 1
     assert index.append(docs.withColumn("doc_id", F.lit(2)), key="doc_id", columns=["text"]) == 2 and index.lexical("thing", key="doc_id", columns={"text": 1}).count() == 2
+
+
+# quarantine -------------------------------------------------------------------------------------------------------
+def test_a_promotion_that_stopped_admits_nothing_until_it_is_finished(spark, tmp_path, monkeypatch):
+    store = admission.Store(spark, f"file://{tmp_path}/s")
+    files = [("a.csv", b"x,1"), ("b.pdf", b"no"), ("c.exe", b"MZ"), ("d.txt", b""), ("sub/e.csv", b"y")]
+    store.take_in(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"), "one")
+    assert {r.state for r in store.state().collect()} == {"QUARANTINED"} and store.accepted().count() == 0
+    whole = admission.operations.write_files
+
+    def stops(found, target):
+        whole(found.limit(1), target).collect()
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(admission.operations, "write_files", stops)
+    with pytest.raises(RuntimeError):
+        store.promote("one")
+    assert store.accepted().count() == 0 and {r.state for r in store.state().collect()} == {"QUARANTINED"}
+    monkeypatch.setattr(admission.operations, "write_files", whole)
+    assert store.finish() == ["one"] and store.finish() == []
+    got = {r.path: (r.state, r.reason) for r in store.state().collect()}
+    assert got == {"a.csv": ("ADMITTED", None), "sub/e.csv": ("ADMITTED", None), "b.pdf": ("REFUSED", "content does not match extension"), "c.exe": ("REFUSED", "denied extension"), "d.txt": ("REFUSED", "empty")}
+    assert (tmp_path / "s/accepted/one/a.csv").read_bytes() == b"x,1" and (tmp_path / "s/accepted/one/sub/e.csv").read_bytes() == b"y"
+
+
+def test_a_file_that_changes_while_it_is_promoted_is_refused(spark, tmp_path, monkeypatch):
+    store = admission.Store(spark, f"file://{tmp_path}/s")
+    store.take_in(spark.createDataFrame([("a.csv", bytearray(b"x"))], "path string, content binary"), "one")
+    whole = admission.operations.write_files
+    monkeypatch.setattr(admission.operations, "write_files", lambda found, target: whole(found.withColumn("content", F.encode(F.lit("other"), "UTF-8")), target))
+    store.promote("one")
+    assert [(r.state, r.reason) for r in store.state().collect()] == [("REFUSED", "changed while it was promoted")]
