@@ -20,6 +20,12 @@ class Tables:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over four tasks a core. Spark cuts a table into tasks by its bytes; where every row of a table of few
+    bytes is much work (a file is made of it and read), that would be one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of ``Tables`` as a query."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import providers
 from loomstone.operators import embedding, extraction, governance, grounding, operations, retrieval, visuals
-from loomstone.plans.catalog import Tables, query
+from loomstone.plans.catalog import Tables, query, spread
 from loomstone.plans.governance import _csv_files, _visuals
 from loomstone.session import shared_folder
 from loomstone.sources import office, readers
@@ -35,7 +35,7 @@ def _workbook(names: pd.Series, amounts: pd.Series, counts: pd.Series) -> pd.Ser
 
 def _workbooks(t: Tables) -> DataFrame:
     count = (F.col("s_suppkey") % 5 + 1).cast("int")
-    return t.supplier.select(F.concat(F.lit("f"), "s_suppkey", F.lit(".xlsx")).alias("path"), F.pandas_udf(_workbook, "binary")("s_name", "s_acctbal", count).alias("content"))
+    return spread(t.supplier).select(F.concat(F.lit("f"), "s_suppkey", F.lit(".xlsx")).alias("path"), F.pandas_udf(_workbook, "binary")("s_name", "s_acctbal", count).alias("content"))
 
 
 @query("src_03_xlsx", """
@@ -60,7 +60,7 @@ def _documents(t: Tables) -> DataFrame:
     block = lambda kind, text, rows=None: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), (F.lit(None) if rows is None else rows).cast("array<array<string>>").alias("rows"))
     cells = F.array(F.array(F.lit("Mine"), F.lit("")), F.array(F.col("s_name"), F.col("s_suppkey").cast("string")))
     blocks = F.array(block("heading", F.col("s_name")), block("text", F.repeat(F.lit("x"), 3100)), block("heading", F.lit("Annex & more")), block("text", F.lit("the end")), block("table", F.lit(None), cells))
-    made = office.render_docx(t.supplier.select("s_suppkey", blocks.alias("blocks")))
+    made = office.render_docx(spread(t.supplier).select("s_suppkey", blocks.alias("blocks")))
     return made.select(F.concat(F.lit("f"), "s_suppkey", F.lit(".docx")).alias("path"), "content", "n_bytes", "sha256")
 
 
@@ -81,6 +81,7 @@ def snk_06(t: Tables):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.array(x["o_orderkey"].cast("string"), x["o_orderstatus"]))
     fields = F.concat(F.array(F.array(F.lit("Order"), F.lit("Status"))), lines)
     made = t.orders.groupBy("o_custkey").agg(office.blocks_of(F.format_string("Orders of customer %d", F.first("o_custkey")), fields).alias("blocks"))
+    made = spread(made)
     once = office.render_docx(made).select(F.col("o_custkey").cast("string").alias("path"), "content", "sha256")
     again = office.render_docx(made).select(F.col("o_custkey").cast("string").alias("path"), F.col("sha256").alias("again"))
     read = office.docx_tables(once).select("path", F.size("rows").alias("n_rows"), F.col("rows")[0][1].alias("first_status"))
