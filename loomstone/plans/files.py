@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.plans.catalog import Tables, query
-from loomstone.session import shared_folder
+from loomstone.plans.catalog import Tables, query, spread
+from loomstone.session import shared_folder, written
 from loomstone.sources import admission, office, pdf, readers, xls
 
 PAGE_LINES = 40
@@ -26,7 +26,7 @@ def _pdf_files(t: Tables) -> DataFrame:
         return pd.Series([one(k, x) for k, x in zip(keys, texts, strict=True)])
 
     content = F.pandas_udf(made, "binary")("doc_id", "text")
-    return t.documents.select(F.concat(F.lit("d"), "doc_id", F.lit(".pdf")).alias("path"), content.alias("content"))
+    return spread(t.documents.select("doc_id", "text")).select(F.concat(F.lit("d"), "doc_id", F.lit(".pdf")).alias("path"), content.alias("content"))
 
 
 LINES = r"""lines AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents),
@@ -53,6 +53,7 @@ def _order_pdfs(t: Tables) -> DataFrame:
         return pd.Series([one(*x) for x in zip(names, keys, states, strict=True)])
 
     orders = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
+    orders = spread(orders)
     content = F.pandas_udf(made, "binary")(F.col("o_custkey").cast("string"), F.col("o.o_orderkey"), F.col("o.o_orderstatus"))
     return orders.select(F.concat(F.lit("c"), "o_custkey", F.lit(".pdf")).alias("path"), content.alias("content"))
 
@@ -62,7 +63,7 @@ WITH o AS (SELECT o_custkey, list(o_orderkey || ':' || o_orderstatus ORDER BY o_
 SELECT 'c' || o_custkey || '.pdf' AS path, CAST(p + 2 AS INTEGER) AS page_number, 1 AS table_index, 'Table 1 (Page ' || (p + 2) || ')' AS caption, 'Order;Column_2' AS headers, array_to_string(l[30 * p + 1 : 30 * p + 30], ';') AS rows FROM sheets""")
 def src_07_tables(t: Tables):
     """Ruled tables put together from lines and places."""
-    found = pdf.tables(pdf.drawn(_order_pdfs(t)))
+    found = pdf.tables(written(pdf.drawn(_order_pdfs(t)), "drawn"))
     rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, ":")), ";")
     return found.select("path", "page_number", "table_index", "caption", F.array_join("headers", ";").alias("headers"), rows.alias("rows"))
 
@@ -79,7 +80,7 @@ def _xls_files(t: Tables) -> DataFrame:
         return pd.Series([one(n, float(a), int(c)) for n, a, c in zip(names, amounts, counts, strict=True)])
 
     count = (F.col("s_suppkey") % 250 + 1).cast("int")
-    return t.supplier.select(F.concat(F.lit("f"), "s_suppkey", F.lit(".xls")).alias("path"), F.pandas_udf(made, "binary")("s_name", F.col("s_acctbal").cast("double"), count).alias("content"))
+    return spread(t.supplier).select(F.concat(F.lit("f"), "s_suppkey", F.lit(".xls")).alias("path"), F.pandas_udf(made, "binary")("s_name", F.col("s_acctbal").cast("double"), count).alias("content"))
 
 
 _COUNT = "s_suppkey % 250 + 1"
@@ -123,7 +124,7 @@ def _damaged(t: Tables) -> DataFrame:
         return pd.Series([one(*x) for x in zip(kinds, names, strict=True)])
 
     kind = F.element_at(F.array(*map(F.lit, ("a.pdf", "cut.pdf", "a.xlsx", "cut.xlsx", "a.xls", "cut.xls", "a.csv"))), (F.col("s_suppkey") % 7 + 1).cast("int"))
-    return t.supplier.select(F.concat(F.col("s_suppkey").cast("string"), kind).alias("path"), F.pandas_udf(made, "binary")(kind, "s_name").alias("content"))
+    return spread(t.supplier).select(F.concat(F.col("s_suppkey").cast("string"), kind).alias("path"), F.pandas_udf(made, "binary")(kind, "s_name").alias("content"))
 
 
 @query("src_03_damaged_files", """

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "loomstone", master: str | None = None, shuffle: int | None = None, **conf: str) -> SparkSession:
@@ -42,3 +43,11 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Have the driver's file system remove ``path`` when the application ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, written below the shared folder and read back: what is dear to make and used several times is made once."""
+    at = f"{shared_folder(rows.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(at)
+    delete_at_exit(rows.sparkSession, at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)

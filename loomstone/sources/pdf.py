@@ -10,13 +10,16 @@ be scans, which nothing here can read).
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from base64 import a85decode
+from binascii import unhexlify
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.sources.frames import frames
+
 #: A page of fewer characters has no text of its own to speak of.
 NATIVE = 30
 #: Bytes that one stream may unpack to.
@@ -28,6 +31,7 @@ _TOKEN = re.compile(rb"[\x00\t\n\f\r ]*(?:%[^\r\n]*[\x00\t\n\f\r ]*)*(<<|>>|[\[\
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 _REFERENCE = re.compile(rb"\s+(\d+)\s+R(?![^\x00\t\n\f\r ()<>\[\]{}/%])")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
+_NOT_HEX, _OPERATOR, _PART = re.compile(rb"[^0-9A-Fa-f]"), re.compile(rb"[A-Za-z'\"*0-9]{1,3}"), re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r\n|[\r\n])?|[()]")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
@@ -65,9 +69,11 @@ class Reader:
             end = self.data.find(b">", self.at)
             if end < 0:
                 raise EOFError
-            digits = re.sub(rb"[^0-9A-Fa-f]", b"", self.data[self.at : end])
-            self.at = end + 1
-            return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+            digits, self.at = self.data[self.at : end], end + 1
+            if len(digits) % 2 or _NOT_HEX.search(digits):
+                digits = _NOT_HEX.sub(b"", digits)
+                digits += b"0" * (len(digits) % 2)
+            return unhexlify(digits)
         if token[:1] == b"/":
             return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes.fromhex(x.group(1).decode()), token[1:]).decode("latin-1"))
         if _NUMBER.match(token):
@@ -91,7 +97,7 @@ class Reader:
 
     def _string(self) -> bytes:
         out, depth, data, i = bytearray(), 1, self.data, self.at
-        for m in re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r\n|[\r\n])?|[()]").finditer(data, i):
+        for m in _PART.finditer(data, i):
             out += data[i : m.start()]
             i, token = m.end(), m.group()
             if token[:1] == b"\\":
@@ -345,10 +351,15 @@ class Font:
 
     def read(self, data: bytes) -> tuple[str, float, int, int]:
         """(text, width in thousandths, codes, one-byte blanks)."""
-        codes = [int.from_bytes(data[i : i + 2]) for i in range(0, len(data), 2)] if self.wide else data
-        text = "".join([self.text[c] if c in self.text else self._ranged(c) for c in codes])
-        text = text.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
-        return text, sum(self.widths.get(c, self.default) for c in codes), len(codes), 0 if self.wide else data.count(b" ")
+        codes = data
+        if self.wide:
+            codes = struct.unpack(f">{len(data) // 2}H", data[: len(data) // 2 * 2]) + tuple(data[len(data) // 2 * 2 :])
+        held = self.text
+        text = "".join([held[c] if c in held else self._ranged(c) for c in codes])
+        if not text.isascii():
+            text = text.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
+        width = sum(self.widths.get(c, self.default) for c in codes) if self.widths else self.default * len(codes)
+        return text, width, len(codes), 0 if self.wide else data.count(b" ")
 
 
 def _glyph(name: str) -> str | None:
@@ -382,7 +393,7 @@ class Canvas:
                 op = reader.value()
             except EOFError:
                 return
-            if not (isinstance(op, bytes) and op.isascii() and re.fullmatch(rb"[A-Za-z'\"*0-9]{1,3}", op) and not isinstance(op, Name)) or reader.data[reader.at - 1 : reader.at] in (b")", b">"):
+            if not (isinstance(op, bytes) and _OPERATOR.fullmatch(op)) or data[reader.at - 1] in b")>":
                 args.append(op)
                 continue
             n = [x for x in args if isinstance(x, int | float) and not isinstance(x, bool)]
@@ -462,10 +473,11 @@ class Canvas:
         return after
 
     def _rule(self, path: list, m: tuple) -> None:
+        a, b, c, d, e, f = m
         for x0, y0, x1, y1 in path:
-            a, b = _times((1, 0, 0, 1, x0, y0), m), _times((1, 0, 0, 1, x1, y1), m)
-            if abs(a[4] - b[4]) < 1 or abs(a[5] - b[5]) < 1:
-                self.rules.append((min(a[4], b[4]), min(a[5], b[5]), max(a[4], b[4]), max(a[5], b[5])))
+            x0, y0, x1, y1 = x0 * a + y0 * c + e, x0 * b + y0 * d + f, x1 * a + y1 * c + e, x1 * b + y1 * d + f
+            if abs(x0 - x1) < 1 or abs(y0 - y1) < 1:
+                self.rules.append((min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)))
 
 
 DRAWN = "path string, page_number int, kind string, seq int, text string, x0 double, y0 double, x1 double, y1 double, error string"
@@ -497,24 +509,27 @@ def drawn(files: DataFrame) -> DataFrame:
     """Pages, spans and rules of PDF files (path, content) as rows; see ``DRAWN``."""
 
     def run(batches):
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame(_drawn(path, bytes(content or b"")), columns=[c.split()[0] for c in DRAWN.split(", ")])
+        yield from frames((row for b in batches for path, content in zip(b["path"], b["content"], strict=True) for row in _drawn(path, bytes(content or b""))), DRAWN)
 
     return files.select("path", "content").mapInPandas(run, DRAWN)
 
 
 def lines(rows: DataFrame) -> DataFrame:
     """(path, page_number, line, y, text): spans on about one base line, from left to right, with blanks where there are gaps."""
-    page = Window.partitionBy("path", "page_number")
-    down = page.orderBy(F.desc("y0"), "x0", "seq")
-    spans = rows.where("kind = 'span'").withColumn("step", (F.lag("y0").over(down) - F.col("y0") > 0.4 * (F.col("y1") - F.col("y0"))).cast("int"))
+    return _lines(rows.where("kind = 'span'")).select("path", "page_number", "line", "y", "text")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """Lines of spans by kind, so that a page's own row stays beside its lines."""
+    down = Window.partitionBy("path", "page_number", "kind").orderBy(F.desc("y0"), "x0", "seq")
+    spans = rows.withColumn("step", (F.lag("y0").over(down) - F.col("y0") > 0.4 * (F.col("y1") - F.col("y0"))).cast("int"))
     spans = spans.withColumn("line", F.coalesce(F.sum("step").over(down.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    across = Window.partitionBy("path", "page_number", "line").orderBy("x0", "seq")
+    across = Window.partitionBy("path", "page_number", "kind", "line").orderBy("x0", "seq")
     gap = F.col("x0") - F.lag("x1").over(across) > 0.15 * (F.col("y1") - F.col("y0"))
     spans = spans.withColumn("part", F.concat(F.when(gap, " ").otherwise(""), "text")).withColumn("place", F.row_number().over(across))
     parts = F.array_sort(F.collect_list(F.struct("place", "part")))
-    return spans.groupBy("path", "page_number", "line").agg(F.max("y0").alias("y"), F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"))
+    text = F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text")
+    return spans.groupBy("path", "page_number", "kind", "line").agg(F.max("y0").alias("y"), text, F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("error").alias("error"))
 
 
 def pages(files: DataFrame) -> DataFrame:
@@ -523,10 +538,13 @@ def pages(files: DataFrame) -> DataFrame:
 
 
 def _pages(rows: DataFrame) -> DataFrame:
-    texts = lines(rows).groupBy("path", "page_number").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
-    texts = texts.select("path", "page_number", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), r"^\s+|\s+$", "").alias("text"))
-    heads = rows.where("kind <> 'span' AND kind <> 'rule'").select("path", "page_number", F.col("x1").cast("int").alias("width"), F.col("y1").cast("int").alias("height"), "error")
-    out = heads.join(texts, ["path", "page_number"], "left").withColumn("text", F.when(F.col("page_number").isNotNull(), F.coalesce("text", F.lit(""))))
+    """In one pass, as drawing is most of the work: rows go to their page once, and pages and lines stay together."""
+    marks = _lines(rows.where("kind <> 'rule'").repartition("path", "page_number"))
+    own = lambda c: F.max(F.when(F.col("kind") != "span", F.col(c)))
+    l = F.array_sort(F.collect_list(F.when(F.col("kind") == "span", F.struct("line", "text"))))  # noqa: E741
+    out = marks.groupBy("path", "page_number").agg(l.alias("l"), own("x1").cast("int").alias("width"), own("y1").cast("int").alias("height"), own("error").alias("error"))
+    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
+    out = out.withColumn("text", F.when(F.col("page_number").isNotNull(), text))
     return out.select("path", "page_number", "text", "width", "height", (F.length("text") < NATIVE).alias("needs_review"), "error")
 
 

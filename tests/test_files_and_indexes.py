@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomstone.operators import retrieval
 from loomstone.operators.inverted import Index
 from loomstone.sources import admission, office, pdf, readers, xls
+from loomstone.sources.frames import frames
 
 SHEETS = [(["Héllo wörld", "second (line) \\ 日本 \U0001f600", "x" * 300], [["a", ""], ["1", "2 x"]]), ([], [])]
 
@@ -211,3 +212,29 @@ def test_a_file_that_changes_while_it_is_promoted_is_refused(spark, tmp_path, mo
     monkeypatch.setattr(admission.operations, "write_files", lambda found, target: whole(found.withColumn("content", F.encode(F.lit("other"), "UTF-8")), target))
     store.promote("one")
     assert [(r.state, r.reason) for r in store.state().collect()] == [("REFUSED", "changed while it was promoted")]
+
+
+def test_rows_of_many_files_come_in_few_frames_and_those_of_a_large_one_in_several():
+    schema = "path string, part int, rows array<array<string>>, row_from long"
+    small = list(frames(((f"f{i}", 1, [["a"]], None) for i in range(500)), schema))
+    assert [len(f) for f in small] == [500] and str(small[0]["row_from"].dtype) == "Int64" and small[0]["row_from"].isna().all()
+    large = list(frames((("f", i, [["a", "b"]] * 50, i) for i in range(100)), schema, most=1000))
+    assert len(large) == 10 and sum(map(len, large)) == 100 and not list(frames([], schema))
+
+
+def test_many_small_files_are_dealt_over_tasks(spark):
+    from loomstone.plans import files
+    from loomstone.plans.catalog import Tables
+
+    for made in (files._xls_files, files._damaged, files._order_pdfs, files._pdf_files):
+        rows = made(Tables(spark, "/root/testdata/sf0.001"))
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_pages_are_drawn_once(spark):
+    files = spark.createDataFrame([("a.pdf", pdf.pdf_bytes([(["one two", "three"], []), ([], [])])), ("b.pdf", b"junk")], "path string, content binary")
+    got = pdf.pages(files)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert sorted((r.path, r.page_number, r.text, r.width, r.error) for r in got.collect() if r.path == "a.pdf") == [("a.pdf", 1, "one two\nthree", 612, None), ("a.pdf", 2, "", 612, None)]
+    (bad,) = [r for r in got.collect() if r.path == "b.pdf"]
+    assert bad.page_number is None and bad.text is None and "not a PDF" in bad.error
