@@ -27,7 +27,8 @@ def paragraphs(rows: DataFrame, *, key: str, text: str, limit: int = 1000, cut:
     A heading (a line with # or SECTION:, at most 200 characters) holds from its paragraph on, and for the chunk that it
     closes too: headings change before a chunk is flushed.
     """
-    parts = F.filter(F.transform(F.split(F.col(text), cut), F.trim), lambda p: p != "")
+    # trim by itself would take a second argument, the place, as the signs to trim
+    parts = F.filter(F.transform(F.split(F.col(text), cut), lambda p: F.trim(p)), lambda p: p != "")
     chunks = rows.select(key, F.posexplode(folded(parts, limit)).alias("chunk_index", "parts"))
     content = F.array_join("parts", "\n\n")
     own = F.filter("parts", lambda p: p.rlike(r"^(#|SECTION:)") & (F.length(p) <= 200))

@@ -89,7 +89,7 @@ def ret_10(t: Tables):
 
 
 @query("ret_11_paragraph_chunks", r"""
-WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM documents),
 r(doc_id, parts, i, c, size) AS (
   SELECT doc_id, parts, 1, 0, length(parts[1]) FROM p WHERE len(parts) > 0
   UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN size + length(parts[i+1]) > 1000 THEN c + 1 ELSE c END, CASE WHEN size + length(parts[i+1]) > 1000 THEN length(parts[i+1]) ELSE size + length(parts[i+1]) END FROM r WHERE i < len(parts))
