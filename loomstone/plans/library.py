@@ -15,7 +15,15 @@ TOKENS = "list_filter(list_transform(list_filter(regexp_split_to_array(lower({0}
 
 
 # scalar functions -------------------------------------------------------------------------------------------------
-@query("sca_01_clean_query", r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(text), '[^\p{L}\p{M}\p{N}_\s\-./]', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM conversations WHERE role = 'user' AND trim(regexp_replace(regexp_replace(trim(text), '[^\p{L}\p{M}\p{N}_\s\-./]', ' ', 'g'), '\s+', ' ', 'g')) <> ''")
+_ANY_CASE = lambda words: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words).replace(" ", r"[\t-\r ]+")
+#: Signs are named as the query's engine has them: only blanks are trimmed, white space is [\t-\r ], letters without regard to case are ASCII ones.
+_LEAD = "|".join(map(_ANY_CASE, ("what was", "what is", "what are", "compare", "tell me about", "find", "search for", "show me")))
+
+
+@query("sca_01_clean_query", rf"""
+WITH u AS (SELECT conv_id, turn, trim(text, ' ') AS t FROM conversations WHERE role = 'user'),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(t, '^({_LEAD})[\t-\r ]+', ''), '[^\p{{L}}\p{{M}}\p{{N}}_\t-\r \-./]', ' ', 'g'), '[\t-\r ]+', ' ', 'g'), ' ') AS s FROM u)
+SELECT conv_id, turn, CASE WHEN s = '' THEN t ELSE s END AS clean FROM c WHERE t <> ''""")
 def sca_01(t: Tables):
     rows = t.conversations.where("role = 'user'").select("conv_id", "turn", "text", text.clean_query(F.col("text")).alias("clean"))
     return rows.where("clean <> trim(text) OR clean <> ''").select("conv_id", "turn", "clean")
