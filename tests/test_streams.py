@@ -80,3 +80,14 @@ def test_exports_are_pulled_once_over_restarts(spark, tmp_path):
     put(101, "a.json", [6])
     assert pull() == [1, 2, 3, 4, 5, 6]
 
+
+
+def test_state_is_kept_by_bucket_and_not_by_key(spark, tmp_path):
+    """Two buckets serve three hundred jobs, in state rows as few as the undecided events."""
+    rows = [(i, i // 2, START + timedelta(minutes=i % 50), "PROCESSING" if i % 3 else "DONE") for i in range(600)]
+    shape = lambda s: state.stale_jobs(s, job="job", at="ts", key="id", state="state", minutes=30, late="1 hour", buckets=2)
+    got = batches(spark, tmp_path, [rows, [(10**6, -1, START + timedelta(days=9), "DONE")]], "id long, job long, ts timestamp, state string", shape)
+    stale = {i for i, j, at, s in rows if s == "PROCESSING" and not any(k == j and x != "PROCESSING" and at <= b <= at + timedelta(minutes=30) for _, k, b, x in rows)}
+    assert {r.id for r in got} == stale and {r.job for r in got} == {i // 2 for i in stale}
+    kept = spark.read.format("statestore").option("path", f"file://{tmp_path}/state").option("stateVarName", "timer").load()
+    assert kept.count() <= 2
