@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import extraction, geology, grounding, reports, tables, visuals
 from loomstone.operators import governance as gv
-from loomstone.plans.catalog import Tables, query
+from loomstone.plans.catalog import Tables, query, spread
 from loomstone.session import shared_folder
 from loomstone.sources import readers, sinks
 from loomstone.streaming import jobs
@@ -19,7 +19,7 @@ from loomstone.streaming import jobs
 def _notes(t: Tables) -> DataFrame:
     """A note per part that states production, ash and a fiscal year."""
     text = F.format_string("Mine Name: Pit %d, Coal Production: %.2f MT. Ash Content %d%%. FY 2023-24. Borehole No: BH-%d", F.col("p_partkey"), F.col("p_retailprice"), F.col("p_size"), F.col("p_partkey"))
-    return t.part.select(F.col("p_partkey").alias("id"), text.alias("content"))
+    return spread(t.part).select(F.col("p_partkey").alias("id"), text.alias("content"))
 
 
 @query("ext_01_text_rules", """
@@ -57,7 +57,7 @@ def ext_04(t: Tables):
 
     k = F.col("p_partkey") % 3
     text = F.format_string("%sCoal Production: %.2f MT. Coal Production: %.2f MT. Ash Content %d%%. FY 2023-24.", F.when(k == 2, "").otherwise(F.format_string("Mine Name: Pit %d, ", "p_partkey")), "p_retailprice", "p_retailprice", F.col("p_size") * 3)
-    facts = extraction.from_texts(t.part.select(F.col("p_partkey").alias("id"), text.alias("content"), k.alias("k"))).withColumns({"page_number": F.lit(1), "unit": F.when((F.col("field_name") == "production_quantity") & (F.col("id") % 3 == 1), "").otherwise(F.col("unit"))})
+    facts = extraction.from_texts(spread(t.part).select(F.col("p_partkey").alias("id"), text.alias("content"), k.alias("k"))).withColumns({"page_number": F.lit(1), "unit": F.when((F.col("field_name") == "production_quantity") & (F.col("id") % 3 == 1), "").otherwise(F.col("unit"))})
     checked = validate(extraction.deduplicated(facts, document="id", page="page_number", order="field_name"))
     tasks = gv.review_tasks(facts=checked).groupBy(F.col("object_id").cast("long").alias("id")).agg(F.count("*").alias("n"))
     found = checked.groupBy("id").agg(F.count("*").cast("int").alias("n_fields"), overall(F.flatten(F.collect_list("validation"))).alias("status"))
