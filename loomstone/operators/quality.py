@@ -114,6 +114,21 @@ def relate(mentions: DataFrame, *, document: str, scope: str, value: str, kind:
     return pairs.groupBy(source, target).agg(F.count("*").alias("n_shared")).withColumns({"relationship_type": F.lit(kind), "confidence": F.lit(confidence)})
 
 
+def relate_classes(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float) -> DataFrame:
+    """The edges of ``relate`` without writing out those of documents alike; every document is of one scope.
+
+    Documents of a scope with the same set of values are a class, and the least represents it. Rows of type MEMBER give every
+    document (target) its representative (source) and the number of its values, which any two of a class share; rows of
+    type ``kind`` are edges between representatives, and hold for all documents of their classes.
+    """
+    distinct = mentions.where(F.col(value).isNotNull() & F.col(document).isNotNull()).select(document, scope, value).distinct()
+    sets = distinct.groupBy(document, scope).agg(F.array_sort(F.collect_list(value)).alias("__v"))
+    classes = sets.groupBy(scope, "__v").agg(F.min(document).alias("__r"))
+    member = sets.join(classes, [scope, "__v"]).select(F.col("__r").alias("source_document_id"), F.col(document).alias("target_document_id"), F.size("__v").cast("long").alias("n_shared"), F.lit("MEMBER").alias("relationship_type"), F.lit(confidence).alias("confidence"))
+    leaders = classes.select(F.col("__r").alias(document), scope, F.explode("__v").alias(value))
+    return member.unionByName(relate(leaders, document=document, scope=scope, value=value, kind=kind, confidence=confidence))
+
+
 def shared_groups(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float) -> DataFrame:
     """Groups of documents of one scope that share a value: (scope, value, representative, document, n_documents, ...).
 

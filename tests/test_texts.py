@@ -35,3 +35,29 @@ def test_questions_of_signs_only_and_with_leading_words(spark, tmp_path):
     rows = pd.DataFrame({"conv_id": range(len(texts)), "turn": 0, "role": "user", "text": texts})
     ours, theirs = both(spark, tmp_path, "sca_01_clean_query", {"conversations": rows})
     assert ours == theirs and (2, 0, "???") in ours and (0, 0, "the yield") in ours
+
+
+def test_classes_lose_no_edge_and_do_not_grow_with_pairs(spark):
+    """Edges by class and membership give every edge of all pairs; copies of a document add one row each."""
+    from itertools import combinations
+
+    from loomstone.operators import quality
+
+    sets = {d: {v for v in range(4) if (d * 7 + v * d) % 3} for d in range(1, 13)} | {100 + i: {0, 1, 2} for i in range(200)}
+    mentions = spark.createDataFrame([(d, d % 2, v) for d, vs in sets.items() for v in vs], "d long, s long, v long")
+    rows = quality.relate_classes(mentions, document="d", scope="s", value="v", kind="K", confidence=1.0).collect()
+    leader = {r.target_document_id: r.source_document_id for r in rows if r.relationship_type == "MEMBER"}
+    own = {r.target_document_id: r.n_shared for r in rows if r.relationship_type == "MEMBER"}
+    edges = {(r.source_document_id, r.target_document_id): r.n_shared for r in rows if r.relationship_type == "K"}
+    for a, b in combinations(sorted(d for d, vs in sets.items() if vs), 2):
+        if a % 2 == b % 2:
+            x, y = sorted((leader[a], leader[b]))
+            assert (own[a] if x == y else edges.get((x, y), 0)) == len(sets[a] & sets[b])
+    assert len(rows) < 300
+
+
+def test_notes_and_pairs_are_dealt_over_tasks(spark):
+    from loomstone.plans import governance
+    from loomstone.plans.catalog import Tables
+
+    assert governance._notes(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
