@@ -311,6 +311,10 @@ def srt_08(t: Tables):
     return t.documents.orderBy("doc_id").limit(15).select(F.lit("d").alias("kind"), F.col("doc_id").alias("id")).union(t.pages.orderBy("page_id").limit(15).select(F.lit("p"), "page_id"))
 
 
+#: Pairs that one task makes and counts before they are shuffled.
+PAIRS_OF_A_TASK = 2_000_000
+
+
 # sets -------------------------------------------------------------------------------------------------------------
 @query("set_02_union", "SELECT DISTINCT id FROM (SELECT doc_id AS id FROM labels UNION SELECT vec_id FROM embeddings)")
 def set_02(t: Tables):
@@ -319,8 +323,13 @@ def set_02(t: Tables):
 
 @query("set_03_intersection", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(DISTINCT a.l_partkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
 def set_03(t: Tables):
+    """Pairs are many more than rows, so they are dealt over tasks by their number: what a task counts stays as small as it was."""
     s = t.lineitem.select("l_suppkey", "l_partkey").distinct()
-    return s.alias("a").join(s.alias("b"), "l_partkey").where("a.l_suppkey < b.l_suppkey").groupBy(F.col("a.l_suppkey").alias("a"), F.col("b.l_suppkey").alias("b")).agg(F.count("*").alias("shared"))
+    each = F.col("n") * (F.col("n") - 1) / 2
+    pairs = s.groupBy("l_partkey").agg(F.count("*").alias("n")).agg(F.sum(each)).first()[0] or 0
+    s = s.repartition(max(t.spark.sparkContext.defaultParallelism, int(pairs / PAIRS_OF_A_TASK) + 1), "l_partkey")
+    both = s.alias("a").join(s.alias("b").hint("shuffle_merge"), "l_partkey").where("a.l_suppkey < b.l_suppkey").select(F.col("a.l_suppkey").alias("a"), F.col("b.l_suppkey").alias("b"))
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 @query("set_04_difference", """
