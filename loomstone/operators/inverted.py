@@ -2,9 +2,11 @@
 
 Tables of a generation (folder ``g=N``), each in parts by batch:
 
-* ``postings``: (token, field, key, n, positions) by bucket of the token's hash, sorted by token within files;
-* ``grams``: (gram, token) by bucket of the gram's first two characters, so that substrings find the tokens that hold them;
-* ``keys``: the keys of a batch and how many postings each has; ``dead``: keys whose postings of earlier batches no longer count;
+* ``postings``: (token, field, block, keys, ns, positions) by bucket of the token's hash, sorted by token within files.
+  A row is a token in a block of texts of one task: the keys that hold it, how often each does, and the positions, key after key;
+* ``grams``: (gram, tokens between spaces) by bucket of the gram's first two characters, so that substrings find the tokens that hold them;
+* ``keys``: the keys of a batch, how many postings each has and in which block; ``dead``: keys whose postings of earlier batches
+  no longer count;
 * ``ready``: written last; batches without it do not exist for readers, so a writer that stops half way leaves nothing.
 
 Tokens are runs of other characters than blanks of a lower-cased text. Positions count on by one over a single space and by
@@ -17,8 +19,13 @@ out. Substring and phrase queries of any length are exact; a phrase with other s
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +35,110 @@ from loomstone.operators import retrieval
 BUCKETS = 64
 #: At most so many tokens are named in a filter, which prunes files and row groups; more are joined.
 NAMED = 1000
-_GAP = r"[\x20\x09-\x0D]*[\x09-\x0D][\x20\x09-\x0D]*| {2,}"
+#: A block takes texts until they are so many bytes, its grams so many tokens.
+BLOCK_BYTES, BLOCK_TOKENS = 16 << 20, 100_000
+_GAP = r" *[\x09-\x0D][\x20\x09-\x0D]*| {2,}"
 
 
 def _bucket(column: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
-def _grams(token: Column) -> Column:
-    """Every three characters of a token padded by two at its end, so that each character begins one."""
-    padded = F.concat(token, F.lit("\n\n"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substring(padded, i, F.lit(3))))
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _block(texts: pa.Table, fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """Postings of a block: texts split at spaces, places counted, tokens numbered and brought together."""
+    texts = texts.combine_chunks()
+    keys = texts["key"].chunk(0)
+    number = int.from_bytes(hashlib.blake2b(str(keys[0].as_py()).encode(), digest_size=8).digest(), "big", signed=True)
+    for i, f in enumerate(fields):
+        runs = pc.split_pattern(texts[f"text{i}"].chunk(0), " ")
+        row, words = pc.list_parent_indices(runs).to_numpy(), pc.list_flatten(runs).dictionary_encode()
+        length = pc.fill_null(pc.list_value_length(runs), 0).to_numpy()
+        at = np.arange(len(row)) - (np.cumsum(length) - length)[row]
+        kept = ~pc.is_in(words.dictionary, pa.array(["", "\n"], words.dictionary.type)).to_numpy(zero_copy_only=False)
+        code = words.indices.to_numpy()
+        some = np.flatnonzero(kept[code]) if len(code) else np.zeros(0, int)
+        some = some[np.argsort(code[some], kind="stable")]
+        if not len(some):
+            continue
+        code, row, at = code[some], row[some], at[some]
+        first, posting = _starts(code), _starts(code, row)
+        owner, token = np.cumsum(posting) - 1, np.flatnonzero(first)
+        n_places, n_keys = np.diff(token, append=len(code)), np.diff(owner[token], append=posting.sum())
+        whole = lambda v: pa.array(v, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(code[token])), pa.array([f] * len(token)), pa.array(np.full(len(token), number)), _lists(n_keys, keys.take(pa.array(row[posting]))),
+             _lists(n_keys, whole(np.diff(np.flatnonzero(posting), append=len(code)))), _lists(n_places, whole(at))],
+            ["token", "field", "block", "keys", "ns", "positions"],
+        )
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for b in batches:
+        step = max(1, len(b) * BLOCK_BYTES // max(b.nbytes, 1))
+        for at in range(0, len(b), step):
+            held.append(b.slice(at, step))
+            size += held[-1].nbytes
+            if size >= BLOCK_BYTES:
+                yield from _block(pa.Table.from_batches(held), fields)
+                held, size = [], 0
+    if held:
+        yield from _block(pa.Table.from_batches(held), fields)
+
+
+def _without(rows: pa.Table, gone: pa.Table) -> pa.Table:
+    """Postings of a block without those of some keys."""
+    if not len(rows) or not len(gone):
+        return rows
+    rows = rows.combine_chunks()
+    keys, ns, positions = (rows[c].chunk(0) for c in ("keys", "ns", "positions"))
+    flat, n = pc.list_flatten(keys), pc.list_flatten(ns)
+    stays = ~pc.is_in(flat, gone["key"].combine_chunks()).to_numpy(zero_copy_only=False)
+    place = np.repeat(stays, n.to_numpy())
+    n_keys, n_places = (np.bincount(pc.list_parent_indices(x).to_numpy()[of], minlength=len(rows)) for x, of in ((keys, stays), (positions, place)))
+    new = {"keys": _lists(n_keys, flat.filter(pa.array(stays))), "ns": _lists(n_keys, n.filter(pa.array(stays))), "positions": _lists(n_places, pc.list_flatten(positions).filter(pa.array(place)))}
+    return pa.table({c: new.get(c, rows[c]) for c in rows.column_names}).filter(pa.array(n_keys > 0))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every three characters of tokens padded by two at their end, so that each character begins one, with their tokens."""
+
+    def made(tokens: list[str]) -> pa.RecordBatch:
+        found: dict[str, list[str]] = {}
+        for t in sorted(tokens):
+            padded = t + "\n\n"
+            for g in {padded[i : i + 3] for i in range(len(t))}:
+                found.setdefault(g, []).append(t)
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(map(" ".join, found.values()), pa.string())], ["gram", "tokens"])
+
+    held: list[str] = []
+    for b in batches:
+        held += b.column(0).to_pylist()
+        if len(held) >= BLOCK_TOKENS:
+            yield made(held)
+            held = []
+    if held:
+        yield made(held)
+
+
+def _entries(columns: list[str]) -> Column:
+    """The keys of a row of postings; with "n" their counts, with "at" every position."""
+    if columns == ["at"]:
+        return F.arrays_zip(F.flatten(F.zip_with("keys", "ns", F.array_repeat)).alias("key"), F.col("positions").alias("at"))
+    if columns == ["n"]:
+        return F.arrays_zip(F.col("keys").alias("key"), F.col("ns").alias("n"))
+    return F.transform("keys", lambda k: F.struct(k.alias("key")))
 
 
 class Index:
@@ -78,19 +178,18 @@ class Index:
         # large buckets (a word that is everywhere) are split over several files
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(place("postings"))
         kept = self.spark.read.schema(rows.schema).parquet(place("postings"))
-        grams = kept.select("token").distinct().select("token", F.explode(_grams(F.col("token"))).alias("gram"))
+        grams = kept.select("token").distinct().mapInArrow(_grams, "gram string, tokens string")
         grams = grams.withColumn("bucket", _bucket(F.substring("gram", 1, 2), self.buckets))
         grams.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(place("grams"))
-        counts = kept.groupBy("key").agg(F.count("*").alias("n_postings"))
-        keys.join(counts, "key", "left").select("key", F.coalesce("n_postings", F.lit(0)).alias("n_postings")).write.mode("overwrite").parquet(place("keys"))
+        counts = kept.select("block", F.explode("keys").alias("key")).groupBy("key", "block").agg(F.count("*").alias("n_postings"))
+        keys.join(counts, "key", "left").select("key", "block", F.coalesce("n_postings", F.lit(0)).alias("n_postings")).write.mode("overwrite").parquet(place("keys"))
         dead.select("key").write.mode("overwrite").parquet(place("dead"))
         self.spark.range(1).select(F.lit(batch).alias("id")).coalesce(1).write.mode("overwrite").parquet(place("ready"))
 
     def _postings(self, chunks: DataFrame, key: str, columns: list[str]) -> DataFrame:
-        fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns]))
-        texts = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), fields.alias("x")).select("key", "x.field", F.lower("x.text").alias("text"))
-        runs = texts.select("key", "field", F.posexplode(F.split(F.regexp_replace("text", _GAP, " \n "), " ")).alias("at", "token")).where(~F.col("token").isin("", "\n"))
-        return runs.groupBy("token", "field", "key").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("at")).alias("positions"))
+        texts = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *[F.regexp_replace(F.lower(c), _GAP, " \n ").alias(f"text{i}") for i, c in enumerate(columns)])
+        schema = f"token string, field string, block long, keys array<{texts.schema['key'].dataType.simpleString()}>, ns array<int>, positions array<int>"
+        return texts.mapInArrow(lambda batches: _blocks(batches, columns), schema)
 
     def append(self, chunks: DataFrame, *, key: str, columns: list[str]) -> int:
         """Chunks with new keys, and new contents of keys that are there already, as one batch; its number."""
@@ -109,16 +208,22 @@ class Index:
     def compact(self) -> int:
         """The next generation: live postings only, in one batch. Readers change over when it is complete; its number."""
         following = self.generation + 1
-        live = self.live(self._read("postings")).drop("batch", "bucket")
-        keys = self.live(self._read("keys")).select("key").distinct()
-        self._write(following, 1, live, keys, keys.where("false"))
+        postings, keys = self._read("postings").drop("bucket"), self._read("keys")
+        live = self.live(keys).select("key").distinct()
+        # a block's keys that no longer count meet its postings
+        gone = keys.where(F.col("block").isNotNull()).join(self._dead(), "key").where("batch < since").select("batch", "block", "key")
+        by = ["batch", "block"]
+        left = postings.groupBy(*by).cogroup(gone.groupBy(*by)).applyInArrow(_without, postings.schema).drop("batch")
+        self._write(following, 1, left, live, live.where("false"))
         self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/complete/g={following}")
         return following
 
+    def _dead(self) -> DataFrame:
+        return self._read("dead").groupBy("key").agg(F.max("batch").alias("since"))
+
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows (key, batch) of keys that no later batch has replaced or deleted."""
-        dead = self._read("dead").groupBy("key").agg(F.max("batch").alias("since"))
-        return rows.join(dead, "key", "left").where(F.coalesce(F.col("batch") >= F.col("since"), F.lit(True))).drop("since")
+        return rows.join(self._dead(), "key", "left").where(F.coalesce(F.col("batch") >= F.col("since"), F.lit(True))).drop("since")
 
     def status(self) -> DataFrame:
         """One row: generation, batches, keys that count, postings that count and that no longer do."""
@@ -132,7 +237,7 @@ class Index:
         grams = self._read("grams").where(F.startswith(F.col("gram"), F.lit(part[:3])))
         if len(part) >= 2:
             grams = grams.where(F.col("bucket") == self._number(_bucket(F.lit(part[:2]), self.buckets)))
-        return grams.where(fits(F.col("token"))).select("token").distinct()
+        return grams.select(F.explode(F.split("tokens", " ")).alias("token")).where(fits(F.col("token"))).distinct()
 
     def _number(self, bucket: Column) -> int:
         return self.spark.range(1).select(bucket).first()[0]
@@ -144,9 +249,10 @@ class Index:
         if len(named) <= NAMED:
             tokens = self.spark.createDataFrame([r[:-1] for r in map(tuple, named)], tokens.schema)
             rows = rows.where(F.col("bucket").isin(sorted({r.bucket for r in named})) & F.col("token").isin([r.token for r in named])) if named else rows.where("false")
-            return self.live(rows.select("token", "field", "key", "batch", *columns).join(F.broadcast(tokens), "token"))
-        tokens = tokens.withColumn("bucket", _bucket(F.col("token"), self.buckets))
-        return self.live(rows.select("token", "bucket", "field", "key", "batch", *columns).join(tokens, ["bucket", "token"]).drop("bucket"))
+            rows = rows.join(F.broadcast(tokens), "token")
+        else:
+            rows = rows.join(tokens.withColumn("bucket", _bucket(F.col("token"), self.buckets)), ["bucket", "token"])
+        return self.live(rows.select("field", "batch", *tokens.columns, F.explode(_entries(columns)).alias("entry")).select("field", "batch", *tokens.columns, "entry.*"))
 
     def lexical(self, query: str, *, key: str, columns: dict[str, int] | None = None, pool: int = 30) -> DataFrame:
         """The rows of ``retrieval.lexical`` over the live chunks."""
@@ -162,7 +268,7 @@ class Index:
         return retrieval.ranked(top, [F.desc("score"), F.desc("hits"), F.col(key)])
 
     def _phrase(self, phrase: str, field: str) -> DataFrame:
-        """Keys whose field holds the phrase: its parts' postings, brought to where the phrase begins, meet at one position."""
+        """Keys (some several times) whose field holds the phrase: its parts' postings, brought to where the phrase begins, meet at one position."""
         parts = phrase.split(" ")
         if "" in parts or any(c in phrase for c in "\t\n\v\f\r"):
             raise ValueError("a phrase is words between single spaces")
@@ -173,14 +279,17 @@ class Index:
                 fits = lambda c, p=p: F.contains(c, F.lit(p))
             else:
                 fits = (lambda c, p=p: F.endswith(c, F.lit(p))) if i == 0 else (lambda c, p=p: F.startswith(c, F.lit(p))) if i == last else (lambda c, p=p: c == p)
-            rows = self._of(self._tokens(p, fits), ["positions"]).where(F.col("field") == field)
-            places.append(rows.select("key", F.explode("positions").alias("at")).select("key", (F.col("at") - i).alias("at"), F.lit(i).alias("part")))
-        met = reduce(DataFrame.unionByName, places).groupBy("key", "at").agg(F.count_distinct("part").alias("parts")).where(F.col("parts") == len(parts))
-        return met.select("key").distinct()
+            rows = self._of(self._tokens(p, fits), ["at"] if last else []).where(F.col("field") == field)
+            places.append(rows.select("key", (F.col("at") - i).alias("at")) if last else rows.select("key"))
+        if not last:
+            return places[0]
+        # a place holds one token, so a part meets a place once at most
+        met = reduce(DataFrame.unionByName, places).groupBy("key", "at").agg(F.count("*").alias("parts"))
+        return met.where(F.col("parts") == len(parts)).select("key")
 
     def _word(self, word: str, field: str) -> DataFrame:
-        """Keys whose field has the whole word."""
-        return self._of(self._tokens(word, lambda c: F.array_contains(tx.words(c), word)), []).where(F.col("field") == field).select("key").distinct()
+        """Keys (some several times) whose field has the whole word."""
+        return self._of(self._tokens(word, lambda c: F.array_contains(tx.words(c), word)), []).where(F.col("field") == field).select("key")
 
     def matches(self, query: str, *, key: str, column: str) -> DataFrame:
         """Keys of the rows that ``retrieval.matches`` keeps; the query wants one word or phrase at least."""
@@ -192,5 +301,6 @@ class Index:
         if not need:
             raise ValueError("a query of unwanted words only")
         rows = reduce(DataFrame.unionByName, [r.select("key", F.lit(i).alias("clause")) for r, i in clauses])
-        met = rows.groupBy("key").agg(F.count_distinct(F.when(F.col("clause") >= 0, F.col("clause"))).alias("met"), F.min("clause").alias("least"))
-        return met.where((F.col("met") == need) & (F.col("least") >= 0)).select(F.col("key").alias(key))
+        has = {i: F.max((F.col("clause") == i).cast("int")) for i in range(-1, need)}
+        met = rows.groupBy("key").agg(reduce(lambda a, b: a + b, [has[i] for i in range(need)]).alias("met"), has[-1].alias("unwanted"))
+        return met.where((F.col("met") == need) & (F.col("unwanted") == 0)).select(F.col("key").alias(key))

@@ -6,10 +6,11 @@ import time
 import zlib
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.operators import retrieval
+from loomstone.operators import inverted, retrieval
 from loomstone.operators.inverted import Index
 from loomstone.sources import admission, office, pdf, readers, xls
 from loomstone.sources.frames import frames
@@ -171,6 +172,38 @@ def test_a_query_reads_only_its_buckets(spark, tmp_path):
     assert len(found.collect()) == 1 and len({f.split("bucket=")[1].split("/")[0] for f in index._read("postings").where("bucket = 3").inputFiles()}) == 16
 
 
+def test_postings_are_made_where_the_texts_are_and_packed_by_token(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "the thing of the day") for i in range(500)], "doc_id long, text string").coalesce(1)
+    index = Index(spark, f"file://{tmp_path}/i", buckets=2)
+    assert "Exchange" not in index._postings(docs, "doc_id", ["text"])._jdf.queryExecution().executedPlan().toString()
+    index.append(docs, key="doc_id", columns=["text"])
+    assert index._read("postings").count() == 4 and index.status().first().live_postings == 2000
+    met = index.matches('"of the day" thing', key="doc_id", column="text")
+    assert met.count() == 500 and met._jdf.queryExecution().executedPlan().toString().count("Expand") == 0
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 24])
+def test_blocks_hold_every_occurrence_of_the_keys_that_stay(monkeypatch, most):
+    monkeypatch.setattr(inverted, "BLOCK_BYTES", most)
+    texts = {f"k{i}": " ".join(["a", f"w{i % 3}", "", "\n", "a", "é"][: i % 7]) if i % 11 else None for i in range(60)}
+    batches = pa.table({"key": list(texts), "text0": pa.array(texts.values(), pa.string()), "text1": pa.array(["x a"] * 60)}).to_batches(max_chunksize=25)
+    made = list(inverted._blocks(iter(batches), ["one", "two"]))
+    assert (len({b for m in made for b in m["block"].to_pylist()}) > 1) == (most < 1 << 24)
+
+    def occurrences(tables):
+        for r in (r for t in tables for r in t.to_pylist()):
+            assert len(r["keys"]) == len(r["ns"]) > 0 and sum(r["ns"]) == len(r["positions"])
+            owners = [k for k, n in zip(r["keys"], r["ns"], strict=True) for _ in range(n)]
+            yield from ((r["token"], r["field"], k, p) for k, p in zip(owners, r["positions"], strict=True))
+
+    want = sorted((w, f, k, i) for k, t in texts.items() for f, x in (("one", t), ("two", "x a")) if x is not None for i, w in enumerate(x.split(" ")) if w not in ("", "\n"))
+    assert sorted(occurrences(made)) == want
+    gone = pa.table({"key": [k for k in texts if int(k[1:]) % 4 == 0]})
+    left = [inverted._without(pa.Table.from_batches([m]), gone) for m in made]
+    assert sorted(occurrences(left)) == [x for x in want if int(x[2][1:]) % 4]
+    assert all(len(inverted._without(pa.Table.from_batches([m]), pa.table({"key": list(texts)}))) == 0 for m in made)
+
+
 def test_an_unfinished_batch_does_not_exist(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one thing")], "doc_id long, text string")
     index = Index(spark, f"file://{tmp_path}/i", buckets=2)
