@@ -357,6 +357,22 @@ def test_hash_embedding_of_a_batch_is_that_of_single_texts():
     assert [x.tolist() for x in embedding.embed_all(texts)] == [embedding.embed(t) for t in texts]
 
 
+def test_hash_embedding_adds_tables_of_words_in_the_order_of_features(monkeypatch):
+    texts = ["Coal seam III", None, "", "a", "ab a ab a ab", "é ß 日本語 x_y", "!!", "seam coal seam coal"]
+    want = []
+    for t in texts:
+        v = [0.0] * 384
+        for f, w in embedding.features(t):
+            axis, sign = embedding.place(f)
+            v[axis] += w * sign
+        size = sum(x * x for x in v) ** 0.5
+        want.append([x / size for x in v] if size else [1.0] + [0.0] * 383)
+    monkeypatch.setattr(embedding, "features", None)  # no list of every occurrence's features
+    got = embedding.embed_all(texts)
+    assert max(abs(a - b) for g, w in zip(got.tolist(), want, strict=True) for a, b in zip(g, w, strict=True)) < 1e-12
+    assert embedding.embed_all([]).shape == (0, 384)
+
+
 def test_visual_classes_and_boxes(spark):
     rows = spark.createDataFrame([("Geological map",), ("Borehole log, drill log",), ("nothing",)], "c string")
     got = [(r.visual_type, r.confidence, r.review_status) for r in visuals.classified(rows, F.col("c")).collect()]
