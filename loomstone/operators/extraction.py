@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import numbers as nx
@@ -75,23 +75,26 @@ def from_texts(chunks: DataFrame, *, key: str = "id", text: str = "content", rul
     return rows.withColumns({"numeric_value": F.when(F.col("data_type") == "NUMBER", nx.parse(F.col("raw_value"))), "confidence_level": nx.confidence_level(F.col("confidence_score"))})
 
 
-def header_rules(spark: SparkSession) -> DataFrame:
-    """The header rules as a table with one row per keyword."""
-    rows = [(i, f, c, k, u, w) for i, (f, c, k, u, words) in enumerate(HEADER_RULES) for w in words]
-    return spark.createDataFrame(rows, "rule int, field_name string, field_category string, data_type string, rule_unit string, keyword string")
+def header_rule(header: Column) -> Column:
+    """struct<field_name, field_category, data_type, rule_unit> of the first rule with a keyword in the header, else null."""
+    low = F.lower(F.trim(header))
+    rule = lambda *v: F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("field_name", "field_category", "data_type", "rule_unit"), v, strict=True)])
+    return F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), rule(*r)) for *r, words in HEADER_RULES])
 
 
 def from_tables(tables: DataFrame, *, table: str = "table_id", headers: str = "headers", rows: str = "rows", page: str = "page_number") -> DataFrame:
-    """Candidates of table cells: the first rule that a header matches names its column; a row must be as wide as the header."""
-    cols = tables.select(table, F.posexplode(headers).alias("col", "header")).withColumn("low", F.lower(F.trim("header")))
-    matched = cols.join(F.broadcast(header_rules(tables.sparkSession)), F.contains("low", F.col("keyword")))
-    rule = matched.groupBy(table, "col", "header").agg(F.min_by(F.struct("field_name", "field_category", "data_type", "rule_unit"), "rule").alias("r")).select(table, "col", "header", "r.*")
-    is_entity = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in ENTITY_WORDS])
-    entity = cols.where(is_entity).groupBy(table).agg(F.min("col").alias("entity_col"))
-    cells = tables.select(table, page, F.size(headers).alias("width"), F.posexplode(rows).alias("row", "cells")).where(F.size("cells") == F.col("width"))
-    named = cells.join(entity, table, "left").withColumn("entity_name", F.trim(F.get("cells", F.col("entity_col"))))
-    long = named.select(table, page, "row", "entity_name", F.posexplode("cells").alias("col", "cell")).withColumn("raw_value", F.trim("cell"))
-    facts = long.where(~F.lower("raw_value").isin(*EMPTY_CELLS)).join(rule, [table, "col"])
+    """Candidates of table cells: the first rule that a header matches names its column; a row must be as wide as the header.
+
+    A table's headers are matched within its row, so that tables, rows and cells are unfolded where they are. Columns unfold as
+    outer ones: a filter that asks for any would be tried below, where headers that are constant meet every row of a group.
+    """
+    is_entity = lambda h: reduce(lambda a, b: a | b, [F.contains(F.lower(F.trim(h)), F.lit(w)) for w in ENTITY_WORDS])
+    entity = F.array_position(F.transform(headers, lambda h: F.coalesce(is_entity(h), F.lit(False))), True) - 1
+    ruled = F.filter(F.transform(headers, lambda h, i: F.struct(i.alias("col"), h.alias("header"), header_rule(h).alias("r"))), lambda x: x["r"].isNotNull())
+    heads = tables.select(table, page, F.size(headers).alias("width"), entity.cast("int").alias("entity"), ruled.alias("ruled"), F.col(rows).alias("all"))
+    cells = heads.select(table, page, "width", "entity", "ruled", F.posexplode("all").alias("row", "cells")).where(F.size("cells") == F.col("width"))
+    named = cells.select(table, page, "row", "cells", F.when(F.col("entity") >= 0, F.trim(F.get("cells", F.col("entity")))).alias("entity_name"), F.explode_outer("ruled").alias("x")).where("x is not null")
+    facts = named.select(table, page, "row", "entity_name", "x.col", "x.header", "x.r.*", F.trim(F.get("cells", F.col("x.col"))).alias("raw_value")).where(~F.lower("raw_value").isin(*EMPTY_CELLS))
     value = F.when(F.col("data_type") == "NUMBER", nx.parse(F.col("raw_value")))
     unit = F.coalesce(F.nullif(F.trim(F.regexp_extract("header", r"\((.*?)\)", 1)), F.lit("")), "rule_unit")
     out = facts.withColumns({"numeric_value": value, "unit": unit}).where((F.col("data_type") != "NUMBER") | F.col("numeric_value").isNotNull())

@@ -34,8 +34,8 @@ def ext_01(t: Tables):
 
 def _tables(t: Tables) -> DataFrame:
     """One table per supplier: mine, production and ash of its lines."""
-    row = F.array(F.concat(F.lit("mine"), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("string"), F.when(F.col("l_linenumber") == 1, "nil").otherwise(F.col("l_linenumber").cast("string")))
-    rows = t.lineitem.groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    row = lambda x: F.array(F.concat(F.lit("mine"), x["l_partkey"].cast("string")), x["l_quantity"].cast("string"), F.when(x["l_linenumber"] == 1, "nil").otherwise(x["l_linenumber"].cast("string")))
+    rows = t.lineitem.groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))), row).alias("rows"))
     return rows.select(F.col("l_suppkey").alias("table_id"), F.lit(1).alias("page_number"), F.array(F.lit("Mine"), F.lit("Raw Coal (LT)"), F.lit("Ash %")).alias("headers"), "rows")
 
 

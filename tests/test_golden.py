@@ -128,6 +128,16 @@ def test_table_rules(spark):
     assert got == [("Dipka", "ash_content", 31.0, "%"), ("Gevra", "production_quantity", 82450.0, "LT")]
 
 
+def test_table_rules_match_headers_within_a_table_and_shuffle_nothing(spark):
+    rows = [("t", 1, ["Mine", None, "Washed coal production", "x", "Grade (g)"], [["a", "1", " 2 ", "3", "G5"], ["b", "1", "-", "3", None]]), ("u", 2, ["x", "y"], [["1", "2"]]), ("v", 3, ["Ash"], [["7"]]), ("w", 4, None, None)]
+    got = extraction.from_tables(spark.createDataFrame(rows, "table_id string, page_number int, headers array<string>, rows array<array<string>>"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    found = sorted((r.table_id, r.page_number, r.row, r.col, r.header, r.entity_name, r.field_name, r.raw_value, r.unit) for r in got.where("table_id = 't'").collect())
+    assert found == [("t", 1, 0, 2, "Washed coal production", "a", "washed_coal_production", "2", "MT"), ("t", 1, 0, 4, "Grade (g)", "a", "coal_grade", "G5", "g")]
+    assert [(r.table_id, r.entity_name, r.field_name, r.numeric_value) for r in got.where("table_id <> 't'").collect()] == [("v", None, "ash_content", 7.0)]
+
+
 STRATA = "Borehole No: BH-07\n1. 0.0 - 2.5 m Top Soil\n2. 2.5 to 8.0 m Carbonaceous shale\n3. 14.80 - 18.20m (3.40m) Coal Seam I\n0.0 - 2.5 मी. मिट्टी"
 
 
