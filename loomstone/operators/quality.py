@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.session import written
+
 #: Units allowed per kind of measure, and metrics that need one.
 MASS_UNITS = ("mt", "million tonnes", "million tonne", "tonnes", "tonne", "lt", "lakh tonnes", "t")
 LENGTH_UNITS = ("m", "metre", "metres", "meter", "meters")
@@ -18,6 +20,8 @@ NON_NEGATIVE = ("production", "target", "dispatch", "reserves", "drilling", "ove
 #: Fixed value: relative divergence from which values of one group conflict.
 DIVERGENCE = 0.01
 GENERIC = ("annual", "monthly", "report", "mining", "plan", "coal", "the", "document", "file", "final", "draft")
+#: Pairs that one task writes out.
+PAIRS_OF_A_TASK = 4_000_000
 
 
 def _any(name: Column, words: tuple[str, ...]) -> Column:
@@ -129,6 +133,30 @@ def relate_classes(mentions: DataFrame, *, document: str, scope: str, value: str
     return member.unionByName(relate(leaders, document=document, scope=scope, value=value, kind=kind, confidence=confidence))
 
 
+def relate_alike(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float, most: int = 1000) -> DataFrame:
+    """The edges of ``relate``, a row for every pair, where documents have few different sets of values.
+
+    Values are compared once for two classes of ``relate_classes``. Members of a class are gathered in parts of about
+    ``most``; parts meet parts, are dealt over tasks by the number of their pairs, and there become pairs, which are not
+    shuffled. Scope and value are compared as one, so a document may be of several scopes.
+    """
+    known = mentions.where(F.col(scope).isNotNull() & F.col(value).isNotNull())
+    whole = written(known.select(document, F.lit(0).alias("__all"), F.struct(scope, value).alias("__key")).distinct(), "mentions")
+    rows = written(relate_classes(whole, document=document, scope="__all", value="__key", kind="CLASSES", confidence=confidence), "classes")
+    members = rows.where("relationship_type = 'MEMBER'").select(F.col("source_document_id").alias("__c"), F.col("target_document_id").alias("__m"))
+    # a class meets itself by the row of its representative
+    edges = rows.where("relationship_type = 'CLASSES' OR source_document_id = target_document_id").select(F.col("source_document_id").alias("__a"), F.col("target_document_id").alias("__b"), "n_shared")
+    parts = members.groupBy("__c").agg(F.ceil(F.count("*") / most).alias("__parts"))
+    # sorted, as rows dealt by their number must be the same if they are made again
+    gathered = members.join(parts, "__c").groupBy("__c", F.pmod(F.xxhash64("__m"), "__parts").alias("__part")).agg(F.array_sort(F.collect_list("__m")).alias("__d"))
+    left, right = (gathered.select(F.col("__c").alias(c), F.col("__part").alias(f"{c}_part"), F.col("__d").alias(f"{c}_d")) for c in ("__a", "__b"))
+    met = edges.join(left, "__a").join(right, "__b").where("__a <> __b OR __a_part <= __b_part")
+    pairs = met.agg(F.sum(F.size("__a_d").cast("long") * F.size("__b_d"))).first()[0] or 0
+    dealt = met.repartition(max(4 * mentions.sparkSession.sparkContext.defaultParallelism, pairs // PAIRS_OF_A_TASK + 1))
+    both = dealt.select("*", F.explode("__a_d").alias("s")).select("*", F.explode("__b_d").alias("t")).where("s < t OR __a <> __b OR __a_part <> __b_part")
+    return both.select(F.least("s", "t").alias("source_document_id"), F.greatest("s", "t").alias("target_document_id"), "n_shared", F.lit(kind).alias("relationship_type"), F.lit(confidence).alias("confidence"))
+
+
 def shared_groups(mentions: DataFrame, *, document: str, scope: str, value: str, kind: str, confidence: float) -> DataFrame:
     """Groups of documents of one scope that share a value: (scope, value, representative, document, n_documents, ...).
 

@@ -61,3 +61,32 @@ def test_notes_and_pairs_are_dealt_over_tasks(spark):
     from loomstone.plans.catalog import Tables
 
     assert governance._notes(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_every_pair_of_an_organization_is_a_row(spark, tmp_path):
+    """Suppliers of equal and of other years, in two nations, in none, given twice, without a date: no pair is left to a class."""
+    from itertools import combinations
+
+    years = {d: {1995, 1996} for d in range(1, 9)} | {9: {1996}, 10: {1997}, 11: {1995, 1997}, 12: {None}, 13: {1995}, 14: {1995, None}}
+    nations = [(d, 1 + (d in (7, 8))) for d in range(1, 13)] + [(8, 1), (3, 1), (13, None), (14, 1), (14, None)]
+    items = [(d, y and pd.Timestamp(y, month, 1)) for d, ys in years.items() for y in ys for month in (5, 12)] + [(None, pd.Timestamp(1995, 5, 1))]
+    tables = {
+        "supplier": pd.DataFrame({"s_suppkey": [d for d, _ in nations], "s_nationkey": pd.array([n for _, n in nations], dtype="Int64")}),
+        "lineitem": pd.DataFrame({"l_suppkey": pd.array([d for d, _ in items], dtype="Int64"), "l_shipdate": pd.Series([at for _, at in items], dtype="datetime64[us]")}),
+    }
+    ours, theirs = both(spark, tmp_path, "jon_11_pairs_in_organization", tables)
+    have = {d: {(n, y) for at, n in nations if at == d and n for y in ys if y} for d, ys in years.items()}
+    want = [(a, b, len(have[a] & have[b]), "SAME_PERIOD", 0.95) for a, b in combinations(sorted(have), 2) if have[a] & have[b]]
+    assert ours == theirs == want and (1, 2, 2, "SAME_PERIOD", 0.95) in ours and len(ours) > 40
+
+
+def test_every_pair_is_made_of_parts_of_classes(spark):
+    from itertools import combinations
+
+    from loomstone.operators import quality
+
+    sets = {d: {("s", v) for v in range(3) if d % 5 != v} for d in range(60)} | {d: {("s", 0), ("t", 0), ("t", 1)} for d in range(60, 80)} | {80: {("t", 1)}, 81: {("u", 0)}}
+    mentions = spark.createDataFrame([(d, s, v) for d, vs in sets.items() for s, v in vs] * 2, "d long, s string, v long")
+    rows = quality.relate_alike(mentions, document="d", scope="s", value="v", kind="MEMBER", confidence=1.0, most=4)
+    assert sorted(tuple(r)[:3] for r in rows.collect()) == [(a, b, len(sets[a] & sets[b])) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b]]
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
